@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, packing, rendezvous, token_rollup
+from tidemark.llm import chat_format, knn_join, packing, rendezvous, token_rollup, warc
 from tidemark.llm._common import scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +26,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2, capacity=4096)
 
 
+def op6_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every vector whose id is divisible by 50."""
+    return knn_join.nearest_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents inserted as one batch, which is then delivered a second time."""
     docs = table(spark, sf_dir, "documents")
@@ -43,6 +53,8 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op5_packing": op5_packing,
+    "op6_knn_join": op6_knn_join,
+    "op8_warc": op8_warc,
     "op9_token_rollup": op9_token_rollup,
     "op10_rendezvous": op10_rendezvous,
 }
@@ -65,4 +77,17 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_chat_format": _OP1}
+_OP6 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_format": _OP1, "op6_knn_join": _OP6}
