@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, knn_join, packing, rendezvous, token_rollup, warc
+from tidemark.llm import chat_format, knn_join, ngram_join, packing, rendezvous, token_rollup, warc
 from tidemark.llm._common import scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +23,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(rows))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of three words; links at a Jaccard similarity of 0.9 or more."""
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), n=3, least=Fraction(9, 10))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2, capacity=4096)
 
@@ -52,6 +58,7 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_ngram_join": op2_ngram_join,
     "op5_packing": op5_packing,
     "op6_knn_join": op6_knn_join,
     "op8_warc": op8_warc,
