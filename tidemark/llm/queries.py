@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, knn_join, ngram_join, packing, rendezvous, token_rollup, warc
+from tidemark.llm import chat_format, decontaminate, knn_join, ngram_join, packing, rendezvous, token_rollup, warc
 from tidemark.llm._common import scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"), n=3, least=Fraction(9, 10))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that a benchmark item contaminates, with the item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2, capacity=4096)
 
@@ -59,6 +64,7 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_join": op2_ngram_join,
+    "op3_decontaminate": op3_decontaminate,
     "op5_packing": op5_packing,
     "op6_knn_join": op6_knn_join,
     "op8_warc": op8_warc,
