@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, knn_join, ngram_join, packing, rendezvous, token_rollup, warc
+from tidemark.llm import chat_format, decontaminate, html_extract, knn_join, ngram_join, packing, rendezvous, token_rollup, warc
 from tidemark.llm._common import scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -33,6 +33,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2, capacity=4096)
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_join": op2_ngram_join,
     "op3_decontaminate": op3_decontaminate,
+    "op4_html_extract": op4_html_extract,
     "op5_packing": op5_packing,
     "op6_knn_join": op6_knn_join,
     "op8_warc": op8_warc,
