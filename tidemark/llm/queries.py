@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, html_extract, knn_join, ngram_join, packing, rendezvous, token_rollup, warc
+from tidemark.llm import chat_format, decontaminate, html_extract, knn_join, language_id, ngram_join, packing, rendezvous, token_rollup, warc
 from tidemark.llm._common import scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +46,19 @@ def op6_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join.nearest_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: their language, its posterior, and whether they are kept."""
+    docs = table(spark, sf_dir, "documents")
+    told = language_id.identify(language_id.document_evidence(docs), language_id.fit(docs))
+    return told.withColumnRenamed("key", "doc_id")
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages: markup and address as further evidence; the text model is that of the documents."""
+    model = language_id.fit(table(spark, sf_dir, "documents"))
+    return language_id.identify(language_id.page_evidence(table(spark, sf_dir, "pages")), model).withColumnRenamed("key", "page_id")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"), least_bytes=0)
 
@@ -72,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extract": op4_html_extract,
     "op5_packing": op5_packing,
     "op6_knn_join": op6_knn_join,
+    "op7_language_id": op7_language_id,
+    "language_of_pages": language_of_pages,
     "op8_warc": op8_warc,
     "op9_token_rollup": op9_token_rollup,
     "op10_rendezvous": op10_rendezvous,
