@@ -1,0 +1,12 @@
+"""Queries of the engine on the driver's tables, by name, with their DuckDB SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.plans import audit
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**audit.QUERIES}
+ORACLES: dict[str, str] = {**audit.ORACLES}
