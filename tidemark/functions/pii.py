@@ -26,7 +26,12 @@ PATTERNS = {
 
 def candidates(text: Column) -> Column:
     """Map of kind to its distinct normalised values, kinds without any left out; dates that a time has are not dates of travel."""
-    found = {k: F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(0)), lambda v, k=k: normalize_value(k, v))) for k, p in PATTERNS.items()}
+
+    def values(kind: str) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(f"(?i){PATTERNS[kind]}"), F.lit(0))
+        return F.array_distinct(F.transform(hits, lambda v: normalize_value(kind, v)))
+
+    found = {k: values(k) for k in PATTERNS}
     days = F.transform(found["meeting_time"], lambda v: F.substring(v, 1, 10))
     found["travel_date"] = F.array_except(found["travel_date"], days)
     pairs = F.create_map(*(x for k, v in found.items() for x in (F.lit(k), F.array_sort(v))))

@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 WHITE = r"[ \t\n\x0B\f\r]+"
 UNICODE_WHITE = r"(?U)[\s\x1C-\x1F]+"
@@ -152,7 +153,7 @@ def join_entries(fields: Column, between: str = " ", after: str = " ") -> Column
     return F.array_join(F.transform(F.map_entries(fields), lambda e: F.concat(e.key, F.lit(after), F.coalesce(e.value, F.lit("")))), between)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def longest_common_substring(left: pd.Series, right: pd.Series) -> pd.Series:
     """Length of the longest common substring of two normalised texts over the right one's length."""
 
@@ -164,7 +165,7 @@ def longest_common_substring(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def block_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Twice the matching blocks' characters over both lengths (Ratcliff and Obershelp), frequent characters set aside in long texts."""
     return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right, strict=True)], dtype=float)

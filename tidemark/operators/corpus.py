@@ -8,6 +8,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tidemark.functions.text import collapse_space, match_key, signature, token_count
 from tidemark.operators.sampling import cyclic_budget, running, token_budget, train_validation
@@ -39,27 +40,30 @@ def _blocks(found: DataFrame) -> Iterator[list[str]]:
         yield held
 
 
+def _finder(block: list[str]):  # noqa: ANN202  a boolean UDF
+    machine: list = []
+
+    @F.pandas_udf(BooleanType())
+    def hit(keys: pd.Series) -> pd.Series:
+        if not machine:
+            a = ahocorasick.Automaton()
+            for t in block:
+                a.add_word(t, True)
+            a.make_automaton()
+            machine.append(a)
+        return keys.map(lambda s: next(machine[0].iter(s), None) is not None).astype(bool)
+
+    return hit
+
+
 def contains_any(docs: DataFrame, found: DataFrame, text: str = "text", name: str = "contaminated") -> DataFrame:
     """Adds whether the text's match key contains any term, by one automaton a block of terms and one pass over each text."""
-    out, flags = docs, []
+    out, any_hit = docs, F.lit(False)
+    flags = []
     for k, block in enumerate(_blocks(found)):
-        machine: list = []
-
-        @F.pandas_udf("boolean")
-        def hit(keys: pd.Series, block: list[str] = block, machine: list = machine) -> pd.Series:
-            if not machine:
-                a = ahocorasick.Automaton()
-                for t in block:
-                    a.add_word(t, True)
-                a.make_automaton()
-                machine.append(a)
-            return keys.map(lambda s: next(machine[0].iter(s), None) is not None)
-
         flags.append(f"_hit{k}")
-        out = out.withColumn(flags[-1], hit(match_key(F.coalesce(F.col(text), F.lit("")))))
-    any_hit = F.lit(False)
-    for f in flags:
-        any_hit = any_hit | F.col(f)
+        out = out.withColumn(flags[-1], _finder(block)(match_key(F.coalesce(F.col(text), F.lit("")))))
+        any_hit = any_hit | F.col(flags[-1])
     return out.withColumn(name, any_hit).drop(*flags)
 
 

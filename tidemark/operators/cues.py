@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.functions.text import char_ngrams, jaccard, longest_common_substring, longest_shared_piece, normalize_text, tokens
 
@@ -95,8 +99,8 @@ def cue_scores(prompts: DataFrame, records: DataFrame, strength: str = "legacy")
         "max_sensitive_substring": longest_shared_piece(F.col("prompt"), values),
         "structured_prefix_flag": structured_prefix(F.col("prompt"), F.col("_targets")),
     })
-    # a ratio for each value: of one or more values the largest, by one UDF call over the entries of a fixed-size slice
-    rows = _largest_ratio(rows)
+    present = F.filter(F.transform(values, lambda v: normalize_text(v)), lambda v: v != "")
+    rows = rows.withColumn("levenshtein_similarity", ratio_to_any(norm, present))
     c = F.col
     rows = rows.withColumn("deterministic_recovery_risk", c("direct_target_context_flag") & c("record_specific_anchor_flag") & (c("field_leakage_flag") | (c("token_overlap") >= 0.25) | (c("max_sensitive_substring") >= 8)))
     rows = rows.withColumn("cue_band_computed", band(c("token_overlap"), c("char5_jaccard"), c("lcs_fraction"), c("field_leakage_flag"), c("entity_overlap_flag"), c("record_specific_anchor_flag"), c("direct_target_context_flag"), c("max_sensitive_substring")))
@@ -111,15 +115,7 @@ def cue_scores(prompts: DataFrame, records: DataFrame, strength: str = "legacy")
     return rows.drop("_fields", "_sensitive", "_anchors", "_handle", "_targets", "_target_text", "_norm")
 
 
-def _largest_ratio(rows: DataFrame) -> DataFrame:
-    values = F.filter(F.transform(F.map_values("_targets"), normalize_text), lambda v: v != "")
-    return rows.withColumn("levenshtein_similarity", ratio_to_any(F.col("_norm"), values))
-
-
-@F.pandas_udf("double")
-def ratio_to_any(text, values):  # noqa: ANN001, ANN201  series of strings, and of arrays of strings
+@F.pandas_udf(DoubleType())
+def ratio_to_any(text: pd.Series, values: pd.Series) -> pd.Series:
     """The largest matching-blocks ratio of the text with any of the values; 0 without values."""
-    import pandas as pd
-    from difflib import SequenceMatcher
-
     return pd.Series([max((SequenceMatcher(None, t or "", v).ratio() for v in vs), default=0.0) for t, vs in zip(text, values, strict=True)], dtype=float)

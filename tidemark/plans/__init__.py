@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import audit
+from tidemark.plans import audit, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**audit.QUERIES}
-ORACLES: dict[str, str] = {**audit.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**audit.QUERIES, **texts.QUERIES}
+ORACLES: dict[str, str] = {**audit.ORACLES, **texts.ORACLES}
