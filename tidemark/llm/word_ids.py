@@ -1,49 +1,114 @@
-"""Token ids of whole texts by a public tokenizer with word ends, words being looked up in a bounded table.
+"""Token ids of whole texts by a public tokenizer with word ends, its words being looked up in a bounded table.
 
-The tokenizer's pre-tokenizer never joins characters across white space, so the ids of a text are those of its words in
-order.  That holds for texts in the characters of ``_PLAIN``; any other text goes to the tokenizer whole.
+The tokenizer cuts a text into runs of letters, single digits and runs of other signs, and never joins ids across them:
+the ids of a text are those of its pieces in order.  Pieces are found and hashed for many texts at once; the tokenizer is
+asked for pieces that the table lacks.  (An apostrophe before letters may belong to them, so the two stay one piece.)
+That holds for texts in the characters of ``_OTHER``'s complement, whose normal form and lower case are settled; any other
+text goes to the tokenizer whole.  Pieces are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator, Sequence
 from functools import cache
-from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Latin letters and signs whose normal form and lower case are settled, and white space that all sides agree on.
-_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]|<\\|")
-WORDS_KEPT = 300_000
+from tidemark.llm._common import chunks
+from tidemark.llm.word_hash import _OF_BYTE, stretches
+
+#: The tasks already fill the cores.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+_OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ɏ]|<\\|")
+CHUNK = 1_000_000
+#: Slots of the table, and ids that it may hold.
+SLOTS, IDS_KEPT = 1 << 21, 8_000_000
+_U = np.uint64
+_SPACE, _DIGIT, _LETTER, _SIGN = range(4)
+_CLASS = np.full(256, _SIGN, np.uint8)
+_CLASS[[9, 10, 13, 32]] = _SPACE
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(97, 123), *range(128, 256)]] = _LETTER
+
+
+def pieces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last bytes of the pieces of lower-case bytes that start and end with a space."""
+    kind = _CLASS[raw]
+    edge = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) + 1
+    of = kind[edge]
+    apostrophe = (of == _SIGN) & (raw[edge] == 39)
+    if len(edge) > 1:
+        alone = np.zeros(len(edge), bool)
+        alone[:-1] = apostrophe[:-1] & (np.diff(edge) == 1) & (of[1:] == _LETTER)
+        joined = np.zeros(len(edge), bool)
+        joined[1:] = alone[:-1]
+        edge, of = edge[~joined], of[~joined]
+    some = of != _SPACE
+    return edge[some], np.append(edge[1:], len(raw))[some]
 
 
 class WordIds:
-    def __init__(self, path: str, words_kept: int = WORDS_KEPT) -> None:
+    def __init__(self, path: str, slots: int = SLOTS, ids_kept: int = IDS_KEPT) -> None:
         self._tokenizer = Tokenizer.from_file(path)
-        self._kept = words_kept
-        self._ids: dict[str, bytes] = {}
+        self._mask, self._kept = _U(slots - 1), ids_kept
+        self._clear()
+
+    def _clear(self) -> None:
+        slots = int(self._mask) + 1
+        self._key, self._start, self._length = np.zeros(slots, _U), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self._ids, self._used = np.zeros(1 << 16, np.uint32), 0
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _encode(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch(list(texts), add_special_tokens=False)]
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of each word's ids."""
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        length = np.fromiter(map(len, found), np.int32, len(found))
+        new = np.fromiter((i for x in found for i in x), np.uint32, int(length.sum()))
+        end = self._used + len(new)
+        if end > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.zeros(max(len(self._ids), len(new)), np.uint32)])
+        self._ids[self._used : end] = new
+        start = self._used + np.cumsum(length) - length
+        self._used = end
+        return start.astype(np.int32), length
 
-    def _learn(self, words: Sequence[str]) -> None:
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            self._ids.update(zip(part, self._encode(part), strict=True))
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        data = [t.lower().encode() for t in texts]
+        at = np.cumsum([0, *(len(d) + 1 for d in data)])
+        joined = b" ".join([b"", *data, b""])
+        raw = np.frombuffer(joined, np.uint8)
+        first, last = pieces(raw)
+        key = stretches(_OF_BYTE[raw], first, last)
+        if self._used > self._kept:
+            self._clear()
+        slot = (key & self._mask).astype(np.int64)
+        start, length = self._start[slot], self._length[slot]
+        missing = np.flatnonzero((self._key[slot] != key) | (length == 0))
+        if len(missing):
+            new, index, inverse = np.unique(key[missing], return_index=True, return_inverse=True)
+            where = missing[index]
+            s, n = self._learn([joined[a:b].decode() for a, b in zip(first[where].tolist(), last[where].tolist(), strict=True)])
+            start[missing], length[missing] = s[inverse], n[inverse]
+            slot = (new & self._mask).astype(np.int64)
+            self._key[slot], self._start[slot], self._length[slot] = new, s, n
+        ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+        ids = self._ids[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])].astype("<u4", copy=False)
+        bounds = ends[np.searchsorted(first, at)]
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [None if _OTHER.search(t) else t.lower().split() for t in texts]
-        new = set(chain.from_iterable(w for w in split if w is not None)).difference(self._ids)
-        if len(self._ids) + len(new) > self._kept:
-            self._ids = {}
-            new = set(chain.from_iterable(w for w in split if w is not None))
-        self._learn(list(new))
-        get = self._ids.__getitem__
-        for t, words in zip(texts, split, strict=True):
-            yield self._encode([t])[0] if words is None else b"".join(map(get, words))
+        for lo, hi in chunks(texts, CHUNK):
+            part = texts[lo:hi]
+            odd = [_OTHER.search(t) is not None for t in part]
+            plain = iter(self._plain([t for t, o in zip(part, odd, strict=True) if not o]))
+            for t, o in zip(part, odd, strict=True):
+                yield self._whole(t) if o else next(plain)
 
 
 @cache
