@@ -10,8 +10,8 @@ a third of the rows share costs k+1 rows.  Bounds are taken with a margin above
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take no part; shorter vectors count as zero
 beyond their end; ties go to the smaller id; rows with the query's id are never its candidates; repeated rows count each
-as candidates and once as a query; rows without an id take no part; with fewer than k candidates all are returned; an
-empty table gives no rows.
+as candidates and once as a query; rows without an id take no part; with fewer than k candidates all are returned; a
+score beyond 64 bits is an error; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,10 +51,12 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def scores_of(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products; by Python's integers where doubles could round."""
-    if q.size and x.size and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] >= _EXACT:
-        return (q.astype(object) @ x.astype(object).T)
-    return q @ x.T
+    """Integer inner products; by 64-bit or by Python's integers where doubles could round."""
+    most = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] if q.size and x.size else 0.0
+    if most < _EXACT:
+        return q @ x.T
+    q, x = q.astype(np.int64), x.astype(np.int64)
+    return q @ x.T if most < 2.0**62 else q.astype(object) @ x.astype(object).T
 
 
 def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
@@ -83,7 +85,10 @@ def nearest_join(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     queries = vectors.filter(is_query).dropDuplicates(["vec_id", "v"])
     width = data.agg(F.max(F.size("v"))).first()[0] or 0
     # a sample of bounded size; any pivots give exact results
-    sample = data.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
+    rows_in = data.count()
+    share = min(1.0, 1.5 * PIVOTS / max(rows_in, 1))
+    hashed = data.withColumn("h", F.xxhash64("vec_id")).filter(F.col("h") <= min(int(-(2**63) + share * 2**64), 2**63 - 1))
+    sample = hashed.orderBy("h", "vec_id").limit(PIVOTS).select("vec_id", "v").collect()
     result = "query_id long, rank int, vec_id long, score long"
     if not sample:
         return spark.createDataFrame([], result)
@@ -109,7 +114,6 @@ def nearest_join(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     asked = stored(queries.mapInArrow(measured, kind), "queries")
     # at most one row a pivot
     groups = {r.cell: (r.n, r.radius, r.sure) for r in asked.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.min("sure").alias("sure")).collect()}
-    rows_in = data.count()
     slices = max(1, -(-rows_in // SLICE_ROWS))
     names = sorted(groups)
     if not names:
