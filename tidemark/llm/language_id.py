@@ -11,7 +11,7 @@ known languages and has equal chances for all trigrams.  A row is kept if its be
 ``LEAST`` or more and its text has letters.
 
 Trigram chances are fitted on a sample of ``SAMPLE_ROWS`` labelled rows (the first ``SAMPLE_CHARS`` characters of each),
-chosen by a hash of the id; everything else covers all rows and whole texts.
+chosen by a hash of the id that is drawn from all of them; everything else covers all rows and whole texts.
 
 Defined cases: null text, source, address or declaration is missing evidence; a row without letters is not kept and has the
 language that the other evidence tells; ties go to the language that sorts first; repeated rows are each answered; an
@@ -65,7 +65,10 @@ class TextModel(NamedTuple):
 
 def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> TextModel:
     labelled = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.col(label) != UND))
-    sample = labelled.select(F.xxhash64(key).alias("h"), F.col(label).alias("label"), F.substring(text, 1, sample_chars).alias("text")).orderBy("h", "label").limit(sample_rows).collect()
+    # rows whose hash is small enough for half as many again as are wanted: no task sends more than its share of these
+    share = min(1.0, 1.5 * sample_rows / max(labelled.count(), 1))
+    hashed = labelled.withColumn("h", F.xxhash64(key)).filter(F.col("h") <= F.lit(min(int(-(2**63) + share * 2**64), 2**63 - 1)))
+    sample = hashed.select("h", F.col(label).alias("label"), F.substring(text, 1, sample_chars).alias("text")).orderBy("h", "label").limit(sample_rows).collect()
     languages = sorted({r.label for r in sample})
     counts = np.full((len(languages), 1 << _BITS), FLOOR)
     for k, name in enumerate(languages):
