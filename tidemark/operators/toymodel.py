@@ -56,20 +56,21 @@ def features(prompts: DataFrame, condition: str, seed: int) -> DataFrame:
     })
 
 
-def _bump(layer: int, peak: tuple[int, float]) -> float:
-    return math.exp(-((layer - peak[0]) ** 2) / (2 * peak[1] ** 2))
+def _bump(layer: Column, peak: tuple[int, float]) -> Column:
+    return F.exp(-((layer - peak[0]) * (layer - peak[0])) / (2 * peak[1] ** 2))
 
 
 def activations() -> Column:
-    """LAYERS vectors of six numbers."""
+    """LAYERS vectors of six numbers. One small expression for all layers keeps the generated code short."""
     c = F.col
     memory = c("member") * (0.5 * c("exposed") + 0.5 * c("repeated")) * c("family_signal") * F.greatest(F.lit(0.15), c("gate"))
     mechanism = c("member") * c("anchored") * c("condition_signal") * c("gate")
-    rows = [
-        F.array(c("cue") * _bump(k, CUE_PEAK), mechanism * _bump(k, MECHANISM_PEAK), memory * _bump(k, MEMORY_PEAK), c("gate") * c("anchored") * _bump(k, MECHANISM_PEAK), 0.35 * c("family_signal") * (0.8 + 0.2 * _bump(k, CUE_PEAK)), c("noise") + 0.01 * k)
-        for k in range(LAYERS)
-    ]
-    return F.array(*rows)
+
+    def of_layer(k: Column) -> Column:
+        peak = _bump(k, MECHANISM_PEAK)
+        return F.array(c("cue") * _bump(k, CUE_PEAK), mechanism * peak, memory * _bump(k, MEMORY_PEAK), c("gate") * c("anchored") * peak, 0.35 * c("family_signal") * (0.8 + 0.2 * _bump(k, CUE_PEAK)), c("noise") + 0.01 * k)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(LAYERS - 1)), of_layer)
 
 
 def weights() -> Column:

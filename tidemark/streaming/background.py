@@ -7,7 +7,8 @@ hash of their id, and its token counts under the batch's number, so a batch that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,40 +33,46 @@ def side(fraction: float, seed: int):  # noqa: ANN201  a column
     return F.when(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000), "validation").otherwise("train")
 
 
-def collect_pools(docs: DataFrame, path: str, train_tokens: int, validation_tokens: int, seed: int = 1, **options: object) -> StreamingQuery:
-    """Starts the query; it stops by itself once both pools have their tokens. Pools: path/pools, Parquet by split and batch."""
+def filled(spark: SparkSession, path: str, before: int | None = None) -> dict[str, int]:
+    """Tokens of each split in the pools, of all batches or of those before a number."""
+    try:
+        rows = spark.read.parquet(f"{path}/pools")
+    except AnalysisException:  # nothing is written yet
+        return {}
+    rows = rows if before is None else rows.filter(F.col("batch") < before)
+    return {r.split: int(r.n) for r in rows.groupBy("split").agg(F.sum("tokens").alias("n")).collect()}
+
+
+def collect_pools(docs: DataFrame, path: str, train_tokens: int, validation_tokens: int, seed: int = 1, available_now: bool = True, **options: object) -> StreamingQuery:
+    """Starts the query that fills path/pools (Parquet by batch and split). Batches beyond the budgets add nothing; see ``until_filled``."""
     fraction = validation_tokens / max(1, train_tokens + validation_tokens)
     wanted = {"train": train_tokens, "validation": validation_tokens}
-    holder: list[StreamingQuery] = []
-
-    def filled(spark, batch: int) -> dict[str, int]:  # noqa: ANN001
-        try:
-            rows = spark.read.parquet(f"{path}/pools").filter(F.col("batch") < batch)
-        except Exception as e:  # nothing is written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            return {}
-        return {r.split: int(r.n) for r in rows.groupBy("split").agg(F.sum("tokens").alias("n")).collect()}
 
     def take(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        have = filled(spark, number)
-        rest = {s: wanted[s] - have.get(s, 0) for s in wanted}
-        if max(rest.values()) <= 0:
-            if holder:
-                holder[0].stop()
+        have = filled(batch.sparkSession, path, number)
+        rest = {s: max(n - have.get(s, 0), 0) for s, n in wanted.items()}
+        open_sides = [s for s, n in rest.items() if n]
+        if not open_sides:
             return
-        full = [s for s, n in rest.items() if n <= 0]
         # once one side is full, all goes to the other
-        rows = batch.withColumn("split", F.lit(next(s for s in wanted if s not in full)) if full else side(fraction, seed))
-        rows = running(rows, "doc_id", seed, F.col("tokens"), by=["split"])
-        left = F.when(F.col("split") == "train", max(rest["train"], 0)).otherwise(max(rest["validation"], 0))
-        chosen = rows.filter(F.col("before") < left).drop("before")
-        chosen.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "split").parquet(f"{path}/pools")
-
-    query = fresh(docs, **options).writeStream.foreachBatch(take).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    holder.append(query)
-    return query
+        split = side(fraction, seed) if len(open_sides) == 2 else F.lit(open_sides[0])
+        rows = running(batch.withColumn("split", split), "doc_id", seed, F.col("tokens"), by=["split"])
+        left = F.when(F.col("split") == "train", rest["train"]).otherwise(rest["validation"])
+        chosen = rows.filter(F.col("before") < left).drop("before").withColumn("batch", F.lit(number))
+        chosen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "split").parquet(f"{path}/pools")
+
+    writer = fresh(docs, **options).writeStream.foreachBatch(take).option("checkpointLocation", f"{path}/checkpoint")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def until_filled(query: StreamingQuery, spark: SparkSession, path: str, train_tokens: int, validation_tokens: int, poll: float = 1.0) -> dict[str, int]:
+    """Waits until the query ends or both budgets are filled, then stops it; returns the tokens taken."""
+    while True:
+        ended = query.awaitTermination(poll)
+        have = filled(spark, path)
+        if ended or (have.get("train", 0) >= train_tokens and have.get("validation", 0) >= validation_tokens):
+            query.stop()
+            return have
 
 
 def bundle(sources: list[DataFrame], limit: int | None = None, **options: object) -> DataFrame:
