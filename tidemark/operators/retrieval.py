@@ -71,3 +71,45 @@ def chance(pools: DataFrame) -> DataFrame:
     """Adds to pools (true_count, pool_size) what a random order would reach."""
     t, n = F.col("true_count"), F.col("pool_size")
     return pools.withColumns({"random_top1": random_top_k(t, n, 1), "random_top10": random_top_k(t, n, 10), "random_mrr": random_reciprocal_rank(t, n)})
+
+
+def bm25_of_pools(pools: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """pools (target, doc_id, …) with score: BM25 of the target's query (target, query), each pool being a corpus of its own.
+
+    Only terms of the queries leave the scan of the documents; candidates without one score 0.
+    """
+    q = queries.select("target", F.explode(wide_tokens(F.coalesce(F.col("query"), F.lit("")))).alias("term")).groupBy("target", "term").agg(F.count("*").alias("times"))
+    w = docs.join(pools.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", wide_tokens(F.coalesce(F.col("text"), F.lit(""))).alias("_w"))
+    sizes = w.select("doc_id", F.size("_w").alias("_size"))
+    tf = w.select("doc_id", F.explode("_w").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    pairs = pools.select("target", "doc_id").join(sizes, "doc_id", "left")
+    corpus = pairs.groupBy("target").agg(F.count("*").alias("n"), F.greatest(F.avg(F.coalesce("_size", F.lit(0))), F.lit(1.0)).alias("avgdl"))
+    hits = pairs.join(tf, "doc_id").join(q, ["target", "term"])
+    df = hits.groupBy("target", "term").agg(F.count("*").alias("df"))
+    c = F.col
+    idf = F.ln(1 + (c("n") - c("df") + 0.5) / (c("df") + 0.5))
+    part = c("times") * idf * c("tf") * (K1 + 1) / (c("tf") + K1 * (1 - B + B * F.greatest(c("_size"), F.lit(1)) / c("avgdl")))
+    sums = hits.join(df, ["target", "term"]).join(corpus, "target").groupBy("target", "doc_id").agg(F.sum(part).alias("score"))
+    return pools.join(sums, ["target", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def per_target(rows: DataFrame, true: str = "is_true", by: str = "target", deep: int = 10) -> DataFrame:
+    """by, top1, top10, mrr of ranked rows."""
+    first = rows.groupBy(by).agg(F.min(F.when(F.col(true), F.col("rank"))).alias("_r"))
+    hit = lambda k: F.coalesce(F.col("_r") <= k, F.lit(False)).cast("double")
+    return first.select(by, hit(1).alias("top1"), hit(deep).alias("top10"), F.coalesce(1.0 / F.col("_r"), F.lit(0.0)).alias("mrr"))
+
+
+def expected_per_target(pools: DataFrame, by: str = "target") -> DataFrame:
+    """The same columns for a random order of pools (by, is_true)."""
+    sizes = pools.groupBy(by).agg(F.count_if("is_true").alias("true_count"), F.count("*").alias("pool_size"))
+    return chance(sizes).select(by, F.col("random_top1").alias("top1"), F.col("random_top10").alias("top10"), F.col("random_mrr").alias("mrr"))
+
+
+def baselines(methods: dict[str, DataFrame]) -> DataFrame:
+    """method, targets and the means of top1, top10 and mrr of several methods' rows by target."""
+    out = None
+    for name, rows in methods.items():
+        one = rows.agg(F.count("*").alias("targets"), *(mean(F.col(c)).alias(c) for c in ("top1", "top10", "mrr"))).select(F.lit(name).alias("method"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

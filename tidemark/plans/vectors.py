@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import dot
-from tidemark.functions.text import token_count
+from tidemark.functions.text import deidentify, token_count
 from tidemark.operators import ablation, matching, mechanism, pools, prompts, records, retrieval, rollups, sampling, toymodel, validation
 from tidemark.plans.bindings import SCORES, rounded, scores, table
 from tidemark.streaming.background import bundle
@@ -53,6 +53,27 @@ def random_topk_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.chance(sizes))
 
 
+def provenance_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five ways to rank the pools: by vectors, at random, at random within the source, and by BM25 of the document's text, plain and without its first words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    pool = candidate_pools(spark, sf_dir).filter("doc_id <> target").join(docs.select("doc_id", "source"), "doc_id")
+    of_target = docs.select(F.col("doc_id").alias("target"), F.col("text").alias("query"), F.col("source").alias("_s"))
+    queries = pool.select("target").distinct().join(of_target, "target")
+    bare = queries.select("target", deidentify(F.col("query"), F.slice(F.split("query", " "), 1, 5)).alias("query"))
+    by_text = {n: retrieval.ranked(retrieval.bm25_of_pools(pool, q, docs), "target", "score", F.desc("doc_id")) for n, q in (("bm25_full", queries), ("bm25_deidentified", bare))}
+    same = pool.join(queries.select("target", "_s"), "target").filter((F.col("source") == F.col("_s")) | F.col("is_true"))
+    methods = {"vectors": retrieval.per_target(_ranked(spark, sf_dir)), "random": retrieval.expected_per_target(pool), "same_source": retrieval.expected_per_target(same)}
+    return rounded(retrieval.baselines(methods | {n: retrieval.per_target(r) for n, r in by_text.items()}))
+
+
+def pool_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 of each target's text within its pool."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pool = candidate_pools(spark, sf_dir).filter("doc_id <> target").join(docs.select("doc_id"), "doc_id")
+    queries = docs.select(F.col("doc_id").alias("target"), F.col("text").alias("query")).join(pool.select("target").distinct(), "target", "left_semi")
+    return rounded(retrieval.bm25_of_pools(pool, queries, docs).select("target", "doc_id", "score"), 4)
+
+
 def attribution_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents left when the record on top of each ranking is removed."""
     docs = _vectors(spark, sf_dir).select("doc_id", "record_id", "family")
@@ -237,7 +258,7 @@ def balance_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (candidate_pools, vector_rank_topk, provenance_recall_mrr, recall_curve, random_topk_expected, attribution_removal, target_selection, top_targets, exposure_counts, group_mean_vector, direction_norms, standardize_group, logistic_probe, probe_groups, dot_products, bootstrap_ci, matched_pairs, generated_records, rendered_documents, template_prompts, attack_prompts, exchanged_records, validation_report, toy_scores, toy_sampled_generation, layer_attribution, mean_ablation, activation_patching, residual_direction, source_bundle, balance_by_label)
+    for f in (candidate_pools, vector_rank_topk, provenance_recall_mrr, recall_curve, random_topk_expected, provenance_baselines, pool_bm25, attribution_removal, target_selection, top_targets, exposure_counts, group_mean_vector, direction_norms, standardize_group, logistic_probe, probe_groups, dot_products, bootstrap_ci, matched_pairs, generated_records, rendered_documents, template_prompts, attack_prompts, exchanged_records, validation_report, toy_scores, toy_sampled_generation, layer_attribution, mean_ablation, activation_patching, residual_direction, source_bundle, balance_by_label)
 }
 
 _V = "SELECT vec_id AS doc_id, vec_id // 4 AS record_id, label AS family, embedding AS vector FROM embeddings"
@@ -259,6 +280,11 @@ ORACLES = {
     "vector_rank_topk": f"WITH {_RANKED} SELECT target, doc_id, is_true, round(score, 6) + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM r",
     "provenance_recall_mrr": f"WITH {_RANKED} SELECT count(*) AS targets, round(avg(CAST(coalesce(f = 1, false) AS DOUBLE)), 6) AS top1, round(avg(CAST(coalesce(f <= 10, false) AS DOUBLE)), 6) AS top10, round(avg(coalesce(1 / f, 0.0)), 6) AS mrr FROM first",
     "recall_curve": f"WITH {_RANKED} SELECT CAST(k AS INTEGER) AS k, round(avg(CAST(coalesce(f <= k, false) AS DOUBLE)), 6) AS recall FROM first, range(1, 51) AS g(k) GROUP BY k",
+    "pool_bm25": f"""WITH {_POOLS}, d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_@.+-]+') AS w FROM documents), pd AS (SELECT target, doc_id, len(w) AS size FROM pool JOIN d USING (doc_id) WHERE doc_id <> target),
+c AS (SELECT target, count(*) AS n, greatest(avg(size), 1.0) AS avgdl FROM pd GROUP BY target), u AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY 1, 2),
+h AS (SELECT pd.target, pd.doc_id, pd.size, u.term, u.tf, q.tf AS times FROM pd JOIN u ON u.doc_id = pd.doc_id JOIN u q ON q.doc_id = pd.target AND q.term = u.term), f AS (SELECT target, term, count(*) AS df FROM h GROUP BY 1, 2),
+z AS (SELECT target, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(size, 1) / avgdl))) AS score FROM h JOIN f USING (target, term) JOIN c USING (target) GROUP BY 1, 2)
+SELECT target, doc_id, round(coalesce(score, 0.0), 4) AS score FROM pd LEFT JOIN z USING (target, doc_id)""",
     "attribution_removal": f"WITH {_RANKED} SELECT doc_id, record_id FROM v WHERE record_id NOT IN (SELECT record_id FROM r WHERE rank = 1)",
     "target_selection": f"""SELECT task_id, record_id, record_exact, round(max_target_logprob, 6) + 0.0 AS max_target_logprob FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY {_TASKS_ORDER['exact']}) AS k FROM ({_T})
   WHERE cue_band IN ('low', 'high') AND membership = 'member' AND any_sensitive_match) WHERE k <= 2""",
