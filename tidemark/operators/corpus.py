@@ -40,17 +40,41 @@ def _blocks(found: DataFrame) -> Iterator[list[str]]:
         yield held
 
 
+def _machine(block: list[str]) -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for t in block:
+        a.add_word(t, t)
+    a.make_automaton()
+    return a
+
+
+def found_terms(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """term: those of wanted (term) that some text (hay) contains as they stand.
+
+    One pass over the texts for each block of terms; a task holds a block's automaton and sends each term once.
+    """
+    out = None
+    for block in _blocks(wanted.filter("term <> ''").distinct()):
+
+        def scan(parts: Iterator[pd.DataFrame], block: list[str] = block) -> Iterator[pd.DataFrame]:
+            machine, seen = _machine(block), set()
+            for part in parts:
+                for hay in part["hay"].dropna():
+                    seen.update(t for _, t in machine.iter(hay))
+            yield pd.DataFrame({"term": sorted(seen)}, dtype=str)
+
+        part = texts.select("hay").mapInPandas(scan, "term string")
+        out = part if out is None else out.unionByName(part)
+    return texts.sparkSession.createDataFrame([], "term string") if out is None else out.distinct()
+
+
 def _finder(block: list[str]):  # noqa: ANN202  a boolean UDF
     machine: list = []
 
     @F.pandas_udf(BooleanType())
     def hit(keys: pd.Series) -> pd.Series:
         if not machine:
-            a = ahocorasick.Automaton()
-            for t in block:
-                a.add_word(t, True)
-            a.make_automaton()
-            machine.append(a)
+            machine.append(_machine(block))
         return keys.map(lambda s: next(machine[0].iter(s), None) is not None).astype(bool)
 
     return hit

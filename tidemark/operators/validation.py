@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import digits_only, longest_shared_piece, normalize_text, normalize_value
+from tidemark.operators.corpus import found_terms
 from tidemark.operators.scoring import target_fields
 
 
@@ -27,18 +28,19 @@ def duplicate_variants(docs: DataFrame) -> DataFrame:
 def values_in_corpus(records: DataFrame, docs: DataFrame, membership: str = "nonmember") -> DataFrame:
     """record_id, field of the sensitive values that some document of the corpus contains (phones: digit by digit).
 
-    Values are tested against each document; the values of one pass are bounded by the broadcast threshold or sorted by the planner.
+    All values are looked for in one pass over the documents (a pass a block of values), not value by value.
     """
     of = sensitive_values(records.filter(F.col("membership") == membership))
-    of = of.select("record_id", "field", normalize_value(F.col("field"), F.col("value")).alias("needle"), F.contains("field", F.lit("phone")).alias("phone")).filter("needle <> ''")
-    hay = docs.select(normalize_text(F.col("text")).alias("plain"), digits_only(F.col("text")).alias("digits"))
-    return of.join(hay, F.when(F.col("phone"), F.contains("digits", "needle")).otherwise(F.contains("plain", "needle")), "left_semi").select("record_id", "field")
+    of = of.select("record_id", "field", normalize_value(F.col("field"), F.col("value")).alias("term"), F.contains("field", F.lit("phone")).alias("phone"))
+    plain, digits = docs.select(normalize_text(F.col("text")).alias("hay")), docs.select(digits_only(F.col("text")).alias("hay"))
+    hits = found_terms(plain, of.filter("NOT phone").select("term")).withColumn("phone", F.lit(False)).unionByName(found_terms(digits, of.filter("phone").select("term")).withColumn("phone", F.lit(True)))
+    return of.join(hits, ["term", "phone"], "left_semi").select("record_id", "field")
 
 
 def canary_collisions(records: DataFrame, docs: DataFrame) -> DataFrame:
     """Canaries whose secret is in a background document as it stands."""
-    of = records.filter("family = 'canary'").select("record_id", F.col("fields")["secret"].alias("secret")).filter("secret <> ''")
-    return of.join(docs.select("text"), F.contains("text", "secret"), "left_semi").select("record_id")
+    of = records.filter("family = 'canary'").select("record_id", F.col("fields")["secret"].alias("term"))
+    return of.join(found_terms(docs.select(F.col("text").alias("hay")), of.select("term")), "term", "left_semi").select("record_id")
 
 
 def leaking_prompts(prompts: DataFrame, bands: tuple[str, ...] = ("low", "no_cue"), least: int = 6) -> DataFrame:
