@@ -2,13 +2,16 @@
 
 Sets fall into bands of size [l, l / t], t the least similarity.  Two sets that link lie in one band or in neighbouring
 ones, so each set has signatures for its own band and for the next.  In a band of sizes up to r, linked sets differ in
-at most k = (1 - t) / (1 + t) * 2r features.  The feature domain is cut by a hash into n1 = ceil((k + 1) / (k2 + 1)) parts,
+at most k = (1 - t) / (1 + t) * 2r features.  The feature domain is cut by a hash into n1 parts, at least (k + 1) / (k2 + 1),
 one of which holds at most k2 differences; each part is cut into n2 subparts, and one subset of n2 - k2 of them holds
-none: a signature is the hash of what a set has in such a subset.  A subset in which a set has nothing would match
-everywhere; a set with one has the signatures of its prefix (its smallest features) as well, which any linked set with
-the same gap shares.  So no linked pair is lost.
+none: a signature is the hash of what a set has in such a subset.  A subset that is empty in both sets (a gap) tells nothing
+and is no signature.  With g parts to spare, a linked pair without a common signature shares gaps in more than g parts:
+a set with so many gaps has each combination of g + 1 of its gaps as a signature, or, with very few or very many parts, the
+features of its prefix in an order that has common ones last.  So no linked pair is lost.
 
-Documents of one set are one class before anything else.  Signatures give candidate families; each family's sets are
+Documents of one set are one class before anything else.  Signatures give candidate families.  Parity sketches, four
+bits or more for each allowed difference, split these: a pair that differs in more bits than it may in features cannot
+link, which is exact and takes a seventieth of the sets' bytes.  What is left of each family has its sets
 compared in blocks by products of incidence matrices, and a block pair gives one row a set: its root in the block pair's
 forest and its number of links.  Pairs are never written out.  Components of the roots are the result.
 
@@ -21,34 +24,51 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import chunks, stored
 from tidemark.llm.components import components
-from tidemark.llm.word_hash import mix, shingles, words
+from tidemark.llm.word_hash import mix, shingles, stretches, words
 
 #: Second-level subparts, and differences allowed in a part.
 N2, K2 = 3, 1
-#: Sets of a family compared at once, sets of small families in a task's group, and features multiplied at once.
-BLOCK, GROUP, FEATURES = 512, 1024, 4096
+#: Up to so many parts gaps are combined.
+MOST_COMBINED = 170
+#: Sets and features of a family's block, sets of small families in a task's group, and features multiplied at once.
+BLOCK, BLOCK_FEATURES, GROUP, FEATURES = 2048, 1_500_000, 1024, 4096
+#: Documents, and characters of each, that tell which features are common.
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
 #: Rows of (id, family) that may be broadcast: 24 bytes each.
 BROADCAST_ROWS = 2_000_000
+#: Features for which there is one bucket of signatures.
+FEATURES_A_BUCKET = 1_000_000
 CHUNK = 1_000_000
 _U = np.uint64
 
 
+class Parts(NamedTuple):
+    """Parts of the domain; how many of them may have gaps without harm; whether more are met by combinations of gaps, else by prefixes."""
+
+    parts: int
+    spare: int
+    combined: bool
+
+
 class Bands:
     """Bounds of the size bands and the differences that each allows, in whole numbers."""
 
     def __init__(self, least: Fraction) -> None:
         self.least = least
         self._low = np.array([1])
+        self._parts: dict[tuple[int, int, int], Parts] = {}
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         while self._low[-1] <= max(sizes.max(initial=1), 1):
@@ -58,6 +78,26 @@ class Bands:
     def high(self, low: int) -> int:
         return int(low) * self.least.denominator // self.least.numerator
 
+    def parts(self, band: int, n2: int, k2: int) -> Parts:
+        if (band, n2, k2) not in self._parts:
+            fewest = -(-(self.differences(band) + 1) // (k2 + 1))
+            if fewest < 4:
+                plan = Parts(fewest, 0, False)
+            elif fewest <= MOST_COMBINED:
+                spare = 1 if fewest < 8 else 2
+                plan = Parts(fewest + spare, spare, True)
+            else:
+                smallest = int(self._low[max(band - 1, 0)])
+                gaps = math.comb(n2, k2) * fewest * math.exp(-smallest * (n2 - k2) / n2 / fewest)
+                spare = math.ceil(gaps + 3 * math.sqrt(gaps)) + 1
+                plan = Parts(fewest + spare, spare, False)
+            self._parts[band, n2, k2] = plan
+        return self._parts[band, n2, k2]
+
+    def bits(self, band: int) -> int:
+        """Size of the sketches of a band: a power of two above four times what sets of it or the next may differ in."""
+        return 1 << max(6, (4 * self.differences(band + 1)).bit_length())
+
     def differences(self, band: int) -> int:
         while len(self._low) <= band:
             self._low = np.append(self._low, self.high(self._low[-1]) + 1)
@@ -65,8 +105,13 @@ class Bands:
         return (t.denominator - t.numerator) * 2 * self.high(self._low[band]) // (t.denominator + t.numerator)
 
 
-def signatures(sets: list[np.ndarray], bands: Bands, n2: int = N2, k2: int = K2) -> list[np.ndarray]:
-    """The signatures of each set, for its band and the next."""
+def sketch(features: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of the features' counts by hash: sketches differ in at most as many bits as sets in features."""
+    return np.bincount((mix(features ^ _U(0x3C3C3C3CC3C3C3C3)) % _U(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+
+
+def signatures(sets: list[np.ndarray], bands: Bands, common: np.ndarray | None = None, n2: int = N2, k2: int = K2) -> list[np.ndarray]:
+    """The signatures of each set, for its band and the next. common: sorted features that come last in a prefix."""
     out: list[list[np.ndarray]] = [[] for _ in sets]
     sizes = np.array([len(s) for s in sets])
     band = bands.of(sizes)
@@ -75,7 +120,8 @@ def signatures(sets: list[np.ndarray], bands: Bands, n2: int = N2, k2: int = K2)
         used = np.flatnonzero(allowed > 0)  # without differences only equal sets link, and these are one class
         if not len(used):
             continue
-        parts = -(-(allowed[used] + 1) // (k2 + 1))
+        plans = [bands.parts(b, n2, k2) for b in (band[used] + step).tolist()]
+        parts = np.array([p.parts for p in plans])
         base = np.concatenate([[0], np.cumsum(parts)])
         features = np.concatenate([sets[i] for i in used])
         owner = np.repeat(np.arange(len(used)), sizes[used])
@@ -88,45 +134,218 @@ def signatures(sets: list[np.ndarray], bands: Bands, n2: int = N2, k2: int = K2)
         number = np.arange(base[-1]) - np.repeat(base[:-1], parts)
         place = (band[used] + step + 1).astype(_U)
         salt = mix(np.repeat(place, parts) * _U(0x1000003) + number.astype(_U) * _U(0x100000001B3))
-        found, gaps = [], np.zeros(len(used), bool)
+        found = []
         of_part = np.repeat(np.arange(len(used)), parts)
+        empty = np.zeros(base[-1], np.int64)  # the first empty subset of each part, from 1
+        gaps: dict[int, list[int]] = {}
         for k, subset in enumerate(itertools.combinations(range(n2), n2 - k2)):
             some = filled[:, subset].sum(1) > 0
             found.append((mix(sums[:, subset].sum(1, dtype=_U) + salt + _U(k + 1)), some))
-            gaps[of_part[~some]] = True
+            for at in np.flatnonzero(~some).tolist():
+                gaps.setdefault(int(of_part[at]), []).append(int(number[at]) * 64 + k)
+                empty[at] = k + 1
+        with_gap = np.bincount(of_part, empty > 0, len(used)).astype(int)
         for j, i in enumerate(used.tolist()):
             lo, hi = base[j], base[j + 1]
             out[i] += [x[lo:hi][some[lo:hi]] for x, some in found]
-            if gaps[j]:
-                n = int(sizes[i])
-                prefix = n - -(-n * bands.least.numerator // bands.least.denominator) + 1
-                out[i].append(mix(sets[i][:prefix] + mix(place[j : j + 1] ^ _U(0xFEDCBA9876543210))))
+            spare = plans[j].spare
+            if with_gap[j] <= spare:
+                continue
+            tag = mix(place[j : j + 1] ^ _U(0xFEDCBA9876543210))
+            if plans[j].combined:
+                shared = np.array(list(itertools.combinations(sorted(gaps[j]), spare + 1)), _U)
+                shared = shared[(np.diff(shared // _U(64), axis=1) > 0).all(1)] if spare else shared
+                out[i].append(mix(stretches(mix(shared.ravel() + tag), np.arange(0, shared.size, spare + 1), np.arange(spare + 1, shared.size + 1, spare + 1)) + tag))
+                continue
+            n = int(sizes[i])
+            prefix = n - -(-n * bands.least.numerator // bands.least.denominator) + 1
+            ordered = sets[i]
+            if common is not None and len(common):
+                late = common[np.minimum(np.searchsorted(common, ordered), len(common) - 1)] == ordered
+                ordered = np.concatenate([ordered[~late], ordered[late]])
+            out[i].append(mix(ordered[:prefix] + tag))
     return [np.concatenate(x) if x else np.zeros(0, _U) for x in out]
 
 
 def described(docs: DataFrame, n: int, least: Fraction) -> DataFrame:
-    """doc_id, n_shingles, set_key, node, sigs of each document. node: half of the key, as a long."""
+    """doc_id, n_shingles, set_key, node, sketch, band of each document. node: half of the key, as a long."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(least), set()
+        bands = Bands(least)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in chunks(texts, CHUNK):
                 sets = shingles(*words(texts[lo:hi]), n)
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                new = []
-                for k, s in zip(keys, sets, strict=True):  # a task gives a class's signatures once
-                    new.append(s if k is not None and k not in seen else s[:0])
-                    seen.add(k)
-                sigs = signatures(new, bands)
-                nodes = [None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sigs)]), pa.int32()), pa.array(np.concatenate(sigs).view(np.int64)))
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "n_shingles", "set_key", "node", "sigs"])
+                keys = [_key(s) for s in sets]
+                nodes = [None if k is None else _node(k) for k in keys]
+                size = np.array([len(s) for s in sets])
+                sketches = [np.packbits(sketch(s, bands.bits(b))).tobytes() for s, b in zip(sets, bands.of(size).tolist(), strict=True)]
+                band = pa.array(bands.of(size).astype(np.int32))
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), band], names=["doc_id", "n_shingles", "set_key", "node", "sketch", "band"])
+
+    return _texts(docs).mapInArrow(describe, "doc_id long, n_shingles long, set_key binary, node long, sketch binary, band int")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _key(features: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(features.tobytes(), digest_size=16).digest() if len(features) else None
+
+
+def _node(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+def common_features(docs: DataFrame, n: int) -> np.ndarray:
+    """Features that several documents of a sample have, sorted.
+
+    They only order the features of prefixes, where any order is exact: common ones last keeps candidates few.
+    """
+    rows = _texts(docs).filter("text IS NOT NULL")
+    share = min(1.0, 1.5 * SAMPLE_ROWS / max(rows.count(), 1))
+    hashed = rows.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).filter(F.col("h") <= min(int(-(2**63) + share * 2**64), 2**63 - 1))
+    texts = [r.text for r in hashed.orderBy("h").limit(SAMPLE_ROWS).collect()]
+    sets = [s for lo, hi in chunks(texts, CHUNK) for s in shingles(*words(texts[lo:hi]), n)]
+    if not sets:
+        return np.zeros(0, _U)
+    found, times = np.unique(np.concatenate(sets), return_counts=True)
+    return found[times > 1]
+
+
+def _stars(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct signatures with their smallest node, and edges from the other nodes to it."""
+    order = np.lexsort((nodes, sigs))
+    sigs, nodes = sigs[order], nodes[order]
+    first = np.ones(len(sigs), bool)
+    first[1:] = sigs[1:] != sigs[:-1]
+    hub = nodes[first][np.cumsum(first) - 1]
+    other = nodes != hub
+    edges = np.unique(np.stack([nodes[other], hub[other]], 1), axis=0)
+    return sigs[first], nodes[first], edges[:, 0], edges[:, 1]
+
+
+def star_edges(docs: DataFrame, n: int, least: Fraction, buckets: int) -> DataFrame:
+    """u, v: each node with the smallest node of each of its signatures, rows may repeat.
+
+    A chunk of documents sends a signature once, with its smallest node; the others' edges to that one go along as they
+    are, so a signature that very many share has one row a chunk.  Signatures are cut to a bucket and 40 bits: a chance
+    match makes two sets candidates, no more, and is as rare at any size since buckets keep theirs.
+    """
+
+    common = common_features(docs, n)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen = Bands(least), set()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for lo, hi in chunks(texts, CHUNK):
+                new, nodes = [], []
+                for s in shingles(*words(texts[lo:hi]), n):
+                    k = _key(s)
+                    if k is not None and k not in seen:  # a task gives a class's signatures once
+                        seen.add(k)
+                        new.append(s)
+                        nodes.append(_node(k))
+                if not new:
+                    continue
+                sigs = signatures(new, bands, common)
+                if not sum(map(len, sigs)):  # sets too small to have near ones
+                    continue
+                sigs, owner, u, v = _stars(np.concatenate(sigs), np.repeat(np.array(nodes), [len(x) for x in sigs]))
+                bucket = (sigs % _U(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                bucket, parts, owner = bucket[order], (sigs[order] >> _U(24)), owner[order]
+                marks = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                rows = []
+                for a, b in zip(marks, np.append(marks[1:], len(bucket)), strict=True):
+                    mine, index = np.unique(owner[a:b], return_inverse=True)
+                    # bytes of one weight stand together, which compresses
+                    rows.append((int(bucket[a]), parts[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes(), index.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), mine.astype("<i8").tobytes()))
+                if len(u):
+                    rows.append((int(bucket[0]), None, None, np.stack([u, v]).astype("<i8").tobytes()))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "sigs", "owners", "nodes"])
             if len(seen) > 1_000_000:
                 seen = set()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(describe, "doc_id long, n_shingles long, set_key binary, node long, sigs array<long>")
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], []]
+        current = None
+
+        def edges() -> Iterator[pa.RecordBatch]:
+            if held[0]:
+                _, _, u, v = _stars(np.concatenate(held[0]), np.concatenate(held[1]))
+                yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+            held[0].clear(), held[1].clear()
+
+        for batch in batches:
+            for bucket, sigs, owners, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                nodes = np.frombuffer(nodes, "<i8")
+                if sigs is None:
+                    u, v = nodes.reshape(2, -1)
+                    yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+                    continue
+                if bucket != current:
+                    yield from edges()
+                    current = bucket
+                m = len(sigs) // 5
+                whole = np.zeros((m, 8), np.uint8)
+                whole[:, :5] = np.frombuffer(sigs, np.uint8).reshape(5, m).T
+                index = np.ascontiguousarray(np.frombuffer(owners, np.uint8).reshape(4, m).T).view("<u4").ravel()
+                held[0].append(whole.view("<u8").ravel())
+                held[1].append(nodes[index])
+        yield from edges()
+
+    sent = _texts(docs).mapInArrow(emit, "bucket int, sigs binary, owners binary, nodes binary")
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(match, "u long, v long")
+
+
+def _roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest place that each of m places reaches by the pairs (i, j)."""
+    label = np.arange(m)
+    while True:
+        a, b = label[i], label[j]
+        low = np.minimum(a, b)
+        new = label.copy()
+        for root in (a, b):  # roots alone move, so what points to one stays with it
+            np.minimum.at(new, root, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+
+
+def near_sketches(sizes: np.ndarray, sketches: list[bytes], side: np.ndarray, bands: Bands, only: int | None = None) -> np.ndarray:
+    """Root of each set in a forest of the pairs that sizes and sketches allow to link. side: compare 0 with 1; all alike: all pairs.
+
+    only: pairs whose larger set is of this band.
+    """
+    band = bands.of(sizes)
+    t = bands.least
+    found: list[np.ndarray] = []
+    for top in np.unique(band).tolist() if only is None else [only]:
+        for other in (top, top - 1):
+            a, b = np.flatnonzero(band == top), np.flatnonzero(band == other)
+            if not len(a) or not len(b):
+                continue
+            bits = bands.bits(other)
+            x, y = (np.stack([np.bitwise_xor.reduce(np.unpackbits(np.frombuffer(sketches[i], np.uint8)).reshape(-1, bits), 0) for i in of]).astype(np.float32) * 2 - 1 for of in (a, b))
+            for lo in range(0, len(a), 1024):
+                part = a[lo : lo + 1024]
+                apart = (bits - x[lo : lo + 1024] @ y.T) / 2
+                both = sizes[part][:, None] + sizes[b][None, :]
+                allowed = (t.denominator - t.numerator) * both // (t.denominator + t.numerator)
+                good = (apart <= allowed) & (part[:, None] != b[None, :])
+                if side.any() and not side.all():
+                    good &= side[part][:, None] != side[b][None, :]
+                i, j = np.nonzero(good)
+                found.append(np.stack([part[i], b[j]], 1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    return _roots(len(sizes), pairs[:, 0], pairs[:, 1])
 
 
 def forest(first: list[np.ndarray], second: list[np.ndarray] | None, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -156,19 +375,49 @@ def forest(first: list[np.ndarray], second: list[np.ndarray] | None, least: Frac
         links = linked.sum(1)
     else:
         links = np.concatenate([linked.sum(1), linked.sum(0)])
-    root = np.arange(m)
+    i, j = np.nonzero(linked)
+    return _roots(m, i, j + (cut if second is not None else 0)), links
 
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
 
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        a, b = top(i), top(j + (cut if second is not None else 0))
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return np.array([top(i) for i in range(m)]), links
+def refined(families: DataFrame, least: Fraction) -> DataFrame:
+    """u, v: forest edges of the pairs in families (class_id, family, n_shingles, sketch, band) that sketches allow to link.
+
+    A large family is taken band by band with the next smaller one, and these in blocks; small families share groups.
+    """
+    counts = families.groupBy("family").agg(F.count("*").alias("size"))
+    groups = max(1, -(-families.count() // GROUP))
+    tops = F.when(F.col("size") > BLOCK, F.array("band", F.col("band") + 1)).otherwise(F.array(F.lit(-1)))
+    rows = families.join(counts, "family").withColumn("top", F.explode(tops)).drop("size", "band")
+    blocks = rows.filter("top >= 0").groupBy("family", "top").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, ["family", "top"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = _in_pairs(rows, groups, F.col("top") >= 0)
+
+    def compare(group: pa.Table) -> pa.Table:
+        bands, out = Bands(least), []
+        low, high, top = (group.column(c)[0].as_py() for c in ("low", "high", "top"))
+        of: dict[int, list[tuple]] = {}
+        for doc, family, size, data, own in zip(*(group.column(c).to_pylist() for c in ("class_id", "family", "n_shingles", "sketch", "own")), strict=True):
+            of.setdefault(family, []).append((doc, size, data, own))
+        for rows in of.values():
+            docs, sizes, data, own = zip(*sorted(rows, key=lambda r: r[0]), strict=True)
+            side = np.array(own) == high if low != high else np.zeros(len(docs), bool)
+            if low != high and (side.all() or not side.any()):
+                continue
+            root = near_sketches(np.array(sizes), list(data), side, bands, None if top < 0 else top)
+            out += [(docs[i], docs[r]) for i, r in enumerate(root.tolist()) if i != r]
+        columns = zip(*out, strict=True) if out else ([], [])
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["u", "v"])
+
+    return dealt.groupBy("many", "unit", "top", "low", "high").applyInArrow(compare, "u long, v long")
+
+
+def _in_pairs(rows: DataFrame, groups: int, many: Column | None = None) -> DataFrame:
+    """rows (class_id, family, blocks, …) once for each pair of blocks that they take part in."""
+    own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+    out = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = F.col("blocks") > 1 if many is None else many
+    unit = F.when(many, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(groups)))
+    return out.withColumns({"many": many, "unit": unit, "low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "blocks")
 
 
 def similar_documents(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -176,18 +425,17 @@ def similar_documents(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4,
 
     class_id: smallest id of the documents of the same set. n_links: other sets that link with it.
     """
-    told = stored(described(docs, n, least), "signatures")
+    told = stored(described(docs, n, least), "sets")
     members = told.select("doc_id", "n_shingles", "set_key")
-    classes = told.filter("set_key IS NOT NULL").groupBy("set_key", "node").agg(F.min("doc_id").alias("class_id"))
-    bucket = Window.partitionBy("sig").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    sigs = told.select("node", F.explode("sigs").alias("sig"))
-    stars = sigs.select("node", F.first("node").over(bucket).alias("hub")).filter("node <> hub")
-    families = components(stars.select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    families = stored(families.select("node", F.col("label").alias("family")), "families")
-    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    found = families.join(sizes, "family").select("node", "family", blocks.alias("blocks"))
-    found = stored(found.join(classes.filter("class_id IS NOT NULL"), "node").select("class_id", "family", "blocks", "set_key"), "candidates")
+    classes = told.filter("set_key IS NOT NULL").groupBy("set_key", "node", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.first("sketch").alias("sketch"), F.first("band").alias("band"))
+    features = told.agg(F.sum("n_shingles")).first()[0] or 0
+    families = components(star_edges(docs, n, least, -(-features // FEATURES_A_BUCKET) or 1))
+    families = families.select("node", F.col("label").alias("family")).join(classes.filter("class_id IS NOT NULL"), "node")
+    families = stored(families.select("class_id", "family", "n_shingles", "sketch", "band", "set_key"), "families")
+    near = components(refined(families.drop("set_key"), least)).select(F.col("node").alias("class_id"), F.col("label").alias("family"))
+    found = families.drop("family").join(near, "class_id")
+    sizes = found.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_FEATURES)).cast("int").alias("blocks"))
+    found = stored(found.join(sizes, "family").select("class_id", "family", "blocks", "set_key"), "candidates")
     count = found.count()
     wanted = F.broadcast(found) if count <= BROADCAST_ROWS else found
     texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), F.col("text").cast("string").alias("text")).join(wanted, "class_id")
@@ -201,19 +449,12 @@ def similar_documents(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4,
             for lo, hi in chunks(texts, CHUNK):
                 sets = [s.tobytes() for s in shingles(*words(texts[lo:hi]), n)]
                 # an id may have rows of other texts: only the class's own set counts
-                keep = [i for i, s in enumerate(sets) if hashlib.blake2b(s, digest_size=16).digest() == keys[lo + i]]
+                keep = [i for i, s in enumerate(sets) if s and hashlib.blake2b(s, digest_size=16).digest() == keys[lo + i]]
                 part = own.slice(lo, hi - lo).take(pa.array(keep, pa.int64()))
                 yield pa.record_batch([*part.columns, pa.array([sets[i] for i in keep], pa.binary())], names=["class_id", "family", "blocks", "features"])
 
     sets = texts.select("class_id", "family", "blocks", "text", "set_key").mapInArrow(sets_of, "class_id long, family long, blocks int, features binary")
-    own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    many = F.col("blocks") > 1
-    dealt = sets.withColumn("own", own).withColumn("other", other).select(
-        "class_id", "family", "features", "own", many.alias("many"),
-        F.when(many, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(groups))).alias("unit"),
-        F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-    )
+    dealt = _in_pairs(sets, groups)
 
     def compare(group: pa.Table) -> pa.Table:
         rows: dict[int, dict[int, np.ndarray]] = {}
