@@ -17,6 +17,33 @@ def test_blocks():
     assert got[-1].path[-1] == "div.ad.box"
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<article><p>One.</p><svg class='i'/><p>Two.</p></article>", ["One.", "Two."]),
+        ("<p>One <video-js>in</video-js> two <title-card>x</title-card><object-view>y</object-view><p>z", ["One in two xy", "z"]),
+        ("<article><video src='x'><p>Two.</p></article><p>Three", ["Two.", "Three"]),
+        ("<object><p>One<canvas><p>Two<audio>Three", ["One", "TwoThree"]),
+        ("<p>One <video><source src='x'></video>two", ["One two"]),
+        ("<p>One<svg><title/><svg>no</svg>no<p>Two", ["One", "Two"]),
+        ("<p>One<svg><title>no</title><g>no</g></svg> two<math><mi>x</mi></math>", ["One two"]),
+        ("<template><p>no<template>no</template>no</template>One<style>no</styles>", ["One"]),
+    ],
+)
+def test_hidden_elements_end(page, texts):
+    assert [b.text for b in blocks(page)] == texts
+
+
+def test_text_after_open_media_is_main():
+    said = "The river rose again on Monday. People walked home along the old road and waited."
+    model = html_extract.default_model()
+    for tag in ("video", "audio", "object", "canvas"):
+        instead = f"<article><h1>Rain</h1><p>{said}</p><{tag} src='x'>Your browser shows no media.</{tag}><p>{said}</p></article>"
+        assert html_extract.main_text(instead, model).split("\n") == ["Rain", said, said]
+        page = f"<body><nav><a href='/'>Menu</a></nav><article><h1>Rain</h1><p>{said}</p><{tag} src='x'><p>{said}</p><p>{said}</p></article><footer>Copyright us</footer>"
+        assert html_extract.main_text(page, model).split("\n") == ["Rain", said, said, said]
+
+
 @pytest.mark.parametrize("page", ["", " ", "<", "<p", "a < b", "<p>x</", "<!-- x", "<script>x", "<p class='x>y", "&amp", "<a><p>x</a></p>" * 50, "<" * 5000, "<p class='" * 3000])
 def test_broken_pages_are_read(page):
     for b in blocks(page):

@@ -6,26 +6,37 @@ import html as _html
 import re
 from typing import NamedTuple
 
-#: Elements whose content is no text of the page.
-_HIDDEN = "script|style|noscript|template|iframe|svg|math|object|title|canvas|audio|video"
+#: Elements whose content is raw text and no text of the page, up to their end tag or the end of the page.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in ("script", "style", "title", "iframe", "noscript")}
+#: Elements of which nothing is text of the page; svg and math end on "/>" too, and as browsers end them.
+_HIDDEN = frozenset(("svg", "math", "template"))
+#: Elements within svg and math that hold ordinary elements.
+_POINTS = frozenset("template foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: Tags that end svg and math.
+_BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Elements whose text is shown only in their stead; without any they leave no mark, nor do those that are not closed.
+_MEDIA = {t: re.compile(rf"(?:\s++|<(?:source|track|param|embed|img)(?=[\s/>])[^>]*+>)*+</{t}\s*>", re.I) for t in ("object", "video", "audio", "canvas")}
+_NEXT = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in _MEDIA}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<hidden>{_HIDDEN})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=hidden)\s*+>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[a-zA-Z/!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile("[a-z]+")
 _BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split()
+    "address article aside audio blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav object ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul video".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag that ends an open element of these, up to the boundary.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
-_BOUNDARY = frozenset("ul ol dl table select menu article section div body html".split())
+_BOUNDARY = frozenset("ul ol dl table select menu article section div object body html".split())
 _STAYS = frozenset("html body".split())
-_NO_PARAGRAPH = frozenset("button label legend option optgroup caption td th tr thead tbody tfoot li dt dd summary select textarea body html".split())
+_NO_PARAGRAPH = frozenset("button label legend option optgroup caption td th tr thead tbody tfoot li dt dd summary select textarea object video audio canvas body html".split())
 
 
 class Block(NamedTuple):
@@ -41,6 +52,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[str] = []
     tags: list[str] = []
+    hidden: list[str] = []
     held: list[str] = []
     at = linked = anchors = 0
     body = page
@@ -69,14 +81,27 @@ def blocks(page: str) -> list[Block]:
         anchors -= tags[k:].count("a")
         del stack[k:], tags[k:]
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
+    found = _TOKEN.finditer(page)
+    while m := next(found, None):
+        if m.start() > at and not hidden:
             text(at, m.start())
         at = m.end()
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
+        foreign = bool(hidden) and hidden[-1] not in _POINTS
+        if not m["end"] and not foreign and (tag in _RAW or tag in _MEDIA):
+            skipped = _RAW[tag].search(page, at) if tag in _RAW else _MEDIA[tag].match(page, at)
+            if skipped or tag in _RAW:
+                at = skipped.end() if skipped else len(page)
+                found = _TOKEN.finditer(page, at)
+                continue
+            if not ((following := _NEXT[tag].search(page, at)) and following[1]):
+                continue
+        if hidden or (tag in _HIDDEN and not m["end"]):
+            if not _leaves(hidden, tag, bool(m["end"]), m["attributes"], tags):
+                continue
         if tag == "br":
             held.append(" ")
         elif m["end"]:
@@ -114,12 +139,32 @@ def blocks(page: str) -> list[Block]:
             stack.append("a")
             tags.append("a")
         # other inline elements neither part nor mark a block
-    if at < len(page):
+    if at < len(page) and not hidden:
         text(at, len(page))
     flush()
     return out
 
 
+def _leaves(hidden: list[str], tag: str, end: bool, attributes: str, tags: list[str]) -> bool:
+    """Keeps account of the open elements within hidden ones; whether the tag ends all of these and counts itself."""
+    foreign = bool(hidden) and hidden[-1] not in _POINTS
+    if end:
+        if tag in hidden:
+            del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+        elif (tag in tags or tag in _BREAKOUT) and _POINTS.isdisjoint(hidden):
+            hidden.clear()
+            return True
+    elif foreign and tag in _BREAKOUT:
+        while hidden and hidden[-1] not in _POINTS:
+            hidden.pop()
+        return not hidden
+    elif foreign or tag in _HIDDEN:
+        closed = attributes.endswith("/") and not _UNQUOTED.search(attributes)
+        if tag == "template" and not foreign or not closed:
+            hidden.append(tag)
+    return False
+
+
 def _parts(attributes: str) -> str:
     if not attributes or "=" not in attributes:
         return ""

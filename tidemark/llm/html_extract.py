@@ -154,6 +154,7 @@ class _Maker:
 
     def __init__(self, seed: int) -> None:
         self.r = random.Random(seed)
+        self.m = random.Random(seed + 1_000_000)  # of media, so that they leave the other draws as they are
         self.vocabulary = ["".join(self.r.choices("aeioubcdfglmnprstvéüñ", k=self.r.randint(2, 10))) for _ in range(800)]
 
     def words(self, lo: int, hi: int) -> str:
@@ -247,6 +248,12 @@ class _Maker:
             parts.append((self.other("comments"), False))
         return parts
 
+    def media(self) -> tuple[str, bool]:
+        """A player or an object with text in its stead."""
+        tag = self.m.choice(("video", "audio", "object", "canvas"))
+        said = " ".join(self.m.choices(self.vocabulary, k=self.m.randint(2, 12))).capitalize() + "."
+        return self.m.choice((f"<{tag}>{said}</{tag}>", f"<{tag} width='4'><p>{said}</p></{tag}>")), False
+
     def page(self) -> tuple[list[Block], list[bool]]:
         parts: list[tuple[str, bool]] = [("<html><body>", False)]
         parts += [(self.other(k), False) for k in ("notice", "header", "nav", "crumbs", "ad", "aside", "form") if self.r.random() < 0.45]
@@ -264,7 +271,10 @@ class _Maker:
         )
         if self.r.random() < 0.1:
             start, end = f'<div class="{self.pick("wrap", "page", "container", "layout")}">{start}', f"{end}</div>"
-        parts += [(start, False), *self.main(), (end, False)]
+        main = self.main()
+        if self.m.random() < 0.15:
+            main.insert(self.m.randrange(len(main) + 1), self.media())
+        parts += [(start, False), *main, (end, False)]
         parts += [(self.other(k), False) for k in ("share", "related", "comments", "form", "aside", "ad", "pages") if self.r.random() < 0.35]
         parts += [(self.other("footer"), False)] * (self.r.random() < 0.85)
         # a mark in each text tells where a block of the whole page comes from
