@@ -32,6 +32,25 @@ def test_exact_and_new_parameters(spark):
     assert {d for d, *_ in got} <= {0, 1, 2, 4}
 
 
+def test_names_that_open_sentences(spark):
+    item = "Anna has 12 red apples. Tom has 7 green apples. Eve eats 3 of them. How many apples are left?"
+    renamed = item.replace("Anna", "Maria").replace("Tom", "Bill").replace("Eve", "Ken")
+    renumbered = renamed.replace("12", "40").replace("7", "9").replace("3", "5")
+    longer = renamed.replace("Maria", "Maria Lopez")
+    quoted = f"He was asked this by Joe: {renumbered} Nobody knew."
+    others = "Maria sold 12 old books. Bill sold 7 new books. Ken kept 3 of them. Which books are gone?"
+    rows = docs(spark, renamed, renumbered, longer, quoted, others)
+    assert found(contaminated(rows, bench(spark, item))) == [(i, 0, "template") for i in range(4)]
+
+
+def test_names_that_open_sentences_must_agree(spark):
+    item = "Anna has 12 red apples. Anna buys 7 green apples. Anna eats 3 of them. Anna sells 2 of the green ones. Anna counts what is left."
+    mixed = item
+    for name in ("Tom", "Eve", "Ken", "Bill", "Maria"):
+        mixed = mixed.replace("Anna", name, 1)
+    assert found(contaminated(docs(spark, mixed, item.replace("Anna", "Tom")), bench(spark, item))) == [(1, 0, "template")]
+
+
 def test_slots_must_agree(spark):
     item = "first take 5 apples then add 5 apples then share 5 apples then eat 5 apples then sell 5 apples then buy 5 apples then lose 5 apples"
     values = iter(range(10, 99))

@@ -1,8 +1,9 @@
 """Benchmark decontamination by templates.
 
 A text becomes tokens (runs of letters, runs of digits; case aside).  In its template, runs of numbers become <num>, a
-unit after a number <unit>, and, at the last level, runs of capitalised words within a sentence <name>; all other
-tokens stay, and at the first level all of them do.  Windows of ``WINDOW`` template tokens of the benchmark form a hash table; the documents' windows probe it.
+unit after a number <unit>, and, at the third level, runs of capitalised words within a sentence <name>; at the last
+level a capitalised word that opens a sentence is part of a <name> as well.  All other tokens stay, and at the first level
+all of them do.  Windows of ``WINDOW`` template tokens of the benchmark form a hash table; the documents' windows probe it.
 Hits of a document and an item are lined up by the distance of their positions.  In each line slots are
 checked: each value of the item must stand for one value of the document throughout, or the window does not count; lines
 join the largest one if their slots agree.  A document is contaminated by an item if the windows that count cover ``COVERAGE`` of the item's tokens.
@@ -30,7 +31,7 @@ from tidemark.llm._common import chunks
 from tidemark.llm.word_hash import _OF_BYTE, mix, stretches
 
 WINDOW, LEAST, COVERAGE, BLOCK_WINDOWS = 8, 4, 0.5, 100_000
-#: Windows with fewer plain tokens than this share of their length say too little at the level with names.
+#: Windows with fewer plain tokens than this share of their length say too little at the levels with slots.
 PLAIN = 0.5
 UNITS = (
     "mm cm m km in inch inches ft feet foot yd yard yards mi mile miles mg g kg lb lbs oz ton tons tonne tonnes ml l liter liters litre litres gallon gallons "
@@ -46,6 +47,7 @@ _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 2
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?\n\r")] = True
 WORD, NUM, UNIT, NAME = range(4)
+LEVELS = 4
 _SLOT = mix(np.arange(11, 15, dtype=_U))
 
 
@@ -58,7 +60,7 @@ def _lower(text: str) -> str:
 
 
 class Tokens:
-    """Tokens of many texts: text number, place in the bytes, kind and hash, at both levels."""
+    """Tokens of many texts: text number, place in the bytes, kind and hash, at all levels."""
 
     def __init__(self, texts: Sequence[str]) -> None:
         texts = [_SIGNS.sub(" ", t) for t in texts]
@@ -90,20 +92,22 @@ class Tokens:
         stops = np.concatenate([[0], np.cumsum(_STOP[lower])])
         opens = np.ones(len(first), bool)
         opens[1:] = (stops[first[1:]] > stops[last[:-1]]) | (text[1:] != text[:-1])
-        self.name = capital & ~opens & (self.kind == WORD)
+        self.opens = opens
+        self.capital = capital & (self.kind == WORD)
         self.text, self.first, self.last, self.word = text, first, last, word
 
     def level(self, level: int) -> tuple[np.ndarray, ...]:
-        """text, first, last, kind and template hash of the tokens. Level 0 keeps all, 1 numbers none, 2 names none as well."""
-        names = level == 2
+        """text, first, last, kind and template hash of the tokens. Level 0 keeps all, 1 numbers none, 2 names within sentences none as well, 3 no names."""
         if not level:
             return self.text, self.first, self.last, np.full(len(self.kind), WORD, np.int8), self.word
-        kind = np.where(self.name, NAME, self.kind).astype(np.int8) if names else self.kind
+        name = self.capital if level == 3 else self.capital & ~self.opens if level == 2 else np.zeros(len(self.kind), bool)
+        kind = np.where(name, NAME, self.kind).astype(np.int8)
         hashes = np.where(kind == WORD, self.word, _SLOT[kind])
-        if not names or not self.name.any():
+        if not name.any():
             return self.text, self.first, self.last, kind, hashes
+        # a run of names is one slot, up to the sentence's end
         again = np.zeros(len(kind), bool)
-        again[1:] = self.name[1:] & self.name[:-1] & (self.text[1:] == self.text[:-1])
+        again[1:] = name[1:] & name[:-1] & ~self.opens[1:]
         own = np.flatnonzero(~again)
         last = self.last[np.append(own[1:], len(kind)) - 1]
         return self.text[own], self.first[own], last, kind[own], hashes[own]
@@ -138,7 +142,7 @@ class Templates:
         self.ids = [i for i, _ in items]
         tokens = Tokens([t for _, t in items])
         self.levels = []
-        for level in range(3):
+        for level in range(LEVELS):
             text, first, last, kind, hashes = tokens.level(level)
             counts = np.bincount(text, minlength=len(items)) if len(items) else np.zeros(0, int)
             base = np.concatenate([[0], np.cumsum(counts)])
