@@ -22,6 +22,27 @@ def test_held_out_accuracy_and_unknown_text(spark):
     assert [r.kept for r in language_id.identify(language_id.document_evidence(odd), model).orderBy("key").collect()] == [False] * 4
 
 
+def test_every_label_is_a_language(spark):
+    rng = random.Random(3)
+    rows = [(i, text(rng, "aa", 40), "aa", "x") for i in range(600)]
+    rows += [(1000 + 10 * k + i, text(rng, "bb", 40), f"l{k}", "x") for k in range(9) for i in range(1 + k % 2)]
+    rows += [(7, "the very same words", "copies", "x")] * 50 + [(None, "nameless words", "nameless", "x")] * 50
+    rows += [(2000, "12 34", "digits", "x"), (2001, None, "none", "x"), (2002, "56 " * 3000 + "words", "late", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    model = language_id.fit(docs, sample_rows=20)
+    assert model.languages == ["aa", "copies", *sorted(f"l{k}" for k in range(9)), "late", "nameless", "und"]
+    assert (model.weights.max(1) > 0).all() and (model.weights == language_id.fit(docs.repartition(3), sample_rows=20).weights).all()
+
+
+def test_a_rare_language_is_told(spark):
+    rng = random.Random(4)
+    rows = [(i, text(rng, "aa", 40), "aa", "x") for i in range(600)] + [(1000 + i, text(rng, "bb", 40), "bb", "x") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language_id.fit(docs, sample_rows=20)
+    got = language_id.identify(language_id.document_evidence(docs), model).filter("key >= 1000").collect()
+    assert [(r.lang, r.kept) for r in got] == [("bb", True)] * 3
+
+
 def test_evidence_settles_what_text_leaves_open(spark):
     rng = random.Random(1)
     docs = spark.createDataFrame([(i, text(rng, "aa" if i % 2 else "bb", 40), "aa" if i % 2 else "bb", "x") for i in range(200)], "doc_id long, text string, lang string, source string")

@@ -10,8 +10,9 @@ Counts come from grouped aggregation of each row's likeliest language by its tex
 known languages and has equal chances for all trigrams.  A row is kept if its best language is a known one with a posterior of
 ``LEAST`` or more and its text has letters.
 
-Trigram chances are fitted on a sample of ``SAMPLE_ROWS`` labelled rows (the first ``SAMPLE_CHARS`` characters of each),
-chosen by a hash of the id that is drawn from all of them; everything else covers all rows and whole texts.
+The known languages are all labels of rows whose text has letters, by a grouped count over all rows.  Their trigram chances
+are fitted on a sample of about ``SAMPLE_ROWS`` rows a label, or all if it has fewer (``SAMPLE_CHARS`` characters of each,
+from the first letter on), chosen by a hash of id and text; copies count once.  Everything else covers all rows and whole texts.
 
 Defined cases: null text, source, address or declaration is missing evidence; a row without letters is not kept and has the
 language that the other evidence tells; ties go to the language that sorts first; repeated rows are each answered; an
@@ -36,6 +37,8 @@ TEMPER, LEAN, LEAST, FLOOR, UNKNOWN = 0.25, 20.0, 0.5, 0.5, 1e-3
 UND = "und"
 CHUNK = 1_000_000
 _BITS = 16
+#: A letter, as trigrams have them.
+_ANY = r"[A-Za-z\x{80}-\x{10FFFF}]"
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
 
@@ -63,21 +66,35 @@ class TextModel(NamedTuple):
     weights: np.ndarray
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """label, trigram, n of rows (label, h, text)."""
+    for batch in batches:
+        labels, texts = np.array(batch.column("label").to_pylist(), object), batch.column("text").to_pylist()
+        for name in sorted(set(labels)):
+            n = np.bincount(trigrams([texts[i] for i in np.flatnonzero(labels == name)])[0], minlength=1 << _BITS)
+            seen = np.flatnonzero(n)
+            yield pa.record_batch([pa.array([name] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64())], names=["label", "trigram", "n"])
+
+
 def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> TextModel:
-    labelled = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.col(label) != UND))
-    # rows whose hash is small enough for half as many again as are wanted: no task sends more than its share of these
-    share = min(1.0, 1.5 * sample_rows / max(labelled.count(), 1))
-    hashed = labelled.withColumn("h", F.xxhash64(key)).filter(F.col("h") <= F.lit(min(int(-(2**63) + share * 2**64), 2**63 - 1)))
-    sample = hashed.select("h", F.col(label).alias("label"), F.substring(text, 1, sample_chars).alias("text")).orderBy("h", "label").limit(sample_rows).collect()
-    languages = sorted({r.label for r in sample})
+    labelled = rows.filter(F.col(label).isNotNull() & (F.col(label) != UND) & F.col(text).rlike(_ANY)).select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
+    inventory = labelled.groupBy("label").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.min("h").alias("least")).collect()
+    languages = sorted(r.label for r in inventory)
     counts = np.full((len(languages), 1 << _BITS), FLOOR)
-    for k, name in enumerate(languages):
-        found, _, _ = trigrams([r.text for r in sample if r.label == name])
-        counts[k] += np.bincount(found, minlength=1 << _BITS)
+    if languages:
+        # rows whose hash is small enough for as many as are wanted, and the first by hash in any case
+        bounds = [(r.label, max(r.least, min(int(-(2**63) + min(1.0, sample_rows / max(r.n, 1)) * 2**64), 2**63 - 1))) for r in inventory]
+        drawn = labelled.join(F.broadcast(rows.sparkSession.createDataFrame(bounds, "label string, most long")), "label").filter(F.col("h") <= F.col("most"))
+        sample = drawn.select("label", "h", F.regexp_extract("text", f"(?s){_ANY}.{{0,{sample_chars - 1}}}", 0).alias("text")).dropDuplicates(["label", "h"])
+        sums = sample.mapInArrow(_counted, "label string, trigram int, n long").groupBy("label", "trigram").agg(F.sum("n").alias("n")).toArrow()
+        at = {name: k for k, name in enumerate(languages)}
+        np.add.at(counts, (np.array([at[x] for x in sums["label"].to_pylist()], int), sums["trigram"].to_numpy()), sums["n"].to_numpy())
     counts[:, 0] = FLOOR
-    weights = np.log(counts / counts.sum(1, keepdims=True)) + _BITS * math.log(2) if languages else counts
+    weights = np.zeros(counts.shape, np.float32)
+    for k, of in enumerate(counts):
+        weights[k] = np.log(of / of.sum()) + _BITS * math.log(2)
     weights[:, 0] = 0
-    return TextModel([*languages, UND], weights.astype(np.float32))
+    return TextModel([*languages, UND], weights)
 
 
 def likelihoods(rows: DataFrame, model: TextModel) -> DataFrame:
