@@ -35,6 +35,16 @@ def test_equals_brute_force(spark, monkeypatch):
     assert run(spark, rows) == brute(rows, 5)
 
 
+def test_repeated_rows_of_a_hot_vector(spark):
+    hot, low = [1.0, 2.0], [0.5, 0.25]
+    twice = [(i, hot) for i in range(50, 61)] * 2 + [(i, low) for i in range(1, 9)]
+    assert run(spark, twice) == brute(twice, 5)
+    often = [(50, hot)] * 6 + [(i, hot) for i in range(51, 61)] + [(100, low)] * 9 + [(i, low) for i in range(1, 9)]
+    assert run(spark, often) == brute(often, 5)
+    one = [(50, hot), (100, hot)] + [(7, hot)] * 9 + [(8, hot)]
+    assert run(spark, one) == brute(one, 5)
+
+
 def test_few_and_no_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, [1.0])]) == []

@@ -5,8 +5,9 @@ own scores each query group gets a bound t that its k-th best score reaches for
 ``<p, x> + r |x|`` with any query of the group with pivot p and radius r, so x is copied only to groups whose t this
 reaches.  Groups are solved in slices of bounded size, and the slices' best rows are merged.
 
-Equal vectors score alike, so of each only the k+1 smallest ids are candidates: the result is the same, and a vector that
-a third of the rows share costs k+1 rows.  Bounds are taken with a margin above the rounding of doubles; scores are exact.
+Equal vectors score alike, so of each only the k+1 smallest distinct ids are candidates, with at most k rows of each: a
+query passes over one id, its own.  The result is the same, and a vector that a third of the rows share costs k(k+1) rows
+at most.  Bounds are taken with a margin above the rounding of doubles; scores are exact.
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take no part; shorter vectors count as zero
 beyond their end; ties go to the smaller id; rows with the query's id are never its candidates; repeated rows count each
@@ -81,7 +82,8 @@ def nearest_join(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     spark = rows.sparkSession
     vectors = integer_vectors(rows)
     of = Window.partitionBy("v").orderBy("vec_id")
-    data = stored(vectors.withColumn("_n", F.row_number().over(of)).filter(F.col("_n") <= k + 1).drop("_n"), "vectors")
+    ids = vectors.groupBy("v", "vec_id").agg(F.count("*").alias("_rows")).withColumn("_n", F.row_number().over(of)).filter(F.col("_n") <= k + 1)
+    data = stored(ids.select("vec_id", "v", F.explode(F.array_repeat(F.lit(0), F.least("_rows", F.lit(k)).cast("int"))).alias("_")).drop("_"), "vectors")
     queries = vectors.filter(is_query).dropDuplicates(["vec_id", "v"])
     width = data.agg(F.max(F.size("v"))).first()[0] or 0
     # a sample of bounded size; any pivots give exact results
