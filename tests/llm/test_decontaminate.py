@@ -51,6 +51,15 @@ def test_names_that_open_sentences_must_agree(spark):
     assert found(contaminated(docs(spark, mixed, item.replace("Anna", "Tom")), bench(spark, item))) == [(1, 0, "template")]
 
 
+def test_long_passages_of_long_items(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(200)]
+    parts = [" ".join(words[20 : 20 + n]) for n in (95, 30, 29)]
+    torn = " ".join(" ".join(words[20 * k : 20 * k + 10]) + " zzz" for k in range(8))
+    got = contaminated(docs(spark, *parts, torn), bench(spark, " ".join(words))).collect()
+    assert sorted((r.doc_id, r.kind, r.coverage) for r in got) == [(0, "exact", 95 / 200), (1, "exact", 30 / 200)]
+
+
 def test_slots_must_agree(spark):
     item = "first take 5 apples then add 5 apples then share 5 apples then eat 5 apples then sell 5 apples then buy 5 apples then lose 5 apples"
     values = iter(range(10, 99))

@@ -6,7 +6,7 @@ level a capitalised word that opens a sentence is part of a <name> as well.  All
 all of them do.  Windows of ``WINDOW`` template tokens of the benchmark form a hash table; the documents' windows probe it.
 Hits of a document and an item are lined up by the distance of their positions.  In each line slots are
 checked: each value of the item must stand for one value of the document throughout, or the window does not count; lines
-join the largest one if their slots agree.  A document is contaminated by an item if the windows that count cover ``COVERAGE`` of the item's tokens.
+join the largest one if their slots agree.  A document is contaminated by an item if the windows that count cover ``COVERAGE`` of the item's tokens, or ``RUN`` of them in a row, however long the item.
 
 The benchmark is taken in blocks of ``BLOCK_WINDOWS`` windows, each against all documents, so what a task holds has a
 bound and no item is left out.  Documents are never shuffled.
@@ -31,6 +31,8 @@ from tidemark.llm._common import chunks
 from tidemark.llm.word_hash import _OF_BYTE, mix, stretches
 
 WINDOW, LEAST, COVERAGE, BLOCK_WINDOWS = 8, 4, 0.5, 100_000
+#: Tokens of an item in a row that suffice whatever their share.
+RUN = 30
 #: Windows with fewer plain tokens than this share of their length say too little at the levels with slots.
 PLAIN = 0.5
 UNITS = (
@@ -175,8 +177,8 @@ class Templates:
                     for item, q in table[h]:
                         lines[t, item][p - q].append((q, s, size))
             for (t, item), of in lines.items():
-                share, exact = _coverage(of, counts[item], slots[item], kind, first, last, tokens.low)
-                if share >= COVERAGE and share > best.get((t, item), (0.0, ""))[0]:
+                share, run, exact = _coverage(of, counts[item], slots[item], kind, first, last, tokens.low)
+                if (share >= COVERAGE or run >= RUN) and share > best.get((t, item), (0.0, ""))[0]:
                     best[t, item] = share, "exact" if exact else "template"
         for (t, item), (share, what) in sorted(best.items()):
             yield t, self.ids[item], what, share
@@ -193,8 +195,8 @@ def _filter(places: dict[int, list]) -> tuple[np.ndarray, np.ndarray]:
     return bits, keys
 
 
-def _coverage(of: dict[int, list], n: int, slots: list, kind: np.ndarray, first: np.ndarray, last: np.ndarray, low: bytes) -> tuple[float, bool]:
-    """Share of the item's tokens in windows whose slots agree, and whether all slots have the item's values."""
+def _coverage(of: dict[int, list], n: int, slots: list, kind: np.ndarray, first: np.ndarray, last: np.ndarray, low: bytes) -> tuple[float, int, bool]:
+    """Share of the item's tokens in windows whose slots agree, the most of these in a row, and whether all slots have the item's values."""
     lines = []
     for windows in of.values():
         stands: dict[tuple[int, bytes], bytes] = {}
@@ -219,7 +221,11 @@ def _coverage(of: dict[int, list], n: int, slots: list, kind: np.ndarray, first:
         if all(agreed.get(a, b) == b for a, b in stands.items()):
             whole |= covered
             agreed |= stands
-    return len(whole) / n, all(a[1] == b for a, b in agreed.items())
+    most = run = 0
+    for q in sorted(whole):
+        run = run + 1 if q - 1 in whole else 1
+        most = max(most, run)
+    return len(whole) / n, most, all(a[1] == b for a, b in agreed.items())
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Templates]:
