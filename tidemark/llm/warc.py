@@ -84,7 +84,7 @@ class _Archive:
         made = dictionary(self._waiting)
         data = made.as_bytes()
         self._compress = zstandard.ZstdCompressor(level=3, dict_data=made).compress
-        self._out = self._files.open_output_stream(self.path)
+        self._out = self._files.open_output_stream(self.path, compression=None)  # the name would have the file compressed again
         info = b"software: tidemark\r\nformat: WARC File Format 1.1\r\n"
         first = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info + b"\r\n\r\n"
         self._write(SKIPPABLE_MAGIC.to_bytes(4, "little") + len(data).to_bytes(4, "little") + data)
@@ -179,7 +179,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path, count in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 out = []
-                with files.open_input_stream(path) as stream:
+                with files.open_input_stream(path, compression=None) as stream:
                     for headers, block in _records(stream):
                         kind = headers["WARC-Type"]
                         if kind == "warcinfo":
