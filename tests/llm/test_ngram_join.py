@@ -86,3 +86,11 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == dict.fromkeys(range(41), 0) | dict.fromkeys((100, 101, 102), 100)
     assert components(spark.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))).count() == 0
+
+
+def test_words_that_polynomials_confuse(spark):
+    one = "".join("ab"[k.bit_count() & 1] for k in range(4096))
+    words = [w for size in (16, 2048, 4096) for w in (one[:size], one[:size].translate(str.maketrans("ab", "ba")))]
+    rows = [(k, f"{w} and then some more words follow here", "x", 1) for k, w in enumerate(words)] + [(100 + k, w, "x", 1) for k, w in enumerate(words)]
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, SCHEMA), 3, Fraction(9, 10)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, Fraction(9, 10))

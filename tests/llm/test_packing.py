@@ -77,3 +77,20 @@ def test_ids_that_repeat_or_lack(spark):
     got = pack_documents(df, PATH).collect()
     assert sorted(r.doc_tokens for r in got) == [2, 2, 3] and len({(r.sequence_id, r.offset) for r in got}) == 3
     assert pack_documents(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+def opposite_words():
+    """Two words of one length each, alike under any polynomial modulo a power of two."""
+    for size in (16, 2048, 4096):
+        one = "".join("ab"[k.bit_count() & 1] for k in range(size))
+        yield one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark):
+    t = Tokenizer.from_file(PATH)
+    rows = [(2 * k + j, w, "x") for k, pair in enumerate(opposite_words()) for j, w in enumerate(pair)]
+    found = packing.cut(spark.createDataFrame(rows, "doc_id long, text string, start string").coalesce(1), PATH).collect()
+    for i, w, _ in rows:
+        ids = [*t.encode(w, add_special_tokens=False).ids, 2]
+        own = sorted((p for p in found if p.doc_id == i), key=lambda p: p.start)
+        assert [(p.length, p.ids_crc32, p.doc_tokens) for p in own] == [(len(x), zlib.crc32(struct.pack(f"<{len(x)}I", *x)), len(ids)) for x in (ids[k : k + 4096] for k in range(0, len(ids), 4096))]

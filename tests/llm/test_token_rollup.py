@@ -52,3 +52,11 @@ def test_a_batch_that_broke_off_is_written_again(spark):
     assert totals(rollup) == {}
     rollup.commit("b1", inserts(counted(df, PATH, "v1")))
     assert totals(rollup) == {("s", "en", "v1"): (1, 2)}
+
+
+def test_words_that_polynomials_confuse(spark):
+    t = Tokenizer.from_file(PATH)
+    one = "".join("ab"[k.bit_count() & 1] for k in range(4096))
+    words = [w for size in (16, 2048, 4096) for w in (one[:size], one[:size].translate(str.maketrans("ab", "ba")))]
+    df = spark.createDataFrame([(k, w, "en", "s", "x") for k, w in enumerate(words)], SCHEMA).coalesce(1)
+    assert {r.doc_id: r.tokens for r in counted(df, PATH, "v").collect()} == {k: len(t.encode(w, add_special_tokens=False).ids) for k, w in enumerate(words)}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import chunks
-from tidemark.llm.word_hash import _OF_BYTE, mix, stretches
+from tidemark.llm.word_hash import mix, of_stretches, padded, windows
 
 WINDOW, LEAST, COVERAGE, BLOCK_WINDOWS = 8, 4, 0.5, 100_000
 #: Tokens of an item in a row that suffice whatever their share.
@@ -84,7 +84,7 @@ class Tokens:
         own = np.flatnonzero(~again)
         last = last[np.append(own[1:], len(first)) - 1] if len(own) else last[:0]
         first, text, number = first[own], text[own], number[own]
-        word = stretches(_OF_BYTE[lower], first, last)
+        word = of_stretches(padded(self.low), first, last)
         self.kind = np.where(number, NUM, WORD).astype(np.int8)
         after = np.zeros(len(first), bool)
         after[1:] = number[:-1] & (text[1:] == text[:-1]) & ~number[1:]
@@ -117,9 +117,9 @@ class Tokens:
 
 def unit_hashes() -> np.ndarray:
     if not _UNIT_HASHES:
-        data = np.frombuffer(" ".join(["", *UNITS, ""]).encode(), np.uint8)
-        gaps = np.flatnonzero(data == 32)
-        _UNIT_HASHES.append(stretches(_OF_BYTE[data], gaps[:-1] + 1, gaps[1:]))
+        data = padded(" ".join(["", *UNITS, ""]).encode())
+        gaps = np.flatnonzero(data[:-8] == 32)
+        _UNIT_HASHES.append(of_stretches(data, gaps[:-1] + 1, gaps[1:]))
     return _UNIT_HASHES[0]
 
 
@@ -132,7 +132,7 @@ def _windows(text: np.ndarray, kind: np.ndarray, hashes: np.ndarray, size: int)
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, _U)
     start = np.arange(n)
-    whole = stretches(hashes, start, start + size)
+    whole = windows(hashes, size)
     good = text[:n] == text[size - 1 :]
     return start[good], whole[good]
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import chunks, stored
 from tidemark.llm.components import components
-from tidemark.llm.word_hash import mix, shingles, stretches, words
+from tidemark.llm.word_hash import mix, shingles, windows, words
 
 #: Second-level subparts, and differences allowed in a part.
 N2, K2 = 3, 1
@@ -155,7 +155,7 @@ def signatures(sets: list[np.ndarray], bands: Bands, common: np.ndarray | None =
             if plans[j].combined:
                 shared = np.array(list(itertools.combinations(sorted(gaps[j]), spare + 1)), _U)
                 shared = shared[(np.diff(shared // _U(64), axis=1) > 0).all(1)] if spare else shared
-                out[i].append(mix(stretches(mix(shared.ravel() + tag), np.arange(0, shared.size, spare + 1), np.arange(spare + 1, shared.size + 1, spare + 1)) + tag))
+                out[i].append(mix(windows(mix(shared.ravel() + tag), spare + 1)[:: spare + 1] + tag))
                 continue
             n = int(sizes[i])
             prefix = n - -(-n * bands.least.numerator // bands.least.denominator) + 1

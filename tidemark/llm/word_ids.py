@@ -4,11 +4,13 @@ The tokenizer cuts a text into runs of letters, single digits and runs of other
 the ids of a text are those of its pieces in order.  Pieces are found and hashed for many texts at once; the tokenizer is
 asked for pieces that the table lacks.  (An apostrophe before letters may belong to them, so the two stay one piece.)
 That holds for texts in the characters of ``_OTHER``'s complement, whose normal form and lower case are settled; any other
-text goes to the tokenizer whole.  Pieces are told apart by 64-bit hashes.
+text goes to the tokenizer whole.  Pieces of up to 16 bytes are told apart by their bytes, longer ones by 128 bits of BLAKE2b, and
+all by their length.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -18,7 +20,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from tidemark.llm._common import chunks
-from tidemark.llm.word_hash import _OF_BYTE, stretches
+from tidemark.llm.word_hash import blocks, mix, padded
 
 #: The tasks already fill the cores.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,6 +52,18 @@ def pieces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[some], np.append(edge[1:], len(raw))[some]
 
 
+def identities(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two numbers and the length, which together tell the bytes first:last from any others."""
+    size = last - first
+    one = blocks(raw, first, np.minimum(size, 8))
+    two = np.zeros(len(size), _U)
+    more = np.flatnonzero(size > 8)
+    two[more] = blocks(raw, first[more] + 8, np.minimum(size[more] - 8, 8))
+    for i in np.flatnonzero(size > 16).tolist():
+        one[i], two[i] = np.frombuffer(hashlib.blake2b(raw[first[i] : last[i]].data, digest_size=16).digest(), "<u8")
+    return one, two, size
+
+
 class WordIds:
     def __init__(self, path: str, slots: int = SLOTS, ids_kept: int = IDS_KEPT) -> None:
         self._tokenizer = Tokenizer.from_file(path)
@@ -58,7 +72,8 @@ class WordIds:
 
     def _clear(self) -> None:
         slots = int(self._mask) + 1
-        self._key, self._start, self._length = np.zeros(slots, _U), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self._one, self._two = np.zeros(slots, _U), np.zeros(slots, _U)
+        self._size, self._start, self._length = np.zeros(slots, np.int64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         self._ids, self._used = np.zeros(1 << 16, np.uint32), 0
 
     def _whole(self, text: str) -> bytes:
@@ -81,21 +96,23 @@ class WordIds:
         data = [t.lower().encode() for t in texts]
         at = np.cumsum([0, *(len(d) + 1 for d in data)])
         joined = b" ".join([b"", *data, b""])
-        raw = np.frombuffer(joined, np.uint8)
-        first, last = pieces(raw)
-        key = stretches(_OF_BYTE[raw], first, last)
+        raw = padded(joined)
+        first, last = pieces(raw[:-8])
+        one, two, size = identities(raw, first, last)
         if self._used > self._kept:
             self._clear()
-        slot = (key & self._mask).astype(np.int64)
+        slot = (mix(one ^ mix(two + size.astype(_U))) & self._mask).astype(np.int64)
         start, length = self._start[slot], self._length[slot]
-        missing = np.flatnonzero((self._key[slot] != key) | (length == 0))
+        missing = np.flatnonzero((self._one[slot] != one) | (self._two[slot] != two) | (self._size[slot] != size) | (length == 0))
         if len(missing):
-            new, index, inverse = np.unique(key[missing], return_index=True, return_inverse=True)
-            where = missing[index]
-            s, n = self._learn([joined[a:b].decode() for a, b in zip(first[where].tolist(), last[where].tolist(), strict=True)])
+            seen: dict[bytes, int] = {}
+            inverse = [seen.setdefault(joined[a:b], len(seen)) for a, b in zip(first[missing].tolist(), last[missing].tolist(), strict=True)]
+            s, n = self._learn([x.decode() for x in seen])
             start[missing], length[missing] = s[inverse], n[inverse]
-            slot = (new & self._mask).astype(np.int64)
-            self._key[slot], self._start[slot], self._length[slot] = new, s, n
+            slot = slot[missing]
+            order = np.unique(slot, return_index=True)[1]  # of pieces that share a slot, one has it
+            slot, own = slot[order], missing[order]
+            self._one[slot], self._two[slot], self._size[slot], self._start[slot], self._length[slot] = one[own], two[own], size[own], start[own], length[own]
         ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
         ids = self._ids[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])].astype("<u4", copy=False)
         bounds = ends[np.searchsorted(first, at)]
