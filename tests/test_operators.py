@@ -257,3 +257,16 @@ def test_stream(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out" / "pools")).groupBy("split").agg(F.sum("tokens").alias("n"), F.count_distinct("doc_id").alias("d"), F.count("*").alias("r")).collect()
     assert {r.split: r.n >= {"train": 600, "validation": 200}[r.split] for r in got} == {"train": True, "validation": True}
     assert all(r.d == r.r and r.n < 900 for r in got)
+
+
+def test_a_full_stream_goes_on(spark, tmp_path):
+    """Batches beyond the budgets add nothing and commit; a later query goes on from there."""
+    (tmp_path / "in").mkdir()
+    docs = spark.readStream.schema("doc_id string, text string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    for k in range(4):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps({"doc_id": f"{k}-{i}", "text": " ".join(f"w{k}x{i}y{j}" for j in range(20))}) for i in range(30)))
+        query = background.collect_pools(docs, out, 300, 100, least_tokens=10)
+        assert query.awaitTermination(120) and query.exception() is None
+    have = background.filled(spark, out)
+    assert 300 <= have["train"] < 300 + 20 and 100 <= have["validation"] < 100 + 20

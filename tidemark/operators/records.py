@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 SYLLABLES = ("ar", "bel", "cor", "dan", "el", "far", "gil", "hol", "is", "jor", "kel", "lin", "mor", "nal", "or", "pel")
 TOWNS = ("Alderbrook", "Brightwater", "Coldharbor", "Dunmere", "Eastwick", "Fernhill", "Greyport", "Highmoor")
 TEAMS = ("Accounting", "Field Work", "Archive", "Hiring", "Design", "Helpdesk", "Contracts", "Networks")
-PLANS, AREAS, COUNTRIES = ("basic", "plus", "pro", "enterprise"), ("amer", "emea", "apac"), ("US", "CA", "UK", "DE", "CH")
+TARIFFS, AREAS, COUNTRIES = ("seedling", "sapling", "grove"), ("coast", "plain", "uplands", "delta", "isles"), ("Norvale", "Ostmark Isles", "Tarrin", "Velland")
 ROADS = ("Birch Road", "Hazel Lane", "Orchard Drive", "Mill Court", "Station Ave")
 INNS = ("Anchor House", "Bell Tower", "Crown Rest", "Dove Inn")
 
@@ -83,7 +83,7 @@ def _fields(family: str, idx: Column, seed: int, domain: str) -> Column:
             "support_ticket_id": F.format_string("TKT-%06d", idx + 900000),
             "recovery_email": F.concat(first, F.lit("."), last, F.format_string(".alt.%04d@", idx), F.lit(domain)),
             "last_four_digits": F.format_string("%04d", F.pmod(idx * 37, F.lit(10000))),
-            "account_plan": one_of(PLANS, idx, "plan", seed),
+            "account_plan": one_of(TARIFFS, idx, "plan", seed),
             "support_region": one_of(AREAS, idx, "area", seed),
         },
         "event": lambda: {
@@ -165,17 +165,40 @@ def mask(field: Column) -> Column:
     )
 
 
-INTROS = {"identity": ("Staff list", "Joining note", "People file", "Roster entry"), "account": ("Help file", "Recovery note", "Desk ledger", "Billing note"), "event": ("Trip notes", "Route plan", "Travel file", "Handover"), "canary": ("Vault file", "Store note", "Canary note", "Audit list")}
-VERBS, CLOSERS = ("states", "documents", "confirms"), ("for internal use", "for the audit trail", "for careful handling")
+#: Kinds of sheets that a record of a family may be copied onto, how such a sheet goes on, and how it ends.
+SHEETS: Mapping[str, Sequence[str]] = {
+    "identity": ("Name badge order", "Choir roll", "Bicycle registration", "Allotment waiting list", "Blood donor card"),
+    "account": ("Lost parcel claim", "Meter reading slip", "Library fine", "Warranty return", "Swimming pass renewal"),
+    "event": ("Ferry manifest", "Night train berth chart", "Festival wristband list", "Mountain hut booking", "Regatta start list"),
+    "canary": ("Sealed envelope", "Time capsule inventory", "Lighthouse logbook", "Cellar tally", "Beekeeper's diary"),
+}
+HANDS, ENDS = ("filled in with", "carrying", "copied from a slate that reads", "which repeats"), ("second sheet of two", "ink still wet")
+#: What fields are called on a sheet: usually the first name, any of them in a paraphrase.
+LABELS: Mapping[str, Sequence[str]] = {
+    "email": ("mail", "writes from", "inbox", "send letters to"),
+    "phone": ("rings at", "telephone", "call"),
+    "street_address": ("lives at", "front door", "deliver to"),
+    "employee_id": ("badge", "payroll mark", "works number"),
+    "recovery_email": ("second inbox", "if locked out, write to", "spare mail"),
+    "customer_id": ("buyer mark", "number in the books", "client number"),
+    "last_four_digits": ("card ends in", "tail of the card", "final digits"),
+    "support_ticket_id": ("complaint number", "slip", "query filed as"),
+    "booking_code": ("reservation", "code at the gate", "ticket mark"),
+    "travel_date": ("leaves on", "day of the journey", "sails"),
+    "hotel_name": ("sleeps at", "bed in", "inn"),
+    "seat_number": ("place", "row and letter", "sits in"),
+    "meeting_time": ("met at", "hour agreed", "expected at"),
+    "secret": ("words inside", "the line to keep", "phrase"),
+}
 
 
-def catalogue(spark: SparkSession, intros: Mapping[str, Sequence[str]] = INTROS) -> DataFrame:
-    """family, number, template_id, intro, verb, closer: all combinations of a family, 36 by default."""
-    rows = [(f, k, f"{f}_template_{k + 1:02d}", *parts) for f, of in intros.items() for k, parts in enumerate(product(of, VERBS, CLOSERS))]
-    return spark.createDataFrame(rows, "family string, number int, template_id string, intro string, verb string, closer string")
+def catalogue(spark: SparkSession, sheets: Mapping[str, Sequence[str]] = SHEETS) -> DataFrame:
+    """family, number, template_id, sheet, hand, end: all combinations of a family."""
+    rows = [(f, k, f"{f}_template_{k + 1:02d}", *parts) for f, of in sheets.items() for k, parts in enumerate(product(of, HANDS, ENDS))]
+    return spark.createDataFrame(rows, "family string, number int, template_id string, sheet string, hand string, end string")
 
 
-def render(records: DataFrame, condition: str, seed: int = 1, include: Sequence[str] = (), exclude: Sequence[str] = (), overlap: str = "", labels: Mapping[str, Sequence[str]] | None = None, **settings: object) -> DataFrame:
+def render(records: DataFrame, condition: str, seed: int = 1, include: Sequence[str] = (), exclude: Sequence[str] = (), overlap: str = "", labels: Mapping[str, Sequence[str]] = LABELS, sheets: Mapping[str, Sequence[str]] = SHEETS, **settings: object) -> DataFrame:
     """Documents of the member records: doc_id, record_id, cluster_id, condition, variant_type, template_id, family, text, included_sensitive_fields, sha256.
 
     Canaries are left out unless the condition's name or include asks for them.
@@ -192,9 +215,9 @@ def render(records: DataFrame, condition: str, seed: int = 1, include: Sequence[
     k = F.col("_k")
     rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(max(count, 1) - 1))))
     variant = F.element_at(F.array(*map(F.lit, cycle)), (F.pmod(k, F.lit(len(cycle))) + 1).cast("int"))
-    templates = catalogue(spark)
-    size = len(INTROS["identity"]) * len(VERBS) * len(CLOSERS)
-    rows = rows.withColumns({"variant_type": variant, "number": F.pmod(k, F.lit(size)).cast("int")}).join(F.broadcast(templates), ["family", "number"])
+    templates = catalogue(spark, sheets)
+    size = F.create_map(*(F.lit(x) for f, of in sheets.items() for x in (f, len(of) * len(HANDS) * len(ENDS))))[F.col("family")]
+    rows = rows.withColumns({"variant_type": variant, "number": F.pmod(k, size).cast("int")}).join(F.broadcast(templates), ["family", "number"])
     v, secret = F.col("variant_type"), F.col("sensitive_fields")
     names = F.map_keys("fields")
     kept = F.when(v == "partial_field_omission", F.filter(names, lambda n: n != F.element_at(secret, -1))).otherwise(names)
@@ -216,9 +239,9 @@ def render(records: DataFrame, condition: str, seed: int = 1, include: Sequence[
         return F.concat(label(n), F.lit(": "), F.coalesce(shown, F.lit("")))
 
     lines = F.transform(ordered, line)
-    lines = F.when(v == "distractor_variant", F.array_append(lines, F.lit("context marker: a neighbouring synthetic profile was reviewed and rejected"))).otherwise(lines)
+    lines = F.when(v == "distractor_variant", F.array_append(lines, F.lit("stapled behind it is a sheet about somebody else"))).otherwise(lines)
     body = F.when(v == "formatting_variation", F.concat(F.lit("\n- "), F.array_join(lines, "\n- "))).otherwise(F.array_join(lines, "; "))
-    text = F.concat("intro", F.lit(" for "), "public_handle", F.lit(" "), "verb", F.lit(" "), body, F.lit(" ("), "closer", F.lit(")."))
+    text = F.concat("sheet", F.lit(" "), "public_handle", F.lit(", "), "hand", F.lit(": "), body, F.lit(" ["), "end", F.lit("]"))
     out = rows.select(
         F.concat("record_id", F.lit("_v"), (k + 1).cast("string")).alias("doc_id"), "record_id", "cluster_id", F.lit(condition).alias("condition"), "variant_type", "template_id", "family",
         text.alias("text"), F.filter(ordered, lambda n: F.array_contains(secret, n)).alias("included_sensitive_fields"),

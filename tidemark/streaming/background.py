@@ -19,7 +19,8 @@ from tidemark.operators.sampling import running
 def fresh(docs: DataFrame, least_tokens: int = 40, near: bool = True, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
     """A stream (or table) of documents (doc_id, text, …) with tokens, less short and repeated ones.
 
-    Equal keys have equal signatures, so one state of signatures serves both tests.
+    Equal keys have equal signatures, so one state of signatures serves both tests.  Without an event time the state is one
+    key a distinct document, as the whole stream is to be free of copies; with one, copies further apart than delay may stay.
     """
     rows = docs.withColumn("text", collapse_space(F.col("text"))).withColumn("tokens", token_count(F.col("text"))).filter(F.col("tokens") >= least_tokens)
     rows = rows.withColumn("_key", signature(F.col("text")) if near else F.sha2(match_key(F.col("text")), 256))
@@ -34,9 +35,9 @@ def side(fraction: float, seed: int):  # noqa: ANN201  a column
 
 
 def filled(spark: SparkSession, path: str, before: int | None = None) -> dict[str, int]:
-    """Tokens of each split in the pools, of all batches or of those before a number."""
+    """Tokens of each split in the pools, of all batches or of those before a number: a sum over two rows a batch."""
     try:
-        rows = spark.read.parquet(f"{path}/pools")
+        rows = spark.read.parquet(f"{path}/tally")
     except AnalysisException:  # nothing is written yet
         return {}
     rows = rows if before is None else rows.filter(F.col("batch") < before)
@@ -44,7 +45,10 @@ def filled(spark: SparkSession, path: str, before: int | None = None) -> dict[st
 
 
 def collect_pools(docs: DataFrame, path: str, train_tokens: int, validation_tokens: int, seed: int = 1, available_now: bool = True, **options: object) -> StreamingQuery:
-    """Starts the query that fills path/pools (Parquet by batch and split). Batches beyond the budgets add nothing; see ``until_filled``."""
+    """Starts the query that fills path/pools (Parquet by batch and split). Batches beyond the budgets add nothing; see ``until_filled``.
+
+    Every batch is run to its end, also one that adds nothing, so that the state of the documents seen is committed.
+    """
     fraction = validation_tokens / max(1, train_tokens + validation_tokens)
     wanted = {"train": train_tokens, "validation": validation_tokens}
 
@@ -52,14 +56,18 @@ def collect_pools(docs: DataFrame, path: str, train_tokens: int, validation_toke
         have = filled(batch.sparkSession, path, number)
         rest = {s: max(n - have.get(s, 0), 0) for s, n in wanted.items()}
         open_sides = [s for s, n in rest.items() if n]
-        if not open_sides:
-            return
-        # once one side is full, all goes to the other
-        split = side(fraction, seed) if len(open_sides) == 2 else F.lit(open_sides[0])
-        rows = running(batch.withColumn("split", split), "doc_id", seed, F.col("tokens"), by=["split"])
-        left = F.when(F.col("split") == "train", rest["train"]).otherwise(rest["validation"])
-        chosen = rows.filter(F.col("before") < left).drop("before").withColumn("batch", F.lit(number))
-        chosen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "split").parquet(f"{path}/pools")
+        held = batch.persist()
+        try:
+            held.count()
+            # once one side is full, all goes to the other
+            split = F.lit(open_sides[0]) if len(open_sides) == 1 else side(fraction, seed)
+            rows = running(held.withColumn("split", split), "doc_id", seed, F.col("tokens"), by=["split"])
+            left = F.when(F.col("split") == "train", rest["train"]).otherwise(rest["validation"])
+            chosen = rows.filter(F.col("before") < left).drop("before").withColumn("batch", F.lit(number))
+            for table, by in ((chosen, ["batch", "split"]), (chosen.groupBy("batch", "split").agg(F.sum("tokens").alias("tokens")), ["batch"])):
+                table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/{'pools' if len(by) == 2 else 'tally'}")
+        finally:
+            held.unpersist()
 
     writer = fresh(docs, **options).writeStream.foreachBatch(take).option("checkpointLocation", f"{path}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
