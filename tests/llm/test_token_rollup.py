@@ -2,10 +2,11 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm._common import scratch
-from tidemark.llm.token_rollup import Rollup, counted, deletes, inserts, revisions
+from tidemark.llm.token_rollup import Conflict, Rollup, counted, deletes, inserts, revisions
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, tokens string"
@@ -54,6 +55,58 @@ def test_a_batch_that_broke_off_is_written_again(spark):
     assert totals(rollup) == {("s", "en", "v1"): (1, 2)}
 
 
+def test_other_deltas_under_a_used_id_fail(spark):
+    df = spark.createDataFrame([(1, "a b", "en", "s", "x"), (2, "c", "de", "s", "x")], SCHEMA)
+    path = scratch(spark, "rollup")
+    rollup, other = Rollup(spark, path), Rollup(spark, path)
+    all_of = inserts(counted(df, PATH, "v1"))
+    assert rollup.commit("b1", all_of)
+    with pytest.raises(Conflict):
+        other.commit("b1", inserts(counted(df.filter("doc_id = 1"), PATH, "v1")))
+    assert not other.commit("b1", all_of.orderBy("tokens"))
+    assert totals(other) == {("s", "en", "v1"): (1, 2), ("s", "de", "v1"): (1, 1)}
+
+
+def test_two_drivers_with_one_id(spark, monkeypatch):
+    """Both see no batch and write; one mark is made, and the other's sums are gone."""
+    df = spark.createDataFrame([(1, "a b", "en", "s", "x")], SCHEMA)
+    rollup = Rollup(spark, scratch(spark, "rollup"))
+    create, calls = Rollup._create, []
+
+    def late(self, batch_id, said):
+        if not calls:
+            calls.append(1)
+            assert Rollup(spark, rollup._path).commit(batch_id, inserts(counted(df, PATH, "v1")))
+        return create(self, batch_id, said)
+
+    monkeypatch.setattr(Rollup, "_create", late)
+    assert not rollup.commit("b1", inserts(counted(df, PATH, "v1")))
+    assert totals(rollup) == {("s", "en", "v1"): (1, 2)}
+
+
+def test_compaction(spark):
+    df = spark.createDataFrame([(k, "a b" * k, ["en", "de"][k % 2], "s", "x") for k in range(6)], SCHEMA)
+    counts = counted(df, PATH, "v1")
+    rollup = Rollup(spark, scratch(spark, "rollup"))
+    assert rollup.compact() is None
+    for k in range(6):
+        rollup.commit(f"b{k}", inserts(counts.filter(F.col("doc_id") == k)))
+    before = totals(rollup)
+    name = rollup.compact()
+    assert totals(rollup) == before and set(rollup._live()) == {name} and "b3" in rollup.committed()
+    assert not rollup.commit("b3", inserts(counts.filter("doc_id = 3"))) and totals(rollup) == before
+    rollup.commit("gone", deletes(counts.filter("lang = 'de'")))
+    rollup.compact()
+    assert totals(rollup) == {k: v for k, v in before.items() if k[1] == "en"}
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "en", "s", "x", 7, 9)], SCHEMA + ", docs long, tokenizer long")
+    rollup = Rollup(spark, scratch(spark, "rollup"))
+    rollup.commit("b", inserts(counted(df, PATH, "v1")))
+    assert totals(rollup) == {("s", "en", "v1"): (1, 2)}
+
+
 def test_words_that_polynomials_confuse(spark):
     t = Tokenizer.from_file(PATH)
     one = "".join("ab"[k.bit_count() & 1] for k in range(4096))

@@ -2,16 +2,24 @@
 
 The state is a folder of batches.  A batch holds signed sums by (source, lang, tokenizer): an insert adds a document and
 its tokens, a delete takes them away, a revised count does both.  The sums are additive, so totals are one grouped sum
-over the batches.  A batch is written under its id and counts once its marker exists; to commit an id again, or to
-finish one that broke off, has no further effect.
+over the batches.
+
+A commit writes its sums to a folder of its own attempt, and then makes the batch count by renaming a file to the batch's id,
+which names the attempt and the sums' fingerprint; a rename never replaces a file on the file systems that this is for.  So
+of two drivers with one id one wins and nothing is overwritten; to commit the same deltas again, or to finish what broke off, has no further
+effect; other deltas under a used id are an error.  ``compact`` replaces batches by their sum, as one more batch that names
+those that it stands for, so a reader sees either them or it.
 
 Defined cases: null source or language is a group of its own; null text has no tokens but is a document; repeated rows
-count each; an empty batch commits; groups that reach zero documents and zero tokens leave the totals.
+count each; an empty batch commits; groups that reach zero documents and zero tokens leave the totals; other columns, also
+such that are named like the keys or sums, are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +59,10 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
     return deletes(old).unionByName(inserts(new))
 
 
+class Conflict(ValueError):
+    """Other deltas were committed under the id."""
+
+
 class Rollup:
     """The totals kept under one folder that driver and executors share."""
 
@@ -61,25 +73,76 @@ class Rollup:
         p = self._spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def committed(self) -> list[str]:
+    def _marks(self) -> dict[str, dict]:
+        """What the file of each batch says. One small file a batch, and few batches after ``compact``."""
         fs, p = self._file(f"{self._path}/done")
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        if not fs.exists(p):
+            return {}
+        return {s.getPath().getName(): self._read(s.getPath().toString()) for s in fs.listStatus(p)}
+
+    def _read(self, path: str) -> dict:
+        fs, p = self._file(path)
+        size = fs.getFileStatus(p).getLen()
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readNBytes(size)).decode() or "{}")
+        finally:
+            stream.close()
+
+    def _create(self, batch_id: str, said: dict) -> bool:
+        """Whether this call made the batch count. The mark is complete before it has its name."""
+        fs, draft = self._file(f"{self._path}/drafts/{said['attempt']}")
+        out = fs.create(draft, True)
+        out.write(json.dumps(said).encode())
+        out.close()
+        _, mark = self._file(f"{self._path}/done/{batch_id}")
+        fs.mkdirs(mark.getParent())
+        return not fs.exists(mark) and fs.rename(draft, mark)
+
+    def committed(self) -> list[str]:
+        return sorted(self._marks())
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
-        """False if the batch was there before. Sums are formed before anything is written."""
+        """False if the batch was there before with the same deltas; Conflict if it was with others."""
+        return self._commit(batch_id, deltas, [])
+
+    def _commit(self, batch_id: str, deltas: DataFrame, stands_for: list[str]) -> bool:
         if not batch_id or not batch_id.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a batch id has letters, digits, - and _ only")
-        fs, mark = self._file(f"{self._path}/done/{batch_id}")
-        if fs.exists(mark):
-            return False
-        sums = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self._path}/batches/{batch_id}")
-        fs.mkdirs(mark.getParent())
-        return fs.createNewFile(mark)
+        attempt = uuid.uuid4().hex
+        sums = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
+        sums.write.parquet(f"{self._path}/batches/{attempt}")
+        print_ = self._of([attempt]).agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*KEYS, "docs", "tokens").cast("decimal(38,0)")), F.lit(0))).first()
+        said = {"attempt": attempt, "print": f"{print_[0]}:{print_[1]}", "stands_for": stands_for}
+        if self._create(batch_id, said):
+            return True
+        there = self._marks()[batch_id]
+        for kind in ("batches", "drafts"):
+            fs, p = self._file(f"{self._path}/{kind}/{attempt}")
+            fs.delete(p, True)
+        if there["print"] != said["print"]:
+            raise Conflict(f"batch {batch_id} was committed with other deltas")
+        return False
+
+    def _of(self, attempts: Iterable[str]) -> DataFrame:
+        paths = [f"{self._path}/batches/{a}" for a in attempts]
+        return self._spark.read.schema(_DELTA).parquet(*paths) if paths else self._spark.createDataFrame([], _DELTA)
+
+    def _live(self) -> dict[str, dict]:
+        marks = self._marks()
+        gone = {b for m in marks.values() for b in m["stands_for"]}
+        return {b: m for b, m in marks.items() if b not in gone}
+
+    def compact(self) -> str | None:
+        """Sums the batches that count into one, whose id this returns. The ids of the others stay used."""
+        live = self._live()
+        if len(live) < 2:
+            return None
+        name = f"compact-{uuid.uuid4().hex}"
+        self._commit(name, self._of(m["attempt"] for m in live.values()), sorted(live))
+        return name
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens."""
-        found = [f"{self._path}/batches/{b}" for b in self.committed()]
-        rows = self._spark.read.schema(_DELTA).parquet(*found) if found else self._spark.createDataFrame([], _DELTA)
-        sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        sums = self._of(m["attempt"] for m in self._live().values()).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.filter((F.col("docs") != 0) | (F.col("tokens") != 0))
