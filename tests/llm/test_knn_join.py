@@ -54,3 +54,18 @@ def test_few_and_no_rows(spark):
 def test_large_numbers_stay_exact(spark):
     rows = [(i, [1e6 + i / 256, 1e6]) for i in range(60)]
     assert run(spark, rows) == brute(rows, 5)
+
+
+def test_clustered_data_is_pruned(spark, monkeypatch):
+    monkeypatch.setattr(knn_join, "PIVOTS", 64)
+    monkeypatch.setattr(knn_join, "BLOCK_QUERIES", 4)
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 0.05) + (j == i % 8) * 4 for j in range(8)]) for i in range(1600)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    data, _, cells, blocks, _, _, width = knn_join.voronoi(df, F.col("vec_id") % 50 == 0, 5)
+    held = data.toArrow()
+    x = knn_join._matrix(held.column("v").combine_chunks(), width)
+    need = cells.needed(x, held.column("cell").to_numpy())
+    assert need.mean() < 0.3 and len(blocks) > 1
+    assert sum(need[:, b].any(1).mean() for b in blocks) / len(blocks) < 0.5
+    assert run(spark, rows) == brute(rows, 5)
