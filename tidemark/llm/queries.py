@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format, decontaminate, html_extract, knn_join, language_id, ngram_join, packing, rendezvous, token_rollup, warc
-from tidemark.llm._common import scratch, table
+from tidemark.llm._common import scratch, stored, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -64,12 +64,24 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted as one batch, which is then delivered a second time."""
+    """All documents, in four batches whose net is their present counts.
+
+    First they are inserted as an older version counted them (one token a byte); then these counts are revised to the
+    tokenizer's; then all are deleted and inserted again.  The first batch is delivered twice.
+    """
     docs = table(spark, sf_dir, "documents")
+    now = stored(token_rollup.counted(docs, WORD_BPE, "word_bpe_49k"), "counts")
+    old = docs.select("source", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("tokens"), F.lit("bytes").alias("tokenizer"))
     rollup = token_rollup.Rollup(spark, scratch(spark, "rollup"))
-    deltas = token_rollup.inserts(token_rollup.counted(docs, WORD_BPE, "word_bpe_49k"))
-    rollup.commit("documents-1", deltas)
-    rollup.commit("documents-1", deltas)
+    for name, deltas in (
+        ("old-1", token_rollup.inserts(old)),
+        ("old-1", token_rollup.inserts(old)),
+        ("revised-1", token_rollup.revisions(old, now)),
+        ("withdrawn-1", token_rollup.deletes(now)),
+        ("restored-1", token_rollup.inserts(now)),
+    ):
+        rollup.commit(name, deltas)
+    rollup.compact()
     return rollup.totals()
 
 
@@ -123,4 +135,60 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op1_chat_format": _OP1, "op6_knn_join": _OP6}
+_OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END)) AS s FROM w
+), own AS (
+  SELECT min(doc_id) AS class_id, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s
+), f AS (
+  SELECT class_id, n, unnest(s) AS f FROM own
+), common AS (
+  SELECT a.class_id AS a, b.class_id AS b, a.n AS an, b.n AS bn, count(*) AS c FROM f a JOIN f b ON a.f = b.f AND a.class_id <> b.class_id
+    AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL
+), link AS (
+  SELECT a, b FROM common WHERE 100 * c >= 90 * (an + bn - c)
+), reach AS (
+  SELECT class_id AS a, class_id AS b FROM own UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b
+), top AS (
+  SELECT a AS class_id, min(b) AS component_id FROM reach GROUP BY a
+), links AS (
+  SELECT a AS class_id, count(*) AS n_links FROM link GROUP BY a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(t.component_id, s.doc_id) AS component_id, coalesce(o.class_id, s.doc_id) AS class_id, coalesce(k.n_links, 0) AS n_links
+FROM s LEFT JOIN own o ON o.s = s.s LEFT JOIN top t ON t.class_id = o.class_id LEFT JOIN links k ON k.class_id = o.class_id
+"""
+
+_OP8 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages
+), t AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS last, count(*) OVER (PARTITION BY html) AS n FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN last IS NULL OR page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM t
+"""
+
+_OP10 = r"""
+WITH bits AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 1, 2, 3, 4, 5, 6, 7, 8], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crcs
+), d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(CAST(doc_id AS VARCHAR), 'null') AS name, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size FROM documents
+), h AS (
+  SELECT doc_id, name, size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(CAST('0x' || x AS INTEGER) AS BIGINT))),
+    lambda c, b: xor(crcs[xor(c & 255, b) + 1], c >> 8))) AS text_crc32 FROM d, bits
+), u AS (
+  SELECT *, CAST('0x' || substr(md5(name), 1, 13) AS BIGINT) AS key_hash,
+    list_transform(range(9), lambda k: CAST('0x' || substr(md5(name || ':' || k), 1, 13) AS BIGINT)) AS u FROM h
+), p AS (
+  SELECT *, CAST(list_position(u[1:8], list_max(u[1:8])) - 1 AS INTEGER) AS shard, CAST(list_position(u, list_max(u)) - 1 AS INTEGER) AS grown_shard FROM u
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key_hash, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM p
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_format": _OP1, "op2_ngram_join": _OP2, "op6_knn_join": _OP6, "op8_warc": _OP8, "op10_rendezvous": _OP10}
