@@ -53,5 +53,33 @@ def test_format_of_an_archive(spark):
     assert frames == 201
 
 
+def test_a_record_is_read_at_its_offset(spark):
+    """With zstandard alone: the dictionary from the first frame, and a record's frame by its place in the file."""
+    df = spark.createDataFrame([(i, "http://h/", f"<p>some common text of page {i}</p>" * 400, "x", 1) for i in range(200)], SCHEMA).coalesce(1)
+    (row,) = warc.write_archives(df, scratch(spark, "warc-test")).collect()
+    with open(row.path, "rb") as f:
+        magic, n = (int.from_bytes(f.read(4), "little") for _ in range(2))
+        assert magic == warc.SKIPPABLE_MAGIC
+        dictionary = zstandard.ZstdCompressionDict(f.read(n))
+        data = f.read()
+    places, at = [], 0
+    while at < len(data):
+        places.append(at)
+        o = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
+        o.decompress(data[at:])
+        at = len(data) - len(o.unused_data)
+    with open(row.path, "rb") as f:
+        f.seek(8 + n + places[151])
+        found = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj().decompress(f.read())
+    assert b"<urn:page:150>" in found and found.count(b"WARC/1.1") == 1
+    assert row.bytes < sum(400 * len(f"<p>some common text of page {i}</p>") for i in range(200)) / 20
+
+
+def test_very_long_payloads_in_one_batch(spark):
+    rows = [(i, "http://h/", f"{i} " * 300_000 if i % 7 == 0 else "short", "x", 1) for i in range(40)]
+    got = warc.archive_and_read(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert sorted(map(tuple, got), key=str) == brute([r[:3] for r in rows])
+
+
 def test_empty_table(spark):
     assert warc.archive_and_read(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -134,10 +134,10 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
         files.create_dir(base)
         made, archive, attempt = [], None, uuid.uuid4().hex
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*batch.columns, strict=True):  # one record at a time
                 if archive is None:
                     archive = _Archive(files, f"{base}/{attempt}-{len(made):05d}.warc.zst")
-                archive.add(record(*row))
+                archive.add(record(*(x.as_py() for x in row)))
                 if archive.bytes >= ARCHIVE_BYTES:
                     made.append(archive.close())
                     archive = None
