@@ -5,6 +5,7 @@ from itertools import product
 
 import pytest
 
+from tests.llm.hand_pages import LATER, PAGES
 from tidemark.llm import html_extract
 from tidemark.llm.dom import blocks
 
@@ -79,8 +80,23 @@ def article(page):
     return "\n".join(t for t in (" ".join(html.unescape(x).split()) for x in a.split("\0")) if t)
 
 
-def test_articles_of_the_pages_table(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+@pytest.mark.parametrize(("page", "text"), [*PAGES, *LATER])
+def test_pages_written_by_hand(page, text):
+    assert html_extract.main_text(page, html_extract.default_model()) == text
+
+
+def test_very_long_texts_in_one_batch(spark):
+    """Long pages among short ones, all in one batch of rows."""
+    prose = "The river rose again on Monday and people walked home along the old road. " * 20
+    long = "<nav><a href='/'>Menu</a></nav><article><h1>Rain</h1>" + f"<p>{prose}</p>" * 1000 + "</article>"
+    rows = [(k, None, long if k % 5 == 0 else f"<article><p>{prose}</p></article>", None, None) for k in range(20)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int").coalesce(1)).collect()
+    assert {r.page_id: r.text for r in got} == {k: "\n".join(["Rain"] + [prose.strip()] * 1000) if k % 5 == 0 else prose.strip() for k in range(20)}
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_articles_of_the_pages_table(spark, folder):
+    pages = spark.read.parquet(f"/root/testdata/{folder}/pages.parquet")
     expected = {r.page_id: article(r.html) for r in pages.collect()}
     got = html_extract.extract(pages).collect()
     assert {r.page_id: r.text for r in got} == expected

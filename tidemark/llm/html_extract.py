@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.dom import Block, blocks
 
-PAGES, EPOCHS, RATE, DECAY = 500, 12, 0.3, 1e-4
+PAGES, EPOCHS, RATE, DECAY = 900, 10, 0.3, 1e-4
 _WORDS = {w: f"w:{w}" for w in "cookie cookies subscribe newsletter advertisement sponsored copyright comments comment reply share follow login privacy terms rights reserved menu search related posted".split()}
 
 
@@ -38,6 +38,7 @@ def path_features(path: tuple[str, ...]) -> list[str]:
         tag, *parts = element.split(".")
         out.add(f"t:{tag}")
         out.update(f"c:{p}" for p in parts)
+        out.update(f"c:{a}-{b}" for a, b in zip(parts, parts[1:], strict=False))
         if k == len(path) - 1:
             out.add(f"own:{tag}")
         elif k == len(path) - 2:
@@ -155,6 +156,7 @@ class _Maker:
     def __init__(self, seed: int) -> None:
         self.r = random.Random(seed)
         self.m = random.Random(seed + 1_000_000)  # of media, so that they leave the other draws as they are
+        self.v = random.Random(seed + 2_000_000)  # of rarer layouts, likewise
         self.vocabulary = ["".join(self.r.choices("aeioubcdfglmnprstvéüñ", k=self.r.randint(2, 10))) for _ in range(800)]
 
     def words(self, lo: int, hi: int) -> str:
@@ -248,6 +250,62 @@ class _Maker:
             parts.append((self.other("comments"), False))
         return parts
 
+    def said(self, lo: int, hi: int) -> str:
+        return " ".join(self.v.choices(self.vocabulary, k=self.v.randint(lo, hi))).capitalize() + self.v.choice(("", ".", ".", "?"))
+
+    def varied(self, main: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
+        """main with a heading in a header of its own, lists of sentences, definitions, code, quotations or signs of the author's hand."""
+        v = self.v
+        if main and main[0][0].startswith("<h1") and v.random() < 0.3:
+            top, end = v.choice((("<header>", "</header>"), ("<div class='post-header'>", "</div>"), ("<div class='entry-header'>", "</div>"), ("<header class='article-header'>", "</header>"), ("<div class='title'>", "</div>"), ("<hgroup>", "</hgroup>")))
+            main = [(top, False), main[0], *([(f"<p>{self.said(4, 14)}</p>", True)] if v.random() < 0.4 else []), (end, False), *main[1:]]
+        for _ in range(v.choice((0, 0, 1, 1, 2))):
+            items = [self.said(3, 18) for _ in range(v.randint(2, 6))]
+            kind = v.choice(("ol", "ul", "dl", "pre", "section", "quote", "steps"))
+            part = {
+                "ol": "<ol>" + "".join(f"<li>{x}</li>" for x in items) + "</ol>",
+                "ul": "<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>",
+                "dl": "<dl>" + "".join(f"<dt>{self.said(1, 3)}</dt><dd>{x}</dd>" for x in items) + "</dl>",
+                "pre": f"<pre>{items[0]}</pre>",
+                "section": f"<section><h2>{self.said(1, 6)}</h2>" + "".join(f"<p>{x}</p>" for x in items) + "</section>",
+                "quote": f"<blockquote><p>{items[0]}</p></blockquote>",
+                "steps": f"<h2>{self.said(1, 4)}</h2><ol>" + "".join(f"<li><p>{x}</p></li>" for x in items) + "</ol>",
+            }[kind]
+            main.insert(v.randint(1, len(main)) if main else 0, (part, True))
+        return main
+
+    def around(self) -> tuple[str, str]:
+        """What opens and closes the main part in rarer layouts."""
+        v = self.v
+        name = v.choice(("content", "main", "post", "entry", "story", "article", "text", "body", "page-content", "post-body", "article-text", "hentry", "maincontent", "recipe", "col-left", "left-column", "primary", "center"))
+        tag = v.choice(("div", "section", "section", "td", "article", "main"))
+        start, end = f'<{tag} {v.choice(("class", "id", "id"))}="{name}">', f"</{tag}>"
+        if tag == "td":
+            start, end = f'<table><tr><td class="{v.choice(("menu", "nav", "navi"))}">{self.links()}</td>{start}', f"{end}</tr></table>"
+        elif v.random() < 0.4:
+            outer = v.choice(("post", "wrap", "container", "layout", "col-left", "row", "site", "columns"))
+            start, end = f'<div class="{outer}">{start}', f"{end}</div>"
+        return start, end
+
+    def beside(self) -> str:
+        """A part that is not main, by position or by a name that only hints at it."""
+        v = self.v
+        links = "".join(f'<a href="#">{self.said(1, 6)}</a> ' for _ in range(v.randint(2, 6)))
+        listed = "<ol>" + "".join(f"<li><a href='#'>{self.said(2, 7)}</a>" for _ in range(v.randint(3, 6))) + "</ol>"
+        name = v.choice(("right", "col-right", "right-column", "top", "bottom", "tagcloud", "promo", "most-read", "authorbox", "contentinfo", "sidebar", "hint"))
+        return v.choice(
+            (
+                f'<div id="{name}"><h3>{self.said(1, 3)}</h3>{listed}</div>',
+                f'<section id="{v.choice(("sidebar", "related", "tags", "topics"))}"><h3>{self.said(1, 2)}</h3>{links}</section>',
+                f'<div role="contentinfo">{links}</div>',
+                f'<aside class="sidebar"><h4>{self.said(1, 3)}</h4><p>{self.said(8, 25)}</p></aside>',
+                f'<section class="{v.choice(("comments", "responses", "replies"))}"><h3>{self.said(1, 2)}</h3>' + "".join(f'<div class="comment"><p>{self.said(6, 25)}</p></div>' for _ in range(v.randint(1, 4))) + "</section>",
+                f'<div class="{v.choice(("bottom", "footer", "copyright"))}"><p>&copy; {v.randint(1995, 2030)} {self.said(1, 4)}</p>{links}</div>',
+                f'<div class="ad-slot"><div class="ad-inner"><p>{self.said(5, 16)}</p><a href="#">{self.said(1, 3)}</a></div></div>',
+                f"<center><font size=1>{self.said(3, 9)} <a href='#'>{self.said(1, 2)}</a></font></center>",
+            )
+        )
+
     def media(self) -> tuple[str, bool]:
         """A player or an object with text in its stead."""
         tag = self.m.choice(("video", "audio", "object", "canvas"))
@@ -274,7 +332,21 @@ class _Maker:
         main = self.main()
         if self.m.random() < 0.15:
             main.insert(self.m.randrange(len(main) + 1), self.media())
+        if self.v.random() < 0.35:
+            start, end = self.around()
+        if self.v.random() < 0.35:
+            main = self.varied(main)
+        if self.v.random() < 0.15:
+            h = self.v.randint(2, 4)
+            heading = self.v.choice((f"<h{h}>{self.v.randint(1, 40)} {self.said(1, 2)}</h{h}>", f"<h{h}>{self.said(1, 3)}</h{h}>", f"<p>{self.said(1, 4)}</p>"))
+            one = self.v.choice(("article", "div", "li"))
+            replies = "".join(f'<{one} class="{self.v.choice(("comment", "reply"))}"><p>{self.said(4, 25)}</p></{one}>' for _ in range(self.v.randint(1, 4)))
+            main.append((f'<section {self.v.choice(("class", "id"))}="{self.v.choice(("comments", "comments", "replies", "responses"))}">{heading}{replies}</section>', False))
+        if len(main) > 2 and self.v.random() < 0.15:
+            main.insert(self.v.randrange(1, len(main)), (self.beside(), False))
+        parts += [(self.beside(), False)] * (self.v.random() < 0.2)
         parts += [(start, False), *main, (end, False)]
+        parts += [(self.beside(), False) for _ in range(self.v.choice((0, 0, 1, 2)))]
         parts += [(self.other(k), False) for k in ("share", "related", "comments", "form", "aside", "ad", "pages") if self.r.random() < 0.35]
         parts += [(self.other("footer"), False)] * (self.r.random() < 0.85)
         # a mark in each text tells where a block of the whole page comes from
@@ -314,7 +386,7 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[str, ...], float] = {}
         for batch in batches:
-            out = [main_text(h or "", model, known) for h in batch.column("html").to_pylist()]
+            out = [main_text(h.as_py() or "", model, known) for h in batch.column("html")]  # one page at a time
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
