@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator, Mapping
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,9 +67,10 @@ def background(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, text (white space collapsed, empty ones dropped) of a background corpus.
 
     A folder with background_docs_train.jsonl is that file; another folder has a document in each .txt and .md file; a .jsonl file
-    has one in each line, in the first text column that is not empty; any other file has one in each paragraph.
+    has one in each line, in the first text column that is not empty; any other file has one in each paragraph.  A folder named
+    like a file is one that was written in parts.
     """
-    if _is_folder(spark, path):
+    if _is_folder(spark, path) and not path.lower().endswith((".txt", ".jsonl")):
         ready = f"{path}/background_docs_train.jsonl"
         if exists(spark, ready):
             return _documents(json_lines(spark, ready, "text string"), F.col("text"))
@@ -96,6 +99,23 @@ def presplit_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return train, val, config(spark, manifest) if exists(spark, manifest) else {}
 
 
+def array_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """path, row, vector of two-dimensional arrays (.npy, also in a folder), one file a task at a time."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = np.load(io.BytesIO(content.as_py()), allow_pickle=False)
+                values = np.atleast_2d(values).astype(np.float64)
+                for at in range(0, len(values), 4096):
+                    part = values[at : at + 4096]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, max(part.shape[1], 1)), pa.int32()), pa.array(part.ravel()))
+                    yield pa.record_batch([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), lists], names=["path", "row", "vector"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInArrow(read, "path string, row long, vector array<double>")
+
+
 def corpus(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, Any] | None]:
     """text rows of a corpus folder (train.txt, by paragraphs) with its manifest, or of a file."""
     if not _is_folder(spark, path):
@@ -117,7 +137,7 @@ def background_text(spark: SparkSession, path: str) -> DataFrame:
 def reports(spark: SparkSession, root: str, expected: int | None = None) -> DataFrame:
     """Report files root/<condition>/seed_<s>__budget<b>.json with condition, seed and budget from their paths."""
     rows = spark.read.option("multiLine", True).option("pathGlobFilter", "seed_*__budget*.json").option("recursiveFileLookup", True).json(root)
-    name = F.input_file_name()
+    name = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
     out = rows.select("*", F.regexp_extract(name, r"([^/]+)/seed_[^/]*$", 1).alias("condition"), F.regexp_extract(name, r"seed_(\d+)__", 1).cast("int").alias("seed"), F.regexp_extract(name, r"__budget(\d+)\.json$", 1).cast("int").alias("budget"))
     if expected is not None and (n := out.select("condition", "seed", "budget").distinct().count()) != expected:
         raise ValueError(f"{n} reports below {root}; {expected} are expected")

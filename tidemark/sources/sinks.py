@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import json
+import tarfile
+import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +33,15 @@ def text(df: DataFrame, path: str, column: str = "text") -> None:
 
 def put(spark: SparkSession, path: str, content: str) -> None:
     """A small file from the driver, by the file system of its path."""
+    _put_bytes(spark, path, content.encode())
+
+
+def _put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = fs.create(p, True)
     try:
-        out.write(bytearray(content, "utf-8"))
+        out.write(bytearray(content))
     finally:
         out.close()
 
@@ -79,6 +88,47 @@ def vectors(df: DataFrame, path: str, dtype: str = "float") -> None:
     df.withColumn("vector", F.col("vector").cast(f"array<{kind}>")).write.mode("overwrite").partitionBy("layer").parquet(path)
 
 
+def array_files(df: DataFrame, path: str, key: str = "layer", order: str = "example", dtype: str = "float32") -> DataFrame:
+    """Vectors (key, order, vector) as one .npy file a value of key, in the given order; returns key, path, rows.
+
+    A task holds one key's vectors: keys are layers or such.  Files have names of their attempt, and those that this returns count.
+    """
+    from pyarrow import fs
+
+    kind = df.schema[key].dataType.simpleString()
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        files, base = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        files.create_dir(base)
+        group = group.sort_values(order)
+        out = io.BytesIO()
+        np.save(out, np.array(group.vector.tolist(), dtype))
+        name = f"{base}/{key}_{group[key].iloc[0]}-{uuid.uuid4().hex}.npy"
+        with files.open_output_stream(name) as stream:
+            stream.write(out.getvalue())
+        return pd.DataFrame([(group[key].iloc[0], name, len(group))], columns=[key, "path", "rows"])
+
+    return df.select(key, order, F.col("vector").cast("array<double>").alias("vector")).groupBy(key).applyInPandas(write, f"`{key}` {kind}, path string, rows long")
+
+
+def bundle(spark: SparkSession, files: Mapping[str, str], path: str) -> list[str]:
+    """A tar.gz of small named texts (reports, manifests), written by the driver; returns the names in order."""
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as tar:
+        for name in sorted(files):
+            data = files[name].encode()
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    _put_bytes(spark, path, out.getvalue())
+    return sorted(files)
+
+
+def stub(spark: SparkSession, path: str, reason: str) -> None:
+    """A file that says that an artifact is not there, and why."""
+    document(spark, path, {"status": "missing", "reason": reason})
+
+
 def revision_table(rows: DataFrame, path: str, order: str = "row_order") -> None:
     """Report rows with their ratio to the untransformed ones, as JSON lines and CSV."""
     out = collapse_ratio(rows, order=order)
