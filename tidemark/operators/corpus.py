@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from tidemark.functions.text import collapse_space, match_key, signature, token_count
+from tidemark.functions.text import collapse_space, match_key, repeat_to, signature, token_count
+from tidemark.operators.pools import training_selection
 from tidemark.operators.sampling import cyclic_budget, running, token_budget, train_validation
 
 #: Characters of terms that a task holds at once; more terms take more passes.
@@ -124,21 +125,61 @@ def status_counts(status: DataFrame) -> DataFrame:
 
 
 def mixed(background: DataFrame, rendered: DataFrame, background_tokens: int, synthetic_tokens: int, seed: int, fraction: float = 0.1, reuse: bool = False, least_validation: int = 200) -> DataFrame:
-    """doc_id, text, origin, split, position of a corpus: sampled background and cyclically repeated rendered documents.
+    """doc_id, text, origin, split, tokens, position of a corpus: sampled background and cyclically repeated rendered documents.
 
     Validation has background of its own and the first tenth of the chosen rendered documents.  position orders each split.
     """
-    docs = train_validation(background.withColumn("tokens", token_count(F.col("text"))), fraction, seed)
+    docs = train_validation(_counted(background), fraction, seed)
+    return _assembled(docs, cyclic_budget(_counted(rendered), synthetic_tokens, seed), background_tokens, seed, fraction, reuse, least_validation)
+
+
+def prebuilt(train: DataFrame, validation: DataFrame, rendered: DataFrame, background_tokens: int, synthetic_tokens: int, seed: int, fraction: float = 0.1, reuse: bool = False, least_validation: int = 200) -> DataFrame:
+    """The same of a bundle whose background is split already."""
+    sides = [df.select("doc_id", "text").withColumn("split", F.lit(split)) for df, split in ((train, "train"), (validation, "validation"))]
+    return _assembled(_counted(sides[0].unionByName(sides[1])), cyclic_budget(_counted(rendered), synthetic_tokens, seed), background_tokens, seed, fraction, reuse, least_validation)
+
+
+def augmented(background: DataFrame, rendered: DataFrame, targets: DataFrame, background_tokens: int, seed: int, fraction: float = 0.1, reuse: bool = False, least_validation: int = 200) -> DataFrame:
+    """A clean corpus to which all documents of the targets' records (record_id) are added once: what they alone do to a model."""
+    chosen = _counted(training_selection(rendered, targets)).withColumn("epoch", F.lit(0))
+    return _assembled(train_validation(_counted(background), fraction, seed), chosen, background_tokens, seed, fraction, reuse, least_validation)
+
+
+def legacy(background: DataFrame, rendered: DataFrame, background_tokens: int, seed: int, fraction: float = 0.1, least_validation: int = 200) -> DataFrame:
+    """The same of one background text (a row), repeated until it has the tokens; validation has the text read backwards.
+
+    All rendered documents are taken once.
+    """
+    text = F.coalesce("text", F.lit(""))
+    sides = (("train", text, background_tokens), ("validation", F.reverse(text), max(least_validation, round(background_tokens * fraction))))
+    parts = [background.select(F.lit("background").alias("doc_id"), repeat_to(of, n).alias("text"), F.lit("background").alias("origin"), F.lit(split).alias("split"), F.lit(n).cast("long").alias("tokens")) for split, of, n in sides]
+    chosen = _counted(rendered).select(F.col("doc_id").cast("string"), "text", "tokens", F.lit(0).alias("epoch"))
+    return _ordered(parts + _rendered_parts(chosen, seed), seed)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("tokens", token_count(F.col("text")).cast("long"))
+
+
+def _assembled(docs: DataFrame, chosen: DataFrame, background_tokens: int, seed: int, fraction: float, reuse: bool, least_validation: int) -> DataFrame:
+    """docs (doc_id, text, tokens, split) up to the budgets, and the chosen rendered documents (doc_id, text, tokens, epoch)."""
     take = cyclic_budget if reuse else token_budget
     parts = []
     for split, target, salt in (("train", background_tokens, 1), ("validation", max(least_validation, round(background_tokens * fraction)), 2)):
         part = take(docs.filter(F.col("split") == split), target, seed + salt)
         parts.append(part.select("doc_id", "text", F.lit("background").alias("origin"), "split", "tokens"))
-    chosen = cyclic_budget(rendered.withColumn("tokens", token_count(F.col("text"))), synthetic_tokens, seed)
+    return _ordered(parts + _rendered_parts(chosen, seed), seed)
+
+
+def _rendered_parts(chosen: DataFrame, seed: int) -> list[DataFrame]:
+    """All for training, and the first tenth in seeded order for validation."""
     n = chosen.count()
     picked = running(chosen.withColumn("_key", F.concat_ws(":", "epoch", "doc_id")), "_key", seed, name="_rank")
-    parts.append(picked.select("doc_id", "text", F.lit("rendered").alias("origin"), F.lit("train").alias("split"), "tokens"))
-    parts.append(picked.filter(F.col("_rank") < max(1, n // 10)).select("doc_id", "text", F.lit("rendered").alias("origin"), F.lit("validation").alias("split"), "tokens"))
+    out = picked.select("doc_id", "text", F.lit("rendered").alias("origin"), F.lit("train").alias("split"), "tokens", "_rank")
+    return [out.drop("_rank"), out.filter(F.col("_rank") < max(1, n // 10)).withColumn("split", F.lit("validation")).drop("_rank")]
+
+
+def _ordered(parts: list[DataFrame], seed: int) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

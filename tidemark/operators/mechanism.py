@@ -6,6 +6,7 @@ what scores them is linear in the layers, so every intervention is an expression
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -104,6 +105,11 @@ def layer_ranking(results: DataFrame) -> DataFrame:
     return means.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("mean_auc"), "layer")))
 
 
+def random_layers(count: int, k: int, seed: int) -> list[int]:
+    """k layers of count, drawn by a hash of seed and layer."""
+    return sorted(range(count), key=lambda n: hashlib.sha256(f"{seed}:{n}".encode()).hexdigest())[:k]
+
+
 def layer_contributions(matrix: Column, weights: Column) -> Column:
     return F.transform(matrix, lambda v: dot(v, weights))
 
@@ -126,7 +132,10 @@ def mean_matrix(rows: DataFrame, matrix: str = "activations") -> DataFrame:
 
 
 def paired(source: DataFrame, target: DataFrame, control: DataFrame, order: str = "task_id", most: int = 25) -> DataFrame:
-    """Rows by place: the i-th source, the i-th target, and the control at i modulo their number; most pairs at most."""
+    """pair, source, target, control: the i-th source and target, and the control at i modulo their number; most pairs at most.
+
+    The number of pairs is the feature's own limit: an intervention is done on so many.  Without controls control is null.
+    """
 
     def first(rows: DataFrame, name: str) -> DataFrame:
         top = rows.orderBy(order).limit(most)
@@ -139,6 +148,13 @@ def paired(source: DataFrame, target: DataFrame, control: DataFrame, order: str
     return both.join(c.withColumnRenamed("_i", "_j"), "_j", "left").select(F.col("_i").alias("pair"), "source", "target", "control")
 
 
+def analysis_pairs(tasks: DataFrame, most: int = 25) -> DataFrame:
+    """Pairs for patching of tasks (task_id, cue_band, is_member, any_sensitive_match, …): successful low-cue members as sources, failed ones as targets, low-cue nonmembers as controls."""
+    low = tasks.filter("cue_band = 'low'")
+    success = F.coalesce("any_sensitive_match", F.lit(False))
+    return paired(low.filter(F.col("is_member") & success), low.filter(F.col("is_member") & ~success), low.filter(~F.col("is_member")), most=most)
+
+
 def strongest_layers(success: DataFrame, fail: DataFrame, k: int) -> DataFrame:
     """layer, direction, norm of the k layers whose means (layer, vector) differ most."""
     s, f = mean_vectors(success, ["layer"]), mean_vectors(fail, ["layer"]).withColumnRenamed("vector", "_f")

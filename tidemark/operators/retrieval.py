@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stats import cosine, dot, mean, random_reciprocal_rank, random_top_k
 from tidemark.functions.text import wide_tokens
+from tidemark.operators import toymodel
 
 #: BM25's k1 and b.
 K1, B = 1.5, 0.75
@@ -93,6 +94,17 @@ def bm25_of_pools(pools: DataFrame, queries: DataFrame, docs: DataFrame) -> Data
     return pools.join(sums, ["target", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def gradient_rank(pool: DataFrame, tasks: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
+    """Candidates of pool (target, doc_id, is_true) ranked by the product of the scorer's vectors of task and document, the first k.
+
+    tasks: target with what ``toymodel.prompt_vector`` takes; docs: doc_id with what ``toymodel.document_vector`` takes.  Each
+    task and document has its vector made once, before any pair is formed.
+    """
+    t = tasks.select("target", toymodel.prompt_vector().alias("vector"))
+    d = docs.select("doc_id", toymodel.document_vector().alias("vector"))
+    return vector_rank(t, pool.withColumn("position", F.col("doc_id")).join(d, "doc_id"), k, digits=4)
+
+
 def per_target(rows: DataFrame, true: str = "is_true", by: str = "target", deep: int = 10) -> DataFrame:
     """by, top1, top10, mrr of ranked rows."""
     first = rows.groupBy(by).agg(F.min(F.when(F.col(true), F.col("rank"))).alias("_r"))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stats import dot
 from tidemark.functions.text import deidentify, token_count
-from tidemark.operators import ablation, matching, mechanism, pools, prompts, records, retrieval, rollups, sampling, toymodel, validation
+from tidemark.operators import ablation, matching, mechanism, pools, prompts, records, retrieval, rollups, sampling, validation
 from tidemark.plans.bindings import SCORES, rounded, scores, table
 from tidemark.streaming.background import bundle
 
-SEED, NEGATIVES = 5, 40
+SEED, NEGATIVES = 5, 256
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,18 +22,19 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first document of each record stands for a successful task of it."""
-    return _vectors(spark, sf_dir).filter(F.col("doc_id") % 4 == 0).select(F.col("doc_id").alias("target"), "record_id", "family", "vector")
+    first = F.min_by(F.struct("family", "vector"), "doc_id").alias("_f")
+    return _vectors(spark, sf_dir).groupBy("record_id").agg(F.min("doc_id").alias("target"), first).select("target", "record_id", "_f.family", "_f.vector")
 
 
 def candidate_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pools.candidate_pools(_targets(spark, sf_dir), _vectors(spark, sf_dir), NEGATIVES, SEED).select("target", "doc_id", "is_true")
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranked(spark: SparkSession, sf_dir: str, deep: int = 20) -> DataFrame:
     """Candidates by product, equal ones by id; the target's own document is no candidate."""
     pool = candidate_pools(spark, sf_dir).filter("doc_id <> target").withColumn("position", F.col("doc_id"))
     docs = _vectors(spark, sf_dir)
-    return retrieval.vector_rank(_targets(spark, sf_dir).select("target", "vector"), pool.join(docs, "doc_id"), 20)
+    return retrieval.vector_rank(_targets(spark, sf_dir).select("target", "vector"), pool.join(docs, "doc_id"), deep)
 
 
 def vector_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def provenance_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recall_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(retrieval.recall_curve(_ranked(spark, sf_dir)))
+    return rounded(retrieval.recall_curve(_ranked(spark, sf_dir, 50)))
 
 
 def random_topk_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,66 +185,6 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.report(_generated(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
-def _toy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _generated(spark, sf_dir)
-    p = prompts.make_prompts(r)
-    exposed = pools.exposure(records.render(r, "c3_fuzzy_5x"))
-    rows = p.join(exposed, "record_id", "left").join(r.select("record_id", "repetition_bucket"), "record_id")
-    rows = rows.withColumns({"cue_band": F.col("cue_band_requested"), "is_member": F.col("membership") == "member"})
-    return toymodel.scored(rows, "c3_fuzzy_5x", SEED)
-
-
-def toy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_toy(spark, sf_dir).select("task_id", "logit", "probability", "target_logprob", "extracts"))
-
-
-def toy_sampled_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toymodel.sampled(_toy(spark, sf_dir), 5, 11, SEED).select("task_id", "sample_index", "extracts")
-
-
-def layer_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = mechanism.layer_contributions(F.col("activations"), toymodel.weights())
-    return rounded(_toy(spark, sf_dir).select("task_id", F.posexplode(c).alias("layer", "contribution")))
-
-
-def mean_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean change of low-cue members' probability when layers take the nonmembers' mean."""
-    toy = _toy(spark, sf_dir).filter("cue_band = 'low'")
-    mean = mechanism.mean_matrix(toy.filter("NOT is_member"))
-    rows = toy.filter("is_member").crossJoin(F.broadcast(mean))
-    out = None
-    for name, layers in (("targeted", [10, 11, 12]), ("random", [0, 2, 5])):
-        changed = toymodel.sigmoid(toymodel.logit(mechanism.replaced(F.col("activations"), F.col("mean"), layers)))
-        part = rows.agg(F.lit(name).alias("mode"), F.avg(changed - F.col("probability")).alias("delta"))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out)
-
-
-def activation_patching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failed low-cue members with a layer of a successful high-cue one."""
-    toy = _toy(spark, sf_dir).select("task_id", "record_id", "cue_band", "is_member", "extracts", "probability", "activations", "cue", "member", "condition_signal", "anchored", "exposed", "repeated", "gate", "penalty")
-    low = toy.filter("cue_band = 'low'")
-    pairs = mechanism.paired(toy.filter("cue_band = 'high' AND is_member"), low.filter("is_member"), low.filter("NOT is_member"))
-    rows = pairs.select("pair", "target.*", F.col("source.activations").alias("_from"), F.col("control.activations").alias("_control"))
-    rows = rows.withColumn("layer", F.explode(F.array(*map(F.lit, (4, 11, 13)))))
-
-    def patched(other: str):  # noqa: ANN202  a column
-        matrix = F.transform("activations", lambda v, i: F.when(i == F.col("layer"), F.get(F.col(other), i)).otherwise(v))
-        return toymodel.sigmoid(toymodel.logit(matrix)) - F.col("probability")
-
-    return rounded(rows.select("pair", "task_id", "layer", patched("_from").alias("delta"), patched("_control").alias("control_delta")))
-
-
-def residual_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean probability of low-cue members as the direction from nonmembers to members is taken out."""
-    low = _toy(spark, sf_dir).filter("cue_band = 'low'")
-    means = mechanism.mean_matrix(low.filter("is_member")).withColumnRenamed("mean", "_m").crossJoin(mechanism.mean_matrix(low.filter("NOT is_member")))
-    direction = F.zip_with("_m", "mean", lambda a, b: F.zip_with(a, b, lambda x, y: x - y))
-    rows = low.filter("is_member").crossJoin(F.broadcast(means.select(direction.alias("direction")))).withColumn("alpha", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 1.0, 2.0)))))
-    p = toymodel.sigmoid(toymodel.logit(mechanism.moved(F.col("activations"), F.col("direction"), F.col("alpha"))))
-    return rounded(rows.groupBy("alpha").agg(F.avg(p).alias("probability")))
-
-
 def source_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations' texts before the documents', the first of each signature."""
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
@@ -258,19 +199,25 @@ def balance_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (candidate_pools, vector_rank_topk, provenance_recall_mrr, recall_curve, random_topk_expected, provenance_baselines, pool_bm25, attribution_removal, target_selection, top_targets, exposure_counts, group_mean_vector, direction_norms, standardize_group, logistic_probe, probe_groups, dot_products, bootstrap_ci, matched_pairs, generated_records, rendered_documents, template_prompts, attack_prompts, exchanged_records, validation_report, toy_scores, toy_sampled_generation, layer_attribution, mean_ablation, activation_patching, residual_direction, source_bundle, balance_by_label)
+    for f in (candidate_pools, vector_rank_topk, provenance_recall_mrr, recall_curve, random_topk_expected, provenance_baselines, pool_bm25, attribution_removal, target_selection, top_targets, exposure_counts, group_mean_vector, direction_norms, standardize_group, logistic_probe, probe_groups, dot_products, bootstrap_ci, matched_pairs, generated_records, rendered_documents, template_prompts, attack_prompts, exchanged_records, validation_report, source_bundle, balance_by_label)
 }
 
 _V = "SELECT vec_id AS doc_id, vec_id // 4 AS record_id, label AS family, embedding AS vector FROM embeddings"
 _HASH = f"CAST(list_reduce(list_concat([0::HUGEINT], list_transform(range(0, 8), lambda i: CAST(('0x' || substr(sha256('{SEED}:' || target), CAST(8 * i + 1 AS BIGINT), 8)) AS HUGEINT))), lambda a, b: (a * 4294967296 + b) % 1000000007) AS BIGINT)"
 _POOLS = f"""v AS ({_V}), n AS (SELECT family, count(*) AS n FROM v GROUP BY family), o AS (SELECT record_id, count(*) AS own FROM v GROUP BY record_id),
 p AS (SELECT doc_id, record_id, family, row_number() OVER (PARTITION BY family ORDER BY sha256('{SEED}:' || doc_id), doc_id) - 1 AS place FROM v),
-t AS (SELECT doc_id AS target, record_id, family, vector FROM v WHERE doc_id % 4 = 0),
+t AS (SELECT doc_id AS target, record_id, family, vector FROM v WHERE doc_id IN (SELECT min(doc_id) FROM v GROUP BY record_id)),
 s AS (SELECT target, t.record_id, t.family, n, {_HASH} % n AS start, unnest(range(0, least(n, {NEGATIVES} + coalesce(own, 0)))) AS step FROM t JOIN n USING (family) LEFT JOIN o USING (record_id)),
 x AS (SELECT target, doc_id, row_number() OVER (PARTITION BY target ORDER BY step) AS k FROM s JOIN p ON p.family = s.family AND p.place = (s.start + s.step) % s.n WHERE p.record_id <> s.record_id),
 pool AS (SELECT target, doc_id, false AS is_true FROM x WHERE k <= {NEGATIVES} UNION ALL SELECT target, v.doc_id, true FROM t JOIN v USING (record_id))"""
-_RANKED = f"""{_POOLS}, sc AS (SELECT pool.*, v.record_id, (SELECT sum(a * b) FROM (SELECT unnest(CAST(t.vector AS DOUBLE[])) AS a, unnest(CAST(v.vector AS DOUBLE[])) AS b)) AS score FROM pool JOIN v USING (doc_id) JOIN t USING (target) WHERE doc_id <> target),
-r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sc) WHERE rank <= 20), first AS (SELECT target, min(rank) FILTER (is_true) AS f FROM r GROUP BY target)"""
+_SCORED = f"""{_POOLS}, sc AS (SELECT pool.*, v.record_id, (SELECT sum(a * b) FROM (SELECT unnest(CAST(t.vector AS DOUBLE[])) AS a, unnest(CAST(v.vector AS DOUBLE[])) AS b)) AS score FROM pool JOIN v USING (doc_id) JOIN t USING (target) WHERE doc_id <> target)"""
+
+
+def _ranked_sql(deep: int) -> str:
+    return f"""{_SCORED}, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sc) WHERE rank <= {deep}), first AS (SELECT target, min(rank) FILTER (is_true) AS f FROM r GROUP BY target)"""
+
+
+_RANKED, _DEEP = _ranked_sql(20), _ranked_sql(50)
 _TASKS_ORDER = {"exact": "record_exact DESC, coalesce(nullif(max_target_logprob, 0.0), CAST('-inf' AS DOUBLE)) DESC, task_id DESC", "logprob": "coalesce(nullif(max_target_logprob, 0.0), CAST('-inf' AS DOUBLE)) DESC, record_exact DESC, task_id DESC"}
 _T = f"""SELECT task_id, any_value(record_id) AS record_id, any_value(membership) AS membership, any_value(cue_band) AS cue_band, bool_or(any_sensitive_match) AS any_sensitive_match,
   bool_or(record_exact) AS record_exact, max(target_logprob) AS max_target_logprob FROM ({SCORES}) GROUP BY task_id"""
@@ -279,7 +226,7 @@ ORACLES = {
     "candidate_pools": f"WITH {_POOLS} SELECT * FROM pool",
     "vector_rank_topk": f"WITH {_RANKED} SELECT target, doc_id, is_true, round(score, 6) + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM r",
     "provenance_recall_mrr": f"WITH {_RANKED} SELECT count(*) AS targets, round(avg(CAST(coalesce(f = 1, false) AS DOUBLE)), 6) AS top1, round(avg(CAST(coalesce(f <= 10, false) AS DOUBLE)), 6) AS top10, round(avg(coalesce(1 / f, 0.0)), 6) AS mrr FROM first",
-    "recall_curve": f"WITH {_RANKED} SELECT CAST(k AS INTEGER) AS k, round(avg(CAST(coalesce(f <= k, false) AS DOUBLE)), 6) AS recall FROM first, range(1, 51) AS g(k) GROUP BY k",
+    "recall_curve": f"WITH {_DEEP} SELECT CAST(k AS INTEGER) AS k, round(avg(CAST(coalesce(f <= k, false) AS DOUBLE)), 6) AS recall FROM first, range(1, 51) AS g(k) GROUP BY k",
     "pool_bm25": f"""WITH {_POOLS}, d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_@.+-]+') AS w FROM documents), pd AS (SELECT target, doc_id, len(w) AS size FROM pool JOIN d USING (doc_id) WHERE doc_id <> target),
 c AS (SELECT target, count(*) AS n, greatest(avg(size), 1.0) AS avgdl FROM pd GROUP BY target), u AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY 1, 2),
 h AS (SELECT pd.target, pd.doc_id, pd.size, u.term, u.tf, q.tf AS times FROM pd JOIN u ON u.doc_id = pd.doc_id JOIN u q ON q.doc_id = pd.target AND q.term = u.term), f AS (SELECT target, term, count(*) AS df FROM h GROUP BY 1, 2),
