@@ -1,4 +1,5 @@
 import random
+import sys
 from fractions import Fraction
 
 import numpy as np
@@ -63,11 +64,12 @@ def test_empty_table_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 7), (7, 7)]
 
 
-def test_every_linked_pair_shares_a_signature():
+@pytest.mark.parametrize(("n2", "k2"), [(2, 1), (3, 1), (4, 2)])
+def test_every_linked_pair_shares_a_signature(n2, k2):
     rng = np.random.default_rng(1)
-    for least in (Fraction(9, 10), Fraction(4, 5)):
+    for least in (Fraction(9, 10), Fraction(4, 5), Fraction(1, 2)):
         bands, checked = ngram_join.Bands(least), 0
-        for size in (5, 9, 12, 20, 33, 70, 200, 900):
+        for size in (1, 2, 3, 5, 9, 12, 20, 33, 70, 200, 900, 4000):
             for _ in range(40):
                 base = rng.integers(0, 2**63, size * 2, dtype=np.uint64)
                 a, b = base[:size], base[int(size * (1 - least) * rng.random()) :][:size]
@@ -76,12 +78,14 @@ def test_every_linked_pair_shares_a_signature():
                 common = len(np.intersect1d(a, b))
                 if least.denominator * common >= least.numerator * (len(a) + len(b) - common) and not np.array_equal(a, b):
                     checked += 1
-                    x, y = ngram_join.signatures([a, b], bands)
+                    x, y = ngram_join.signatures([a, b], bands, n2, k2)
                     assert len(np.intersect1d(x, y))
         assert checked > 50
 
 
-def test_components(spark):
+@pytest.mark.parametrize("neighbours", [2, 1000])
+def test_components(spark, neighbours, monkeypatch):
+    monkeypatch.setattr(sys.modules[components.__module__], "NEIGHBOURS", neighbours)
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (5, 5), (200, 200)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == dict.fromkeys(range(41), 0) | dict.fromkeys((100, 101, 102), 100)

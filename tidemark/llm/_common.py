@@ -6,12 +6,14 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager, suppress
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that Python code takes at once: bounds the memory of a batch, never the length of a text.
 CHUNK_CHARS = 4_000_000
+_SPARE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,34 +33,48 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new path below the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/tidemark/{kind}-{uuid.uuid4().hex}"
-    jvm, jsc = spark._jvm, spark.sparkContext._jsc
 
     def remove() -> None:
-        try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may have ended first; the folder is then the cluster's to clean
-            pass
+        with suppress(Exception):  # the session may have ended first; the folder is then the cluster's to clean
+            _delete(spark, path)
 
     atexit.register(remove)
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def _spare(spark: SparkSession) -> Iterator[None]:
+    """For what runs inside: shuffle files go at its end, not when the driver next collects garbage, and Arrow batches are small, as texts may be long."""
+    before = {k: spark.conf.get(k) for k in _SPARE}
+    for k, v in _SPARE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, kind: str, parts: Sequence[str] = ()) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: later failures start from there."""
     spark = df.sparkSession
     path = scratch(spark, kind)
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*parts) if parts else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _spare(spark):
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*parts) if parts else writer).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def forget(df: DataFrame) -> None:
+    """Removes what ``stored`` wrote for df, which must not be read again."""
+    _delete(df.sparkSession, df._stored_at)
 
 
 def chunks(texts: Sequence[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:

@@ -5,9 +5,10 @@ ones, so each set has signatures for its own band and for the next.  In a band o
 at most k = (1 - t) / (1 + t) * 2r features.  The feature domain is cut by a hash into n1 parts, at least (k + 1) / (k2 + 1),
 one of which holds at most k2 differences; each part is cut into n2 subparts, and one subset of n2 - k2 of them holds
 none: a signature is the hash of what a set has in such a subset.  A subset that is empty in both sets (a gap) tells nothing
-and is no signature.  With g parts to spare, a linked pair without a common signature shares gaps in more than g parts:
-a set with so many gaps has each combination of g + 1 of its gaps as a signature, or, with very few or very many parts, the
-features of its prefix in an order that has common ones last.  So no linked pair is lost.
+and is no signature.  With g parts to spare, a linked pair without a common signature shares gaps in more than g parts,
+so both sets have that many: such a set is cut again by another hash, as often as it takes.  The first of the two that has
+no more than g gaps then shares a signature with the other, which was cut alike.  So no linked pair is lost, at any size;
+g is what makes the expected number of signatures smallest.
 
 Documents of one set are one class before anything else.  Signatures give candidate families.  Parity sketches, four
 bits or more for each allowed difference, split these: a pair that differs in more bits than it may in features cannot
@@ -27,6 +28,7 @@ import itertools
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -35,31 +37,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import chunks, stored
-from tidemark.llm.components import components
-from tidemark.llm.word_hash import mix, shingles, windows, words
+from tidemark.llm.components import components, roots, tree
+from tidemark.llm.word_hash import mix, shingles, words
 
 #: Second-level subparts, and differences allowed in a part.
 N2, K2 = 3, 1
-#: Up to so many parts gaps are combined.
-MOST_COMBINED = 170
 #: Sets and features of a family's block, sets of small families in a task's group, and features multiplied at once.
-BLOCK, BLOCK_FEATURES, GROUP, FEATURES = 2048, 1_500_000, 1024, 4096
-#: Documents, and characters of each, that tell which features are common.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
+BLOCK, BLOCK_FEATURES, GROUP, FEATURES = 1024, 600_000, 1024, 2048
 #: Rows of (id, family) that may be broadcast: 24 bytes each.
 BROADCAST_ROWS = 2_000_000
-#: Features for which there is one bucket of signatures.
-FEATURES_A_BUCKET = 1_000_000
+#: Features for which there is one bucket of signatures, buckets that a task takes in turn, and the least number of tasks.
+FEATURES_A_BUCKET, BUCKETS_A_TASK, LEAST_TASKS = 1_000_000, 8, 8
+#: Signatures, or edges, that a task holds before it sends them.
+HELD = 300_000
 CHUNK = 1_000_000
 _U = np.uint64
 
 
 class Parts(NamedTuple):
-    """Parts of the domain; how many of them may have gaps without harm; whether more are met by combinations of gaps, else by prefixes."""
+    """Parts of the domain (0: each feature is a signature), and how many of them may have gaps without harm."""
 
     parts: int
     spare: int
-    combined: bool
+
+
+def _chance(n: int, most: int, p: float) -> float:
+    """That of n parts at most so many have gaps."""
+    p = min(max(p, 1e-300), 1 - 1e-16)
+    k = np.arange(1, most + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log((n - k + 1) / k) + math.log(p) - math.log1p(-p))]) + n * math.log1p(-p)
+    return float(min(1.0, np.exp(logs).sum()))
+
+
+@cache
+def parts(differences: int, smallest: int, largest: int, n2: int, k2: int) -> Parts:
+    """The cut with the fewest signatures for sets of smallest to largest features, expected over their sizes."""
+    fewest = -(-(differences + 1) // (k2 + 1))
+    if smallest < fewest * (k2 + 1):  # such a set has gaps under every hash
+        return Parts(0, 0)
+    best = (math.inf, Parts(fewest, 0))
+    for spare in sorted({int(1.1**k) - 1 for k in range(1, 20 + int(math.log(fewest + 8, 1.1)))}):
+        n, cost = fewest + spare, 0.0
+        for size in np.linspace(smallest, largest, 7):
+            empty = math.exp(-size / (n * n2))
+            gap = sum(math.comb(n2, k) * (1 - empty) ** k * empty ** (n2 - k) for k in range(k2 + 1))
+            cost += n / max(_chance(n, spare, gap), 1e-9)
+        best = min(best, (cost, Parts(n, spare)))
+    return best[1]
 
 
 class Bands:
@@ -68,7 +92,6 @@ class Bands:
     def __init__(self, least: Fraction) -> None:
         self.least = least
         self._low = np.array([1])
-        self._parts: dict[tuple[int, int, int], Parts] = {}
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         while self._low[-1] <= max(sizes.max(initial=1), 1):
@@ -79,20 +102,7 @@ class Bands:
         return int(low) * self.least.denominator // self.least.numerator
 
     def parts(self, band: int, n2: int, k2: int) -> Parts:
-        if (band, n2, k2) not in self._parts:
-            fewest = -(-(self.differences(band) + 1) // (k2 + 1))
-            if fewest < 4:
-                plan = Parts(fewest, 0, False)
-            elif fewest <= MOST_COMBINED:
-                spare = 1 if fewest < 8 else 2
-                plan = Parts(fewest + spare, spare, True)
-            else:
-                smallest = int(self._low[max(band - 1, 0)])
-                gaps = math.comb(n2, k2) * fewest * math.exp(-smallest * (n2 - k2) / n2 / fewest)
-                spare = math.ceil(gaps + 3 * math.sqrt(gaps)) + 1
-                plan = Parts(fewest + spare, spare, False)
-            self._parts[band, n2, k2] = plan
-        return self._parts[band, n2, k2]
+        return parts(self.differences(band), int(self._low[max(band - 1, 0)]), self.high(self._low[band]), n2, k2)
 
     def bits(self, band: int) -> int:
         """Size of the sketches of a band: a power of two above four times what sets of it or the next may differ in."""
@@ -110,65 +120,49 @@ def sketch(features: np.ndarray, bits: int) -> np.ndarray:
     return np.bincount((mix(features ^ _U(0x3C3C3C3CC3C3C3C3)) % _U(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
 
 
-def signatures(sets: list[np.ndarray], bands: Bands, common: np.ndarray | None = None, n2: int = N2, k2: int = K2) -> list[np.ndarray]:
-    """The signatures of each set, for its band and the next. common: sorted features that come last in a prefix."""
+def signatures(sets: list[np.ndarray], bands: Bands, n2: int = N2, k2: int = K2) -> list[np.ndarray]:
+    """The signatures of each set, for its band and the next."""
     out: list[list[np.ndarray]] = [[] for _ in sets]
     sizes = np.array([len(s) for s in sets])
     band = bands.of(sizes)
     for step in (0, 1):
-        allowed = np.array([bands.differences(b) if n else 0 for b, n in zip((band + step).tolist(), sizes.tolist(), strict=True)])
-        used = np.flatnonzero(allowed > 0)  # without differences only equal sets link, and these are one class
-        if not len(used):
-            continue
-        plans = [bands.parts(b, n2, k2) for b in (band[used] + step).tolist()]
-        parts = np.array([p.parts for p in plans])
-        base = np.concatenate([[0], np.cumsum(parts)])
-        features = np.concatenate([sets[i] for i in used])
-        owner = np.repeat(np.arange(len(used)), sizes[used])
-        spread = mix(features ^ _U(0xA5A5A5A55A5A5A5A))
-        cell = (base[owner] + ((spread >> _U(20)) % parts[owner].astype(_U)).astype(np.int64)) * n2 + (spread % _U(n2)).astype(np.int64)
-        sums = np.zeros(base[-1] * n2, _U)
-        np.add.at(sums, cell, spread)
-        filled = np.bincount(cell, minlength=base[-1] * n2).reshape(-1, n2)
-        sums = sums.reshape(-1, n2)
-        number = np.arange(base[-1]) - np.repeat(base[:-1], parts)
-        place = (band[used] + step + 1).astype(_U)
-        salt = mix(np.repeat(place, parts) * _U(0x1000003) + number.astype(_U) * _U(0x100000001B3))
-        found = []
-        of_part = np.repeat(np.arange(len(used)), parts)
-        empty = np.zeros(base[-1], np.int64)  # the first empty subset of each part, from 1
-        gaps: dict[int, list[int]] = {}
-        for k, subset in enumerate(itertools.combinations(range(n2), n2 - k2)):
-            some = filled[:, subset].sum(1) > 0
-            found.append((mix(sums[:, subset].sum(1, dtype=_U) + salt + _U(k + 1)), some))
-            for at in np.flatnonzero(~some).tolist():
-                gaps.setdefault(int(of_part[at]), []).append(int(number[at]) * 64 + k)
-                empty[at] = k + 1
-        with_gap = np.bincount(of_part, empty > 0, len(used)).astype(int)
-        for j, i in enumerate(used.tolist()):
-            lo, hi = base[j], base[j + 1]
-            out[i] += [x[lo:hi][some[lo:hi]] for x, some in found]
-            spare = plans[j].spare
-            if with_gap[j] <= spare:
-                continue
-            tag = mix(place[j : j + 1] ^ _U(0xFEDCBA9876543210))
-            if plans[j].combined:
-                shared = np.array(list(itertools.combinations(sorted(gaps[j]), spare + 1)), _U)
-                shared = shared[(np.diff(shared // _U(64), axis=1) > 0).all(1)] if spare else shared
-                out[i].append(mix(windows(mix(shared.ravel() + tag), spare + 1)[:: spare + 1] + tag))
-                continue
-            n = int(sizes[i])
-            prefix = n - -(-n * bands.least.numerator // bands.least.denominator) + 1
-            ordered = sets[i]
-            if common is not None and len(common):
-                late = common[np.minimum(np.searchsorted(common, ordered), len(common) - 1)] == ordered
-                ordered = np.concatenate([ordered[~late], ordered[late]])
-            out[i].append(mix(ordered[:prefix] + tag))
+        # without differences only equal sets link, and these are one class
+        plans = {b: bands.parts(b + step, n2, k2) for b in np.unique(band[sizes > 0]).tolist() if bands.differences(b + step)}
+        used = np.array([i for i, (b, n) in enumerate(zip(band.tolist(), sizes.tolist(), strict=True)) if n and b in plans], np.int64)
+        for i in [i for i in used.tolist() if not plans[band[i]].parts]:
+            out[i].append(mix(sets[i] + _U(band[i] + step + 1)))
+        used = np.array([i for i in used.tolist() if plans[band[i]].parts], np.int64)
+        times = 0
+        while len(used):
+            parts = np.array([plans[b].parts for b in band[used].tolist()])
+            spare = np.array([plans[b].spare for b in band[used].tolist()])
+            base = np.concatenate([[0], np.cumsum(parts)])
+            features = np.concatenate([sets[i] for i in used])
+            owner = np.repeat(np.arange(len(used)), sizes[used])
+            times += 1
+            spread = mix(features ^ mix(np.array([0xA5A5A5A55A5A5A5A + times], _U)))
+            cell = (base[owner] + ((spread >> _U(20)) % parts[owner].astype(_U)).astype(np.int64)) * n2 + (spread % _U(n2)).astype(np.int64)
+            sums = np.zeros(base[-1] * n2, _U)
+            np.add.at(sums, cell, spread)
+            filled = np.bincount(cell, minlength=base[-1] * n2).reshape(-1, n2)
+            sums = sums.reshape(-1, n2)
+            number = (np.arange(base[-1]) - np.repeat(base[:-1], parts)).astype(_U)
+            place = (band[used] + step + 1).astype(_U) + (_U(times) << _U(32))
+            salt = mix(np.repeat(place, parts) * _U(0x1000003) + number * _U(0x100000001B3))
+            gap = np.zeros(base[-1], bool)
+            for k, subset in enumerate(itertools.combinations(range(n2), n2 - k2)):
+                some = filled[:, subset].sum(1) > 0
+                gap |= ~some
+                found = mix(sums[:, subset].sum(1, dtype=_U) + salt + _U(k + 1))[some]
+                ends = np.concatenate([[0], np.cumsum(some)])[base]
+                for j, i in enumerate(used.tolist()):
+                    out[i].append(found[ends[j] : ends[j + 1]])
+            used = used[np.add.reduceat(gap, base[:-1], dtype=np.int64) > spare]
     return [np.concatenate(x) if x else np.zeros(0, _U) for x in out]
 
 
 def described(docs: DataFrame, n: int, least: Fraction) -> DataFrame:
-    """doc_id, n_shingles, set_key, node, sketch, band of each document. node: half of the key, as a long."""
+    """doc_id, text_hash, n_shingles, set_key, sketch, band of each row."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(least)
@@ -177,13 +171,12 @@ def described(docs: DataFrame, n: int, least: Fraction) -> DataFrame:
             for lo, hi in chunks(texts, CHUNK):
                 sets = shingles(*words(texts[lo:hi]), n)
                 keys = [_key(s) for s in sets]
-                nodes = [None if k is None else _node(k) for k in keys]
                 size = np.array([len(s) for s in sets])
                 sketches = [np.packbits(sketch(s, bands.bits(b))).tobytes() for s, b in zip(sets, bands.of(size).tolist(), strict=True)]
                 band = pa.array(bands.of(size).astype(np.int32))
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), band], names=["doc_id", "n_shingles", "set_key", "node", "sketch", "band"])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(size), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), band], names=["doc_id", "text_hash", "n_shingles", "set_key", "sketch", "band"])
 
-    return _texts(docs).mapInArrow(describe, "doc_id long, n_shingles long, set_key binary, node long, sketch binary, band int")
+    return _texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(describe, "doc_id long, text_hash long, n_shingles long, set_key binary, sketch binary, band int")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -194,28 +187,8 @@ def _key(features: np.ndarray) -> bytes | None:
     return hashlib.blake2b(features.tobytes(), digest_size=16).digest() if len(features) else None
 
 
-def _node(key: bytes) -> int:
-    return int.from_bytes(key[:8], "little", signed=True)
-
-
-def common_features(docs: DataFrame, n: int) -> np.ndarray:
-    """Features that several documents of a sample have, sorted.
-
-    They only order the features of prefixes, where any order is exact: common ones last keeps candidates few.
-    """
-    rows = _texts(docs).filter("text IS NOT NULL")
-    share = min(1.0, 1.5 * SAMPLE_ROWS / max(rows.count(), 1))
-    hashed = rows.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).filter(F.col("h") <= min(int(-(2**63) + share * 2**64), 2**63 - 1))
-    texts = [r.text for r in hashed.orderBy("h").limit(SAMPLE_ROWS).collect()]
-    sets = [s for lo, hi in chunks(texts, CHUNK) for s in shingles(*words(texts[lo:hi]), n)]
-    if not sets:
-        return np.zeros(0, _U)
-    found, times = np.unique(np.concatenate(sets), return_counts=True)
-    return found[times > 1]
-
-
-def _stars(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct signatures with their smallest node, and edges from the other nodes to it."""
+def _stars(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct signatures, their smallest node, which are shared, and edges from the other nodes to it."""
     order = np.lexsort((nodes, sigs))
     sigs, nodes = sigs[order], nodes[order]
     first = np.ones(len(sigs), bool)
@@ -223,100 +196,135 @@ def _stars(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     hub = nodes[first][np.cumsum(first) - 1]
     other = nodes != hub
     edges = np.unique(np.stack([nodes[other], hub[other]], 1), axis=0)
-    return sigs[first], nodes[first], edges[:, 0], edges[:, 1]
+    shared = np.add.reduceat(~first, np.flatnonzero(first)) > 0 if len(first) else first
+    return sigs[first], nodes[first], shared, edges[:, 0], edges[:, 1]
 
 
-def star_edges(docs: DataFrame, n: int, least: Fraction, buckets: int) -> DataFrame:
-    """u, v: each node with the smallest node of each of its signatures, rows may repeat.
+def _edges(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between the nodes of a signature and its smallest one. Only shared signatures' nodes are ever put in order."""
+    order = np.argsort(sigs)
+    same = sigs[order[1:]] == sigs[order[:-1]]
+    several = np.zeros(len(sigs), bool)
+    several[1:] = same
+    several[:-1] |= same
+    kept = order[several]
+    _, _, _, u, v = _stars(sigs[kept], nodes[kept])
+    return u, v
 
-    A chunk of documents sends a signature once, with its smallest node; the others' edges to that one go along as they
-    are, so a signature that very many share has one row a chunk.  Signatures are cut to a bucket and 40 bits: a chance
-    match makes two sets candidates, no more, and is as rare at any size since buckets keep theirs.
-    """
 
-    common = common_features(docs, n)
+class _Known:
+    """Signatures that several documents of a task had before, with the node that was sent: a table of bounded size, which may forget."""
+
+    def __init__(self, slots: int = 1 << 19) -> None:
+        self._sig, self._node, self._mask = np.zeros(slots, _U), np.zeros(slots, np.int64), _U(slots - 1)
+
+    def take(self, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which are known, and their nodes."""
+        at = (sigs & self._mask).astype(np.int64)
+        return (self._sig[at] == sigs) & (sigs > 0), self._node[at]
+
+    def add(self, sigs: np.ndarray, nodes: np.ndarray) -> None:
+        at = (sigs & self._mask).astype(np.int64)
+        one = np.unique(at, return_index=True)[1]
+        self._sig[at[one]], self._node[at[one]] = sigs[one], nodes[one]
+
+
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    """The lower bytes of whole numbers, those of one weight together, which compresses."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _numbers(planes: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(planes) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+def star_edges(rows: DataFrame, n: int, least: Fraction, buckets: int) -> DataFrame:
+    """u, v: ids of rows (doc_id, text) that signatures join to a smaller one; edges may repeat.
+
+    A task sends a signature that several of its documents have once, with the smallest id that its signatures join them to;
+    their edges to that one go along as a tree, so a signature that very many share has one row a task.  Signatures are cut to a bucket and 40 bits: a
+    chance match makes two sets candidates, no more, and is as rare at any size since buckets keep theirs.  A row has the
+    signatures of one bucket in the order of their ids, of which only steps are sent.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(least), set()
+        bands, known = Bands(least), _Known()
+        held: list[list[np.ndarray]] = [[], []]
+
+        def send() -> Iterator[pa.RecordBatch]:
+            sigs, nodes, shared, u, v = _stars(*map(np.concatenate, held))
+            held[0].clear(), held[1].clear()
+            again, sent_with = known.take(sigs)
+            u, v = tree(np.concatenate([u, nodes[again]]), np.concatenate([v, sent_with[again]]))
+            # one node stands for all that the task has joined
+            place = np.minimum(np.searchsorted(u, nodes), max(len(u) - 1, 0))
+            nodes = np.where(u[place] == nodes, v[place], nodes) if len(u) else nodes
+            known.add(sigs[shared & ~again], nodes[shared & ~again])
+            sigs, nodes = sigs[~again], nodes[~again]
+            bucket = (sigs % _U(buckets)).astype(np.int32)
+            order = np.lexsort((nodes, bucket))
+            bucket, part, nodes = bucket[order], sigs[order] >> _U(24), nodes[order]
+            marks = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            rows = []
+            for a, b in zip(marks.tolist(), [*marks[1:].tolist(), len(bucket)], strict=True):
+                step = np.diff(nodes[a:b]).astype(_U)
+                width = max(1, -(-int(step.max(initial=0)).bit_length() // 8))
+                rows.append((int(bucket[a]), int(nodes[a]), width, _planes(part[a:b], 5), _planes(step, width)))
+            if len(u):
+                rows.append((int(u[0]) % buckets, 0, 0, u.astype("<i8").tobytes(), v.astype("<i8").tobytes()))
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "least", "width", "one", "two"])
+
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts, ids = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_numpy()
             for lo, hi in chunks(texts, CHUNK):
-                new, nodes = [], []
-                for s in shingles(*words(texts[lo:hi]), n):
-                    k = _key(s)
-                    if k is not None and k not in seen:  # a task gives a class's signatures once
-                        seen.add(k)
-                        new.append(s)
-                        nodes.append(_node(k))
-                if not new:
-                    continue
-                sigs = signatures(new, bands, common)
-                if not sum(map(len, sigs)):  # sets too small to have near ones
-                    continue
-                sigs, owner, u, v = _stars(np.concatenate(sigs), np.repeat(np.array(nodes), [len(x) for x in sigs]))
-                bucket = (sigs % _U(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                bucket, parts, owner = bucket[order], (sigs[order] >> _U(24)), owner[order]
-                marks = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                rows = []
-                for a, b in zip(marks, np.append(marks[1:], len(bucket)), strict=True):
-                    mine, index = np.unique(owner[a:b], return_inverse=True)
-                    # bytes of one weight stand together, which compresses
-                    rows.append((int(bucket[a]), parts[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes(), index.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), mine.astype("<i8").tobytes()))
-                if len(u):
-                    rows.append((int(bucket[0]), None, None, np.stack([u, v]).astype("<i8").tobytes()))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "sigs", "owners", "nodes"])
-            if len(seen) > 1_000_000:
-                seen = set()
+                sigs = signatures(shingles(*words(texts[lo:hi]), n), bands)
+                if sum(map(len, sigs)):  # else the sets are too small to have near ones
+                    held[0].append(np.concatenate(sigs))
+                    held[1].append(np.repeat(ids[lo:hi], [len(x) for x in sigs]))
+                    if sum(map(len, held[0])) >= HELD:
+                        yield from send()
+        if held[0]:
+            yield from send()
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
+        edges: list[list[np.ndarray]] = [[], []]
         current = None
 
-        def edges() -> Iterator[pa.RecordBatch]:
+        def close() -> None:
             if held[0]:
-                _, _, u, v = _stars(np.concatenate(held[0]), np.concatenate(held[1]))
-                yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+                u, v = _edges(*map(np.concatenate, held))
+                edges[0].append(u), edges[1].append(v)
             held[0].clear(), held[1].clear()
 
+        def joined() -> Iterator[pa.RecordBatch]:
+            if edges[0]:
+                u, v = tree(*map(np.concatenate, edges))
+                yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+            edges[0].clear(), edges[1].clear()
+
         for batch in batches:
-            for bucket, sigs, owners, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                nodes = np.frombuffer(nodes, "<i8")
-                if sigs is None:
-                    u, v = nodes.reshape(2, -1)
-                    yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
-                    continue
-                if bucket != current:
-                    yield from edges()
-                    current = bucket
-                m = len(sigs) // 5
-                whole = np.zeros((m, 8), np.uint8)
-                whole[:, :5] = np.frombuffer(sigs, np.uint8).reshape(5, m).T
-                index = np.ascontiguousarray(np.frombuffer(owners, np.uint8).reshape(4, m).T).view("<u4").ravel()
-                held[0].append(whole.view("<u8").ravel())
-                held[1].append(nodes[index])
-        yield from edges()
-
-    sent = _texts(docs).mapInArrow(emit, "bucket int, sigs binary, owners binary, nodes binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(match, "u long, v long")
-
-
-def _roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest place that each of m places reaches by the pairs (i, j)."""
-    label = np.arange(m)
-    while True:
-        a, b = label[i], label[j]
-        low = np.minimum(a, b)
-        new = label.copy()
-        for root in (a, b):  # roots alone move, so what points to one stays with it
-            np.minimum.at(new, root, low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
+            for bucket, least_id, width, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not width:
+                    edges[0].append(np.frombuffer(one, "<i8")), edges[1].append(np.frombuffer(two, "<i8"))
+                else:
+                    if bucket != current:
+                        close()
+                        current = bucket
+                    held[0].append(_numbers(one, 5))
+                    held[1].append(np.cumsum(np.append(np.array([least_id], np.int64).view(_U), _numbers(two, width)), dtype=_U).view(np.int64))
+                if sum(map(len, edges[0])) >= HELD:
+                    yield from joined()
+        close()
+        yield from joined()
+
+    sent = rows.mapInArrow(emit, "bucket int, least long, width int, one binary, two binary")
+    # a task's edges are one tree, so fewer tasks send a pair of documents fewer times
+    tasks = max(min(buckets, LEAST_TASKS), -(-buckets // BUCKETS_A_TASK))
+    return sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(match, "u long, v long")
 
 
 def near_sketches(sizes: np.ndarray, sketches: list[bytes], side: np.ndarray, bands: Bands, only: int | None = None) -> np.ndarray:
@@ -345,7 +353,7 @@ def near_sketches(sizes: np.ndarray, sketches: list[bytes], side: np.ndarray, ba
                 i, j = np.nonzero(good)
                 found.append(np.stack([part[i], b[j]], 1))
     pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return _roots(len(sizes), pairs[:, 0], pairs[:, 1])
+    return roots(len(sizes), pairs[:, 0], pairs[:, 1])
 
 
 def forest(first: list[np.ndarray], second: list[np.ndarray] | None, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -376,7 +384,7 @@ def forest(first: list[np.ndarray], second: list[np.ndarray] | None, least: Frac
     else:
         links = np.concatenate([linked.sum(1), linked.sum(0)])
     i, j = np.nonzero(linked)
-    return _roots(m, i, j + (cut if second is not None else 0)), links
+    return roots(m, i, j + (cut if second is not None else 0)), links
 
 
 def refined(families: DataFrame, least: Fraction) -> DataFrame:
@@ -420,18 +428,27 @@ def _in_pairs(rows: DataFrame, groups: int, many: Column | None = None) -> DataF
     return out.withColumns({"many": many, "unit": unit, "low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "blocks")
 
 
+def representatives(docs: DataFrame, told: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, text of docs less those that only repeat the set of a smaller id, and of those without an id."""
+    of = told.filter("doc_id IS NOT NULL AND set_key IS NOT NULL").select("doc_id", "set_key").join(classes, "set_key")
+    copies = stored(of.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first")).filter("NOT first").select("doc_id"), "copies")
+    return _texts(docs).filter("doc_id IS NOT NULL").join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti").select("doc_id", "text")
+
+
 def similar_documents(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id, n_links for each row.
+    """doc_id, n_shingles, component_id, class_id, n_links, text_hash for each row.
 
-    class_id: smallest id of the documents of the same set. n_links: other sets that link with it.
+    class_id: smallest id of the documents of the same set. n_links: other sets that link with it. text_hash: xxhash64 of the text.
     """
     told = stored(described(docs, n, least), "sets")
-    members = told.select("doc_id", "n_shingles", "set_key")
-    classes = told.filter("set_key IS NOT NULL").groupBy("set_key", "node", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.first("sketch").alias("sketch"), F.first("band").alias("band"))
+    members = told.select("doc_id", "text_hash", "n_shingles", "set_key")
+    classes = members.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
     features = told.agg(F.sum("n_shingles")).first()[0] or 0
-    families = components(star_edges(docs, n, least, -(-features // FEATURES_A_BUCKET) or 1))
-    families = families.select("node", F.col("label").alias("family")).join(classes.filter("class_id IS NOT NULL"), "node")
-    families = stored(families.select("class_id", "family", "n_shingles", "sketch", "band", "set_key"), "families")
+    edges = star_edges(representatives(docs, told, classes), n, least, -(-features // FEATURES_A_BUCKET) or 1)
+    families = components(edges).select(F.col("node").alias("class_id"), F.col("label").alias("family"))
+    # an id may have rows of several texts: each that is the first of its class takes part
+    of_class = told.filter("set_key IS NOT NULL").withColumnRenamed("doc_id", "class_id").join(families, "class_id").join(classes, ["set_key", "class_id"])
+    families = stored(of_class.groupBy("class_id", "set_key").agg(*(F.first(c).alias(c) for c in ("family", "n_shingles", "sketch", "band"))), "families")
     near = components(refined(families.drop("set_key"), least)).select(F.col("node").alias("class_id"), F.col("label").alias("family"))
     found = families.drop("family").join(near, "class_id")
     sizes = found.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_FEATURES)).cast("int").alias("blocks"))
@@ -484,5 +501,5 @@ def similar_documents(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4,
     of_class = classes.join(labels, "class_id", "left").join(links, "class_id", "left").select("set_key", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     own_id = F.col("doc_id")
     return members.join(of_class, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", own_id).alias("component_id"), F.coalesce("class_id", own_id).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", "n_shingles", F.coalesce("component_id", own_id).alias("component_id"), F.coalesce("class_id", own_id).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash"
     )

@@ -27,7 +27,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ɏ]|<\\|")
 CHUNK = 1_000_000
 #: Slots of the table, and ids that it may hold.
-SLOTS, IDS_KEPT = 1 << 21, 8_000_000
+SLOTS, IDS_KEPT = 1 << 20, 4_000_000
 _U = np.uint64
 _SPACE, _DIGIT, _LETTER, _SIGN = range(4)
 _CLASS = np.full(256, _SIGN, np.uint8)
