@@ -97,3 +97,57 @@ def test_planted_passages(spark, name):
     items = [(r.item_id, plain(r.text)) for r in b.collect()]
     expected = sorted((r.doc_id, i) for r in d.collect() for i, t in items if t in plain(r.text))
     assert sorted((r.doc_id, r.item_id) for r in contaminated(d, b).collect()) == expected
+
+
+NAMES = ["Anna", "Tom", "Eve", "Maria Lopez", "Ken", "Bill", "Zoe", "Otto", "Ines", "Paul"]
+UNITS = ["kg", "lb", "km", "miles", "hours", "minutes", "euros", "dollars"]
+
+
+def questions(rng, count):
+    """Word problems of random words, half of them full of numbers; each with other names, numbers and units of the same pattern."""
+    words = ["".join(rng.choices("abcdefghilmnoprst", k=rng.randrange(3, 9))) for _ in range(400)]
+    for k in range(count):
+        names, numbers, units = rng.sample(NAMES, 3), rng.sample(range(2, 999), 4), rng.sample(UNITS, 2)
+        pattern = []
+        for _ in range(rng.randrange(2, 5)):
+            sentence = [f"<n{rng.randrange(3)}>"]
+            for _ in range(rng.randrange(4, 9)):
+                sentence += [rng.choice(words)] if k % 2 else [f"<d{rng.randrange(4)}>", f"<u{rng.randrange(2)}>", rng.choice(words)]
+            pattern.append(" ".join(sentence) + ".")
+        pattern = " ".join(pattern)
+
+        def filled(names, numbers, units, text=pattern):
+            for mark, values in (("n", names), ("d", numbers), ("u", units)):
+                for i, v in enumerate(values):
+                    text = text.replace(f"<{mark}{i}>", str(v))
+            return text
+
+        others = rng.sample([n for n in NAMES if n not in names], 3)
+        changed = others, rng.sample(range(1000, 9999), 4), rng.sample([u for u in UNITS if u not in units], 2)
+        yield filled(names, numbers, units), filled(*changed)
+
+
+def test_recall_of_new_parameters(spark):
+    rng = random.Random(11)
+    made = list(questions(rng, 120))
+    filler = ["".join(rng.choices("uvwxyz", k=5)) for _ in range(300)]
+    around = lambda: " ".join(rng.choices(filler, k=40))
+    texts = [f"{around()}. {new} {around()}" for _, new in made] + [around() + f" {rng.randrange(99)} kg. " + around() for _ in range(60)]
+    got = contaminated(docs(spark, *texts), bench(spark, *(old for old, _ in made))).collect()
+    caught = {r.doc_id for r in got if r.doc_id == r.item_id}
+    assert len([i for i in caught if i % 2]) >= 0.9 * 60 and len([i for i in caught if not i % 2]) >= 0.9 * 60
+    assert not [r for r in got if r.doc_id != r.item_id]
+
+
+def test_words_that_polynomials_confuse(spark):
+    one = "".join("ab"[k.bit_count() & 1] for k in range(4096))
+    words = [w for size in (16, 2048, 4096) for w in (one[:size], one[:size].translate(str.maketrans("ab", "ba")))]
+    texts = [" ".join(words[k::2] * 4) for k in (0, 1)]
+    assert found(contaminated(docs(spark, *texts), bench(spark, texts[0]))) == [(0, 0, "exact")]
+
+
+def test_clashing_columns_and_nulls(spark):
+    d = spark.createDataFrame([(None, ITEM, 1, "x", 2), (5, ITEM, None, None, None)], "doc_id long, text string, row long, level string, hash long")
+    b = spark.createDataFrame([(None, ITEM, 1, 2), (3, None, None, None)], "item_id long, text string, item_no long, size long")
+    got = contaminated(d, b).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.kind) for r in got) == [(0, None, "exact"), (5, None, "exact")]

@@ -3,38 +3,43 @@
 A text becomes tokens (runs of letters, runs of digits; case aside).  In its template, runs of numbers become <num>, a
 unit after a number <unit>, and, at the third level, runs of capitalised words within a sentence <name>; at the last
 level a capitalised word that opens a sentence is part of a <name> as well.  All other tokens stay, and at the first level
-all of them do.  Windows of ``WINDOW`` template tokens of the benchmark form a hash table; the documents' windows probe it.
+all of them do.  A window has ``WINDOW`` template tokens, and more until ``PLAIN`` of them are no slots, so it tells something
+in texts full of numbers too.  The windows of the benchmark are a table; those of the documents meet it in a hash join.
+Documents' windows whose hash a Bloom filter of that table lacks are never made rows, so what is joined is little more than
+the hits: a table of up to ``BLOCK_WINDOWS`` windows is broadcast, a larger one is joined by a shuffle.  Hits then meet by
+document; texts are never moved.
+
 Hits of a document and an item are lined up by the distance of their positions.  In each line slots are
 checked: each value of the item must stand for one value of the document throughout, or the window does not count; lines
 join the largest one if their slots agree.  A document is contaminated by an item if the windows that count cover ``COVERAGE`` of the item's tokens, or ``RUN`` of them in a row, however long the item.
 
-The benchmark is taken in blocks of ``BLOCK_WINDOWS`` windows, each against all documents, so what a task holds has a
-bound and no item is left out.  Documents are never shuffled.
-
 Defined cases: null and empty texts are not contaminated; items of fewer than ``LEAST`` tokens tell nothing and match
-nothing; items shorter than a window match by a window of their length; rows that repeat are reported each; benchmark items
-with one text are reported each; an empty table or benchmark gives no rows; other columns are ignored.
+nothing; items shorter than a window match by a window of their length; rows that repeat are reported each, of documents
+and of the benchmark; an empty table or benchmark gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import chunks
+from tidemark.llm._common import chunks, stored
 from tidemark.llm.word_hash import mix, of_stretches, padded, windows
 
-WINDOW, LEAST, COVERAGE, BLOCK_WINDOWS = 8, 4, 0.5, 100_000
+WINDOW, LEAST, COVERAGE, BLOCK_WINDOWS = 8, 4, 0.5, 200_000
 #: Tokens of an item in a row that suffice whatever their share.
 RUN = 30
-#: Windows with fewer plain tokens than this share of their length say too little at the levels with slots.
-PLAIN = 0.5
+#: Tokens of a window that are no slots: it grows up to LONGEST tokens to have them. Windows of short items need half of their length.
+PLAIN, LONGEST = 4, 64
+#: Bits a window has in the filter, and the most bits that it has: beyond, more rows reach the join.
+FILTER_BITS, MOST_BITS = 64, 1 << 27
 UNITS = (
     "mm cm m km in inch inches ft feet foot yd yard yards mi mile miles mg g kg lb lbs oz ton tons tonne tonnes ml l liter liters litre litres gallon gallons "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent degree degrees dollar dollars cent cents "
@@ -126,92 +131,149 @@ def unit_hashes() -> np.ndarray:
 _UNIT_HASHES: list[np.ndarray] = []
 
 
-def _windows(text: np.ndarray, kind: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows within one text."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    start = np.arange(n)
-    whole = windows(hashes, size)
-    good = text[:n] == text[size - 1 :]
-    return start[good], whole[good]
-
-
-class Templates:
-    """The hash table of a block of benchmark items."""
-
-    def __init__(self, items: Sequence[tuple[int, str]]) -> None:
-        self.ids = [i for i, _ in items]
-        tokens = Tokens([t for _, t in items])
-        self.levels = []
-        for level in range(LEVELS):
-            text, first, last, kind, hashes = tokens.level(level)
-            counts = np.bincount(text, minlength=len(items)) if len(items) else np.zeros(0, int)
-            base = np.concatenate([[0], np.cumsum(counts)])
-            places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-            for size in sorted({min(WINDOW, c) for c in counts.tolist() if c >= LEAST}):
-                start, whole = _windows(text, kind, hashes, size)
-                plain = np.concatenate([[0], np.cumsum(kind == WORD)])
-                for s, h in zip(start.tolist(), whole.tolist(), strict=True):
-                    item = int(text[s])
-                    if min(WINDOW, counts[item]) == size and plain[s + size] - plain[s] >= PLAIN * size:
-                        places[size][h].append((item, s - int(base[item])))
-            slots = [[(k, tokens.low[a:b]) if k != WORD else None for k, a, b in zip(kind[x:y].tolist(), first[x:y].tolist(), last[x:y].tolist(), strict=True)] for x, y in itertools_pairs(base)]
-            self.levels.append((counts, {k: dict(v) for k, v in places.items()}, {k: _filter(v) for k, v in places.items()}, slots))
-
-    def find(self, texts: Sequence[str]) -> Iterator[tuple[int, int, str, float]]:
-        """(text number, item id, kind, coverage) of each contamination."""
-        tokens, best = Tokens(texts), {}
-        for level, (counts, places, filters, slots) in enumerate(self.levels):
-            text, first, last, kind, hashes = tokens.level(level)
-            base = np.searchsorted(text, np.arange(len(texts) + 1))
-            lines: dict[tuple[int, int], dict[int, list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
-            for size, table in places.items():
-                start, whole = _windows(text, kind, hashes, size)
-                bits, keys = filters[size]
-                maybe = np.flatnonzero(bits[(whole >> _U(44)).astype(np.int64)])
-                maybe = maybe[np.isin(whole[maybe], keys)]
-                for s, h in zip(start[maybe].tolist(), whole[maybe].tolist(), strict=True):
-                    t = int(text[s])
-                    p = s - int(base[t])
-                    for item, q in table[h]:
-                        lines[t, item][p - q].append((q, s, size))
-            for (t, item), of in lines.items():
-                share, run, exact = _coverage(of, counts[item], slots[item], kind, first, last, tokens.low)
-                if (share >= COVERAGE or run >= RUN) and share > best.get((t, item), (0.0, ""))[0]:
-                    best[t, item] = share, "exact" if exact else "template"
-        for (t, item), (share, what) in sorted(best.items()):
-            yield t, self.ids[item], what, share
-
-
-def itertools_pairs(base: np.ndarray) -> Iterator[tuple[int, int]]:
-    return zip(base[:-1].tolist(), base[1:].tolist(), strict=True)
-
-
-def _filter(places: dict[int, list]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.array(sorted(places), _U)
-    bits = np.zeros(1 << 20, bool)
-    bits[(keys >> _U(44)).astype(np.int64)] = True
-    return bits, keys
-
-
-def _coverage(of: dict[int, list], n: int, slots: list, kind: np.ndarray, first: np.ndarray, last: np.ndarray, low: bytes) -> tuple[float, int, bool]:
-    """Share of the item's tokens in windows whose slots agree, the most of these in a row, and whether all slots have the item's values."""
+def _windows(text: np.ndarray, kind: np.ndarray, hashes: np.ndarray, short: Iterable[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Starts, sizes and hashes of the windows within one text: those of WINDOW tokens or more, then those of the short sizes."""
+    n = len(hashes)
+    plain = np.flatnonzero(kind == WORD)
+    before = np.concatenate([[0], np.cumsum(kind == WORD)])
+    if n >= WINDOW:
+        start = np.arange(n - WINDOW + 1)
+        wanted = before[start] + PLAIN - 1
+        enough = wanted < len(plain)
+        start, wanted = start[enough], wanted[enough]
+        size = np.maximum(WINDOW, plain[wanted] + 1 - start)
+        good = (size <= LONGEST) & (text[start + size - 1] == text[start])
+        start, size = start[good], size[good]
+        whole = windows(hashes, WINDOW)[start]
+        longer = np.flatnonzero(size > WINDOW)
+        for k in range(WINDOW, LONGEST):
+            longer = longer[size[longer] > k]
+            if not len(longer):
+                break
+            whole[longer] = mix(mix(whole[longer] + _U(k)) + hashes[start[longer] + k])
+        yield start, size, whole
+    for length in short:
+        start = np.arange(max(0, n - length + 1))
+        start = start[(text[start] == text[start + length - 1]) & (2 * (before[start + length] - before[start]) >= length)]
+        yield start, np.full(len(start), length), mix(windows(hashes, length)[start] + _U(length))
+
+
+def _values(kind: np.ndarray, first: np.ndarray, last: np.ndarray, low: bytes, start: int, size: int) -> bytes:
+    """The slots of a window: place, kind, length of the value, and the value."""
+    return b"".join(struct.pack("<BBI", k, kind[start + k], last[start + k] - first[start + k]) + low[first[start + k] : last[start + k]] for k in np.flatnonzero(kind[start : start + size] != WORD).tolist())
+
+
+def _slots(values: bytes) -> list[tuple[int, bytes]]:
+    """Kind and value of each slot of a window, by place."""
+    out, at = [], 0
+    while at < len(values):
+        _, kind, n = struct.unpack_from("<BBI", values, at)
+        out.append((kind, values[at + 6 : at + 6 + n]))
+        at += 6 + n
+    return out
+
+
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """item_no, item_id, level, size, hash, place, tokens, item_values: the windows of each row of the benchmark."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for lo, hi in chunks(texts, CHUNK):
+                tokens, out = Tokens(texts[lo:hi]), []
+                numbers, ids = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("item_no", "item_id"))
+                for level in range(LEVELS):
+                    text, first, last, kind, hashes = tokens.level(level)
+                    counts = np.bincount(text, minlength=hi - lo)
+                    base = np.concatenate([[0], np.cumsum(counts)])
+                    short = sorted({c for c in counts.tolist() if LEAST <= c < WINDOW})
+                    for start, size, whole in _windows(text, kind, hashes, short):
+                        for s, n, h in zip(start.tolist(), size.tolist(), whole.view(np.int64).tolist(), strict=True):
+                            t = int(text[s])
+                            if n >= WINDOW or counts[t] == n:  # a short item is one window
+                                out.append((numbers[t], ids[t], level, n, h, s - int(base[t]), int(counts[t]), _values(kind, first, last, tokens.low, s, n)))
+                yield _batch(out, _ITEM)
+
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).withColumn("item_no", F.monotonically_increasing_id())
+    return rows.mapInArrow(cut, _ITEM)
+
+
+_ITEM = "item_no long, item_id long, level int, size int, hash long, place int, tokens int, item_values binary"
+_HIT = "row long, doc_id long, level int, size int, hash long, start int, doc_values binary"
+_FOUND = "doc_id long, item_id long, kind string, coverage double"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.record_batch([pa.array(c, _TYPES[t]) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names=list(names))
+
+
+#: The two places of a hash in a filter of so many bits, a power of two.
+_PLACES = (lambda h, bits: (h & _U(bits - 1)).astype(np.int64), lambda h, bits: (mix(h) & _U(bits - 1)).astype(np.int64))
+
+
+def window_filter(found: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter of the windows' hashes as bytes, of MOST_BITS at most."""
+    bits = 1 << max(10, min(count * FILTER_BITS, MOST_BITS).bit_length() - 1)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate([place(batch.column(0).to_numpy().view(_U), bits) for place in _PLACES])
+            byte, index = np.unique(at >> 3, return_inverse=True)
+            value = np.zeros(len(byte), np.int64)
+            np.bitwise_or.at(value, index, 1 << (at & 7))
+            yield pa.record_batch([pa.array(byte), pa.array(value)], names=["byte", "value"])
+
+    set_bytes = found.select("hash").mapInArrow(places, "byte long, value long").groupBy("byte").agg(F.bit_or("value").alias("value")).toArrow()
+    out = np.zeros(bits >> 3, np.uint8)
+    out[set_bytes["byte"].to_numpy()] = set_bytes["value"].to_numpy().astype(np.uint8)
+    return out
+
+
+def document_windows(docs: DataFrame, held: np.ndarray, short: list[int]) -> DataFrame:
+    """row, doc_id, level, size, hash, start, doc_values: the windows of whole documents that the filter has."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = 8 * len(held)
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for lo, hi in chunks(texts, CHUNK):
+                tokens, out = Tokens(texts[lo:hi]), []
+                rows, ids = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("row", "doc_id"))
+                for level in range(LEVELS):
+                    text, first, last, kind, hashes = tokens.level(level)
+                    base = np.searchsorted(text, np.arange(hi - lo + 1))
+                    for start, size, whole in _windows(text, kind, hashes, short):
+                        for place in _PLACES:
+                            at = place(whole, bits)
+                            maybe = np.flatnonzero(held[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                            start, size, whole = start[maybe], size[maybe], whole[maybe]
+                        for s, n, h in zip(start.tolist(), size.tolist(), whole.view(np.int64).tolist(), strict=True):
+                            t = int(text[s])
+                            out.append((rows[t], ids[t], level, n, h, s - int(base[t]), _values(kind, first, last, tokens.low, s, n)))
+                if out:
+                    yield _batch(out, _HIT)
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInArrow(probe, _HIT)
+
+
+def _coverage(of: dict[int, list], n: int) -> tuple[float, int, bool]:
+    """Share of the item's tokens in windows (place, size, item's slots, document's slots) whose slots agree, the most of these in a row, and whether all slots have the item's values."""
     lines = []
-    for windows in of.values():
+    for found in of.values():
         stands: dict[tuple[int, bytes], bytes] = {}
         covered: set[int] = set()
-        for q, s, size in sorted(windows):
+        for place, size, mine, theirs in sorted(found, key=lambda w: w[:2]):
             new = {}
-            for k in range(size):
-                if slots[q + k] is not None:
-                    value = low[first[s + k] : last[s + k]]
-                    if stands.get(slots[q + k], new.get(slots[q + k], value)) != value:
-                        break
-                    new[slots[q + k]] = value
+            for slot, (_, value) in zip(mine, theirs, strict=True):
+                if stands.get(slot, new.get(slot, value)) != value:
+                    break
+                new[slot] = value
             else:
                 stands |= new
-                covered.update(range(q, q + size))
+                covered.update(range(place, place + size))
         if covered:
             lines.append((covered, stands))
     lines.sort(key=lambda x: (-len(x[0]), sorted(x[0])))
@@ -228,35 +290,48 @@ def _coverage(of: dict[int, list], n: int, slots: list, kind: np.ndarray, first:
     return len(whole) / n, most, all(a[1] == b for a, b in agreed.items())
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Templates]:
-    """The benchmark's hash tables, one block at a time."""
-    held, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).orderBy("item_id").toLocalIterator():
-        held.append((r.item_id, r.text))
-        size += 2 * len(r.text.split())
-        if size >= BLOCK_WINDOWS:
-            yield Templates(held)
-            held, size = [], 0
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contaminations among hits that are in the order of their rows. Holds one document's hits."""
+    current, held, out = None, [], []
+
+    def close() -> None:
+        lines: dict[tuple, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        items = {}
+        for no, item, level, size, place, n, mine, start, theirs in held:
+            lines[no, level][start - place].append((place, size, _slots(mine), _slots(theirs)))
+            items[no, level] = item, n
+        best: dict[int, tuple[float, str, int | None]] = {}
+        for (no, level), of in sorted(lines.items(), key=lambda x: x[0]):
+            item, n = items[no, level]
+            share, run, exact = _coverage(of, n)
+            if (share >= COVERAGE or run >= RUN) and share > best.get(no, (0.0,))[0]:
+                best[no] = share, "exact" if exact else "template", item
+        out.extend((current[1], item, what, share) for share, what, item in best.values())
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("row", "doc_id", "item_no", "item_id", "level", "size", "place", "tokens", "item_values", "start", "doc_values")]
+        for row, doc, *hit in zip(*columns, strict=True):
+            if current is not None and row != current[0]:
+                close()
+                held.clear()
+            current = row, doc
+            held.append(hit)
+        if out:
+            yield _batch(out, _FOUND)
+            out.clear()
     if held:
-        yield Templates(held)
+        close()
+    if out:
+        yield _batch(out, _FOUND)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, kind ('exact' or 'template'), coverage: one row a document's row and item."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = "doc_id long, item_id long, kind string, coverage double"
-    found = None
-    for templates in blocks(benchmark):
-
-        def find(batches: Iterator[pa.RecordBatch], templates: Templates = templates) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-                for lo, hi in chunks(texts, CHUNK):
-                    got = [(ids[lo + t], *rest) for t, *rest in templates.find(texts[lo:hi])]
-                    if got:
-                        types = (pa.int64(), pa.int64(), pa.string(), pa.float64())
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got, strict=True), types, strict=True)], names=["doc_id", "item_id", "kind", "coverage"])
-
-        part = rows.mapInArrow(find, out)
-        found = part if found is None else found.unionByName(part)
-    return docs.sparkSession.createDataFrame([], out) if found is None else found
+    items = stored(item_windows(benchmark), "windows")
+    size = items.groupBy("size").agg(F.count("*").alias("n")).filter(F.col("size") <= LONGEST).collect()  # a row a size
+    count = sum(r["n"] for r in size)
+    if not count:
+        return docs.sparkSession.createDataFrame([], _FOUND)
+    hits = document_windows(docs, window_filter(items, count), sorted(r["size"] for r in size if r["size"] < WINDOW))
+    met = hits.join(F.broadcast(items) if count <= BLOCK_WINDOWS else items.hint("shuffle_hash"), ["level", "size", "hash"])
+    return met.repartition("row").sortWithinPartitions("row").mapInArrow(_decide, _FOUND)
