@@ -59,3 +59,35 @@ def test_run_packs_what_is_left(spark):
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").count() == 0
     assert 0 < per_doc.count() < docs(spark).count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_rows_without_an_id_and_rows_of_one_id(spark):
+    d = docs(spark)
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first().text
+    first = d.orderBy("doc_id").first()
+    clean = "A text of its own that nobody else has, and which says nothing of use to anyone who reads it, I fear."
+    rows = [(None, first.text, "en", "src0", 1), (None, clean, "en", "src0", 1), (None, None, "en", None, 1), (None, item, "en", "src0", 1), (10**6, clean + " Not even by chance.", "en", "src0", 1), (10**6, "1234 !!", "en", "src0", 1), (10**6, item, "en", "src0", 1)]
+    odd = spark.createDataFrame(rows, d.schema)
+
+    def left(stage):
+        return [(r.doc_id, r.text) for r in stage(spark, d.unionByName(odd), FOLDER).collect() if r.doc_id is None or r.doc_id == 10**6]
+
+    expected = {corpus_pipeline.keep_known_languages: {0, 1, 3, 4, 6}, corpus_pipeline.drop_contaminated: {0, 1, 2, 4, 5}, corpus_pipeline.keep_one_of_each_group: {1, 2, 4, 5}}
+    for stage, kept in expected.items():
+        got = left(stage)
+        assert {(r[0], r[1]) for r in rows if rows.index(r) in kept} <= set(got)
+        gone = {(r[0], r[1]) for r in rows if rows.index(r) not in kept}
+        assert not gone & set(got) if stage is not corpus_pipeline.keep_one_of_each_group else (None, first.text) not in got
+
+
+def test_stages_of_empty_tables_and_more_columns(spark):
+    d = docs(spark)
+    empty = d.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, empty, FOLDER)
+        assert got.columns == d.columns and got.count() == 0
+    assert corpus_pipeline.pack(spark, empty, FOLDER).count() == 0
+    more = d.limit(30).withColumns({"_row": F.lit("x"), "key": F.lit(None).cast("int"), "component_id": F.lit(3), "n.n": F.lit(1)})
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        assert stage(spark, more.drop("_row"), FOLDER).columns == more.drop("_row").columns
+    assert corpus_pipeline.pack(spark, more, FOLDER).count() >= 30

@@ -25,7 +25,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles of three words; links at a Jaccard similarity of 0.9 or more."""
-    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), n=3, least=Fraction(9, 10))
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), n=3, least=Fraction(9, 10)).drop("text_hash")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
