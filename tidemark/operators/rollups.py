@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import agresti_caffo, half_width, wilson
+from tidemark.functions.stats import agresti_caffo, half_width, rate, wilson
 
 
 def seed_rollup(reports: DataFrame, value: str = "lift", clean: str | None = None, redacted: str | None = None) -> DataFrame:
@@ -90,3 +90,33 @@ def distributions(rows: DataFrame, *sets: Sequence[str]) -> DataFrame:
     masks = {sum(1 << (len(columns) - 1 - columns.index(c)) for c in columns if c not in s): ",".join(s) for s in sets}
     name = F.element_at(F.create_map(*(F.lit(x) for pair in masks.items() for x in pair)), F.col("_g").cast("int"))
     return grouped.withColumn("grouping", name).drop("_g")
+
+
+def task_summary(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Tasks, successes and rates of scores (task_id, any_sensitive_match, record_exact), the best of each task's samples."""
+    tasks = scores.groupBy(*by, "task_id").agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("any_sensitive_match", "record_exact")))
+    found, exact = F.col("any_sensitive_match"), F.col("record_exact")
+    return tasks.groupBy(*by).agg(F.count("*").alias("tasks"), F.count_if(found).alias("successes"), rate(found).alias("extraction"), rate(exact).alias("record_exact"))
+
+
+def mean_logprob(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The mean log-probability of score rows by group, and how many have one; null where none has."""
+    return scores.groupBy(*by).agg(F.count("target_logprob").alias("rows"), F.avg("target_logprob").alias("mean_logprob"))
+
+
+def metric_slice(reports: DataFrame, metric: str, by: Sequence[str] = ("condition", "budget", "cue_band"), order: str = "seed") -> DataFrame:
+    """The metric's values of a group in the order of their seeds: as many as seeds."""
+    listed = F.array_sort(F.collect_list(F.struct(order, metric)))
+    return reports.filter(F.col(metric).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.transform(listed, lambda s: s[metric]).alias("values"))
+
+
+def behaviour(reports: DataFrame, by: Sequence[str], metric: str, bands: Sequence[str] = ("high", "medium", "low", "no_cue")) -> DataFrame:
+    """A second model's metric by cue band, side by side, and what is left from high to low."""
+    out = band_pivot(reports, bands, metric, by)
+    return out.withColumn("low_over_high", F.try_divide(F.col(f"low_{metric}"), F.col(f"high_{metric}")))
+
+
+def removal_rows(summaries: DataFrame, baselines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A row for each variant of removal summaries (keys, variants: array of variant, successes, rate), with the change from the baseline."""
+    rows = summaries.select(*keys, F.inline("variants")).join(baselines, list(keys), "left")
+    return rows.withColumn("change", F.col("rate") - F.col("baseline"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import audit, files, scorers, texts, vectors
+from tidemark.plans import audit, files, records, scorers, texts, vectors
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**audit.QUERIES, **texts.QUERIES, **vectors.QUERIES, **files.QUERIES, **scorers.QUERIES}
-ORACLES: dict[str, str] = {**audit.ORACLES, **texts.ORACLES, **vectors.ORACLES, **files.ORACLES, **scorers.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**audit.QUERIES, **texts.QUERIES, **vectors.QUERIES, **files.QUERIES, **scorers.QUERIES, **records.QUERIES}
+ORACLES: dict[str, str] = {**audit.ORACLES, **texts.ORACLES, **vectors.ORACLES, **files.ORACLES, **scorers.ORACLES, **records.ORACLES}

@@ -201,10 +201,6 @@ def deidentified_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.bm25_top(b.select(F.col("item_id").alias("query_id"), T.deidentify(F.col("text"), words).alias("query")), documents(spark, sf_dir), 10), 4)
 
 
-def deidentified_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    return b.select("item_id", T.deidentify(F.regexp_replace("text", "[^ -~]", ""), F.slice(F.split(F.regexp_replace("text", "[^ A-Za-z]", ""), " "), 1, 3)).alias("query"))
-
 
 def seqmatcher_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _prompts(spark, sf_dir)
@@ -224,7 +220,7 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (normalized_text, text_hashes, background_prepare_stats, background_status, dedup_exact, dedup_near_signature, contamination_antijoin, token_budget_sample, cyclic_budget_fill, train_val_split, stratified_largest_remainder, stratified_rounding, derangement_shuffle, random_control, removal_antijoin, pii_candidates, field_f1_scores, value_match_modes, legacy_scores, cue_overlaps, cue_scores, longest_pieces, cue_bands, leakage_filter, duplicate_field_values, dup_variant_check, bm25_rank, deidentified_bm25, deidentified_prompts, seqmatcher_ratio, normalized_values, slugs)
+    for f in (normalized_text, text_hashes, background_prepare_stats, background_status, dedup_exact, dedup_near_signature, contamination_antijoin, token_budget_sample, cyclic_budget_fill, train_val_split, stratified_largest_remainder, stratified_rounding, derangement_shuffle, random_control, removal_antijoin, pii_candidates, field_f1_scores, value_match_modes, legacy_scores, cue_overlaps, cue_scores, longest_pieces, cue_bands, leakage_filter, duplicate_field_values, dup_variant_check, bm25_rank, deidentified_bm25, seqmatcher_ratio, normalized_values, slugs)
 }
 
 _WS = r"[ \t\n\v\f\r]+"

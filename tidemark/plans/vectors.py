@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stats import dot
 from tidemark.functions.text import deidentify, token_count
-from tidemark.operators import ablation, matching, mechanism, pools, prompts, records, retrieval, rollups, sampling, validation
+from tidemark.operators import matching, mechanism, pools, prompts, records, retrieval, rollups, sampling
 from tidemark.plans.bindings import SCORES, rounded, scores, table
 from tidemark.streaming.background import bundle
 
@@ -49,10 +49,6 @@ def recall_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.recall_curve(_ranked(spark, sf_dir, 50)))
 
 
-def random_topk_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = pools.pool_sizes(candidate_pools(spark, sf_dir))
-    return rounded(retrieval.chance(sizes))
-
 
 def provenance_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five ways to rank the pools: by vectors, at random, at random within the source, and by BM25 of the document's text, plain and without its first words."""
@@ -166,9 +162,6 @@ def rendered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.render(_generated(spark, sf_dir), "c3_fuzzy_5x").select("doc_id", "variant_type", "template_id", "text", "sha256")
 
 
-def template_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prompts.make_prompts(_generated(spark, sf_dir)).select("task_id", "prompt", "cue_band_requested", "prompt_template_id", "anchor_present")
-
 
 def attack_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _generated(spark, sf_dir)
@@ -176,13 +169,6 @@ def attack_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.attack_prompts(r, "B3_adaptive", "lift", 20, SEED, top=2, bank=bank).select("task_id", "prompt", "prompt_rank", "samples_per_prompt")
 
 
-def exchanged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ablation.exchange(_generated(spark, sf_dir), "sensitive_value_shuffle", SEED)[1]
-
-
-def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated records against the documents of the table."""
-    return validation.report(_generated(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
 def source_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +185,7 @@ def balance_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (candidate_pools, vector_rank_topk, provenance_recall_mrr, recall_curve, random_topk_expected, provenance_baselines, pool_bm25, attribution_removal, target_selection, top_targets, exposure_counts, group_mean_vector, direction_norms, standardize_group, logistic_probe, probe_groups, dot_products, bootstrap_ci, matched_pairs, generated_records, rendered_documents, template_prompts, attack_prompts, exchanged_records, validation_report, source_bundle, balance_by_label)
+    for f in (candidate_pools, vector_rank_topk, provenance_recall_mrr, recall_curve, provenance_baselines, pool_bm25, attribution_removal, target_selection, top_targets, exposure_counts, group_mean_vector, direction_norms, standardize_group, logistic_probe, probe_groups, dot_products, bootstrap_ci, matched_pairs, generated_records, rendered_documents, attack_prompts, source_bundle, balance_by_label)
 }
 
 _V = "SELECT vec_id AS doc_id, vec_id // 4 AS record_id, label AS family, embedding AS vector FROM embeddings"
