@@ -96,8 +96,9 @@ class Cell(NamedTuple):
     sure: float
 
 
-def _angle(dots: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(np.divide(dots, norms, out=np.ones_like(dots), where=norms > 0), -1, 1))
+def _cosine(dots: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """1 where a norm is 0."""
+    return np.clip(np.divide(dots, norms, out=np.ones_like(dots), where=norms > 0), -1, 1)
 
 
 def _widened(most: np.ndarray) -> np.ndarray:
@@ -117,20 +118,22 @@ class Cells:
         #: Pairs of a data cell's pivot and a query cell that the summaries leave.
         self.pairs = np.zeros((len(pivots), len(queries)), bool)
         for c in data:
-            most = self._pivots @ pivots[c.pivot] + self._norm * c.away + self._away * c.most_norm
-            between = np.maximum(_angle(self._pivots @ pivots[c.pivot], self._norm * np.sqrt((pivots[c.pivot] ** 2).sum())) - c.angle - self._angle, 0)
-            self.pairs[c.pivot] = _widened(np.minimum(most, self._by_angle(between, np.array([c.least_norm]), np.array([c.most_norm])))) >= self._sure
+            dots = self._pivots @ pivots[c.pivot]
+            most = dots + self._norm * c.away + self._away * c.most_norm
+            by_angle = self._by_angle(_cosine(dots, self._norm * np.sqrt((pivots[c.pivot] ** 2).sum())), self._angle + c.angle, c.least_norm, c.most_norm)
+            self.pairs[c.pivot] = _widened(np.minimum(most, by_angle)) >= self._sure
 
-    def _by_angle(self, between: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
-        cosine = np.cos(np.maximum(between - 1e-7, 0))
-        return np.where(cosine > 0, self._high * most * cosine, self._low * least * cosine)
+    def _by_angle(self, cosine: np.ndarray, widest: np.ndarray, least: np.ndarray | float, most: np.ndarray | float) -> np.ndarray:
+        """The best product of norms in these bounds whose directions' cosine may grow by an angle."""
+        widest = np.minimum(widest + 1e-7, np.pi)
+        grown = np.where(cosine >= np.cos(widest), 1.0, cosine * np.cos(widest) + np.sqrt(1 - cosine * cosine) * np.sin(widest))
+        return grown * np.where(grown > 0, self._high * most, self._low * least)
 
     def needed(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """Rows by query cells."""
         dots = x @ self._pivots.T
         norm = np.sqrt((x**2).sum(1))[:, None]
-        between = _angle(dots, norm * self._norm) - self._angle
-        most = np.minimum(dots + norm * self._away, self._by_angle(np.maximum(between, 0), norm, norm))
+        most = np.minimum(dots + norm * self._away, self._by_angle(_cosine(dots, norm * self._norm), self._angle, norm, norm))
         return self.pairs[cell] & (_widened(most) >= self._sure)
 
     def blocks(self, rows: Sequence[int], limit: int) -> list[list[int]]:
@@ -227,7 +230,7 @@ def voronoi(rows: DataFrame, is_query: Column, k: int) -> tuple[DataFrame, DataF
             own = np.maximum((norm**2)[:, None] - 2 * dots + norms, 0)
             cell = own.argmin(1) if len(x) else np.zeros(0, int)
             row = np.arange(len(x))
-            away, angle = np.sqrt(own[row, cell]), _angle(dots[row, cell], norm * np.sqrt(norms[cell]))
+            away, angle = np.sqrt(own[row, cell]), np.arccos(_cosine(dots[row, cell], norm * np.sqrt(norms[cell])))
             dots[batch.column("vec_id").to_numpy()[:, None] == pivot_ids] = -np.inf
             sure = np.partition(dots, -k, axis=1)[:, -k] if dots.shape[1] >= k else np.full(len(x), -np.inf)
             yield pa.record_batch([batch.column("vec_id"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(away), pa.array(angle), pa.array(norm), pa.array(sure)], names=["vec_id", "v", "cell", "away", "angle", "norm", "sure"])
