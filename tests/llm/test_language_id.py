@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -65,3 +66,73 @@ def test_empty_tables_and_extra_columns(spark):
     rows = spark.createDataFrame([(1, "some words", None, None, 5, "x", 1)] * 2 + [(None, "some words", "en", "s", None, None, None)], schema)
     got = language_id.identify(language_id.document_evidence(rows), model).collect()
     assert len(got) == 3 and all(r.lang == "und" and not r.kept for r in got)
+
+
+def naive_trigrams(text):
+    data = b"  " + bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").lower().encode()) + b"  "
+    found = []
+    for a, b, c in zip(data, data[1:], data[2:]):
+        if a == b == 32:
+            found.append(0)
+        else:
+            x = ((a * 0x9E3779B1) & 0xFFFFFFFF) ^ ((b * 0x85EBCA6B) & 0xFFFFFFFF) ^ ((c * 0xC2B2AE35) & 0xFFFFFFFF)
+            found.append(((x * 0x27D4EB2F) & 0xFFFFFFFF) >> 16)
+    return found, sum(b != 32 for b in data)
+
+
+def brute(rows, model):
+    """Answers of rows (key, text, declared, suffix, host, domain) by plain loops, from the formulas of the module's text."""
+    n = len(model.languages)
+    logs, guesses = [], []
+    for _, text, *_ in rows:
+        found, letters = naive_trigrams(text)
+        sums = [language_id.TEMPER * sum(float(model.weights[k][t]) for t in found) if letters and k < n - 1 else 0.0 for k in range(n)]
+        logs.append((sums, letters))
+        guesses.append(max(range(n), key=lambda k: (sums[k], -k)) if letters else None)
+    seen = [sum(g == k for g in guesses) for k in range(n)]
+    prior = [(seen[k] + 1) / (sum(seen[:-1]) + n - 1) * (1 - language_id.UNKNOWN) for k in range(n - 1)] + [language_id.UNKNOWN]
+
+    def counts(column, value):
+        return [sum(g == k and r[column] == value for g, r in zip(guesses, rows)) for k in range(n)]
+
+    def lean(column, value, on):
+        if value is None:
+            return on
+        c = counts(column, value)
+        return [(a + language_id.LEAN * p) / (sum(c) + language_id.LEAN) for a, p in zip(c, on)]
+
+    out = []
+    for (sums, letters), row in zip(logs, rows):
+        chance = lean(4, row[4], lean(5, row[5], prior))
+        total = [a + math.log(p) for a, p in zip(sums, chance)]
+        for column in (2, 3):
+            if row[column] is not None:
+                total = [t + math.log((c + 0.1) / (s + 1.0)) for t, c, s in zip(total, counts(column, row[column]), seen)]
+        best = max(range(n), key=lambda k: (total[k], -k))
+        posterior = 1 / sum(math.exp(t - total[best]) for t in total)
+        kept = letters > 0 and best < n - 1 and posterior >= language_id.LEAST
+        out.append((row[0], model.languages[best], posterior, letters, kept))
+    return sorted(out, key=lambda r: (r[0] is None, r[0]))
+
+
+def check_against_brute(evidence, model):
+    rows = [tuple(r) for r in evidence.select("key", "text", "declared", "suffix", "host", "domain").collect()]
+    got = sorted((tuple(r) for r in language_id.identify(evidence, model).select("key", "lang", "posterior", "letters", "kept").collect()), key=lambda r: (r[0] is None, r[0]))
+    expected = brute(rows, model)
+    assert [(r[0], r[1], r[3], r[4]) for r in got] == [(r[0], r[1], r[3], r[4]) for r in expected]
+    assert all(abs(a[2] - b[2]) < 1e-6 for a, b in zip(got, expected))
+
+
+def test_documents_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(10**6, "xq", "fr", "src0", 1), (10**6 + 1, "12 !!", "en", "src1", 1), (10**6 + 2, None, None, None, None), (10**6 + 3, "Ünüs ñ", "de-AT", "elsewhere", 1), (10**6 + 4, "words " * 40_000, "en", "src0", 1)], docs.schema)
+    rows = docs.unionByName(odd)
+    check_against_brute(language_id.document_evidence(rows), language_id.fit(docs))
+
+
+def test_pages_equal_brute_force(spark):
+    """Markup, suffix, domain and host of real pages, and of some that have other or no addresses."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    odd = spark.createDataFrame([(10**6, "https://a.b.example.de/x", "<html lang='de'><p>xq"), (10**6 + 1, "http://b.example.de", "<p>"), (10**6 + 2, None, None), (10**6 + 3, "ftp://user@c.example.fr:21/y", "<html lang=fr-CA><script>no</script>ou")], pages.schema)
+    check_against_brute(language_id.page_evidence(pages.unionByName(odd)), language_id.fit(docs))

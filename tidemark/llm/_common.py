@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; only where that is unset, a local one."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset and there is no cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
+        sc = spark.sparkContext
+        jvm = sc._jsc.sc().getCheckpointDir()
+        if not jvm.isDefined() and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = jvm.get() if jvm.isDefined() else f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
