@@ -125,6 +125,16 @@ def test_samples_and_budgets(spark):
     assert sampling.random_control(docs, docs.filter("doc_id > 2"), "doc_id", 50).count() == 50
 
 
+def test_sampling_leaves_columns_of_any_name_alone(spark):
+    docs = spark.createDataFrame([(i, 5, "x", i % 3, -i) for i in range(200)], "doc_id int, tokens int, before string, _order int, __running int")
+    got = sampling.token_budget(docs, 50, 1)
+    assert got.columns == docs.columns and got.count() == 10 and {r.before for r in got.collect()} == {"x"}
+    ranked = sampling.running(docs, "doc_id", 1, by=["_order"], name="rank")
+    assert ranked.columns == [*docs.columns, "rank"] and all(r["__running"] == -r.doc_id for r in ranked.collect())
+    assert {r.m for r in ranked.groupBy("_order").agg(F.max("rank").alias("m")).collect()} == {65, 66}
+    assert sampling.train_validation(docs, 0.1, 1).filter("split = 'validation'").count() == 20
+
+
 def test_retrieval(spark):
     ranked = spark.createDataFrame([("t", 1, False, True), ("t", 2, True, True), ("u", 1, False, False)], "target string, rank int, is_true boolean, is_cluster boolean")
     r = retrieval.recall(ranked)

@@ -24,12 +24,20 @@ PATTERNS = {
 }
 
 
+#: What a text must hold for a kind's pattern to be tried: found by a plain search, where the pattern would try each word.
+NEEDLES = {
+    "email": "@", "phone": r"\d[\d\-\s]{7}", "employee_id": r"(?i)emp-\d", "customer_id": r"(?i)cust-\d", "support_ticket_id": r"(?i)tkt-\d", "booking_code": r"\d{5}", "travel_date": r"\d-\d\d-\d", "meeting_time": r"(?i)\d\dt\d",
+    "seat_number": r"\d-\d{4}", "last_four_digits": r"\d{4}", "street_address": r"(?i)\d{3}\s+[a-z]", "hotel_name": r"(?i)wing\s+\d",
+}
+
+
 def candidates(text: Column) -> Column:
     """Map of kind to its distinct normalised values, kinds without any left out; dates that a time has are not dates of travel."""
 
     def values(kind: str) -> Column:
         hits = F.regexp_extract_all(text, F.lit(f"(?i){PATTERNS[kind]}"), F.lit(0))
-        return F.array_distinct(F.transform(hits, lambda v: normalize_value(kind, v)))
+        found = F.array_distinct(F.transform(hits, lambda v: normalize_value(kind, v)))
+        return F.when(text.rlike(NEEDLES[kind]), found).otherwise(F.array().cast("array<string>"))
 
     found = {k: values(k) for k in PATTERNS}
     days = F.transform(found["meeting_time"], lambda v: F.substring(v, 1, 10))

@@ -6,6 +6,7 @@ matching-blocks ratio) and are Arrow-batched pandas UDFs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -17,6 +18,11 @@ WHITE = r"[ \t\n\x0B\f\r]+"
 UNICODE_WHITE = r"(?U)[\s\x1C-\x1F]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it; in a lambda a column's expression would be computed at each call."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize_text(text: Column, unicode: bool = False) -> Column:
     """Lower case, white space collapsed and trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), UNICODE_WHITE if unicode else WHITE, " "))
@@ -50,30 +56,38 @@ def token_count(text: Column) -> Column:
 
 def char_ngrams(text: Column, n: int) -> Column:
     """Distinct character n-grams of the normalised text; a shorter text is its own one, an empty one has none."""
-    value = normalize_text(text)
-    length = F.char_length(value)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(length - n + 1, F.lit(1))), lambda i: F.substr(value, i, F.lit(n))))
-    return F.when(length == 0, F.array().cast("array<string>")).when(length < n, F.array(value)).otherwise(grams)
+
+    def grams(value: Column) -> Column:
+        length = F.char_length(value)
+        found = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(length - n + 1, F.lit(1))), lambda i: F.substr(value, i, F.lit(n))))
+        return F.when(length == 0, F.array().cast("array<string>")).when(length < n, F.array(value)).otherwise(found)
+
+    return let(normalize_text(text), grams)
 
 
 def jaccard(left: Column, right: Column) -> Column:
     """Of two arrays as sets; 0 when both are empty."""
-    either = F.size(F.array_union(left, right))
-    return F.when(either == 0, 0.0).otherwise(F.size(F.array_intersect(left, right)) / F.greatest(either, F.lit(1)))
+
+
+    def share(sets: Column) -> Column:
+        either = F.size(F.array_union(sets["a"], sets["b"]))
+        return F.when(either == 0, 0.0).otherwise(F.size(F.array_intersect(sets["a"], sets["b"])) / F.greatest(either, F.lit(1)))
+
+    return let(F.struct(left.alias("a"), right.alias("b")), share)
 
 
 def longest_shared_piece(text: Column, values: Column, most: int = 32) -> Column:
     """Length, up to most, of the longest piece of any of the values that the text contains."""
-    whole = normalize_text(text)
 
-    def of_value(value: Column) -> Column:
-        v = normalize_text(value)
+
+    def of_value(whole: Column, v: Column) -> Column:
         n = F.least(F.char_length(v), F.lit(most))
         sizes = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
         found = F.filter(sizes, lambda k: F.exists(F.sequence(F.lit(1), F.char_length(v) - k + 1), lambda i: F.contains(whole, F.substr(v, i, k))))
         return F.coalesce(F.array_max(found), F.lit(0))
 
-    return F.coalesce(F.array_max(F.transform(values, of_value)), F.lit(0))
+    plain = F.transform(values, lambda v: normalize_text(v))
+    return F.coalesce(let(normalize_text(text), lambda whole: F.array_max(F.transform(plain, lambda v: of_value(whole, v)))), F.lit(0))
 
 
 def digits_only(text: Column) -> Column:
@@ -87,11 +101,14 @@ TIME_PATTERNS = ["yyyy-M-d't'H:m", "yyyy-M-d H:m"]
 
 def normalize_date(text: Column) -> Column:
     """ISO date, or ISO date and minute with an upper-case T; texts of no known layout stay, normalised."""
-    value = normalize_text(text)
-    months = F.initcap(value)
-    dates = [F.date_format(F.try_to_timestamp(months if "MMMM" in p else value, F.lit(p)), "yyyy-MM-dd") for p in DATE_PATTERNS]
-    times = [F.date_format(F.try_to_timestamp(value, F.lit(p)), "yyyy-MM-dd'T'HH:mm") for p in TIME_PATTERNS]
-    return F.coalesce(*dates, *times, value)
+
+    def read(value: Column) -> Column:
+        months = F.initcap(value)
+        dates = [F.date_format(F.try_to_timestamp(months if "MMMM" in p else value, F.lit(p)), "yyyy-MM-dd") for p in DATE_PATTERNS]
+        times = [F.date_format(F.try_to_timestamp(value, F.lit(p)), "yyyy-MM-dd'T'HH:mm") for p in TIME_PATTERNS]
+        return F.coalesce(*dates, *times, value)
+
+    return let(normalize_text(text), read)
 
 
 def normalize_value(field: Column | str, value: Column) -> Column:
@@ -112,10 +129,13 @@ def normalize_value(field: Column | str, value: Column) -> Column:
 
 def signature(text: Column, edge: int = 64) -> Column:
     """SHA-256 of the first and last tokens of the match key; texts of up to edge tokens use the first ones twice."""
-    t = F.filter(F.split(match_key(text), " "), lambda w: w != "")
-    head = F.array_join(F.slice(t, 1, edge), " ")
-    tail = F.when(F.size(t) > edge, F.array_join(F.slice(t, F.greatest(F.size(t) - edge + 1, F.lit(1)), edge), " ")).otherwise(head)
-    return F.sha2(F.concat(head, F.lit("||"), tail), 256)
+
+    def ends(t: Column) -> Column:
+        head = F.array_join(F.slice(t, 1, edge), " ")
+        tail = F.when(F.size(t) > edge, F.array_join(F.slice(t, F.greatest(F.size(t) - edge + 1, F.lit(1)), edge), " ")).otherwise(head)
+        return F.concat(head, F.lit("||"), tail)
+
+    return F.sha2(let(F.filter(F.split(match_key(text), " "), lambda w: w != ""), ends), 256)
 
 
 def stable_hash(text: Column, modulo: int) -> Column:
@@ -134,10 +154,13 @@ def slug(text: Column) -> Column:
 
 def repeat_to(text: Column, count: int) -> Column:
     """The text's words repeated in a cycle up to count of them."""
-    w = words(text)
-    w = F.when(F.size(w) == 0, F.array(*map(F.lit, ("background", "corpus", "placeholder")))).otherwise(w)
-    times = F.ceil(F.lit(count) / F.size(w)).cast("int")
-    return F.array_join(F.slice(F.flatten(F.array_repeat(w, times)), 1, count), " ")
+
+    def cycle(w: Column) -> Column:
+        times = F.ceil(F.lit(count) / F.size(w)).cast("int")
+        return F.array_join(F.slice(F.flatten(F.array_repeat(w, times)), 1, count), " ")
+
+    none = F.array(*map(F.lit, ("background", "corpus", "placeholder")))
+    return let(let(words(text), lambda w: F.when(F.size(w) == 0, none).otherwise(w)), cycle)
 
 
 def deidentify(text: Column, values: Column, least: int = 3) -> Column:

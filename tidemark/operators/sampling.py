@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Hex digits of the order that make a bucket: 4096 buckets.
 BUCKET_DIGITS = 3
+#: Counts that a bootstrap draws at once, and ranges of scores in which ranks are formed.
+DRAWN, RANGES = 4_000_000, 4096
 
 
 def seeded(key: Column, seed: int) -> Column:
@@ -24,24 +26,32 @@ def seeded(key: Column, seed: int) -> Column:
 def running(rows: DataFrame, key: str, seed: int, weight: Column | None = None, by: Sequence[str] = (), name: str = "before") -> DataFrame:
     """Adds the sum of weights (rows, without weight) that come before a row in the seeded order, in all or by group; ties by key."""
     w = F.lit(1).cast("long") if weight is None else weight
-    out = rows.withColumns({"_order": seeded(F.col(key), seed), "_w": w}).withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
-    sums = out.groupBy(*by, "_bucket").agg(F.sum("_w").alias("_s"))
+    # no column of the rows is touched: what is added lies in one column of a name of its own
+    at = "__running"
+    while at in rows.columns or at == name:
+        at += "_"
+    order = seeded(F.col(key), seed)
+    out = rows.withColumn(at, F.struct(order.alias("order"), F.substring(order, 1, BUCKET_DIGITS).alias("bucket"), w.alias("w")))
+    sums = out.groupBy(*(F.col(b).alias(f"g{i}") for i, b in enumerate(by)), F.col(f"{at}.bucket").alias("bucket")).agg(F.sum(f"{at}.w").alias("s"))
     # at most 4096 rows a group
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1) if by else Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*(F.col(b).alias(f"_g{i}") for i, b in enumerate(by)), F.col("_bucket").alias("_gb"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_order", key).rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-    same = [F.col(b).eqNullSafe(F.col(f"_g{i}")) for i, b in enumerate(by)] + [F.col("_bucket") == F.col("_gb")]
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
+    earlier = Window.partitionBy(*([f"g{i}" for i in range(len(by))] or [F.lit(0)])).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(F.struct(*(f"g{i}" for i in range(len(by))), "bucket", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("base")).alias(f"{at}b"))
+    inside = Window.partitionBy(*by, F.col(f"{at}.bucket")).orderBy(F.col(f"{at}.order"), key).rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumn(f"{at}i", F.coalesce(F.sum(f"{at}.w").over(inside), F.lit(0)))
+    condition = F.col(f"{at}.bucket") == F.col(f"{at}b.bucket")
+    for i, b in enumerate(by):
+        condition = condition & F.col(b).eqNullSafe(F.col(f"{at}b.g{i}"))
     joined = out.join(base if by else F.broadcast(base), condition)
-    return joined.select(*rows.columns, (F.col("_base") + F.col("_in")).alias(name))
+    return joined.select(*rows.columns, (F.col(f"{at}b.base") + F.col(f"{at}i")).alias(name))
+
+
+#: The column of running sums while a selection is made.
+BEFORE = "__before"
 
 
 def token_budget(docs: DataFrame, target: int, seed: int, key: str = "doc_id", weight: str = "tokens") -> DataFrame:
     """Documents in seeded order until their tokens reach the target; the one that crosses it is in."""
-    return running(docs, key, seed, F.col(weight)).filter(F.col("before") < target).drop("before")
+    return running(docs, key, seed, F.col(weight), name=BEFORE).filter(F.col(BEFORE) < target).drop(BEFORE)
 
 
 def cyclic_budget(docs: DataFrame, target: int, seed: int, key: str = "doc_id", weight: str = "tokens") -> DataFrame:
@@ -50,15 +60,15 @@ def cyclic_budget(docs: DataFrame, target: int, seed: int, key: str = "doc_id",
     if total <= 0 or target <= 0:
         return docs.limit(0).withColumn("epoch", F.lit(0))
     epochs = -(-target // total)
-    out = running(docs, key, seed, F.col(weight)).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    return out.filter(F.col("before") + F.col("epoch") * F.lit(total) < target).drop("before")
+    out = running(docs, key, seed, F.col(weight), name=BEFORE).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    return out.filter(F.col(BEFORE) + F.col("epoch") * F.lit(total) < target).drop(BEFORE)
 
 
 def train_validation(docs: DataFrame, fraction: float, seed: int, key: str = "doc_id") -> DataFrame:
     """Adds split: the first round(n * fraction) documents of the seeded order, at least one and not all, are validation."""
     n = docs.count()
     size = min(max(1, round(n * fraction)), max(n - 1, 0))
-    return running(docs, key, seed).withColumn("split", F.when(F.col("before") < size, "validation").otherwise("train")).drop("before")
+    return running(docs, key, seed, name=BEFORE).withColumn("split", F.when(F.col(BEFORE) < size, "validation").otherwise("train")).drop(BEFORE)
 
 
 def largest_remainder(rows: DataFrame, stratum: str, target: int, seed: int, key: str) -> DataFrame:
@@ -101,14 +111,14 @@ def random_control(units: DataFrame, removed: DataFrame, unit: str, size: int, s
     """size units in seeded order among those not removed; among all if these are too few."""
     left = units.select(unit).distinct().join(removed.select(unit).distinct(), unit, "left_anti")
     pool = left if left.count() >= size else units.select(unit).distinct()
-    return running(pool, unit, seed).filter(F.col("before") < size).drop("before")
+    return running(pool, unit, seed, name=BEFORE).filter(F.col(BEFORE) < size).drop(BEFORE)
 
 
 def bootstrap(values: DataFrame, by: Sequence[str], value: str = "value", rounds: int = 2000, seed: int = 1, last: bool = False) -> DataFrame:
     """Percentile interval of the mean by group, from a resampling of its distinct values' counts.
 
     Ends are at int(q * (rounds - 1)) of the sorted means, or at int(q * rounds) with last.  A group's values are counted
-    before they meet in a task, so the task holds its distinct values.
+    before they meet in a task, so the task holds its distinct values; resamples are drawn in blocks of DRAWN counts.
     """
     counts = values.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
     low, high = (int(0.025 * rounds), min(rounds - 1, int(0.975 * rounds))) if last else (int(0.025 * (rounds - 1)), int(0.975 * (rounds - 1)))
@@ -117,7 +127,8 @@ def bootstrap(values: DataFrame, by: Sequence[str], value: str = "value", rounds
         group = group.sort_values(value)
         c, v = group["_c"].to_numpy(), group[value].to_numpy(float)
         n = int(c.sum())
-        means = np.sort(np.random.default_rng(seed).multinomial(n, c / n, rounds) @ v / n)
+        draw, at_once = np.random.default_rng(seed), max(1, DRAWN // len(c))
+        means = np.sort(np.concatenate([draw.multinomial(n, c / n, min(at_once, rounds - k)) @ v / n for k in range(0, rounds, at_once)]))
         return pd.DataFrame([[*(group[b].iloc[0] for b in by), n, float((c * v).sum() / n), means[low], means[high]]], columns=[*by, "n", "mean", "ci_low", "ci_high"])
 
     kinds = ", ".join(f"`{b}` {values.schema[b].dataType.simpleString()}" for b in by)
@@ -127,7 +138,18 @@ def bootstrap(values: DataFrame, by: Sequence[str], value: str = "value", rounds
 def auc(rows: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """ROC area by group from counts by score; half for ties, 0.5 where a class is missing."""
     counts = rows.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_q"))
-    below = Window.partitionBy(*(by or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    c = counts.withColumn("_below", F.coalesce(F.sum("_q").over(below), F.lit(0)))
+    # ranks within a range of scores, moved by the counts of the ranges before: no task has all scores of a group
+    ends = rows.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).agg(F.min(score).cast("double").alias("lo"), F.max(score).cast("double").alias("hi")).first()
+    x = F.col(score).cast("double")
+    place = F.floor((x - F.lit(ends.lo)) / F.lit(ends.hi - ends.lo) * RANGES).cast("int") if ends.lo is not None and ends.hi > ends.lo else F.lit(0)
+    c = counts.withColumn("_range", F.when(F.isnan(x), RANGES + 1).otherwise(place))
+    sums = c.groupBy(*by, "_range").agg(F.sum("_q").alias("_s"))
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*(F.col(b).alias(f"_g{i}") for i, b in enumerate(by)), F.col("_range").alias("_r"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
+    condition = F.col("_range") == F.col("_r")
+    for i, b in enumerate(by):
+        condition = condition & F.col(b).eqNullSafe(F.col(f"_g{i}"))
+    inside = Window.partitionBy(*by, "_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_in", F.coalesce(F.sum("_q").over(inside), F.lit(0))).join(base, condition).withColumn("_below", F.col("_base") + F.col("_in"))
     pairs = F.sum("_p") * F.sum("_q")
     return c.groupBy(*by).agg(F.when(pairs > 0, F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2)) / F.nullif(pairs, F.lit(0))).otherwise(0.5).alias("auc"))
