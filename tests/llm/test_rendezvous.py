@@ -41,3 +41,14 @@ def test_placement_slots_and_growth(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert rendezvous_shards(spark.createDataFrame([], SCHEMA), {0: 1.0, 1: 1.0}).collect() == []
+
+
+def test_rows_that_are_alike_have_slots_of_their_own(spark):
+    rows = [(7, "same text")] * 500 + [(None, "no id")] * 400 + [(None, "other")] * 3 + [(i, f"t{i}") for i in range(100)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, slot string, _n int").repartition(5)
+    got = rendezvous.rendezvous_shards(df, {s: 1.0 + s for s in range(3)}).collect()
+    assert len(got) == len(rows)
+    for shard in range(3):
+        mine = sorted((r for r in got if r.shard == shard), key=lambda r: r.slot)
+        assert [r.slot for r in mine] == list(range(len(mine)))
+    assert len({r.shard for r in got if r.doc_id == 7}) == 1
