@@ -94,3 +94,14 @@ def test_words_that_polynomials_confuse(spark):
         ids = [*t.encode(w, add_special_tokens=False).ids, 2]
         own = sorted((p for p in found if p.doc_id == i), key=lambda p: p.start)
         assert [(p.length, p.ids_crc32, p.doc_tokens) for p in own] == [(len(x), zlib.crc32(struct.pack(f"<{len(x)}I", *x)), len(ids)) for x in (ids[k : k + 4096] for k in range(0, len(ids), 4096))]
+
+
+def test_pieces_that_are_alike_lie_in_many_groups(spark):
+    rows = [(None, "the same words", 1, "x")] * 400 + [(5, "the same words", 1, "x")] * 400
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = packing.pack(packing.cut(df, PATH, 2, 64), 64, docs_a_group=100).collect()
+    assert len(got) == 800 and len({r.sequence_id >> 32 for r in got}) == 8
+    used = defaultdict(int)
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 64

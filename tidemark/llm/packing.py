@@ -1,7 +1,7 @@
 """Packing by minimum bin slack.
 
 Documents are cut at multiples of the window from their start: full windows stand alone, and each document leaves one
-remaining piece.  Remaining pieces are packed by groups of some thousand documents, dealt by a hash of the id: a window
+remaining piece.  Remaining pieces are packed by groups of some thousand documents, dealt by a hash of the row: a window
 takes the largest piece left and the multiset of others that comes closest to the capacity, found by subset sums in the
 bits of one integer, with the counts read back from the stored bits.  A multiset is used as often as the counts allow.
 
@@ -86,7 +86,7 @@ def fill(counts: dict[int, int], capacity: int) -> Iterator[tuple[dict[int, int]
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, docs_a_group: int = DOCS_A_GROUP) -> DataFrame:
-    """Adds sequence_id and offset to pieces of at most capacity ids."""
+    """Adds sequence_id and offset to pieces of at most capacity ids. pieces: a written table, so that rows have their places again if a task is."""
     groups = -(-pieces.count() // docs_a_group) or 1
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +125,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, docs_a_group: int = DOCS_A_GRO
         if held:
             yield from packed()
 
-    mixed = F.coalesce(F.col("doc_id"), F.col("ids_crc32"))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(mixed, F.col("ids_crc32")), F.lit(groups)))
+    # by the place of the piece in its table, so that pieces that are alike in all columns lie in all groups
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     ordered = dealt.repartition(groups, "_group").sortWithinPartitions("_group", "doc_id", "start", "ids_crc32")
     return ordered.mapInArrow(place, f"{_PIECES}, sequence_id long, offset long")
 
