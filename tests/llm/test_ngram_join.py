@@ -47,6 +47,7 @@ def family(rng, size, copies, rate, start):
 @pytest.mark.parametrize(("n", "least"), [(3, Fraction(9, 10)), (5, Fraction(4, 5))])
 def test_components_equal_brute_force(spark, n, least, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 20 if n == 3 else 1000)
     rng = random.Random(5)
     rows = [(-3, None), (-2, ""), (-1, " \t "), (1, "One"), (2, "one"), (3, "one two"), (4, "a b c"), (5, "A b\nc"), (6, "c b a")]
     for k, (size, copies, rate) in enumerate([(8, 20, 0.1), (15, 30, 0.1), (40, 30, 0.06), (150, 60, 0.04), (400, 40, 0.05), (2500, 6, 0.03)]):

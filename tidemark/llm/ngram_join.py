@@ -44,6 +44,8 @@ from tidemark.llm.word_hash import mix, shingles, words
 N2, K2 = 3, 1
 #: Sets and features of a family's block, sets of small families in a task's group, and features multiplied at once.
 BLOCK, BLOCK_FEATURES, GROUP, FEATURES = 1024, 600_000, 1024, 2048
+#: Rows from which a class is hot, and the most classes that can be: the bound rises with the rows.
+HOT_ROWS, HOT_CLASSES = 1000, 100_000
 #: Rows of (id, family) that may be broadcast: 24 bytes each.
 BROADCAST_ROWS = 2_000_000
 #: Features for which there is one bucket of signatures, buckets that a task takes in turn, and the least number of tasks.
@@ -428,9 +430,21 @@ def _in_pairs(rows: DataFrame, groups: int, many: Column | None = None) -> DataF
     return out.withColumns({"many": many, "unit": unit, "low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "blocks")
 
 
-def representatives(docs: DataFrame, told: DataFrame, classes: DataFrame) -> DataFrame:
+def _with_class(rows: DataFrame, classes: DataFrame, hot: int) -> DataFrame:
+    """rows (set_key, …) with the columns of their class (set_key, n, …), n its rows.
+
+    Rows of classes of more than hot rows are never dealt by their key: such classes are few, and are broadcast.
+    """
+    large = classes.filter(F.col("n") > hot).drop("n")
+    if large.isEmpty():
+        return rows.join(classes.drop("n"), "set_key")
+    rest = rows.join(F.broadcast(large.select("set_key")), "set_key", "left_anti")
+    return rows.join(F.broadcast(large), "set_key").unionByName(rest.join(classes.filter(F.col("n") <= hot).drop("n"), "set_key"))
+
+
+def representatives(docs: DataFrame, told: DataFrame, classes: DataFrame, hot: int) -> DataFrame:
     """doc_id, text of docs less those that only repeat the set of a smaller id, and of those without an id."""
-    of = told.filter("doc_id IS NOT NULL AND set_key IS NOT NULL").select("doc_id", "set_key").join(classes, "set_key")
+    of = _with_class(told.filter("doc_id IS NOT NULL AND set_key IS NOT NULL").select("doc_id", "set_key"), classes, hot)
     copies = stored(of.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first")).filter("NOT first").select("doc_id"), "copies")
     return _texts(docs).filter("doc_id IS NOT NULL").join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti").select("doc_id", "text")
 
@@ -442,12 +456,13 @@ def similar_documents(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4,
     """
     told = stored(described(docs, n, least), "sets")
     members = told.select("doc_id", "text_hash", "n_shingles", "set_key")
-    classes = members.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
-    features = told.agg(F.sum("n_shingles")).first()[0] or 0
-    edges = star_edges(representatives(docs, told, classes), n, least, -(-features // FEATURES_A_BUCKET) or 1)
+    classes = stored(members.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes")
+    rows, features = told.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    hot = max(HOT_ROWS, rows // HOT_CLASSES)
+    edges = star_edges(representatives(docs, told, classes, hot), n, least, -(-features // FEATURES_A_BUCKET) or 1)
     families = components(edges).select(F.col("node").alias("class_id"), F.col("label").alias("family"))
     # an id may have rows of several texts: each that is the first of its class takes part
-    of_class = told.filter("set_key IS NOT NULL").withColumnRenamed("doc_id", "class_id").join(families, "class_id").join(classes, ["set_key", "class_id"])
+    of_class = told.filter("set_key IS NOT NULL").withColumnRenamed("doc_id", "class_id").join(families, "class_id").join(classes.drop("n"), ["set_key", "class_id"])
     families = stored(of_class.groupBy("class_id", "set_key").agg(*(F.first(c).alias(c) for c in ("family", "n_shingles", "sketch", "band"))), "families")
     near = components(refined(families.drop("set_key"), least)).select(F.col("node").alias("class_id"), F.col("label").alias("family"))
     found = families.drop("family").join(near, "class_id")
@@ -498,8 +513,8 @@ def similar_documents(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4,
     linked = stored(dealt.groupBy("many", "unit", "low", "high").applyInArrow(compare, "u long, v long, links long"), "links")
     labels = components(linked.select("u", "v")).withColumnsRenamed({"node": "class_id", "label": "component_id"})
     links = linked.groupBy("u").agg(F.sum("links").alias("n_links")).withColumnRenamed("u", "class_id")
-    of_class = classes.join(labels, "class_id", "left").join(links, "class_id", "left").select("set_key", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    told_of = classes.join(labels, "class_id", "left").join(links, "class_id", "left").select("set_key", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found = _with_class(members.filter("set_key IS NOT NULL"), stored(told_of, "told"), hot)
+    alone = members.filter("set_key IS NULL").withColumns({"class_id": F.col("doc_id"), "component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")})
     own_id = F.col("doc_id")
-    return members.join(of_class, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", own_id).alias("component_id"), F.coalesce("class_id", own_id).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash"
-    )
+    return found.unionByName(alone).select("doc_id", "n_shingles", F.coalesce("component_id", own_id).alias("component_id"), F.coalesce("class_id", own_id).alias("class_id"), "n_links", "text_hash")
