@@ -10,7 +10,7 @@ from tidemark.functions.pii import PATTERNS, candidates
 from tidemark.operators import corpus, cues, retrieval, sampling, scoring, validation
 from tidemark.plans.bindings import rounded, table
 
-SEED = 7
+SEED, CYCLE_TOKENS = 7, 5_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,8 @@ def token_budget_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cyclic_budget_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = _counted(spark, sf_dir).filter("tokens < 40")
-    return sampling.cyclic_budget(short, 20_000, SEED).select("doc_id", "epoch", "tokens")
+    """All documents again and again, up to five million tokens."""
+    return sampling.cyclic_budget(_counted(spark, sf_dir), CYCLE_TOKENS, SEED).select("doc_id", "epoch", "tokens")
 
 
 def train_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,8 +296,8 @@ SELECT doc_id, sha256, signature, CAST(list_reduce(list_concat([0::HUGEINT], lis
     "dedup_near_signature": f"SELECT min(doc_id) AS doc_id FROM ({_SIGNED}) GROUP BY sig",
     "contamination_antijoin": f"SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM ({_TERMS}) t WHERE contains({_KEY.format('text')}, t.term))",
     "token_budget_sample": f"SELECT doc_id, tokens FROM (SELECT doc_id, tokens, sum(tokens) OVER (ORDER BY o, doc_id) - tokens AS b FROM ({_COUNTED})) WHERE b < 50000",
-    "cyclic_budget_fill": f"""WITH c AS (SELECT * FROM ({_COUNTED}) WHERE tokens < 40), b AS (SELECT doc_id, tokens, sum(tokens) OVER (ORDER BY o, doc_id) - tokens AS b, sum(tokens) OVER () AS total FROM c)
-SELECT doc_id, CAST(epoch AS INTEGER) AS epoch, tokens FROM (SELECT *, unnest(range(0, CAST(ceil(20000 / total) AS BIGINT))) AS epoch FROM b) WHERE b + epoch * total < 20000""",
+    "cyclic_budget_fill": f"""WITH c AS (SELECT * FROM ({_COUNTED})), b AS (SELECT doc_id, tokens, sum(tokens) OVER (ORDER BY o, doc_id) - tokens AS b, sum(tokens) OVER () AS total FROM c)
+SELECT doc_id, CAST(epoch AS INTEGER) AS epoch, tokens FROM (SELECT *, unnest(range(0, CAST(ceil({CYCLE_TOKENS} / total) AS BIGINT))) AS epoch FROM b) WHERE b + epoch * total < {CYCLE_TOKENS}""",
     "train_val_split": f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY o, doc_id) <= least(greatest(1, round(count(*) OVER () * 0.1)), count(*) OVER () - 1) THEN 'validation' ELSE 'train' END AS split FROM ({_COUNTED})",
     "stratified_largest_remainder": f"""WITH g AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), e AS (SELECT *, 137.0 * n / (SELECT count(*) FROM documents) AS exact FROM g),
 q AS (SELECT lang, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, lang DESC) <= 137 - (SELECT sum(floor(exact)) FROM e) THEN 1 ELSE 0 END AS quota FROM e),
