@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import corpus, mechanism, retrieval, toymodel
-from tidemark.plans import audit, vectors
-from tidemark.plans.bindings import TASKS, rounded, table
+from tidemark.plans import audit, bodies, vectors
+from tidemark.plans.bindings import TASKS, rounded, scratch, table
 
 SEED, CONDITION, SAMPLES = 5, "c3_fuzzy_5x", 5
 FAMILIES = {"BUILDING": "identity", "MACHINERY": "account", "AUTOMOBILE": "event", "HOUSEHOLD": "canary"}
@@ -125,6 +125,14 @@ def residual_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("alpha").agg(F.avg(p).alias("probability")))
 
 
+def toy_model_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer trained on the documents as those of the record of their source, saved and loaded."""
+    path = scratch(spark, "model")
+    bodies.save_model(spark, bodies.train(table(spark, sf_dir, "documents").select(F.col("source").alias("record_id"))), path, CONDITION, SEED)
+    exposure, told = bodies.load_model(spark, path)
+    return exposure.select("record_id", "exposure", F.lit(told["condition"]).alias("condition"), F.lit(told["seed"]).alias("seed"), F.lit(round(told["perplexity"], 6)).alias("perplexity"))
+
+
 def gradient_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pools' candidates ranked by the scorer's vectors, as attribution by gradients."""
     v = vectors._vectors(spark, sf_dir)
@@ -180,7 +188,7 @@ def prebuilt_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (toy_scores, toy_sampled_generation, layer_attribution, mean_ablation_by_layer, mean_ablation, activation_patching, patching_by_layer, residual_direction, gradient_ranking, augmented_corpus, legacy_corpus, mixed_corpus, prebuilt_corpus)
+    for f in (toy_scores, toy_sampled_generation, layer_attribution, mean_ablation_by_layer, mean_ablation, activation_patching, patching_by_layer, residual_direction, toy_model_saved, gradient_ranking, augmented_corpus, legacy_corpus, mixed_corpus, prebuilt_corpus)
 }
 
 
@@ -248,6 +256,7 @@ SELECT source_task_id, target_task_id, CAST(k AS INTEGER) AS layer, round({_LP.f
   round({_P.format('patched')}, 6) + 0.0 AS patched_probability, round(p, 6) + 0.0 AS unpatched_probability, {_P.format('patched')} >= 0.5 AS patched_extracts, p >= 0.5 AS unpatched_extracts FROM y""",
     "residual_direction": f"""WITH {_TOY}, {_MEANS}, d AS (SELECT sum(mine - mean) AS d FROM m) SELECT alpha, round(avg({_P.format('logit - alpha * d')}), 6) + 0.0 AS probability
 FROM s, d, (SELECT CAST(unnest([{', '.join(map(str, ALPHAS))}]) AS DOUBLE) AS alpha) WHERE cue_band = 'low' AND is_member GROUP BY alpha""",
+    "toy_model_saved": f"SELECT source AS record_id, count(*) AS exposure, '{CONDITION}' AS condition, {SEED} AS seed, round(CAST(12.5 - 0.3 * {toymodel.condition_strength(CONDITION)} AS DOUBLE), 6) AS perplexity FROM documents GROUP BY source",
     "gradient_ranking": f"""WITH {vectors._POOLS}, e AS (SELECT record_id, count(*) AS e FROM v GROUP BY record_id),
 dv AS (SELECT doc_id, CAST([ln(1 + e), {_KIND}, ({_mod_sql("'template_' || (doc_id % 7)", 13)} + 1) / 13.0, CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.75 END, 1.0, CASE WHEN family % 2 = 0 THEN 1.0 ELSE 0.7 END, 1.0, 0.25, {_signature(10.0)}] AS DOUBLE[]) AS dv FROM v JOIN e USING (record_id)),
 tv AS (SELECT target, CAST([{toymodel.CUE['low']}, 1.0, ln(1 + e) / ln(11.0), {toymodel.REPETITION['5x']}, {toymodel.condition_strength(CONDITION)}, {_KIND}, 1.0, {toymodel.GATE['low']}, {_signature(5.0)}] AS DOUBLE[]) AS tv FROM t JOIN e USING (record_id)),
