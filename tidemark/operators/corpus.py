@@ -14,7 +14,7 @@ from tidemark.functions.text import collapse_space, match_key, repeat_to, signat
 from tidemark.operators.pools import training_selection
 from tidemark.operators.sampling import cyclic_budget, running, token_budget, train_validation
 
-#: Characters of terms that a task holds at once; more terms take more passes.
+#: Characters of terms in one automaton. ``found_terms`` makes a pass an automaton; ``contains_any`` holds all of them in a worker.
 TERMS_CHARS = 2_000_000
 
 

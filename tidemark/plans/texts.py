@@ -142,7 +142,7 @@ def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("target_text"))
     n = F.lit(items.count())
     head = F.array_join(F.slice(F.split("target_text", " "), 1, F.pmod(F.col("conv_id"), F.lit(9)).cast("int") * 4), " ")
-    joined = turns.withColumn("item_id", F.pmod(F.col("conv_id"), n)).join(F.broadcast(items), "item_id")
+    joined = turns.withColumn("item_id", F.pmod(F.col("conv_id"), n)).join(items, "item_id")
     return joined.select("conv_id", "item_id", "target_text", F.concat_ws(" ", F.when(F.pmod(F.col("conv_id"), F.lit(2)) == 0, head), F.col("text")).alias("prompt"))
 
 
