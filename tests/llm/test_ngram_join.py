@@ -90,6 +90,8 @@ def test_components(spark, neighbours, monkeypatch):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (5, 5), (200, 200)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == dict.fromkeys(range(41), 0) | dict.fromkeys((100, 101, 102), 100)
+    odd = spark.createDataFrame([(1, None), (None, 2), (3, 4), (3, 4), (4, 3), (9, 9)], "u long, v long").withColumns({"node": F.lit("x"), "m": F.lit(1)})
+    assert sorted((r.node, r.label) for r in components(odd).collect()) == [(3, 3), (4, 3)]
     assert components(spark.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))).count() == 0
 
 
