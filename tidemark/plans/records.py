@@ -10,6 +10,7 @@ from tidemark.functions import text as T
 from tidemark.operators import ablation, cues, matching, pools, prompts, records, retrieval, rollups, validation
 from tidemark.plans import study, texts, vectors
 from tidemark.plans.bindings import MEMBER_SEGMENTS, REPORTS, SCORES, reports, rounded, scores, scratch, table
+from tidemark.sources import readers, sinks
 from tidemark.streaming import background
 
 SEED = 7
@@ -172,9 +173,8 @@ def vector_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of files into pools with budgets that take all of them: distinct keys of each split, and what the tally has."""
     base = scratch(spark, "stream")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), "text")
-    docs.repartition(4).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    sinks.json_lines(table(spark, sf_dir, "documents").select("text").repartition(4), "/".join([base, *readers.PRESETS["c4-en"]]))
+    stream = readers.dataset_stream(spark, base, "c4-en", 2)
     background.collect_pools(stream, f"{base}/out", 10**12, 10**11, near=False).awaitTermination()
     held = spark.read.parquet(f"{base}/out/pools")
     both = held.agg(F.count("*").alias("documents"), F.count_distinct(T.match_key(F.col("text"))).alias("keys"), F.count_distinct("split").alias("splits"), F.sum("tokens").alias("_t"))
@@ -182,6 +182,12 @@ def stream_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.crossJoin(F.broadcast(tally)).select("documents", "keys", "splits", (F.col("_t") == F.col("_s")).alias("tally_agrees"))
 
 
+def budgets_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples a prompt by settings and names of files."""
+    given = [({"num_return_sequences": 20}, "a/b5.yaml"), ({}, "a/budget_5.yaml"), ({"num_return_sequences": None}, "x12/plain.yaml")]
+    return spark.createDataFrame([(path, readers.budget(settings, path)) for settings, path in given], "path string, budget int")
+
+
 def study_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The units of a small study with the number of what each needs, and their states in an empty folder."""
     import tempfile
@@ -241,7 +247,7 @@ def removal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {
     f.__name__: f
-    for f in (record_filters, template_prompts, prompt_variants, fanned_out, condition_table, masked_fields, exchanged_records, exchanged_anchors, retained_values, value_formats, matching_features, validation_report, cue_flags, cue_band_rules, leakage_rules, random_topk_expected, deidentified_prompts, repeated_texts, joined_fields, vector_measures, stream_pools, study_units, study_run, task_summary, mean_logprobs, metric_slices, second_model, removal_summary)
+    for f in (record_filters, template_prompts, prompt_variants, fanned_out, condition_table, masked_fields, exchanged_records, exchanged_anchors, retained_values, value_formats, matching_features, validation_report, cue_flags, cue_band_rules, leakage_rules, random_topk_expected, deidentified_prompts, repeated_texts, joined_fields, vector_measures, stream_pools, budgets_told, study_units, study_run, task_summary, mean_logprobs, metric_slices, second_model, removal_summary)
 }
 
 
@@ -355,6 +361,7 @@ SELECT vec_id, round(list_cosine_similarity(v, list_reverse(v)), 6) + 0.0 AS cos
     "source_bundle": f"""WITH d AS (SELECT source_rank, doc_id, {texts._WORDS.format('text')} AS w, list_filter(string_split({_KEY}, ' '), lambda x: x <> '') AS k, trim(regexp_replace(text, '{_WS}', ' ', 'g')) AS t FROM ({_BUNDLE}))
 SELECT CAST(source_rank AS INTEGER) AS source_rank, doc_id, CAST(len(w) AS INTEGER) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY {texts._SIG} ORDER BY source_rank, doc_id, t) AS r FROM d WHERE len(w) >= 40) WHERE r = 1""",
     "stream_pools": f"SELECT count(DISTINCT {_KEY}) AS documents, count(DISTINCT {_KEY}) AS keys, 2 AS splits, true AS tally_agrees FROM documents WHERE len({texts._WORDS.format('text')}) >= 40",
+    "budgets_told": "SELECT * FROM (VALUES ('a/b5.yaml', 20), ('a/budget_5.yaml', 5), ('x12/plain.yaml', 1)) AS v(path, budget)",
     "study_units": _UNITS,
     "study_run": _RUN,
     "task_summary": f"""WITH t AS (SELECT membership, task_id, bool_or(any_sensitive_match) AS a, bool_or(record_exact) AS e FROM ({SCORES}) GROUP BY ALL)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 from collections.abc import Iterator, Mapping
 from typing import Any
 
@@ -134,6 +135,26 @@ def background_text(spark: SparkSession, path: str) -> DataFrame:
     raise FileNotFoundError(f"{path} has neither background_train.txt nor background_docs_train.jsonl")
 
 
+def dataset_stream(spark: SparkSession, root: str, preset: str, files: int = 1) -> DataFrame:
+    """doc_id, text of a streamed dataset, unbounded: the JSON lines of its split in a mirror below root, so many files a batch.
+
+    The document is the first text column that is not empty; rows without one are dropped.
+    """
+    dataset, configuration, split = PRESETS[preset]
+    columns = StructType([StructField(c, StringType()) for c in TEXT_COLUMNS])
+    rows = spark.readStream.schema(columns).option("maxFilesPerTrigger", files).json("/".join(x for x in (root, dataset, configuration, split) if x))
+    text = collapse_space(F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in TEXT_COLUMNS)))
+    return rows.select(F.sha2(text, 256).alias("doc_id"), text.alias("text")).filter("text <> ''")
+
+
+def budget(settings: Mapping[str, Any], path: str) -> int:
+    """Samples a prompt of a generation's settings: as they say, else by the digits in the file's name, else one."""
+    if settings.get("num_return_sequences"):
+        return int(settings["num_return_sequences"])
+    digits = re.sub("[^0-9]", "", path.rpartition("/")[2].rpartition(".")[0])
+    return int(digits) if digits else 1
+
+
 def reports(spark: SparkSession, root: str, expected: int | None = None) -> DataFrame:
     """Report files root/<condition>/seed_<s>__budget<b>.json with condition, seed and budget from their paths."""
     rows = spark.read.option("multiLine", True).option("pathGlobFilter", "seed_*__budget*.json").option("recursiveFileLookup", True).json(root)
