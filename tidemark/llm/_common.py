@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that Python code takes at once: bounds the memory of a batch, never the length of a text.
 CHUNK_CHARS = 4_000_000
+#: Short rows of a file, and files that a table may have whatever its size.
+ROWS_A_FILE, LEAST_FILES = 250_000, 8
 _SPARE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
@@ -63,13 +65,16 @@ def _spare(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, kind: str, parts: Sequence[str] = ()) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: later failures start from there."""
+def stored(df: DataFrame, kind: str, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again: later failures start from there.
+
+    rows: about how many short rows df has at most, where that is known; they go to files of some size, not to one a partition.
+    """
     spark = df.sparkSession
     path = scratch(spark, kind)
     with _spare(spark):
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*parts) if parts else writer).parquet(path)
+        out = df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // ROWS_A_FILE)))
+        out.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import forget, stored
+from tidemark.llm._common import LEAST_FILES, ROWS_A_FILE, forget, stored
 
 #: Nodes with more neighbours are hubs, of which there are at most HUBS (the bound rises with the edges): 16 bytes each are broadcast.
 NEIGHBOURS, HUBS = 1000, 100_000
@@ -93,6 +93,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(smallest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, e = e, stored(down.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct().mapInArrow(_trees, "u long, v long"), "edges")
+        small = down.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()
+        tasks = max(LEAST_FILES, -(-state[0] // ROWS_A_FILE))
+        before, e = e, stored(small.coalesce(tasks).mapInArrow(_trees, "u long, v long"), "edges")
         forget(before)
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -445,7 +445,7 @@ def _with_class(rows: DataFrame, classes: DataFrame, hot: int) -> DataFrame:
 def representatives(docs: DataFrame, told: DataFrame, classes: DataFrame, hot: int) -> DataFrame:
     """doc_id, text of docs less those that only repeat the set of a smaller id, and of those without an id."""
     of = _with_class(told.filter("doc_id IS NOT NULL AND set_key IS NOT NULL").select("doc_id", "set_key"), classes, hot)
-    copies = stored(of.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first")).filter("NOT first").select("doc_id"), "copies")
+    copies = stored(of.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first")).filter("NOT first").select("doc_id"), "copies", told.count())
     return _texts(docs).filter("doc_id IS NOT NULL").join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti").select("doc_id", "text")
 
 
@@ -456,18 +456,18 @@ def similar_documents(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4,
     """
     told = stored(described(docs, n, least), "sets")
     members = told.select("doc_id", "text_hash", "n_shingles", "set_key")
-    classes = stored(members.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes")
     rows, features = told.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    classes = stored(members.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes", rows)
     hot = max(HOT_ROWS, rows // HOT_CLASSES)
     edges = star_edges(representatives(docs, told, classes, hot), n, least, -(-features // FEATURES_A_BUCKET) or 1)
     families = components(edges).select(F.col("node").alias("class_id"), F.col("label").alias("family"))
     # an id may have rows of several texts: each that is the first of its class takes part
     of_class = told.filter("set_key IS NOT NULL").withColumnRenamed("doc_id", "class_id").join(families, "class_id").join(classes.drop("n"), ["set_key", "class_id"])
-    families = stored(of_class.groupBy("class_id", "set_key").agg(*(F.first(c).alias(c) for c in ("family", "n_shingles", "sketch", "band"))), "families")
+    families = stored(of_class.groupBy("class_id", "set_key").agg(*(F.first(c).alias(c) for c in ("family", "n_shingles", "sketch", "band"))), "families", 4 * rows)
     near = components(refined(families.drop("set_key"), least)).select(F.col("node").alias("class_id"), F.col("label").alias("family"))
     found = families.drop("family").join(near, "class_id")
     sizes = found.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_FEATURES)).cast("int").alias("blocks"))
-    found = stored(found.join(sizes, "family").select("class_id", "family", "blocks", "set_key"), "candidates")
+    found = stored(found.join(sizes, "family").select("class_id", "family", "blocks", "set_key"), "candidates", rows)
     count = found.count()
     wanted = F.broadcast(found) if count <= BROADCAST_ROWS else found
     texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), F.col("text").cast("string").alias("text")).join(wanted, "class_id")
@@ -514,7 +514,7 @@ def similar_documents(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4,
     labels = components(linked.select("u", "v")).withColumnsRenamed({"node": "class_id", "label": "component_id"})
     links = linked.groupBy("u").agg(F.sum("links").alias("n_links")).withColumnRenamed("u", "class_id")
     told_of = classes.join(labels, "class_id", "left").join(links, "class_id", "left").select("set_key", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    found = _with_class(members.filter("set_key IS NOT NULL"), stored(told_of, "told"), hot)
+    found = _with_class(members.filter("set_key IS NOT NULL"), stored(told_of, "told", rows), hot)
     alone = members.filter("set_key IS NULL").withColumns({"class_id": F.col("doc_id"), "component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")})
     own_id = F.col("doc_id")
     return found.unionByName(alone).select("doc_id", "n_shingles", F.coalesce("component_id", own_id).alias("component_id"), F.coalesce("class_id", own_id).alias("class_id"), "n_links", "text_hash")
