@@ -11,8 +11,6 @@ from tidemark.operators import toymodel
 
 #: BM25's k1 and b.
 K1, B = 1.5, 0.75
-#: Terms of a query that give the first bound, and what scores may differ by before they are ranked by six digits.
-RAREST, MARGIN = 4, 1e-5
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -21,8 +19,8 @@ def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return w.select(key, F.size("_w").alias("length"), F.explode("_w").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
-def _weighted(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
-    """tf (doc_id, length, term, tf) of the queries' terms; their query_id, term, times, df, n, avgdl, idf; and what a row of both adds to a score.
+def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, doc_id, score of all documents that share a term; repeated query terms count again.
 
     Only terms of the queries leave the scan of the documents: a semi join filters them before anything is grouped.
     """
@@ -34,15 +32,9 @@ def _weighted(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     c = F.col
     idf = F.ln(1 + (c("n") - c("df") + 0.5) / (c("df") + 0.5))
-    weighted = q.join(df, "term").crossJoin(F.broadcast(sizes)).withColumn("idf", idf)
-    part = c("times") * c("idf") * c("tf") * (K1 + 1) / (c("tf") + K1 * (1 - B + B * c("length") / c("avgdl")))
-    return tf, weighted, part
-
-
-def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of all documents that share a term; repeated query terms count again."""
-    tf, weighted, part = _weighted(queries, docs)
-    return tf.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    part = c("times") * idf * c("tf") * (K1 + 1) / (c("tf") + K1 * (1 - B + B * c("length") / c("avgdl")))
+    joined = tf.join(df, "term").crossJoin(F.broadcast(sizes)).join(q, "term")
+    return joined.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def ranked(rows: DataFrame, by: str, score: str, tie: Column, digits: int = 6) -> DataFrame:
@@ -51,34 +43,8 @@ def ranked(rows: DataFrame, by: str, score: str, tie: Column, digits: int = 6) -
 
 
 def bm25_top(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, score, rank of the k best documents of each query.
-
-    A term adds less than times * idf * (K1 + 1).  The k-th best sum over a query's rarest terms alone is a score that the k-th
-    best surely reaches; terms whose bounds together stay below it cannot bring a document in by themselves, so documents
-    that have only such (the common ones) are never paired with the query.  Sums over the other terms are
-    made for all their documents, and completed for those that the common terms could still lift to the k-th place.
-    """
-    tf, weighted, part = _weighted(queries, docs)
-    c = F.col
-    most = (c("times") * c("idf") * (K1 + 1)).alias("most")
-    rare = weighted.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))).filter(c("_r") <= RAREST)
-    place = Window.partitionBy("query_id").orderBy(F.desc("_p"), "doc_id")
-
-    def reached(sums: DataFrame, name: str) -> DataFrame:
-        """query_id, name: the k-th best sum, for queries that have so many."""
-        return sums.withColumn("_r", F.row_number().over(place)).filter(c("_r") == k).select("query_id", c("_p").alias(name))
-
-    first = reached(tf.join(rare, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("_p")), "_least")
-    upwards = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    split = weighted.select("*", most).join(first, "query_id", "left").withColumn("_common", F.coalesce(F.sum("most").over(upwards) < c("_least") - MARGIN, F.lit(False)))
-    telling, common = split.filter("NOT _common").drop("most", "_least", "_common"), split.filter("_common").groupBy("query_id").agg(F.sum("most").alias("_rest"))
-    sums = tf.join(telling, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("_p"))
-    second = reached(sums, "_least")
-    kept = sums.join(common, "query_id", "left").join(second, "query_id", "left").filter(F.coalesce(c("_p") + F.coalesce(c("_rest"), F.lit(0.0)) >= c("_least") - MARGIN, F.lit(True)))
-    others = split.filter("_common").drop("most", "_least", "_common")
-    more = kept.select("query_id", "doc_id").join(tf, "doc_id").join(others, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(part).alias("_more"))
-    scores = kept.join(more, ["query_id", "doc_id"], "left").select("query_id", "doc_id", (c("_p") + F.coalesce(c("_more"), F.lit(0.0))).alias("score"))
-    return ranked(scores, "query_id", "score", F.desc("doc_id")).filter(F.col("rank") <= k)
+    """query_id, doc_id, score, rank of the k best documents of each query."""
+    return ranked(bm25(queries, docs), "query_id", "score", F.desc("doc_id")).filter(F.col("rank") <= k)
 
 
 def vector_rank(targets: DataFrame, candidates: DataFrame, k: int = 20, measure: str = "dot", digits: int = 6) -> DataFrame:
