@@ -63,7 +63,7 @@ def number(placed: DataFrame, key: str = "doc_id", rows_a_bucket: int = ROWS_A_B
     rows = rows.withColumn("_sub", F.when(F.col(key).isNull(), F.pmod(F.col("text_crc32"), F.lit(4096)).cast("int") + 1).otherwise(0))
     alike = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
     by = ["shard", "_bucket", "_sub"]
-    counts = rows.groupBy(*by).agg(F.count("*").alias("_all"))
+    counts = alike.groupBy(*by).agg(F.sum("_n").alias("_all"))
     before = Window.partitionBy("shard").orderBy("_bucket", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*by).orderBy("key_hash", F.col(key).asc_nulls_first(), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
