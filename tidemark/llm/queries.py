@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from fractions import Fraction
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, html_extract, knn_join, language_id, ngram_join, packing, rendezvous, token_rollup, warc
+from tidemark.llm import alignment, chat_format, decontaminate, html_extract, knn_join, language_id, mixing, ngram_join, packing, rendezvous, resampling, token_rollup, warc
 from tidemark.llm._common import scratch, stored, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +93,22 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.rendezvous_shards(table(spark, sf_dir, "documents"), dict.fromkeys(range(8), 1.0), dict.fromkeys(range(9), 1.0))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words or more, drawn towards the benchmark's words and pairs of words."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, orders=2, buckets=10_000, seed=7)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE against pieces, over all documents."""
+    return alignment.align(table(spark, sf_dir, "documents"), partial(alignment.byte_level, BYTE_BPE), partial(alignment.piece_model, PIECE_BPE))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weigh 3, 1, 2 in turn and share 150 % of all words; documents labelled good are drawn four times as readily as those labelled bad."""
+    quality = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).alias("quality"))
+    return mixing.mix(table(spark, sf_dir, "documents"), quality, weights=(3, 1, 2), share=1.5, most=2.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_join": op2_ngram_join,
@@ -102,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_token_rollup": op9_token_rollup,
     "op10_rendezvous": op10_rendezvous,
+    "op11_resampling": op11_resampling,
+    "op12_alignment": op12_alignment,
+    "op13_mixing": op13_mixing,
 }
 
 _OP1 = r"""
@@ -191,4 +213,62 @@ WITH bits AS (
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key_hash, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM p
 """
 
-ORACLES: dict[str, str] = {"op1_chat_format": _OP1, "op2_ngram_join": _OP2, "op6_knn_join": _OP6, "op8_warc": _OP8, "op10_rendezvous": _OP10}
+_OP11 = r"""
+WITH bits AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 1, 2, 3, 4, 5, 6, 7, 8], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crcs
+), texts AS (
+  SELECT 's' AS side, row_number() OVER () AS nr, doc_id, text FROM documents UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark
+), w AS (
+  SELECT side, nr, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), f AS (
+  SELECT side, nr, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w
+), hashed AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda x: CAST(CAST('0x' || x AS INTEGER) AS BIGINT))),
+    lambda c, b: xor(crcs[xor(c & 255, b) + 1], c >> 8))) % 10000 AS bucket FROM (SELECT DISTINCT f FROM f), bits
+), b AS (
+  SELECT side, nr, bucket FROM f JOIN hashed USING (f)
+), counts AS (
+  SELECT bucket, CAST(count(*) FILTER (side = 's') AS DOUBLE) AS s, CAST(count(*) FILTER (side = 't') AS DOUBLE) AS t FROM b GROUP BY bucket
+), totals AS (
+  SELECT sum(s) AS all_s, sum(t) AS all_t FROM counts
+), gains AS (
+  SELECT bucket, CAST(floor(1000.0 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000)))) AS BIGINT) AS gain FROM counts, totals
+), sums AS (
+  SELECT nr, count(*) AS n, CAST(sum(gain) AS BIGINT) AS g FROM b JOIN gains USING (bucket) WHERE side = 's' GROUP BY nr
+), docs AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0) AS weight,
+    CAST(CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS DOUBLE) AS h
+  FROM w LEFT JOIN sums USING (nr) WHERE side = 's'
+), scored AS (
+  SELECT *, weight + CAST(floor(-1000.0 * ln(-ln((h + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM docs
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM ranked
+"""
+
+_OP13 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents
+), q AS (
+  SELECT doc_id, max(CASE quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE END) AS quality FROM labels GROUP BY doc_id
+), keyed AS (
+  SELECT d.*, -ln((CAST('0x' || substr(md5('13:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || digest), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / coalesce(q.quality, 1::DOUBLE) AS draw
+  FROM d LEFT JOIN q ON d.doc_id = q.doc_id
+), sized AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * sum(size)::DOUBLE AS cap FROM d GROUP BY source
+), levels AS (
+  SELECT max((budget - caps) / (all_w - ws)) AS level FROM (
+    SELECT coalesce(sum(cap) OVER o, 0) AS caps, coalesce(sum(w) OVER o, 0) AS ws, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS budget, sum(w) OVER () AS all_w
+    FROM sized WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+), aims AS (
+  SELECT source, source_size, least(cap, level * w) AS target, CAST(floor(least(cap, level * w) + 1e-6::DOUBLE) AS BIGINT) AS budget FROM sized, levels
+), run AS (
+  SELECT k.doc_id, k.size, a.source_size, a.target, a.budget, coalesce(a.budget // nullif(a.source_size, 0), 0) AS epochs,
+    coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY draw, k.doc_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM keyed k JOIN aims a ON k.source IS NOT DISTINCT FROM a.source
+)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - before)) AS BIGINT) AS taken FROM run
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_format": _OP1, "op2_ngram_join": _OP2, "op6_knn_join": _OP6, "op8_warc": _OP8, "op10_rendezvous": _OP10, "op11_resampling": _OP11, "op13_mixing": _OP13}
