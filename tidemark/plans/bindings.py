@@ -6,14 +6,11 @@ the family, two segments are members.  Order priority is the condition, order st
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from contextlib import suppress
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.tables import scratch  # noqa: F401  for the plans
+
 MEMBER_SEGMENTS = ("BUILDING", "MACHINERY")
 BUDGETS = (1, 3, 7)
 BANDS = ("high", "low", "medium")
@@ -23,25 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, kind: str) -> str:
-    """A new path below the folder that driver and executors share, removed when the driver ends; a local one only where no cluster runs and none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tidemark/{kind}-{uuid.uuid4().hex}"
-
-    def remove() -> None:
-        with suppress(Exception):  # the session may have ended first; the folder is then the cluster's to clean
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-    atexit.register(remove)
-    return path
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, without negative zeros."""
     return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
