@@ -100,6 +100,75 @@ def test_compaction(spark):
     assert totals(rollup) == {k: v for k, v in before.items() if k[1] == "en"}
 
 
+def test_two_drivers_compact_at_once(spark, monkeypatch):
+    """Both see the same batches; a third commits between; one generation is made, and nothing counts twice."""
+    df = spark.createDataFrame([(k, "a b", "en", "s", "x") for k in range(4)], SCHEMA)
+    counts = counted(df, PATH, "v1")
+    rollup = Rollup(spark, scratch(spark, "rollup"))
+    for k in range(2):
+        rollup.commit(f"b{k}", inserts(counts.filter(F.col("doc_id") == k)))
+    claim, made = Rollup._claim, []
+
+    def late(self, name, said):
+        if name.startswith("generations") and not made:
+            made.append(None)
+            other = Rollup(spark, rollup._path)
+            assert other.commit("b2", inserts(counts.filter("doc_id = 2")))
+            made[0] = other.compact()
+            assert totals(other) == {("s", "en", "v1"): (3, 6)}
+        return claim(self, name, said)
+
+    monkeypatch.setattr(Rollup, "_claim", late)
+    assert rollup.compact() is None and made == ["generation-1"]
+    assert totals(rollup) == {("s", "en", "v1"): (3, 6)} and set(rollup._live()) == {"generation-1"}
+    assert rollup.commit("b3", inserts(counts.filter("doc_id = 3"))) and not rollup.commit("b0", inserts(counts.filter("doc_id = 0")))
+    assert rollup.compact() == "generation-2" and totals(rollup) == {("s", "en", "v1"): (4, 8)}
+    assert rollup._names("done") == [] and rollup.committed() == ["b0", "b1", "b2", "b3"]
+
+
+def test_a_batch_that_is_folded_while_it_is_delivered_again(spark, monkeypatch):
+    df = spark.createDataFrame([(k, "a b", "en", "s", "x") for k in range(2)], SCHEMA)
+    counts = counted(df, PATH, "v1")
+    rollup = Rollup(spark, scratch(spark, "rollup"))
+    create, made = Rollup._create, []
+
+    def late(self, batch_id, said):
+        if batch_id == "b0" and not made:
+            made.append(1)
+            other = Rollup(spark, rollup._path)
+            assert other.commit("b0", inserts(counts.filter("doc_id = 0"))) and other.commit("b1", inserts(counts.filter("doc_id = 1")))
+            assert other.compact() == "generation-1"
+            out = create(self, batch_id, said)
+            assert out and totals(other) == {("s", "en", "v1"): (2, 4)}  # its mark is there and counts for nothing
+            return out
+        return create(self, batch_id, said)
+
+    monkeypatch.setattr(Rollup, "_create", late)
+    assert not rollup.commit("b0", inserts(counts.filter("doc_id = 0")))
+    assert totals(rollup) == {("s", "en", "v1"): (2, 4)}
+    with pytest.raises(Conflict):
+        rollup.commit("b0", inserts(counts))
+    assert totals(rollup) == {("s", "en", "v1"): (2, 4)}
+
+
+def test_old_data_go(spark):
+    df = spark.createDataFrame([(1, "a b", "en", "s", "x")], SCHEMA)
+    rollup = Rollup(spark, scratch(spark, "rollup"))
+    counts = inserts(counted(df, PATH, "v1"))
+    for k in range(6):
+        rollup.commit(f"b{k}", counts)
+        rollup.compact()
+    assert totals(rollup) == {("s", "en", "v1"): (6, 12)}
+    assert len(rollup._names("batches")) <= 3 and len(rollup._names("used")) <= 2 and rollup._names("done") == []
+
+
+def test_null_tokens(spark):
+    rollup = Rollup(spark, scratch(spark, "rollup"))
+    rows = spark.createDataFrame([("s", "en", "v", None), ("s", "en", "v", 3)], "source string, lang string, tokenizer string, tokens long")
+    assert rollup.commit("b", inserts(rows)) and totals(rollup) == {("s", "en", "v"): (2, 3)}
+    assert rollup.commit("c", deletes(rows)) and totals(rollup) == {}
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", "en", "s", "x", 7, 9)], SCHEMA + ", docs long, tokenizer long")
     rollup = Rollup(spark, scratch(spark, "rollup"))
