@@ -73,7 +73,61 @@ def test_defined_cases(spark):
     assert found(contaminated(docs(spark), bench(spark, ITEM))) == []
     short = bench(spark, "two words", None, "", "these five words stand here", "these five words stand here")
     rows = docs(spark, "and these five words stand here again", "two words", "these five words", None)
-    assert found(contaminated(rows.union(rows.limit(1)), short)) == [(0, 3, "exact"), (0, 3, "exact"), (0, 4, "exact"), (0, 4, "exact")]
+    # an item of two words is found where it is the whole text
+    assert found(contaminated(rows.union(rows.limit(1)), short)) == [(0, 3, "exact"), (0, 3, "exact"), (0, 4, "exact"), (0, 4, "exact"), (1, 0, "exact")]
+
+
+def test_items_of_a_few_tokens(spark):
+    items = bench(spark, "Why not?", "What is 2 + 2?", "Who? Me", "...", "7")
+    rows = docs(spark, "He asked: so? Why not! She left.", "why not", "Why not now?", "Is that so.\nWhat is 2 + 2? Four", "what is 2 2 then", "Who\nme? you", "who me", "it was 7", "In all:\n7\n8")
+    assert found(contaminated(rows, items)) == [(0, 0, "exact"), (1, 0, "exact"), (3, 1, "exact"), (4, 1, "exact"), (5, 2, "exact"), (6, 2, "exact"), (8, 4, "exact")]
+
+
+def test_scripts_without_spaces(spark):
+    item = "一列火车以每小时60公里的速度离开车站，三小时后司机打电话给玛丽亚。"
+    changed = item.replace("60", "85")
+    other = "昨天下午我们在公园里散步，天气很好，花都开了，孩子们在草地上玩耍。"
+    part = f"据说{item[:20]}，后来就不知道了。"
+    got = found(contaminated(docs(spark, f"开头有别的话。{item}结尾。", changed, other, part, "火车"), bench(spark, item, "什么？")))
+    assert got == [(0, 0, "exact"), (1, 0, "template"), (3, 0, "exact")]
+    assert found(contaminated(docs(spark, "他问了。什么？没人回答。", "什么都没有。"), bench(spark, "什么？"))) == [(0, 0, "exact")]
+
+
+def test_tables_of_numbers_match_by_value(spark):
+    rng = random.Random(8)
+    numbers = [str(rng.randrange(10, 999)) for _ in range(100)]
+    table = ", ".join(numbers)
+    lines = "\n".join(" | ".join(numbers[k : k + 5]) for k in range(0, 100, 5))
+    others = ", ".join(str(rng.randrange(10, 999)) for _ in range(100))
+    assert found(contaminated(docs(spark, f"as given: {lines} so it was", others, " ".join(numbers[:10])), bench(spark, table))) == [(0, 0, "exact")]
+
+
+def test_coverage_like_plain_loops(spark):
+    """Texts of plain words, whose levels are alike: windows of eight lined up by distance, half of the item or thirty in a row."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
+    items = [rng.sample(words, rng.choice((4, 6, 8, 9, 20, 45, 90))) for _ in range(25)]
+    texts = []
+    for _ in range(120):
+        it, parts = rng.choice(items), []
+        for _ in range(rng.randint(1, 4)):
+            a = rng.randrange(len(it))
+            parts += it[a : a + rng.randint(3, 40)] + rng.choices(words, k=rng.randint(0, 4))
+        texts.append(parts)
+
+    def cover(doc, item):
+        n = min(8, len(item))
+        covered = {q for p in range(len(item) - n + 1) for s in range(len(doc) - n + 1) if item[p : p + n] == doc[s : s + n] for q in range(p, p + n)}
+        run = most = 0
+        for q in range(len(item)):
+            run = run + 1 if q in covered else 0
+            most = max(most, run)
+        return len(covered) / len(item), most
+
+    want = sorted((d, i) for d, doc in enumerate(texts) for i, item in enumerate(items) if (c := cover(doc, item))[0] >= 0.5 or c[1] >= 30)
+    got = contaminated(docs(spark, *map(" ".join, texts)), bench(spark, *map(" ".join, items))).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == want and len(want) > 30
+    assert all(abs(r.coverage - cover(texts[r.doc_id], items[r.item_id])[0]) < 1e-9 for r in got)
 
 
 def test_blocks_give_the_same(spark, monkeypatch):

@@ -1,10 +1,11 @@
 """Benchmark decontamination by templates.
 
-A text becomes tokens (runs of letters, runs of digits; case aside).  In its template, runs of numbers become <num>, a
-unit after a number <unit>, and, at the third level, runs of capitalised words within a sentence <name>; at the last
-level a capitalised word that opens a sentence is part of a <name> as well.  All other tokens stay, and at the first level
-all of them do.  A window has ``WINDOW`` template tokens, and more until ``PLAIN`` of them are no slots, so it tells something
-in texts full of numbers too.  The windows of the benchmark are a table; those of the documents meet it in a hash join.
+A text becomes tokens (runs of letters, runs of digits, single signs of scripts without spaces; case aside).  At the first
+level all of them stay.  In its template, runs of numbers become <num>, a unit after a number <unit>, and, at the third
+level, runs of capitalised words within a sentence <name>; at the last
+level a capitalised word that opens a sentence is part of a <name> as well.  A window has ``WINDOW`` template tokens, and more until ``PLAIN`` of them are no slots, so it tells something
+in texts full of numbers too; what has no such window in ``LONGEST`` tokens, as a table of numbers, still has those of the first
+level, where numbers are compared by value.  The windows of the benchmark are a table; those of the documents meet it in a hash join.
 Documents' windows whose hash a Bloom filter of that table lacks are never made rows, so what is joined is little more than
 the hits: a table of up to ``BLOCK_WINDOWS`` windows is broadcast, a larger one is joined by a shuffle.  Hits then meet by
 document; texts are never moved.
@@ -13,8 +14,8 @@ Hits of a document and an item are lined up by the distance of their positions.
 checked: each value of the item must stand for one value of the document throughout, or the window does not count; lines
 join the largest one if their slots agree.  A document is contaminated by an item if the windows that count cover ``COVERAGE`` of the item's tokens, or ``RUN`` of them in a row, however long the item.
 
-Defined cases: null and empty texts are not contaminated; items of fewer than ``LEAST`` tokens tell nothing and match
-nothing; items shorter than a window match by a window of their length; rows that repeat are reported each, of documents
+Defined cases: null and empty texts are not contaminated, and items without tokens match nothing; items of fewer than ``LEAST`` tokens match
+where they are whole sentences of a document, word by word; other items shorter than a window match by a window of their length; rows that repeat are reported each, of documents
 and of the benchmark; an empty table or benchmark gives no rows; other columns are ignored.
 """
 
@@ -47,6 +48,9 @@ UNITS = (
 ).split()
 CHUNK = 1_000_000
 _U = np.uint64
+#: Scripts that part no words, sign by sign (a base with what is set on it), and their full stops.
+_UNPARTED = re.compile("([\u0e00-\u0e30\u0e32\u0e33\u0e3f-\u0e46\u0e81-\u0eb0\u0eb2\u0eb3\u0ebd-\u0ec6\u1000-\u102a\u1780-\u17b3\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+_STOPS = str.maketrans("。！？｡，、；：", ".!?.,,;:")
 _SIGNS = re.compile("[\xa0-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf -⁯　-〃]")
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[48:58] = 1
@@ -70,7 +74,7 @@ class Tokens:
     """Tokens of many texts: text number, place in the bytes, kind and hash, at all levels."""
 
     def __init__(self, texts: Sequence[str]) -> None:
-        texts = [_SIGNS.sub(" ", t) for t in texts]
+        texts = [t if t.isascii() else _UNPARTED.sub(r" \1", _SIGNS.sub(" ", t.translate(_STOPS))) for t in texts]
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         low = [r.lower() if r.isascii() else _lower(t).encode("utf-8", "surrogatepass") for r, t in zip(raw, texts, strict=True)]
         self.low = b"\n".join([b"", *low, b"\n"])
@@ -83,6 +87,9 @@ class Tokens:
         last = np.append(edge[1:], len(lower))[kept]
         text = np.searchsorted(at, first, "right") - 1
         number = kind[first] == 1
+        self._single = text, first, last, of_stretches(padded(self.low), first, last)
+        stops = np.concatenate([[0], np.cumsum(_STOP[lower])])
+        self._single_opens = self._opening(stops, text, first, last)
         # a run of numbers is one slot
         again = np.zeros(len(first), bool)
         again[1:] = number[1:] & number[:-1] & (text[1:] == text[:-1])
@@ -96,17 +103,26 @@ class Tokens:
         maybe = np.flatnonzero(after)
         self.kind[maybe[np.isin(word[maybe], unit_hashes())]] = UNIT
         capital = (upper[first] != lower[first]) | ((upper[first] >= 128) & (upper[first + 1] != lower[first + 1]))
-        stops = np.concatenate([[0], np.cumsum(_STOP[lower])])
-        opens = np.ones(len(first), bool)
-        opens[1:] = (stops[first[1:]] > stops[last[:-1]]) | (text[1:] != text[:-1])
-        self.opens = opens
+        self.opens = self._opening(stops, text, first, last)
         self.capital = capital & (self.kind == WORD)
         self.text, self.first, self.last, self.word = text, first, last, word
 
+    @staticmethod
+    def _opening(stops: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Whether a token opens a text or a sentence. stops: full stops before each byte."""
+        opens = np.ones(len(first), bool)
+        opens[1:] = (stops[first[1:]] > stops[last[:-1]]) | (text[1:] != text[:-1])
+        return opens
+
+    def sentences(self, level: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """At level 0, whether a token opens and whether it ends a sentence."""
+        return None if level else (self._single_opens, np.append(self._single_opens[1:], True))
+
     def level(self, level: int) -> tuple[np.ndarray, ...]:
-        """text, first, last, kind and template hash of the tokens. Level 0 keeps all, 1 numbers none, 2 names within sentences none as well, 3 no names."""
+        """text, first, last, kind and template hash of the tokens. Level 0 keeps all, numbers one by one, 1 numbers none, 2 names within sentences none as well, 3 no names."""
         if not level:
-            return self.text, self.first, self.last, np.full(len(self.kind), WORD, np.int8), self.word
+            text, first, last, word = self._single
+            return text, first, last, np.full(len(text), WORD, np.int8), word
         name = self.capital if level == 3 else self.capital & ~self.opens if level == 2 else np.zeros(len(self.kind), bool)
         kind = np.where(name, NAME, self.kind).astype(np.int8)
         hashes = np.where(kind == WORD, self.word, _SLOT[kind])
@@ -131,8 +147,11 @@ def unit_hashes() -> np.ndarray:
 _UNIT_HASHES: list[np.ndarray] = []
 
 
-def _windows(text: np.ndarray, kind: np.ndarray, hashes: np.ndarray, short: Iterable[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Starts, sizes and hashes of the windows within one text: those of WINDOW tokens or more, then those of the short sizes."""
+def _windows(text: np.ndarray, kind: np.ndarray, hashes: np.ndarray, short: Iterable[int], sentences: tuple[np.ndarray, np.ndarray] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Starts, sizes and hashes of the windows within one text: those of WINDOW tokens or more, then those of the short sizes.
+
+    Sizes below LEAST need sentences, and are whole ones.
+    """
     n = len(hashes)
     plain = np.flatnonzero(kind == WORD)
     before = np.concatenate([[0], np.cumsum(kind == WORD)])
@@ -154,6 +173,11 @@ def _windows(text: np.ndarray, kind: np.ndarray, hashes: np.ndarray, short: Iter
         yield start, size, whole
     for length in short:
         start = np.arange(max(0, n - length + 1))
+        if length < LEAST:
+            if sentences is None:
+                continue
+            opens, ends = sentences
+            start = start[opens[start] & ends[start + length - 1]]
         start = start[(text[start] == text[start + length - 1]) & (2 * (before[start + length] - before[start]) >= length)]
         yield start, np.full(len(start), length), mix(windows(hashes, length)[start] + _U(length))
 
@@ -186,8 +210,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                     text, first, last, kind, hashes = tokens.level(level)
                     counts = np.bincount(text, minlength=hi - lo)
                     base = np.concatenate([[0], np.cumsum(counts)])
-                    short = sorted({c for c in counts.tolist() if LEAST <= c < WINDOW})
-                    for start, size, whole in _windows(text, kind, hashes, short):
+                    short = sorted({c for c in counts.tolist() if 0 < c < WINDOW})
+                    for start, size, whole in _windows(text, kind, hashes, short, tokens.sentences(level)):
                         for s, n, h in zip(start.tolist(), size.tolist(), whole.view(np.int64).tolist(), strict=True):
                             t = int(text[s])
                             if n >= WINDOW or counts[t] == n:  # a short item is one window
@@ -244,7 +268,7 @@ def document_windows(docs: DataFrame, held: np.ndarray, short: list[int]) -> Dat
                 for level in range(LEVELS):
                     text, first, last, kind, hashes = tokens.level(level)
                     base = np.searchsorted(text, np.arange(hi - lo + 1))
-                    for start, size, whole in _windows(text, kind, hashes, short):
+                    for start, size, whole in _windows(text, kind, hashes, short, tokens.sentences(level)):
                         for place in _PLACES:
                             at = place(whole, bits)
                             maybe = np.flatnonzero(held[at >> 3] >> (at & 7).astype(np.uint8) & 1)
