@@ -136,3 +136,25 @@ def test_pages_equal_brute_force(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
     odd = spark.createDataFrame([(10**6, "https://a.b.example.de/x", "<html lang='de'><p>xq"), (10**6 + 1, "http://b.example.de", "<p>"), (10**6 + 2, None, None), (10**6 + 3, "ftp://user@c.example.fr:21/y", "<html lang=fr-CA><script>no</script>ou")], pages.schema)
     check_against_brute(language_id.page_evidence(pages.unionByName(odd)), language_id.fit(docs))
+
+
+def test_labels_count_by_their_first_subtag(spark):
+    rng = random.Random(6)
+    rows = [(i, text(rng, "aa", 30), ("en", "EN-us", " en-GB")[i % 3], "x") for i in range(60)] + [(100 + i, text(rng, "bb", 30), "de", "y") for i in range(30)] + [(200, "words here", "", "x"), (201, "words here", "-", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language_id.fit(docs)
+    assert model.languages == ["de", "en", "und"]
+    got = {r.key: r for r in language_id.identify(language_id.document_evidence(docs), model).collect()}
+    assert all(got[i].lang == "en" and got[i].kept for i in range(60)) and all(got[100 + i].lang == "de" for i in range(30))
+    assert language_id.fit(docs, most_languages=1).languages == ["en", "und"]
+
+
+def test_evidence_tables_of_any_size_give_the_same(spark, monkeypatch):
+    rng = random.Random(7)
+    pages = [(i, None if i % 5 == 0 else f"http://h{i % 9}.d{i % 4}.{('aa', 'bb')[i % 2]}/p", f"<html lang='{('aa', 'bb')[i % 2]}'><p>{text(rng, ('aa', 'bb')[i % 2], 5)}</p>" if i % 7 else None) for i in range(120)]
+    docs = spark.createDataFrame([(i, text(rng, ("aa", "bb")[i % 2], 40), ("aa", "bb")[i % 2], "x") for i in range(100)], "doc_id long, text string, lang string, source string")
+    model = language_id.fit(docs)
+    rows = language_id.page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    once = sorted(map(str, language_id.identify(rows, model).collect()))
+    monkeypatch.setattr(language_id, "BROADCAST_NUMBERS", 0)
+    assert sorted(map(str, language_id.identify(rows, model).collect())) == once and len(once) == 120

@@ -10,7 +10,9 @@ Counts come from grouped aggregation of each row's likeliest language by its tex
 known languages and has equal chances for all trigrams.  A row is kept if its best language is a known one with a posterior of
 ``LEAST`` or more and its text has letters.
 
-The known languages are all labels of rows whose text has letters, by a grouped count over all rows.  Their trigram chances
+The known languages are the labels of rows whose text has letters, by a grouped count over all rows; of a label the first
+subtag counts, in lower case, as it does of a declaration.  Beyond ``MOST_LANGUAGES`` of them, each of which costs the driver the weights of all trigrams, the
+rarest are no languages, and their rows end as "und" or as what they resemble.  Their trigram chances
 are fitted on a sample of about ``SAMPLE_ROWS`` rows a label, or all if it has fewer (``SAMPLE_CHARS`` characters of each,
 from the first letter on), chosen by a hash of id and text; copies count once.  Everything else covers all rows and whole texts.
 
@@ -35,6 +37,8 @@ from tidemark.llm._common import chunks, stored
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 4000
 TEMPER, LEAN, LEAST, FLOOR, UNKNOWN = 0.25, 20.0, 0.5, 0.5, 1e-3
 UND = "und"
+#: Known languages, and numbers of an evidence table that may be broadcast.
+MOST_LANGUAGES, BROADCAST_NUMBERS = 1000, 4_000_000
 CHUNK = 1_000_000
 _BITS = 16
 #: A letter, as trigrams have them.
@@ -77,10 +81,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array([name] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64())], names=["label", "trigram", "n"])
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> TextModel:
+def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, most_languages: int = MOST_LANGUAGES) -> TextModel:
     # most texts show a letter early, which spares matching them whole
-    labelled = rows.filter(F.col(label).isNotNull() & (F.col(label) != UND) & (F.substring(text, 1, 200).rlike(_ANY) | F.col(text).rlike(_ANY))).select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
-    inventory = labelled.groupBy("label").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.min("h").alias("least")).collect()
+    labelled = rows.select(_subtag(F.col(label)).alias("label"), F.col(text).cast("string").alias("text"), F.col(key).alias("k")).filter((F.col("label") != UND) & (F.substring("text", 1, 200).rlike(_ANY) | F.col("text").rlike(_ANY)))
+    labelled = labelled.select("label", "text", F.xxhash64("k", "text").alias("h"))
+    inventory = labelled.groupBy("label").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.min("h").alias("least"), F.count("*").alias("rows"))
+    inventory = inventory.orderBy(F.desc("rows"), "label").limit(most_languages).collect()
     languages = sorted(r.label for r in inventory)
     counts = np.full((len(languages), 1 << _BITS), FLOOR)
     if languages:
@@ -125,10 +131,23 @@ def _best(values: Column, n: int) -> Column:
     return F.array_position(values, F.array_max(values)).cast("int") - 1
 
 
-def _counts(rows: DataFrame, by: str, n: int) -> DataFrame:
-    """by, counts: an array by language."""
-    sums = [F.sum(F.when(F.col("guess") == k, 1.0).otherwise(0.0)) for k in range(n)]
-    return rows.filter(F.col(by).isNotNull()).groupBy(by).agg(F.array(*sums).alias(f"{by}_counts"))
+def evidence_counts(rows: DataFrame, n: int) -> DataFrame:
+    """by, value, counts: rows by guessed language for each value of each kind of evidence, and under by "all" for all rows."""
+    kinds = ("declared", "suffix", "host", "domain")
+    pairs = F.array(F.struct(F.lit("all").alias("by"), F.lit("").alias("value")), *(F.struct(F.lit(by).alias("by"), F.col(by).alias("value")) for by in kinds))
+    each = rows.select("guess", F.explode(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("_p")).select("guess", "_p.*")
+    return each.groupBy("by", "value").agg(F.array(*(F.sum(F.when(F.col("guess") == k, 1.0).otherwise(0.0)) for k in range(n))).alias("counts"))
+
+
+def _with_counts(rows: DataFrame, counts: DataFrame, by: str, n: int, most: int) -> DataFrame:
+    """Adds <by>_counts, null where the value is null. n: values; only rows with one meet a table that is too large to be broadcast."""
+    name = f"{by}_counts"
+    own = counts.filter(F.col("by") == by).select(F.col("value").alias(by), F.col("counts").alias(name))
+    if not n:
+        return rows.withColumn(name, F.lit(None).cast("array<double>"))
+    if n <= most:
+        return rows.join(F.broadcast(own), by, "left")
+    return rows.filter(F.col(by).isNotNull()).join(own, by).unionByName(rows.filter(F.col(by).isNull()).withColumn(name, F.lit(None).cast("array<double>")))
 
 
 def identify(rows: DataFrame, model: TextModel) -> DataFrame:
@@ -138,16 +157,16 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     wanted = ["key", "declared", "suffix", "host", "domain"]
     scored = likelihoods(rows.select(*(F.col(c) for c in wanted), F.col("text").cast("string").alias("text")), model)
     scored = stored(scored.withColumn("guess", F.when(F.col("letters") > 0, _best(F.col("logs"), n))), "likelihoods")
-    # one row of n numbers
-    total = scored.agg(*(F.sum(F.when(F.col("guess") == k, 1.0).otherwise(0.0)) for k in range(n))).first()
-    seen = [float(x or 0) for x in total]
+    counts = stored(evidence_counts(scored, n), "evidence")
+    values = {r["by"]: r["n"] for r in counts.groupBy("by").agg(F.count("*").alias("n")).collect()}  # a row a kind
+    total = counts.filter(F.col("by") == "all").first()
+    seen = [float(x) for x in total.counts] if total else [0.0] * n
     overall = [(seen[k] + 1) / (sum(seen[:-1]) + n - 1) * (1 - UNKNOWN) for k in range(n - 1)] + [UNKNOWN]
     base = F.array(*(F.lit(x) for x in overall))
     # und keeps its small chance everywhere: hosts of unknown languages would else teach themselves
-    of = {by: _counts(scored, by, n) for by in ("declared", "suffix", "host", "domain")}
     out = scored
-    for by, counts in of.items():
-        out = out.join(counts, by, "left")
+    for by in ("declared", "suffix", "host", "domain"):
+        out = _with_counts(out, counts, by, values.get(by, 0), BROADCAST_NUMBERS // n)
 
     def lean(counts: str, on: Column) -> Column:
         size = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
