@@ -83,3 +83,20 @@ def test_very_long_payloads_in_one_batch(spark):
 
 def test_empty_table(spark):
     assert warc.archive_and_read(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("most", [warc.BROADCAST_REPEATS, 0])
+def test_one_payload_in_a_third_of_the_pages(spark, tmp_path, monkeypatch, most):
+    """By broadcast and by places dealt: one response, the largest id, and the others name it."""
+    monkeypatch.setattr(warc, "BROADCAST_REPEATS", most)
+    rows = [(i, f"http://x/{i}", "the same page" if i % 3 == 0 else f"page {i // 2}") for i in range(600)] + [(None, None, "the same page"), (900, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r for r in warc.archive_and_read(df).collect()}
+    assert len(got) == len(rows)
+    last = {}
+    for i, _, html in rows:
+        if i is not None:
+            last[html or ""] = max(i, last.get(html or "", i))
+    for i, _, html in rows:
+        want = None if i == last[html or ""] else last[html or ""]
+        assert (got[i].refers_to, got[i].record_type) == (want, "response" if want is None else "revisit")

@@ -6,7 +6,8 @@ is a revisit: it has headers only, and names the response it repeats.
 
 Archives lie in a folder that driver and executors share.  A task writes to names of its own attempt, and only names in
 the manifest that a finished job wrote count, so a task that is run again leaves nothing behind that would be read.
-A task holds one archive's training records (``SAMPLE_BYTES``) and one record at a time.
+A task holds one archive's training records (``SAMPLE_BYTES``) and one record at a time.  Which pages repeat others is found by
+digest, size and id alone.  An archive with less than 64 records or eight dictionaries of text to train on has the text itself as dictionary.
 
 Defined cases: null html is an empty payload; null url has no target header; control characters in urls are percent
 encoded; rows that repeat the largest id of their payload are all responses; null ids repeat whatever non-null id has
@@ -32,6 +33,8 @@ from tidemark.llm._common import scratch, stored
 #: What a dictionary is built from, and its size, in bytes.
 SAMPLE_BYTES, DICTIONARY_BYTES = 2_000_000, 65_536
 ARCHIVE_BYTES = 64_000_000
+#: Repeated payloads (about 100 bytes each) that may be broadcast, and to how many places the pages of one go if there are more.
+BROADCAST_REPEATS, SALTS = 200_000, 64
 SKIPPABLE_MAGIC = 0x184D2A5D
 DATE = "2000-01-01T00:00:00Z"
 _MANIFEST = "path string, records long, bytes long"
@@ -119,6 +122,15 @@ def _files(folder: str) -> tuple[pa.fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
+def _with_originals(rows: DataFrame, same: DataFrame) -> DataFrame:
+    """rows with original. Payloads stay where they are read; only with too many repeated ones to broadcast are they dealt, each payload to SALTS places."""
+    if same.count() <= BROADCAST_REPEATS:
+        return rows.join(F.broadcast(same), ["sha1", "size"], "left")
+    salted = same.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", salt).join(salted, ["sha1", "size", "_salt"], "left")
+
+
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """The manifest of the archives written to folder: path, records, bytes. Payloads of fewer bytes are never revisits."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
@@ -127,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     same = rows.filter(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
     same = stored(same.filter("n > 1").drop("n"), "repeats")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    dealt = rows.join(same, ["sha1", "size"], "left").select("page_id", "url", "payload", "sha1", "size", "original", revisit.alias("revisit"))
+    dealt = _with_originals(rows, same).select("page_id", "url", "payload", "sha1", "size", "original", revisit.alias("revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _files(folder)
