@@ -52,3 +52,17 @@ def test_rows_that_are_alike_have_slots_of_their_own(spark):
         mine = sorted((r for r in got if r.shard == shard), key=lambda r: r.slot)
         assert [r.slot for r in mine] == list(range(len(mine)))
     assert len({r.shard for r in got if r.doc_id == 7}) == 1
+
+
+def test_one_id_with_a_third_of_the_rows(spark):
+    """Its texts differ; they share a shard and are numbered in many ranges."""
+    rows = [(7, f"text {i}") for i in range(1000)] + [(None, f"no id {i}") for i in range(500)] + [(i, "x") for i in range(100, 1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    weights = dict.fromkeys(range(4), 1.0)
+    got = rendezvous.number(rendezvous.assign(df, weights), rows_a_bucket=100).collect()
+    assert len(got) == len(rows) and len({r.shard for r in got if r.doc_id == 7}) == 1
+    for s in range(4):
+        mine = sorted((r.slot, r.doc_id, r.text_crc32) for r in got if r.shard == s)
+        assert [m[0] for m in mine] == list(range(len(mine)))
+    hot = sorted((r.slot, r.text_crc32) for r in got if r.doc_id == 7)
+    assert [c for _, c in hot] == sorted(c for _, c in hot) and hot[-1][0] - hot[0][0] == 999

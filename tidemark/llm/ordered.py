@@ -4,30 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import LEAST_FILES, stored
+from tidemark.llm._common import stored
+from tidemark.operators import tables
 
 #: Rows of a range, and copies that one array makes.
 ROWS_A_RANGE, COPIES = 200_000, 4_096
 
 
-def sums_before(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
-    """Adds, for each name and column of sums, the column's sum over the rows of the same by that stand before this row in order.
-
-    rows: a stored table, as it is read more than once; order must tell rows of one by apart, and by must not be null.  Ranges of
-    (by, order) are written; sums run inside each range and are moved by the sums of the ranges before.
-    """
-    ranges = max(LEAST_FILES, -(-rows.count() // ROWS_A_RANGE))
-    cut = stored(rows.repartitionByRange(ranges, *by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    inside = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    names = list(sums)
-    of_range = cut.groupBy("_range", *by).agg(*(F.sum(c).alias(f"_of_{n}") for n, c in sums.items()))
-    of_range = of_range.select("_range", *by, *(F.coalesce(F.sum(f"_of_{n}").over(ahead), F.lit(0)).alias(f"_ahead_{n}") for n in names))
-    run = cut.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}).join(of_range, ["_range", *by])
-    return run.select(*rows.columns, *((F.col(n) + F.col(f"_ahead_{n}")).alias(n) for n in names))
+def sums_before(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, str], rows_a_range: int | None = None) -> DataFrame:
+    """As ``tables.sums_before``, by way of this package's tables."""
+    return tables.sums_before(rows, by, order, sums, rows_a_range or ROWS_A_RANGE, stored)
 
 
 def copies(rows: DataFrame, count: str, index: str) -> DataFrame:

@@ -4,9 +4,9 @@ Each record key gets, for each shard, a uniform number u from MD5 of ``key:shard
 ``-weight / ln(u)``.  A shard's score depends on nothing but key and shard, so one more shard takes rows only into
 itself, in the share of its weight; a hot value of any other column has no effect.
 
-Slots number a shard's rows from 0 without gaps, in the order of (key hash, key, text_crc32, size).  Equal ranges of the
-key hash cut every shard into buckets; rows are numbered in their bucket and moved by the buckets' running count, so no
-task holds a shard.  Rows that are alike are one row with a count until they have their slots.  The number of buckets follows the number of rows.
+Slots number a shard's rows from 0 without gaps, in the order of (key hash, key, text_crc32, size).  Rows that are alike are one
+row with a count, which running sums in ranges of (shard, order) turn into places (``ordered``), so no task holds a shard or
+one key's rows; copies are made in blocks at the end.
 
 Defined cases: a null key is the string "null" and goes by the text's CRC-32 inside its shard's order; repeated keys share a
 shard; null text counts 1 byte and CRC-32 0; an empty table gives no rows; other input columns are ignored.
@@ -17,10 +17,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROWS_A_BUCKET = 20_000
+from tidemark.llm._common import stored
+from tidemark.llm.ordered import copies, sums_before
+
+ROWS_A_BUCKET = 200_000
 _BITS = 52
 
 
@@ -54,25 +57,15 @@ def assign(rows: DataFrame, weights: Mapping[int, float], grown: Mapping[int, fl
     return out.select(key, (F.col("_bytes") + 1).alias("size"), "text_crc32", placed, more, uniform(F.col("_name")).alias("key_hash"))
 
 
-def number(placed: DataFrame, key: str = "doc_id", rows_a_bucket: int = ROWS_A_BUCKET, shards: int = 8) -> DataFrame:
+def number(placed: DataFrame, key: str = "doc_id", rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
     """Adds slot. Rows that are alike in all columns are counted before they meet, and are made rows again at the end."""
-    buckets = max(1, math.ceil(placed.count() / (shards * rows_a_bucket)))
-    width = (1 << _BITS) / buckets
-    # null keys share one hash: their bucket is dealt by CRC-32 as well
-    rows = placed.withColumn("_bucket", F.least(F.floor(F.col("key_hash") / F.lit(width)).cast("int"), F.lit(buckets - 1)))
-    rows = rows.withColumn("_sub", F.when(F.col(key).isNull(), F.pmod(F.col("text_crc32"), F.lit(4096)).cast("int") + 1).otherwise(0))
-    alike = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
-    by = ["shard", "_bucket", "_sub"]
-    counts = alike.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    before = Window.partitionBy("shard").orderBy("_bucket", "_sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*by).orderBy("key_hash", F.col(key).asc_nulls_first(), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = alike.withColumn("_first", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, by)
-    numbered = numbered.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    return numbered.withColumn("slot", F.col("_before") + F.col("_first") + F.col("_k")).select(*placed.drop("key_hash").columns, "slot")
+    alike = stored(placed.groupBy(*placed.columns).agg(F.count("*").alias("_n")), "alike")
+    order = [F.col("key_hash"), F.col(key).asc_nulls_first(), F.col("text_crc32"), F.col("size")]
+    run = sums_before(alike, ["shard"], order, {"_first": "_n"}, rows_a_bucket)
+    return copies(run, "_n", "_copy").withColumn("slot", F.col("_first") + F.col("_copy")).select(*placed.drop("key_hash").columns, "slot")
 
 
 def rendezvous_shards(rows: DataFrame, weights: Mapping[int, float], grown: Mapping[int, float] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, law, shard, slot, grown_shard."""
-    out = number(assign(rows, weights, grown, key, text), key, shards=len(weights))
+    out = number(assign(rows, weights, grown, key, text), key)
     return out.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
