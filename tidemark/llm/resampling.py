@@ -76,7 +76,7 @@ def score(docs: DataFrame, target: DataFrame, orders: int = 2, buckets: int = 10
     found = stored(features(docs, key, text, orders, buckets), "features")
     names = [f"b{k}" for k in range(1, orders + 1)]
     wanted = bucket_counts(features(target, "text", "text", orders, buckets), orders, "t")
-    table = stored(gains(bucket_counts(found, orders, "s"), wanted, buckets).coalesce(1), "gains")
+    table = stored(gains(bucket_counts(found, orders, "s"), wanted, buckets), "gains")
     for b in names:
         found = found.join(F.broadcast(table.select(F.col("bucket").alias(b), F.col("gain").alias(f"g_{b}"))), b, "left")
     gain = sum((F.coalesce(f"g_{b}", F.lit(0)) for b in names), F.lit(0).cast("long"))
