@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,14 +41,14 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sums_before(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
+def sums_before(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, str], rows_a_range: int = ROWS_A_RANGE, store: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """Adds, for each name and column of sums, the column's sum over the rows of the same by that stand before this row in order.
 
     rows: a stored table, as it is read more than once; order must tell rows of one by apart, and by must not be null.  Ranges of
     (by, order) are written; sums run inside each range and are moved by the sums of the ranges before, so no task holds a group.
     """
-    ranges = max(LEAST_RANGES, -(-rows.count() // ROWS_A_RANGE))
-    cut = stored(rows.repartitionByRange(ranges, *by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    ranges = max(LEAST_RANGES, -(-rows.count() // rows_a_range))
+    cut = store(rows.repartitionByRange(ranges, *by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     of_range = cut.groupBy("_range", *by).agg(*(F.sum(c).alias(f"_of_{n}") for n, c in sums.items()))
