@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import chunks, stored
+from tidemark.llm._common import chunks, forget, stored
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -38,7 +38,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _SPACES = r"\s\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿"
 _LETTERS = r"A-Za-zÀ-ÖØ-öø-ɏ"
 #: Places in a text where no token goes on: before a space or line end that follows no white space, between a letter and a full stop or comma, and after a line end alone.
-CUT = rf"(?<=[^{_SPACES}])(?=[ \n])|(?<=[{_LETTERS}])(?=[.,])|(?<=[.,])(?=[{_LETTERS}])|(?<=[^{_SPACES}]\n)(?=[{_LETTERS}])"
+#: What is rare at a place is asked first.
+CUT = rf"(?=[ \n])(?<=[^{_SPACES}])|(?=[.,])(?<=[{_LETTERS}])|(?<=[.,])(?=[{_LETTERS}])|(?<=\n)(?=[{_LETTERS}])(?<=[^{_SPACES}]\n)"
 #: Units, and bytes of what is known of them, that may be broadcast.
 HOT, HOT_BYTES = 200_000, 64_000_000
 #: Ids are below this.
@@ -189,19 +190,31 @@ def hot_from(units: DataFrame) -> int:
     return least
 
 
+def _numbered(counted: DataFrame, least: int) -> DataFrame:
+    """_u, _hot, unit: small numbers for frequent units, so they take little room in lists."""
+    frequent = counted.filter(F.col("_size") >= least)  # HOT at most
+    one = frequent.select((F.row_number().over(Window.orderBy(F.desc("n"), "unit")) - 1).cast("long").alias("_u"), F.lit(True).alias("_hot"), "unit")
+    two = counted.filter(F.col("_size") < least).select((F.monotonically_increasing_id() + (1 << 40)).alias("_u"), F.lit(False).alias("_hot"), "unit")
+    return one.unionByName(two)
+
+
 def align(docs: DataFrame, a: Callable[[], Encoder], b: Callable[[], Encoder], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row. Text and a space before it is what a and b encode."""
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
     counted = occurrences(rows).filter("unit IS NOT NULL").groupBy("unit").agg(F.count("*").alias("n"))
-    counted = stored(counted.withColumns({"_u": F.monotonically_increasing_id(), "_size": F.floor(F.log2("n") * 8).cast("int")}), "units")
-    least = hot_from(counted)
+    counted = stored(counted.withColumn("_size", F.floor(F.log2("n") * 8).cast("int")), "counted")
+    numbered = stored(_numbered(counted, hot_from(counted)), "numbered")
+    forget(counted)
     with _set(spark, _CO):
-        done = stored(align_units(stored(encoded(counted, a, b), "encoded")), "aligned")
-    units = stored(counted.withColumn("_hot", F.col("_size") >= least).join(done, "_u", "left").withColumn("ok", F.col("n_a").isNotNull()), "known")
+        tokens_of = stored(encoded(numbered, a, b), "encoded")
+        aligned = stored(align_units(tokens_of), "aligned")
+    forget(tokens_of)
+    units = stored(numbered.join(aligned, "_u", "left").withColumn("ok", F.col("n_a").isNotNull()), "units")
+    forget(numbered)
+    forget(aligned)
     hot, rare = F.broadcast(units.filter("_hot")), units.filter("NOT _hot")
-    placed = _place(occurrences(rows.repartition("_row")), hot, rare)
-    texts = stored(placed, "texts")
+    texts = stored(_place(occurrences(rows.repartition("_row")), hot, rare), "texts")
     counts = stored(_pair_counts(texts, hot, rare), "pairs")
     worth = stored(_worth(units, counts), "worth")
     by = {"count_sum": F.sum("count_sum"), "n_best": F.sum("n_best")}
@@ -217,7 +230,7 @@ _SUMS = ("n_a", "n_b", "n_groups", "n_links")
 
 
 def _place(each: DataFrame, hot: DataFrame, rare: DataFrame) -> DataFrame:
-    """Of each document: sums, the digest of its groups, and the units that it holds, each once."""
+    """Of each document: sums, the digest of its groups, and the units that it holds."""
     known = ["unit", "_u", "ok", "groups", *_SUMS]
     met = each.join(hot.select(*known), "unit", "left")
     gathered = lambda df, p: df.groupBy("_row").agg(
@@ -232,14 +245,14 @@ def _place(each: DataFrame, hot: DataFrame, rare: DataFrame) -> DataFrame:
     ok = F.coalesce("h_ok", F.lit(True)) & F.coalesce("r_ok", F.lit(True))
     either = lambda p: F.coalesce(f"{p}_list", F.array().cast("array<struct<_at: int, _u: long, groups: string>>"))
     said = F.array_join(F.transform(F.sort_array(F.concat(either("h"), either("r"))), lambda x: x["groups"]), ";")
-    distinct = lambda p: F.when(ok, F.transform(either(p), lambda x: x["_u"])).otherwise(F.array().cast("array<long>"))
+    held = lambda p, kind: F.when(ok, F.transform(either(p), lambda x: x["_u"])).otherwise(F.array()).cast(f"array<{kind}>")
     return both.select(
         "_row",
         F.coalesce("h_key", "r_key").alias("_key"),
         *(F.when(ok, F.coalesce(f"h_{c}", F.lit(0)) + F.coalesce(f"r_{c}", F.lit(0))).otherwise(0).cast("long").alias(c) for c in _SUMS),
         F.when(ok, F.sha2(said, 256)).otherwise("").alias("groups_sha256"),
-        distinct("h").alias("hot"),
-        distinct("r").alias("rare"),
+        held("h", "int").alias("hot"),
+        held("r", "long").alias("rare"),
     )
 
 
