@@ -6,6 +6,7 @@ from itertools import product
 import pytest
 
 from tests.llm.hand_pages import LATER, PAGES
+from tests.llm.held_pages import HELD
 from tidemark.llm import html_extract
 from tidemark.llm.dom import blocks
 
@@ -85,6 +86,26 @@ def test_pages_written_by_hand(page, text):
     assert html_extract.main_text(page, html_extract.default_model()) == text
 
 
+@pytest.mark.parametrize(("page", "text"), HELD)
+def test_pages_that_nothing_was_tuned_on(page, text):
+    assert html_extract.main_text(page, html_extract.default_model()) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>A.</p><div class='sponsored-box'><p>ad</p></div><p>B.</p></article>", "A.\nB."),
+        ("<article><p>The first words.</p><form><input><button>Go</button></form><p>The last words.</p></article>", "The first words.\nThe last words."),
+        ("<article><p>Short text here.</p></article>", "Short text here."),
+        ("<div class='cookie'><p>We use cookies.</p></div><article><p>Cookies are baked at 180 degrees.</p></article>", "Cookies are baked at 180 degrees."),
+        ("<p>Just one paragraph.</p>", "Just one paragraph."),
+        ("Plain text of a page without tags.", "Plain text of a page without tags."),
+    ],
+)
+def test_articles_without_a_heading(page, text):
+    assert html_extract.main_text(page, html_extract.default_model()) == text
+
+
 def test_very_long_texts_in_one_batch(spark):
     """Long pages among short ones, all in one batch of rows."""
     prose = "The river rose again on Monday and people walked home along the old road. " * 20

@@ -157,6 +157,7 @@ class _Maker:
         self.r = random.Random(seed)
         self.m = random.Random(seed + 1_000_000)  # of media, so that they leave the other draws as they are
         self.v = random.Random(seed + 2_000_000)  # of rarer layouts, likewise
+        self.o = random.Random(seed + 3_000_000)  # of how the main part opens, likewise
         self.vocabulary = ["".join(self.r.choices("aeioubcdfglmnprstvéüñ", k=self.r.randint(2, 10))) for _ in range(800)]
 
     def words(self, lo: int, hi: int) -> str:
@@ -274,6 +275,35 @@ class _Maker:
             main.insert(v.randint(1, len(main)) if main else 0, (part, True))
         return main
 
+    def opened(self, main: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
+        """main without a heading on top: it opens with a paragraph, list, quotation or table, is that alone, or goes on after an advert or a form."""
+        o, saved = self.o, (self.r, self.v)
+        self.r = self.v = o  # what follows draws from o alone
+        try:
+            while main and not (main[0][1] and not re.match("<h[1-6]", main[0][0])):
+                main = main[1:]
+            item = lambda: self.said(1, 12)
+            first = o.choice(
+                (
+                    f"<p>{self.said(1, 8)}</p>",
+                    f"<p>{self.said(3, 20)}</p>",
+                    f"<p>{self.prose()}</p>",
+                    f"<p>{self.prose()}</p>",
+                    f"<p>{o.choice(tuple(_WORDS)).capitalize()} {self.said(2, 9).lower()}</p>",
+                    "<ul>" + "".join(f"<li>{item()}</li>" for _ in range(o.randint(1, 5))) + "</ul>",
+                    "<ol>" + "".join(f"<li>{item()}</li>" for _ in range(o.randint(1, 5))) + "</ol>",
+                    f"<blockquote>{self.said(3, 20)}</blockquote>",
+                    "<table>" + "".join(f"<tr><th>{self.said(1, 2)}</th><td>{item()}</td></tr>" for _ in range(o.randint(1, 4))) + "</table>",
+                    f"{self.prose()}",
+                )
+            )
+            if o.random() < 0.3:
+                return [(first, True)]
+            between = [(self.other(o.choice(("ad", "ad", "form", "form", "notice", "share", "aside"))), False)] if o.random() < 0.5 else []
+            return [(first, True), *between, *(main or [(f"<p>{self.prose()}</p>", True)])]
+        finally:
+            self.r, self.v = saved
+
     def around(self) -> tuple[str, str]:
         """What opens and closes the main part in rarer layouts."""
         v = self.v
@@ -344,11 +374,19 @@ class _Maker:
             main.append((f'<section {self.v.choice(("class", "id"))}="{self.v.choice(("comments", "comments", "replies", "responses"))}">{heading}{replies}</section>', False))
         if len(main) > 2 and self.v.random() < 0.15:
             main.insert(self.v.randrange(1, len(main)), (self.beside(), False))
+        if self.o.random() < 0.3:
+            main = self.opened(main)
+            if self.o.random() < 0.15:  # nothing else on the page
+                return self.labelled([*(parts[:1] if self.o.random() < 0.5 else []), *main])
         parts += [(self.beside(), False)] * (self.v.random() < 0.2)
         parts += [(start, False), *main, (end, False)]
         parts += [(self.beside(), False) for _ in range(self.v.choice((0, 0, 1, 2)))]
         parts += [(self.other(k), False) for k in ("share", "related", "comments", "form", "aside", "ad", "pages") if self.r.random() < 0.35]
         parts += [(self.other("footer"), False)] * (self.r.random() < 0.85)
+        return self.labelled(parts)
+
+    @staticmethod
+    def labelled(parts: Sequence[tuple[str, bool]]) -> tuple[list[Block], list[bool]]:
         # a mark in each text tells where a block of the whole page comes from
         whole = "".join(f"{_marked(p)}" if keep else p for p, keep in parts)
         found = blocks(whole)
@@ -359,8 +397,8 @@ _MARK = "\ue000"
 
 
 def _marked(part: str) -> str:
-    """Puts the mark after each tag that text follows."""
-    return re.sub("(?<=>)(?=[^<])", _MARK, part)
+    """Puts the mark where text begins: at the start, and after each tag that text follows."""
+    return re.sub("(?<=>)(?=[^<])|^(?=[^<])", _MARK, part)
 
 
 def labelled_pages(count: int = PAGES, seed: int = 7) -> list[tuple[list[Block], list[bool]]]:
