@@ -21,13 +21,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import chunks, forget, stored
@@ -45,8 +44,6 @@ HOT, HOT_BYTES = 200_000, 64_000_000
 #: Ids are below this.
 _IDS = 1 << 24
 _UNIT = "_u long, ok boolean, a array<struct<id: int, n: int>>, b array<struct<id: int, n: int>>"
-#: Windows and the equi-join then share one deal by unit.
-_CO = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 
 
 class Encoder:
@@ -129,29 +126,21 @@ def encoded(units: DataFrame, a: Callable[[], Encoder], b: Callable[[], Encoder]
     return units.select("_u", "unit").mapInArrow(encode, _UNIT)
 
 
-@contextmanager
-def _set(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    before = {k: spark.conf.get(k) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-
-
-def tokens(found: DataFrame, side: str) -> DataFrame:
-    """_u, _end and the id of each token of one side; _end: bytes of the unit up to the token's end."""
-    each = found.select("_u", F.posexplode(side).alias("_at", "_token"))
-    along = Window.partitionBy("_u").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    return each.select("_u", F.sum("_token.n").over(along).alias("_end"), F.col("_token.id").alias(side))
+def tokens(found: DataFrame) -> DataFrame:
+    """_u, _end and the id, as a or b, of each token of both sides; _end: bytes of the unit up to the token's end."""
+    side = lambda name: F.transform(name, lambda t: F.struct(F.lit(name == "a").alias("a"), t["id"].alias("id"), t["n"].alias("n")))
+    each = found.select("_u", F.posexplode(F.concat(side("a"), side("b"))).alias("_at", "_t")).select("_u", "_at", "_t.*")
+    along = Window.partitionBy("_u", "a").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    of = lambda mine: F.when(F.col("a") if mine else ~F.col("a"), F.col("id"))
+    return each.select("_u", F.sum("n").over(along).alias("_end"), of(True).alias("a"), of(False).alias("b"))
 
 
 def align_units(found: DataFrame) -> DataFrame:
-    """_u, n_a, n_b, n_groups, n_links, groups (``a1,a2|b1;...``) and links (a pair's number for each link). found: as of ``encoded``."""
-    dealt = found.filter("ok").repartition("_u")
-    ends = tokens(dealt, "a").join(tokens(dealt, "b"), ["_u", "_end"], "full")
+    """_u, n_a, n_b, n_groups, n_links, groups (``a1,a2|b1;...``) and links (a pair's number for each link). found: as of ``encoded``.
+
+    All of it after one deal by unit: as each side has an end once, the full equi-join of both on unit and end is a grouped one.
+    """
+    ends = tokens(found.filter("ok").repartition("_u")).groupBy("_u", "_end").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     # from the last end to the first: what was seen last covers the stretch before it
     back = Window.partitionBy("_u").orderBy(F.col("_end").desc()).rowsBetween(Window.unboundedPreceding, 0)
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
@@ -200,15 +189,13 @@ def _numbered(counted: DataFrame, least: int) -> DataFrame:
 
 def align(docs: DataFrame, a: Callable[[], Encoder], b: Callable[[], Encoder], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row. Text and a space before it is what a and b encode."""
-    spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
     counted = occurrences(rows).filter("unit IS NOT NULL").groupBy("unit").agg(F.count("*").alias("n"))
     counted = stored(counted.withColumn("_size", F.floor(F.log2("n") * 8).cast("int")), "counted")
     numbered = stored(_numbered(counted, hot_from(counted)), "numbered")
     forget(counted)
-    with _set(spark, _CO):
-        tokens_of = stored(encoded(numbered, a, b), "encoded")
-        aligned = stored(align_units(tokens_of), "aligned")
+    tokens_of = stored(encoded(numbered, a, b), "encoded")
+    aligned = stored(align_units(tokens_of), "aligned")
     forget(tokens_of)
     units = stored(numbered.join(aligned, "_u", "left").withColumn("ok", F.col("n_a").isNotNull()), "units")
     forget(numbered)
