@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from tidemark.functions.text import collapse_space, match_key, repeat_to, signature, token_count
+from tidemark.operators.containment import with_any
 from tidemark.operators.pools import training_selection
 from tidemark.operators.sampling import cyclic_budget, running, token_budget, train_validation
 
-#: Characters of terms in one automaton. ``found_terms`` makes a pass an automaton; ``contains_any`` holds all of them in a worker.
-TERMS_CHARS = 2_000_000
-
 
 def terms(values: DataFrame, column: str, least: int = 6) -> DataFrame:
     """The distinct match keys of the values, of least characters or more."""
@@ -29,67 +22,9 @@ def record_terms(records: DataFrame, least: int = 6) -> DataFrame:
     return terms(records.select(F.explode(every).alias("value")).filter("value IS NOT NULL"), "value", least)
 
 
-def _blocks(found: DataFrame) -> Iterator[list[str]]:
-    held, size = [], 0
-    for r in found.select("term").toLocalIterator():
-        held.append(r.term)
-        size += len(r.term)
-        if size >= TERMS_CHARS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def _machine(block: list[str]) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for t in block:
-        a.add_word(t, t)
-    a.make_automaton()
-    return a
-
-
-def found_terms(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """term: those of wanted (term) that some text (hay) contains as they stand.
-
-    One pass over the texts for each block of terms; a task holds a block's automaton and sends each term once.
-    """
-    out = None
-    for block in _blocks(wanted.filter("term <> ''").distinct()):
-
-        def scan(parts: Iterator[pd.DataFrame], block: list[str] = block) -> Iterator[pd.DataFrame]:
-            machine, seen = _machine(block), set()
-            for part in parts:
-                for hay in part["hay"].dropna():
-                    seen.update(t for _, t in machine.iter(hay))
-            yield pd.DataFrame({"term": sorted(seen)}, dtype=str)
-
-        part = texts.select("hay").mapInPandas(scan, "term string")
-        out = part if out is None else out.unionByName(part)
-    return texts.sparkSession.createDataFrame([], "term string") if out is None else out.distinct()
-
-
-def _finder(block: list[str]):  # noqa: ANN202  a boolean UDF
-    machine: list = []
-
-    @F.pandas_udf(BooleanType())
-    def hit(keys: pd.Series) -> pd.Series:
-        if not machine:
-            machine.append(_machine(block))
-        return keys.map(lambda s: next(machine[0].iter(s), None) is not None).astype(bool)
-
-    return hit
-
-
 def contains_any(docs: DataFrame, found: DataFrame, text: str = "text", name: str = "contaminated") -> DataFrame:
-    """Adds whether the text's match key contains any term, by one automaton a block of terms and one pass over each text."""
-    out, any_hit = docs, F.lit(False)
-    flags = []
-    for k, block in enumerate(_blocks(found)):
-        flags.append(f"_hit{k}")
-        out = out.withColumn(flags[-1], _finder(block)(match_key(F.coalesce(F.col(text), F.lit("")))))
-        any_hit = any_hit | F.col(flags[-1])
-    return out.withColumn(name, any_hit).drop(*flags)
+    """Adds whether the text's match key contains any term (term of found)."""
+    return with_any(docs, found, match_key(F.coalesce(F.col(text), F.lit(""))), name)
 
 
 def statuses(docs: DataFrame, found: DataFrame | None = None, least_tokens: int = 40, exact: bool = True, near: bool = True, order: str = "doc_id", text: str = "text") -> DataFrame:

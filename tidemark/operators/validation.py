@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import digits_only, longest_shared_piece, normalize_text, normalize_value
-from tidemark.operators.corpus import found_terms
+from tidemark.operators.containment import found_terms
 from tidemark.operators.scoring import target_fields
 
 
@@ -28,7 +28,7 @@ def duplicate_variants(docs: DataFrame) -> DataFrame:
 def values_in_corpus(records: DataFrame, docs: DataFrame, membership: str = "nonmember") -> DataFrame:
     """record_id, field of the sensitive values that some document of the corpus contains (phones: digit by digit).
 
-    All values are looked for in one pass over the documents (a pass a block of values), not value by value.
+    All values are looked for at once, by their rarest grams.
     """
     of = sensitive_values(records.filter(F.col("membership") == membership))
     of = of.select("record_id", "field", normalize_value(F.col("field"), F.col("value")).alias("term"), F.contains("field", F.lit("phone")).alias("phone"))
