@@ -6,6 +6,7 @@ running sums are taken in buckets of the hash and moved by the buckets' sums.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,10 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.tables import stored, sums_before
+
 #: Hex digits of the order that make a bucket: 4096 buckets.
 BUCKET_DIGITS = 3
-#: Counts that a bootstrap draws at once, and ranges of scores in which ranks are formed.
-DRAWN, RANGES = 4_000_000, 4096
+#: Counts that a bootstrap draws at once, and distinct values of a part.
+DRAWN, PART = 4_000_000, 10_000
 
 
 def seeded(key: Column, seed: int) -> Column:
@@ -117,39 +120,52 @@ def random_control(units: DataFrame, removed: DataFrame, unit: str, size: int, s
 def bootstrap(values: DataFrame, by: Sequence[str], value: str = "value", rounds: int = 2000, seed: int = 1, last: bool = False) -> DataFrame:
     """Percentile interval of the mean by group, from a resampling of its distinct values' counts.
 
-    Ends are at int(q * (rounds - 1)) of the sorted means, or at int(q * rounds) with last.  A group's values are counted
-    before they meet in a task, so the task holds its distinct values; resamples are drawn in blocks of DRAWN counts.
+    Ends are at int(q * (rounds - 1)) of the sorted means, or at int(q * rounds) with last.  A resample of n values is drawn in two
+    steps of the same law: how many fall to each of a group's parts, by hash, of about PART distinct values, and then which of the part's.  A task
+    holds a part's values or a group's parts, and partial sums meet; resamples are drawn in blocks of DRAWN counts.
     """
+    group = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
     counts = values.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    counts = stored(counts.select(group.alias("_g"), F.col(value).cast("double").alias("_v"), "_c"), "counts")
+    wide = counts.groupBy("_g").agg(F.ceil(F.count("*") / PART).alias("_parts"))
+    parted = counts.join(wide, "_g").withColumn("_part", F.pmod(F.xxhash64("_v", F.lit(seed)), F.col("_parts")))
+    totals = parted.groupBy("_g", "_part").agg(F.sum("_c").alias("_n"))
+
+    def source(*names: object) -> np.random.Generator:
+        return np.random.default_rng([seed, *hashlib.sha256(repr(names).encode()).digest()])
+
+    def over_parts(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_part")
+        n, draw, at_once = rows["_n"].to_numpy(), source(rows["_g"].iloc[0]), max(1, DRAWN // len(rows))
+        drawn = np.concatenate([draw.multinomial(n.sum(), n / n.sum(), min(at_once, rounds - k)) for k in range(0, rounds, at_once)])
+        return pd.DataFrame({"_g": rows["_g"], "_part": rows["_part"], "_drawn": list(drawn.T)})
+
+    def inside(rows: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_v")
+        c, v, n = rows["_c"].to_numpy(), rows["_v"].to_numpy(), np.asarray(of["_drawn"].iloc[0])
+        g, part = of["_g"].iloc[0], int(of["_part"].iloc[0])
+        draw, at_once = source(g, part), max(1, DRAWN // len(c))
+        sums = np.concatenate([draw.multinomial(n[k : k + at_once], c / c.sum()) @ v for k in range(0, rounds, at_once)])
+        return pd.DataFrame({"_g": [g], "_sums": [sums]})
+
+    drawn = totals.groupBy("_g").applyInPandas(over_parts, "_g string, _part long, _drawn array<long>")
+    sums = parted.groupBy("_g", "_part").cogroup(drawn.groupBy("_g", "_part")).applyInPandas(inside, "_g string, _sums array<double>")
     low, high = (int(0.025 * rounds), min(rounds - 1, int(0.975 * rounds))) if last else (int(0.025 * (rounds - 1)), int(0.975 * (rounds - 1)))
-
-    def resample(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(value)
-        c, v = group["_c"].to_numpy(), group[value].to_numpy(float)
-        n = int(c.sum())
-        draw, at_once = np.random.default_rng(seed), max(1, DRAWN // len(c))
-        means = np.sort(np.concatenate([draw.multinomial(n, c / n, min(at_once, rounds - k)) @ v / n for k in range(0, rounds, at_once)]))
-        return pd.DataFrame([[*(group[b].iloc[0] for b in by), n, float((c * v).sum() / n), means[low], means[high]]], columns=[*by, "n", "mean", "ci_low", "ci_high"])
-
+    resamples = sums.select("_g", F.posexplode("_sums").alias("_round", "_s")).groupBy("_g", "_round").agg(F.sum("_s").alias("_s"))
+    ends = resamples.groupBy("_g").agg(F.sort_array(F.collect_list("_s")).alias("_all")).select("_g", F.col("_all")[low].alias("_low"), F.col("_all")[high].alias("_high"))
+    whole = counts.groupBy("_g").agg(F.sum("_c").alias("n"), F.sum(F.col("_c") * F.col("_v")).alias("_sum")).join(ends, "_g")
     kinds = ", ".join(f"`{b}` {values.schema[b].dataType.simpleString()}" for b in by)
-    return counts.groupBy(*by).applyInPandas(resample, f"{kinds}, n long, mean double, ci_low double, ci_high double")
+    names = F.from_json("_g", kinds) if by else F.lit(None)
+    return whole.withColumn("_by", names).select(*(F.col(f"_by.{b}").alias(b) for b in by), "n", *((F.col(c) / F.col("n")).alias(a) for c, a in (("_sum", "mean"), ("_low", "ci_low"), ("_high", "ci_high"))))
 
 
 def auc(rows: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """ROC area by group from counts by score; half for ties, 0.5 where a class is missing."""
+    """ROC area by group from counts by score; half for ties, 0.5 where a class is missing.
+
+    How many negatives stand below a score comes from running sums in ranges that hold about as many scores each, however these are spread.
+    """
     counts = rows.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_q"))
-    # ranks within a range of scores, moved by the counts of the ranges before: no task has all scores of a group
-    ends = rows.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).agg(F.min(score).cast("double").alias("lo"), F.max(score).cast("double").alias("hi")).first()
-    x = F.col(score).cast("double")
-    place = F.floor((x - F.lit(ends.lo)) / F.lit(ends.hi - ends.lo) * RANGES).cast("int") if ends.lo is not None and ends.hi > ends.lo else F.lit(0)
-    c = counts.withColumn("_range", F.when(F.isnan(x), RANGES + 1).otherwise(place))
-    sums = c.groupBy(*by, "_range").agg(F.sum("_q").alias("_s"))
-    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*(F.col(b).alias(f"_g{i}") for i, b in enumerate(by)), F.col("_range").alias("_r"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
-    condition = F.col("_range") == F.col("_r")
-    for i, b in enumerate(by):
-        condition = condition & F.col(b).eqNullSafe(F.col(f"_g{i}"))
-    inside = Window.partitionBy(*by, "_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("_in", F.coalesce(F.sum("_q").over(inside), F.lit(0))).join(base, condition).withColumn("_below", F.col("_base") + F.col("_in"))
+    counts = stored(counts.withColumn("_g", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")), "counts")
+    c = sums_before(counts, ["_g"], [F.col(score)], {"_below": "_q"})
     pairs = F.sum("_p") * F.sum("_q")
     return c.groupBy(*by).agg(F.when(pairs > 0, F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2)) / F.nullif(pairs, F.lit(0))).otherwise(0.5).alias("auc"))
