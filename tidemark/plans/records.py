@@ -9,7 +9,7 @@ from tidemark.functions import stats
 from tidemark.functions import text as T
 from tidemark.operators import ablation, cues, matching, pools, prompts, records, retrieval, rollups, validation
 from tidemark.plans import study, texts, vectors
-from tidemark.plans.bindings import MEMBER_SEGMENTS, REPORTS, SCORES, reports, rounded, scores, scratch, table
+from tidemark.plans.bindings import MEMBER_SEGMENTS, REPORTS, SCORES, reports, rounded, scores, scratch, spread, table
 from tidemark.sources import readers, sinks
 from tidemark.streaming import background
 
@@ -113,7 +113,7 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     secret = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
     even = F.pmod("item_id", F.lit(2)) == 0
     r = items.select(F.col("item_id").alias("record_id"), F.when(even, "canary").otherwise("identity").alias("family"), F.lit("nonmember").alias("membership"), F.create_map(F.lit("secret"), secret, F.lit("kind"), F.lit("item")).alias("fields"), F.array(F.lit("secret"), F.lit("kind")).alias("sensitive_fields"))
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     asked = texts._prompts(spark, sf_dir).select(F.when(F.pmod("conv_id", F.lit(3)) == 0, "low").otherwise("no_cue").alias("cue_band_requested"), "prompt", F.create_map(F.lit("text"), F.col("target_text")).alias("target_fields"))
     rendered = docs.select(F.concat_ws("/", "source", "lang").alias("record_id"), "text", F.when(F.pmod("doc_id", F.lit(3)) == 0, "fuzzy").otherwise("exact_duplicate").alias("variant_type"))
     return validation.report(r, docs, prompts=asked, rendered=rendered, background=docs)

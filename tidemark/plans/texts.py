@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.functions.pii import PATTERNS, candidates
 from tidemark.operators import corpus, cues, retrieval, sampling, scoring, validation
-from tidemark.plans.bindings import rounded, table
+from tidemark.plans.bindings import rounded, spread, table
 
 SEED, CYCLE_TOKENS = 7, 5_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An output for each order, which tells some of its customer's fields."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     k = F.col("o_orderkey")
     parts = [
         F.lit("The record says"),
@@ -138,7 +138,7 @@ def legacy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First turns as prompts for the benchmark item of their number; some have the item's first words put in front."""
-    turns = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", "text")
+    turns = spread(table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", "text"))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("target_text"))
     n = F.lit(items.count())
     head = F.array_join(F.slice(F.split("target_text", " "), 1, F.pmod(F.col("conv_id"), F.lit(9)).cast("int") * 4), " ")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import dot
 from tidemark.functions.text import deidentify, token_count
 from tidemark.operators import matching, mechanism, pools, prompts, records, retrieval, rollups, sampling
-from tidemark.plans.bindings import SCORES, rounded, scores, table
+from tidemark.plans.bindings import SCORES, rounded, scores, spread, table
 from tidemark.streaming.background import bundle
 
 SEED, NEGATIVES = 5, 256
@@ -52,7 +52,7 @@ def recall_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def provenance_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five ways to rank the pools: by vectors, at random, at random within the source, and by BM25 of the document's text, plain and without its first words."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     pool = candidate_pools(spark, sf_dir).filter("doc_id <> target").join(docs.select("doc_id", "source"), "doc_id")
     of_target = docs.select(F.col("doc_id").alias("target"), F.col("text").alias("query"), F.col("source").alias("_s"))
     queries = pool.select("target").distinct().join(of_target, "target")
@@ -65,7 +65,7 @@ def provenance_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pool_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of each target's text within its pool."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     pool = candidate_pools(spark, sf_dir).filter("doc_id <> target").join(docs.select("doc_id"), "doc_id")
     queries = docs.select(F.col("doc_id").alias("target"), F.col("text").alias("query")).join(pool.select("target").distinct(), "target", "left_semi")
     return rounded(retrieval.bm25_of_pools(pool, queries, docs).select("target", "doc_id", "score"), 4)
