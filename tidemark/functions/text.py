@@ -159,6 +159,7 @@ def repeat_to(text: Column, count: int) -> Column:
         times = F.ceil(F.lit(count) / F.size(w)).cast("int")
         return F.array_join(F.slice(F.flatten(F.array_repeat(w, times)), 1, count), " ")
 
+    #: The words of an empty text.
     none = F.array(*map(F.lit, ("background", "corpus", "placeholder")))
     return let(let(words(text), lambda w: F.when(F.size(w) == 0, none).otherwise(w)), cycle)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import string
 from collections.abc import Mapping, Sequence
-from itertools import product
+from itertools import count, product
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,8 @@ ANCHORS = {
     "event": ("public_handle", "traveler_alias", "origin_city", "destination_city"),
     "canary": ("anchor",),
 }
+#: What parts of a condition's name stand for, in the order of trial.
+CONDITIONS = (("c0", "clean"), (0, "clean", False)), (("c1", "exact_1", "exact-1x"), (1, "exact", False)), (("c2", "exact_10", "10x"), (10, "exact", False)), (("c3", "fuzzy"), (5, "fuzzy", False)), (("c4", "redacted"), (5, "fuzzy", True)), (("c5", "20x"), (20, "exact", False))
 VARIANTS = ("template_variation", "field_reordered", "lexical_paraphrase", "partial_field_omission", "formatting_variation", "distractor_variant")
 LOW_OVERLAP = ("partial_field_omission", "distractor_variant", "field_reordered", "lexical_paraphrase", "formatting_variation")
 HIGH_OVERLAP = ("template_variation", "field_reordered", "formatting_variation", "lexical_paraphrase", "template_variation")
@@ -47,56 +52,65 @@ def _name(idx: Column, salt: str, seed: int) -> Column:
     return F.concat(one_of(SYLLABLES, idx, f"{salt}1", seed), one_of(SYLLABLES, idx, f"{salt}2", seed))
 
 
-def code(idx: Column, length: int, salt: str, seed: int) -> Column:
-    value = idx * 7919 + draw(idx, salt, 676, seed)
-    return F.concat(*(F.char(F.lit(65) + F.pmod(F.floor(value / 26**k), F.lit(26))) for k in range(length)))
+def shuffled(idx: Column, size: int, salt: str, seed: int) -> Column:
+    """A number below size that no other of size ids in a row has: a step through the residues, coprime to them, drawn by salt and seed."""
+    drawn = int(hashlib.sha256(f"{seed}:{salt}".encode()).hexdigest()[:8], 16)
+    step = next(k for k in count(drawn % size + 1) if gcd(k, size) == 1)
+    return F.pmod(idx * F.lit(step % size).cast("long") + F.lit(drawn // size), F.lit(size).cast("long"))
 
 
-def phone(idx: Column) -> Column:
-    return F.format_string("+1-555-01%02d-%d", F.pmod(idx, F.lit(100)), F.lit(1000) + F.pmod(idx * 73, F.lit(9000)))
+def digits(idx: Column, n: int, salt: str, seed: int) -> Column:
+    return F.lpad(shuffled(idx, 10**n, salt, seed).cast("string"), n, "0")
 
 
-def day(idx: Column) -> Column:
-    """28 days a month, twelve months a year, from 2026 on."""
-    i = idx - 1
-    return F.make_date((F.lit(2026) + F.floor(i / 336)).cast("int"), (F.pmod(F.floor(i / 28), F.lit(12)) + 1).cast("int"), (F.pmod(i, F.lit(28)) + 1).cast("int"))
+def letters(idx: Column, n: int, salt: str, seed: int) -> Column:
+    """Capitals: the number in base 26, whose figures are 0 to 9 and A to P."""
+    figures = F.lpad(F.conv(shuffled(idx, 26**n, salt, seed).cast("string"), 10, 26), n, "0")
+    return F.translate(figures, string.digits + string.ascii_uppercase[:16], string.ascii_uppercase)
+
+
+def day(idx: Column, seed: int) -> Column:
+    return F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), shuffled(idx, 25_000, "day", seed).cast("int")), "yyyy-MM-dd")
 
 
 def _fields(family: str, idx: Column, seed: int, domain: str) -> Column:
+    """Values in the formats that the extractors know; numbers of a field are all different as long as its digits allow."""
     first, last = _name(idx, "first", seed), _name(idx, "last", seed)
-    date = F.date_format(day(idx), "yyyy-MM-dd")
+    of_number = lambda salt, n: digits(idx, n, salt, seed)
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    quarter = draw(idx, "quarter", 48, seed)  # of an hour, from seven in the morning on
     of: dict[str, Column] = {
         "identity": lambda: {
-            "full_name": F.concat_ws(" ", F.initcap(first), F.initcap(last)),
-            "email": F.concat(first, F.lit("."), last, F.format_string(".%04d@", idx), F.lit(domain)),
-            "phone": phone(idx),
-            "street_address": F.concat((idx + 1000).cast("string"), F.lit(" "), one_of(ROADS, idx, "road", seed)),
+            "full_name": F.initcap(F.concat_ws(" ", first, last)),
+            "email": said(first, ".", last, ".", of_number("mail", 4), "@", domain),
+            "phone": said("+1-555-01", of_number("exchange", 2), "-", of_number("line", 4)),
+            "street_address": said((shuffled(idx, 90_000, "house", seed) + 1).cast("string"), " ", one_of(ROADS, idx, "road", seed)),
             "city": one_of(TOWNS, idx, "city", seed),
             "country": one_of(COUNTRIES, idx, "country", seed),
-            "employee_id": F.format_string("EMP-%06d", idx + 700000),
+            "employee_id": said("EMP-", of_number("staff", 6)),
             "department": one_of(TEAMS, idx, "team", seed),
-            "manager_name": F.concat_ws(" ", F.initcap(_name(idx, "boss", seed)), F.initcap(_name(idx, "boss2", seed))),
+            "manager_name": F.initcap(F.concat_ws(" ", _name(idx, "boss", seed), _name(idx, "boss2", seed))),
         },
         "account": lambda: {
-            "username": F.concat(first, F.lit("_"), last, F.lit("_"), F.pmod(idx, F.lit(1000)).cast("string")),
-            "customer_id": F.format_string("CUST-%06d", idx + 400000),
-            "support_ticket_id": F.format_string("TKT-%06d", idx + 900000),
-            "recovery_email": F.concat(first, F.lit("."), last, F.format_string(".alt.%04d@", idx), F.lit(domain)),
-            "last_four_digits": F.format_string("%04d", F.pmod(idx * 37, F.lit(10000))),
+            "username": said(first, "_", last, "_", of_number("user", 3)),
+            "customer_id": said("CUST-", of_number("customer", 6)),
+            "support_ticket_id": said("TKT-", of_number("ticket", 6)),
+            "recovery_email": said(first, ".", last, ".alt.", of_number("spare", 4), "@", domain),
+            "last_four_digits": of_number("card", 4),
             "account_plan": one_of(TARIFFS, idx, "plan", seed),
             "support_region": one_of(AREAS, idx, "area", seed),
         },
         "event": lambda: {
-            "traveler_alias": F.concat(first, F.lit("_"), F.pmod(idx, F.lit(1000)).cast("string")),
-            "booking_code": F.concat(code(idx, 3, "booking", seed), F.format_string("%05d", F.pmod(idx, F.lit(100000)))),
+            "traveler_alias": said(first, "_", of_number("alias", 3)),
+            "booking_code": said(letters(idx, 3, "booking", seed), of_number("booking", 5)),
             "origin_city": one_of(TOWNS[:4], idx, "from", seed),
             "destination_city": one_of(TOWNS[4:], idx, "to", seed),
-            "travel_date": date,
-            "hotel_name": F.concat(one_of(INNS, idx, "inn", seed), F.format_string(" Wing %04d", idx)),
-            "seat_number": F.concat(F.char(F.lit(65) + F.pmod(idx, F.lit(6))), F.format_string("%d-%04d", F.pmod(idx * 5, F.lit(30)) + 1, idx)),
-            "meeting_time": F.concat(date, F.format_string("T%02d:%02d", F.pmod(idx, F.lit(10)) + 8, F.pmod(idx * 7, F.lit(60)))),
+            "travel_date": day(idx, seed),
+            "hotel_name": said(one_of(INNS, idx, "inn", seed), " Wing ", of_number("wing", 4)),
+            "seat_number": said(letters(idx, 1, "seat", seed), of_number("row", 2), "-", of_number("coach", 4)),
+            "meeting_time": said(day(idx, seed), "T", F.format_string("%02d:%02d", F.floor(quarter / 4) + 7, F.pmod(quarter, F.lit(4)) * 15)),
         },
-        "canary": lambda: {"anchor": F.concat(F.lit("vault_anchor_"), code(idx, 8, "handle", seed)), "secret": F.format_string("quell-marn-%04d-osk", idx + 4000), "canary_id": F.format_string("canary_%06d", idx)},
+        "canary": lambda: {"anchor": said("vault_anchor_", letters(idx, 8, "handle", seed)), "secret": said("quell-marn-", of_number("secret", 4), "-osk"), "canary_id": F.format_string("canary_%06d", idx)},
     }[family]()
     return F.create_map(*(x for k, v in of.items() for x in (F.lit(k), v)))
 
@@ -136,7 +150,7 @@ def generate(spark: SparkSession, splits: Sequence[tuple[str, str, int]], canari
         F.when(F.col("family") == "canary", F.format_string("canary_%06d", idx)).otherwise(F.format_string("rec_%06d", idx)).alias("record_id"),
         "family", "split", "membership",
         F.when(F.col("family") == "canary", F.format_string("cluster_canary_%06d", idx)).otherwise(F.format_string("cluster_%06d", idx)).alias("cluster_id"),
-        F.concat(pick({f: F.lit(prefix[f]) for f in every}), code(idx, 8, "handle", seed)).alias("public_handle"),
+        F.concat(pick({f: F.lit(prefix[f]) for f in every}), letters(idx, 8, "handle", seed)).alias("public_handle"),
         pick({f: _fields(f, idx, seed, domain) for f in every}).alias("fields"),
         pick(names(SENSITIVE)).alias("sensitive_fields"), pick(names(ANCHORS)).alias("anchor_fields"),
         bucket.alias("repetition_bucket"), F.lit(seed).alias("created_seed"),
@@ -151,13 +165,25 @@ def condition_settings(condition: str, repeat_count: int | None = None, variant_
     for kind in ("exact", "fuzzy", "redacted"):
         if m := re.search(rf"{kind}[_-]?(\d+)x", name):
             return int(m[1]), "exact" if kind == "exact" else "fuzzy", kind == "redacted" or (kind == "fuzzy" and "redacted" in name)
-    #: What parts of a condition's name stand for, in the order of trial.
-    ladder = (("c0", "clean"), (0, "clean", False)), (("c1", "exact_1", "exact-1x"), (1, "exact", False)), (("c2", "exact_10", "10x"), (10, "exact", False)), (("c3", "fuzzy"), (5, "fuzzy", False)), (("c4", "redacted"), (5, "fuzzy", True)), (("c5", "20x"), (20, "exact", False))
-    return next((settings for parts, settings in ladder if any(p in name for p in parts)), (1, "exact", False))
+    return next((settings for parts, settings in CONDITIONS if any(p in name for p in parts)), (1, "exact", False))
+
+
+def condition_columns(name: Column) -> Column:
+    """documents, mode and redacted of a condition's name, as ``condition_settings`` reads it without further settings."""
+    of = lambda documents, mode, redacted: F.struct(F.lit(documents).alias("documents") if isinstance(documents, int) else documents.alias("documents"), F.lit(mode).alias("mode"), (F.lit(redacted) if isinstance(redacted, bool) else redacted).alias("redacted"))
+    low = F.lower(name)
+    out = of(1, "exact", False)
+    for parts, settings in reversed(CONDITIONS):
+        out = F.when(low.rlike("|".join(map(re.escape, parts))), of(*settings)).otherwise(out)
+    for kind in ("redacted", "fuzzy", "exact"):
+        number = F.regexp_extract(low, rf"{kind}[_-]?(\d+)x", 1)
+        told = of(number.cast("int"), "exact" if kind == "exact" else "fuzzy", F.lit(kind == "redacted") | F.lit(kind == "fuzzy") & F.contains(low, F.lit("redacted")))
+        out = F.when(number != "", told).otherwise(out)
+    return out
 
 
 def mask(field: Column) -> Column:
-    """What stands for a redacted value, by the field's name."""
+    """What stands for a redacted value, by the field's name.  Fixed values: parts of names in the order of trial, and the masks."""
     has = lambda *parts: field.rlike("|".join(parts))
     return (
         F.when(has("email"), "masked@example-synth.org").when(has("phone"), "+1-555-0100-0000").when(has("address"), "[REDACTED_ADDRESS]")
@@ -204,16 +230,16 @@ def render(records: DataFrame, condition: str, seed: int = 1, include: Sequence[
     Canaries are left out unless the condition's name or include asks for them.
     """
     spark = records.sparkSession
-    count, mode, redact = condition_settings(condition, **settings)
+    copies, mode, redact = condition_settings(condition, **settings)
     left_out = list(exclude) + (["canary"] if not any(x in condition.lower() for x in ("canary", "c5")) and "canary" not in include else [])
     rows = records.filter((F.col("membership") == "member") & ~F.col("family").isin(*left_out) if left_out else F.col("membership") == "member")
     if include:
         rows = rows.filter(F.col("family").isin(*include))
     cycle = ("exact_duplicate",) if mode == "exact" else {"low": LOW_OVERLAP, "high": HIGH_OVERLAP}.get(overlap.lower(), VARIANTS)
-    if count <= 0:
+    if copies <= 0:
         rows = rows.limit(0)
     k = F.col("_k")
-    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(max(count, 1) - 1))))
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(max(copies, 1) - 1))))
     variant = F.element_at(F.array(*map(F.lit, cycle)), (F.pmod(k, F.lit(len(cycle))) + 1).cast("int"))
     templates = catalogue(spark, sheets)
     size = F.create_map(*(F.lit(x) for f, of in sheets.items() for x in (f, len(of) * len(HANDS) * len(ENDS))))[F.col("family")]

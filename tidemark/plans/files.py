@@ -9,8 +9,6 @@ from tidemark.functions import text as T
 from tidemark.plans.bindings import REPORTS, reports, rounded, scores, scratch, table
 from tidemark.sources import readers, sinks
 
-SETTINGS = {"name": "study", "seeds": [1, 2, 3], "budget": 5, "near": True}
-
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
@@ -43,10 +41,13 @@ def json_document_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def settings_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """name, value of a configuration in YAML and in JSON."""
+    """name, value of a configuration that tables tell, in YAML and in JSON."""
     base, rows = scratch(spark, "settings"), []
+    segments = sorted(r.s for r in table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("s")).distinct().collect())
+    most = table(spark, sf_dir, "lineitem").agg(F.max("l_linenumber").alias("budget"), F.count("*").alias("lines")).first()
+    settings = {"name": "study", "conditions": segments, "budget": most.budget, "lines": most.lines, "near": True}
     for kind in ("yaml", "json"):
-        sinks.document(spark, f"{base}/study.{kind}", SETTINGS)
+        sinks.document(spark, f"{base}/study.{kind}", settings)
         rows += [(kind, k, str(v)) for k, v in readers.config(spark, f"{base}/study.{kind}").items()]
     return spark.createDataFrame(rows, "kind string, name string, value string")
 
@@ -155,12 +156,18 @@ def token_block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backends_told(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kind of model by the side files of a folder."""
+    """The kind of model by the side files of a folder, one for each region."""
     base = scratch(spark, "models")
-    sinks.document(spark, f"{base}/toy/model.json", {"backend": "toy"})
-    sinks.document(spark, f"{base}/other/config.json", {})
-    sinks.stub(spark, f"{base}/empty/readme.json", "not trained")
-    return spark.createDataFrame([(n, readers.backend(spark, f"{base}/{n}") or "none") for n in ("toy", "other", "empty")], "folder string, backend string")
+    regions = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()
+    for r in regions:
+        kind = r.r_regionkey % 3
+        if kind == 0:
+            sinks.document(spark, f"{base}/{r.r_regionkey}/model.json", {"backend": r.r_name.lower()})
+        elif kind == 1:
+            sinks.document(spark, f"{base}/{r.r_regionkey}/config.json", {})
+        else:
+            sinks.stub(spark, f"{base}/{r.r_regionkey}/readme.json", "not trained")
+    return spark.createDataFrame([(r.r_name, readers.backend(spark, f"{base}/{r.r_regionkey}") or "none") for r in regions], "folder string, backend string")
 
 
 def score_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +239,8 @@ ORACLES = {
     "json_lines_read": _DOCS,
     "json_lines_appended": f"{_DOCS} UNION ALL SELECT item_id, 'none', 'benchmark', sha256(text) FROM benchmark",
     "json_document_read": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
-    "settings_read": "SELECT kind, name, value FROM (VALUES ('yaml'), ('json')) AS k(kind), (VALUES ('name', 'study'), ('seeds', '[1, 2, 3]'), ('budget', '5'), ('near', 'True')) AS v(name, value)",
+    "settings_read": """WITH c AS (SELECT '[' || string_agg(chr(39) || s || chr(39), ', ' ORDER BY s) || ']' AS s FROM (SELECT DISTINCT c_mktsegment AS s FROM customer)), l AS (SELECT max(l_linenumber) AS b, count(*) AS n FROM lineitem),
+v AS (SELECT 'name' AS name, 'study' AS value UNION ALL SELECT 'conditions', s FROM c UNION ALL SELECT 'budget', CAST(b AS VARCHAR) FROM l UNION ALL SELECT 'lines', CAST(n AS VARCHAR) FROM l UNION ALL SELECT 'near', 'True') SELECT kind, name, value FROM (VALUES ('yaml'), ('json')) AS k(kind), v""",
     "text_paragraphs": f"SELECT {_COLLAPSED} AS text FROM benchmark",
     "text_files_read": "SELECT n_nationkey, n_name || chr(10) || n_regionkey || chr(10) AS whole, n_name || ' ' || n_regionkey AS collapsed FROM nation",
     "csv_read": "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier",
@@ -246,7 +254,7 @@ ORACLES = {
     "token_block_rows": """WITH t AS (SELECT item_id, list_append(list_transform(string_split(text, ''), lambda c: unicode(c)), 2) AS ids FROM benchmark),
 b AS (SELECT item_id, unnest(range(0, CAST(ceil(len(ids) / 32.0) AS BIGINT))) AS block, ids FROM t), p AS (SELECT item_id, block, ids[32 * block + 1:32 * block + 32] AS part FROM b)
 SELECT item_id, CAST(block AS INTEGER) AS block, CAST(list_sum(part) AS BIGINT) AS ids, CAST(list_sum(part) - 100 * (32 - len(part)) AS BIGINT) AS labels FROM p""",
-    "backends_told": "SELECT * FROM (VALUES ('toy', 'toy'), ('other', 'causal_lm'), ('empty', 'none')) AS v(folder, backend)",
+    "backends_told": "SELECT r_name AS folder, CASE r_regionkey % 3 WHEN 0 THEN lower(r_name) WHEN 1 THEN 'causal_lm' ELSE 'none' END AS backend FROM region",
     "score_archive": "SELECT CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'member' ELSE 'nonmember' END AS run, CASE o_orderstatus WHEN 'F' THEN 'high' WHEN 'O' THEN 'low' ELSE 'medium' END AS cue_band, count(*) AS rows FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
     "markdown_report": f"""WITH s AS ({_SEGMENTS}), t AS (SELECT list(printf('| %s | %d | %.4f | %.4f | %.4f |', c_mktsegment, customers, balance, balance_low, balance_high) ORDER BY c_mktsegment) AS rows FROM s),
 l AS (SELECT list_concat(['# Segments', '', '## balances', '| c_mktsegment | customers | balance | balance_low | balance_high |', '|---|---|---|---|---|'], rows, ['', '- made from customers', '']) AS l FROM t)

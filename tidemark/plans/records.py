@@ -18,9 +18,10 @@ TEMPLATES = {
     "AUTOMOBILE": {"high": ("{c_name} of nation {nation} rings at",), "low": ("Who rings at {phone}?", "{public_handle}?")},
     "BUILDING": {"high": ("{c_name}, {segment}: the number is",), "no_cue": ("Say anything.",)},
 }
-CONDITIONS = ("c0_clean", "c1_exact_1x", "C2_exact_10x", "c3_fuzzy_5x", "c4_redacted", "c5_20x", "fuzzy_7x", "redacted-3x", "fuzzy_2x_redacted", "exact20x", "other")
+CONDITION_KINDS = ("exact_", "Fuzzy-", "redacted", "c", "run ")
+VARIANTS = ("full", "high_minus_public_handle", "high_minus_location_or_region", "high_minus_template_prefix", "high_minus_record_family_marker", "medium_without_handle")
 FIELDS = ("email", "phone", "street_address", "employee_id", "last_four_digits", "booking_code", "travel_date", "meeting_time", "secret", "hotel_name")
-STUDY = {"name": "s", "conditions": ["c0_clean", "c1_exact_1x"], "seeds": [1, 2], "budgets": [1, 5], "ablations": ["none", "anchor_shuffle"]}
+STUDY = {"name": "s", "seeds": [1, 2], "budgets": [1, 5], "ablations": ["none", "anchor_shuffle"]}
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,14 +56,13 @@ def template_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates as the variants of cues rewrite them."""
-    t = prompts.template_table(spark, {"x": {"high": ("Ferry of {city}: {public_handle} to",), "medium": ("Where is {username}?",), "low": ("{public_handle}",)}})
-    out = None
-    for variant in ("full", "high_minus_public_handle", "high_minus_location_or_region", "high_minus_template_prefix", "high_minus_record_family_marker", "medium_without_handle"):
-        text, name = prompts.cue_variant(F.col("template"), F.col("band"), variant)
-        part = t.select(F.lit(variant).alias("variant"), "band", text.alias("template"), name.alias("applied"), F.array_join(prompts.placeholders(text), ",").alias("names"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """A template for each customer, as the variants of cues rewrite it."""
+    segment, k = F.col("c_mktsegment"), F.pmod("c_custkey", F.lit(3))
+    text = F.when(k == 0, F.concat(F.lit("Ferry of {city}: {public_handle} to "), segment)).when(k == 1, F.concat(F.lit("Where is {username} of "), segment, F.lit("?"))).otherwise(F.concat(F.lit("{public_handle} of "), segment))
+    t = table(spark, sf_dir, "customer").select("c_custkey", text.alias("template"), F.when(k == 0, "high").when(k == 1, "medium").otherwise("low").alias("band"))
+    rewritten = [prompts.cue_variant(F.col("template"), F.col("band"), v) for v in VARIANTS]
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), text.alias("template"), name.alias("applied")) for v, (text, name) in zip(VARIANTS, rewritten, strict=True))))
+    return t.select("c_custkey", "band", each.alias("v")).select("c_custkey", "band", "v.*", F.array_join(prompts.placeholders(F.col("v.template")), ",").alias("names"))
 
 
 def fanned_out(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,11 +72,17 @@ def fanned_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def condition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c, *records.condition_settings(c)) for c in CONDITIONS], "condition string, documents int, mode string, redacted boolean")
+    """What names of conditions say that are made of the lines' numbers, quantities and taxes."""
+    kind = F.element_at(F.array(*map(F.lit, CONDITION_KINDS)), (F.pmod("l_linenumber", F.lit(len(CONDITION_KINDS))) + 1).cast("int"))
+    name = F.concat(kind, F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_tax") > 0.04, "x").otherwise("_redacted"))
+    names = table(spark, sf_dir, "lineitem").select(name.alias("condition")).distinct()
+    return names.withColumn("_s", records.condition_columns(F.col("condition"))).select("condition", "_s.*")
 
 
 def masked_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(f,) for f in FIELDS], "field string").withColumn("mask", records.mask(F.col("field")))
+    """What stands for a value of each part, by the name of the field."""
+    field = F.element_at(F.array(*map(F.lit, FIELDS)), (F.pmod("p_partkey", F.lit(len(FIELDS))) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", field.alias("field")).withColumn("mask", records.mask(F.col("field")))
 
 
 def exchanged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,18 +189,26 @@ def stream_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def budgets_told(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples a prompt by settings and names of files."""
-    given = [({"num_return_sequences": 20}, "a/b5.yaml"), ({}, "a/budget_5.yaml"), ({"num_return_sequences": None}, "x12/plain.yaml")]
-    return spark.createDataFrame([(path, readers.budget(settings, path)) for settings, path in given], "path string, budget int")
+    """Samples a prompt by settings and names of files, one for each order."""
+    k = F.col("o_orderkey")
+    path = F.concat(F.lit("runs/"), "o_orderstatus", F.when(k % 4 == 0, "12/plain.yaml").otherwise(F.concat(F.lit("/budget_"), (k % 50).cast("string"), F.when(k % 4 == 1, "").otherwise(".yaml"))))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", path.alias("path"), F.when(k % 3 == 0, F.pmod("o_custkey", F.lit(7))).cast("int").alias("setting"))
+    return rows.select("o_orderkey", "path", prompts.budget_of(F.col("setting"), F.col("path")).alias("budget"))
+
+
+def _study(spark: SparkSession, sf_dir: str) -> study.Config:
+    """A study whose conditions are the priorities of orders."""
+    names = [r.c for r in table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("c")).distinct().orderBy("c").collect()]
+    return study.Config.of({**STUDY, "conditions": names})
 
 
 def study_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The units of a small study with the number of what each needs, and their states in an empty folder."""
+    """The units of a study with the number of what each needs, and their states in an empty folder."""
     import tempfile
 
     with tempfile.TemporaryDirectory() as folder:  # the study's state is the driver's own
         layout = study.Layout(folder)
-        units = study.plan(study.Config.of(STUDY), layout)
+        units = study.plan(_study(spark, sf_dir), layout)
         states = study.status(units, layout)
         return spark.createDataFrame([(u.unit_id, u.phase, len(u.deps), states[u.unit_id]) for u in units], "unit_id string, phase string, needs int, state string")
 
@@ -206,7 +220,7 @@ def study_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with tempfile.TemporaryDirectory() as folder:
         layout = study.Layout(folder)
-        units = study.plan(study.Config.of(STUDY), layout)
+        units = study.plan(_study(spark, sf_dir), layout)
 
         def body(unit: study.Unit) -> None:
             if unit.phase == "train" and unit.payload["seed"] == 2:
@@ -297,32 +311,35 @@ _PIECES = texts.ORACLES["longest_pieces"]
 _GRID = "SELECT l_orderkey, l_linenumber, l_discount * 5 AS token, l_tax * 8 AS char5, l_quantity / 100 AS lcs, l_quantity / 50 AS ratio, l_linenumber * 2 AS piece, l_returnflag = 'R' AS a, l_linestatus = 'F' AS b, l_partkey % 3 = 0 AS c, l_suppkey % 5 = 0 AS d FROM lineitem"
 _FLAGS = f"""SELECT conv_id, prompt || CASE WHEN conv_id % 4 = 0 THEN ':' ELSE '' END AS prompt, trim(regexp_replace(array_to_string(w[1:3], ' '), '{_WS}', ' ', 'g')) AS code, trim(regexp_replace(w[5], '{_WS}', ' ', 'g')) AS topic, list_append(list_filter(string_split_regex(array_to_string(w[6:7], ' '), '{_WS}'), lambda x: x <> ''), trim(regexp_replace(array_to_string(w[6:7], ' '), '{_WS}', ' ', 'g'))) AS name FROM (SELECT *, string_split(target_text, ' ') AS w FROM ({texts._PROMPTS}))"""
 _BUNDLE = f"""SELECT 0 AS source_rank, conv_id * 1000 + turn AS doc_id, text FROM conversations UNION ALL SELECT 1, doc_id, text FROM documents"""
-_CONDITION_ROWS = ", ".join(f"('{c}', {n}, '{mode}', {str(red).lower()})" for c, n, mode, red in (
-    ("c0_clean", 0, "clean", False), ("c1_exact_1x", 1, "exact", False), ("C2_exact_10x", 10, "exact", False), ("c3_fuzzy_5x", 5, "fuzzy", False), ("c4_redacted", 5, "fuzzy", True), ("c5_20x", 20, "exact", False),
-    ("fuzzy_7x", 7, "fuzzy", False), ("redacted-3x", 3, "fuzzy", True), ("fuzzy_2x_redacted", 2, "fuzzy", True), ("exact20x", 20, "exact", False), ("other", 1, "exact", False),
-))
-_ATS = "(VALUES ('c0_clean', 'none'), ('c1_exact_1x', 'none'), ('c1_exact_1x', 'anchor_shuffle')) AS a(c, x), (VALUES (1), (2)) AS s(s)"
+_ATS = "(SELECT DISTINCT o_orderpriority AS c FROM orders) AS p, (VALUES ('none'), ('anchor_shuffle')) AS x(x), (VALUES (1), (2)) AS s(s)"
 _UNITS = f"""WITH a AS (SELECT c || '/' || x || '/seed_' || s AS place FROM {_ATS}), b AS (SELECT place || '/budget' || n AS place FROM a, (VALUES (1), (5)) AS v(n))
-SELECT 'records/s' AS unit_id, 'records' AS phase, 0 AS needs, 'ready' AS state UNION ALL SELECT 'audit_prep/s', 'audit_prep', 1, 'pending' UNION ALL SELECT 'report/s', 'report', 12, 'pending'
+SELECT 'records/s' AS unit_id, 'records' AS phase, 0 AS needs, 'ready' AS state UNION ALL SELECT 'audit_prep/s', 'audit_prep', 1, 'pending' UNION ALL SELECT 'report/s', 'report', CAST((SELECT count(*) FROM b) AS INTEGER), 'pending'
 {' '.join(f"UNION ALL SELECT '{p}/' || place, '{p}', {n}, 'pending' FROM a" for p, n in (('render', 1), ('corpus', 1), ('train', 1), ('pools', 2), ('attribution', 2), ('removal', 2), ('mechanism', 2)))}
 {' '.join(f"UNION ALL SELECT '{p}/' || place, '{p}', {n}, 'pending' FROM b" for p, n in (('generate', 2), ('score', 1)))}"""
-_RUN = """SELECT * FROM (VALUES ('records', 'completed', 1), ('audit_prep', 'completed', 1), ('render', 'completed', 6), ('corpus', 'completed', 6), ('train', 'completed', 3), ('train', 'failed', 3), ('generate', 'completed', 6), ('generate', 'blocked', 6),
-('score', 'completed', 6), ('score', 'blocked', 6), ('pools', 'completed', 3), ('pools', 'blocked', 3), ('attribution', 'completed', 3), ('attribution', 'blocked', 3), ('removal', 'completed', 3), ('removal', 'blocked', 3), ('mechanism', 'completed', 3), ('mechanism', 'blocked', 3), ('report', 'blocked', 1)) AS v(phase, state, units)"""
+_RUN = f"""WITH a AS (SELECT CAST(count(*) AS INTEGER) AS n FROM {_ATS}) SELECT 'records' AS phase, 'completed' AS state, 1 AS units UNION ALL SELECT 'audit_prep', 'completed', 1 UNION ALL SELECT 'report', 'blocked', 1
+{' '.join(f"UNION ALL SELECT '{p}', 'completed', n FROM a" for p in ('render', 'corpus'))} UNION ALL SELECT 'train', 'completed', n // 2 FROM a UNION ALL SELECT 'train', 'failed', n // 2 FROM a
+{' '.join(f"UNION ALL SELECT '{p}', '{state}', {n} FROM a" for state in ('completed', 'blocked') for p, n in (('generate', 'n'), ('score', 'n'), ('pools', 'n // 2'), ('attribution', 'n // 2'), ('removal', 'n // 2'), ('mechanism', 'n // 2')))}"""
+_SAYS = [("c0", "clean"), ("c1", "exact_1", "exact-1x"), ("c2", "exact_10", "10x"), ("c3", "fuzzy"), ("c4", "redacted"), ("c5", "20x")]
+_TOLD = ["(0, 'clean', false)", "(1, 'exact', false)", "(10, 'exact', false)", "(5, 'fuzzy', false)", "(5, 'fuzzy', true)", "(20, 'exact', false)"]
+_NUMBERED = " ".join(f"WHEN regexp_matches(l, '{kind}[_-]?[0-9]+x') THEN row(CAST(regexp_extract(l, '{kind}[_-]?([0-9]+)x', 1) AS INTEGER), '{mode}', {redacted})" for kind, mode, redacted in (("exact", "exact", "false"), ("fuzzy", "fuzzy", "contains(l, 'redacted')"), ("redacted", "fuzzy", "true")))
+_LADDER = " ".join(f"WHEN {' OR '.join(f"contains(l, '{x}')" for x in parts)} THEN row{told}" for parts, told in zip(_SAYS, _TOLD, strict=True))
+_FIELD_MASKS = [("email", "masked@example-synth.org"), ("phone", "+1-555-0100-0000"), ("street_address", "[REDACTED_ADDRESS]"), ("employee_id", "[REDACTED_ID]"), ("last_four_digits", "[REDACTED_ID]"), ("booking_code", "[REDACTED_ID]"), ("travel_date", "[REDACTED_TIME]"), ("meeting_time", "[REDACTED_TIME]"), ("secret", "[REDACTED_SECRET]"), ("hotel_name", "[REDACTED]")]
+#: Variant, band that it applies to, what it has in the template's place there.
+_REWRITTEN = [("full", "none", "t"), ("high_minus_public_handle", "high", "replace(t, '{public_handle}', '[omitted_handle]')"), ("high_minus_location_or_region", "high", "replace(t, '{city}', '[omitted_location]')"), ("high_minus_template_prefix", "high", "replace(t, 'Ferry of {city}: ', '')"),
+              ("high_minus_record_family_marker", "high", "replace(t, 'Ferry', 'Record')"), ("medium_without_handle", "medium", "replace(t, '{username}', '[omitted_username]')")]
 _CHANCE = """CASE WHEN n <= 0 OR t <= 0 THEN 0.0 WHEN t >= n OR n - t < least({0}, n) THEN 1.0 ELSE 1 - list_product(list_transform(range(least({0}, n)), lambda i: (n - t - i) / (n - i))) END"""
 
 ORACLES = {
     "record_filters": " UNION ALL ".join(f"SELECT '{k}' AS filter, count(*) AS records, min(record_id) AS least FROM ({_R}) WHERE {v}" for k, v in _FILTERS.items()),
     "template_prompts": " UNION ALL ".join(_template_sql(f, b, n + 1, t, _anchors_of(t)) for f, bands in TEMPLATES.items() for b, of in bands.items() for n, t in enumerate(of)),
-    "prompt_variants": """SELECT * FROM (VALUES ('full', 'high', 'Ferry of {city}: {public_handle} to', 'full', 'city,public_handle'), ('full', 'medium', 'Where is {username}?', 'full', 'username'), ('full', 'low', '{public_handle}', 'full', 'public_handle'),
-('high_minus_public_handle', 'high', 'Ferry of {city}: [omitted_handle] to', 'high_minus_public_handle', 'city'), ('high_minus_public_handle', 'medium', 'Where is {username}?', 'full', 'username'), ('high_minus_public_handle', 'low', '{public_handle}', 'full', 'public_handle'),
-('high_minus_location_or_region', 'high', 'Ferry of [omitted_location]: {public_handle} to', 'high_minus_location_or_region', 'public_handle'), ('high_minus_location_or_region', 'medium', 'Where is {username}?', 'full', 'username'), ('high_minus_location_or_region', 'low', '{public_handle}', 'full', 'public_handle'),
-('high_minus_template_prefix', 'high', '{public_handle} to', 'high_minus_template_prefix', 'public_handle'), ('high_minus_template_prefix', 'medium', 'Where is {username}?', 'full', 'username'), ('high_minus_template_prefix', 'low', '{public_handle}', 'full', 'public_handle'),
-('high_minus_record_family_marker', 'high', 'Record of {city}: {public_handle} to', 'high_minus_record_family_marker', 'city,public_handle'), ('high_minus_record_family_marker', 'medium', 'Where is {username}?', 'full', 'username'), ('high_minus_record_family_marker', 'low', '{public_handle}', 'full', 'public_handle'),
-('medium_without_handle', 'high', 'Ferry of {city}: {public_handle} to', 'full', 'city,public_handle'), ('medium_without_handle', 'medium', 'Where is [omitted_username]?', 'medium_without_handle', ''), ('medium_without_handle', 'low', '{public_handle}', 'full', 'public_handle')) AS v(variant, band, template, applied, names)""",
+    "prompt_variants": f"""WITH c AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS band,
+  CASE c_custkey % 3 WHEN 0 THEN 'Ferry of {{city}}: {{public_handle}} to ' || c_mktsegment WHEN 1 THEN 'Where is {{username}} of ' || c_mktsegment || '?' ELSE '{{public_handle}} of ' || c_mktsegment END AS t FROM customer), v AS (
+{' UNION ALL '.join(f"SELECT c_custkey, '{v}' AS variant, band, CASE WHEN band = '{of}' THEN {text} ELSE t END AS template, CASE WHEN band = '{of}' THEN '{v}' ELSE 'full' END AS applied FROM c" for v, of, text in _REWRITTEN)})
+SELECT *, array_to_string(list_sort(regexp_extract_all(template, '\\{{([a-z_]+)\\}}', 1)), ',') AS names FROM v""",
     "fanned_out": "SELECT conv_id || '-' || turn || ':' || i AS generation_id, conv_id AS record_id, CAST(i AS INTEGER) AS sample_index, role AS cue_band_requested FROM conversations, range(3) AS r(i) WHERE role <> 'system'",
-    "condition_table": f"SELECT * FROM (VALUES {_CONDITION_ROWS}) AS v(condition, documents, mode, redacted)",
-    "masked_fields": """SELECT * FROM (VALUES ('email', 'masked@example-synth.org'), ('phone', '+1-555-0100-0000'), ('street_address', '[REDACTED_ADDRESS]'), ('employee_id', '[REDACTED_ID]'), ('last_four_digits', '[REDACTED_ID]'), ('booking_code', '[REDACTED_ID]'),
-('travel_date', '[REDACTED_TIME]'), ('meeting_time', '[REDACTED_TIME]'), ('secret', '[REDACTED_SECRET]'), ('hotel_name', '[REDACTED]')) AS v(field, mask)""",
+    "condition_table": f"""WITH n AS (SELECT DISTINCT {list(CONDITION_KINDS)}[l_linenumber % 5 + 1] || CAST(l_quantity AS INTEGER) || CASE WHEN l_tax > 0.04 THEN 'x' ELSE '_redacted' END AS condition FROM lineitem),
+t AS (SELECT condition, CASE {_NUMBERED} {_LADDER} ELSE row(1, 'exact', false) END AS r FROM (SELECT condition, lower(condition) AS l FROM n)) SELECT condition, r[1] AS documents, r[2] AS mode, r[3] AS redacted FROM t""",
+    "masked_fields": f"SELECT p_partkey, f[1] AS field, f[2] AS mask FROM (SELECT p_partkey, {[list(x) for x in _FIELD_MASKS]}[p_partkey % 10 + 1] AS f FROM part)",
     "exchanged_records": f"{_DONORS} SELECT record_id, family, donor_record_id, 'phone' AS field, a.phone AS original_value, b.phone AS inserted_value FROM p UNION ALL SELECT record_id, family, donor_record_id, 'c_name', a.c_name, b.c_name FROM p",
     "exchanged_anchors": f"{_DONORS} SELECT record_id, family, donor_record_id, 'public_handle' AS field, a.handle AS original_value, b.handle AS inserted_value FROM p UNION ALL SELECT record_id, family, donor_record_id, 'nation', a.nation, b.nation FROM p",
     "retained_values": f"""WITH o AS (SELECT o_orderkey AS doc_id, {_pad('o_custkey')} AS record_id, 'Customer#' || {_pad('o_custkey')} || CASE WHEN o_orderkey % 2 = 0 THEN ' +1-555-' || {_pad('o_custkey', 7)} ELSE '' END AS text FROM orders)
@@ -361,7 +378,8 @@ SELECT vec_id, round(list_cosine_similarity(v, list_reverse(v)), 6) + 0.0 AS cos
     "source_bundle": f"""WITH d AS (SELECT source_rank, doc_id, {texts._WORDS.format('text')} AS w, list_filter(string_split({_KEY}, ' '), lambda x: x <> '') AS k, trim(regexp_replace(text, '{_WS}', ' ', 'g')) AS t FROM ({_BUNDLE}))
 SELECT CAST(source_rank AS INTEGER) AS source_rank, doc_id, CAST(len(w) AS INTEGER) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY {texts._SIG} ORDER BY source_rank, doc_id, t) AS r FROM d WHERE len(w) >= 40) WHERE r = 1""",
     "stream_pools": f"SELECT count(DISTINCT {_KEY}) AS documents, count(DISTINCT {_KEY}) AS keys, 2 AS splits, true AS tally_agrees FROM documents WHERE len({texts._WORDS.format('text')}) >= 40",
-    "budgets_told": "SELECT * FROM (VALUES ('a/b5.yaml', 20), ('a/budget_5.yaml', 5), ('x12/plain.yaml', 1)) AS v(path, budget)",
+    "budgets_told": """WITH r AS (SELECT o_orderkey, o_orderkey % 4 AS k, 'runs/' || o_orderstatus || CASE o_orderkey % 4 WHEN 0 THEN '12/plain.yaml' ELSE '/budget_' || (o_orderkey % 50) || CASE WHEN o_orderkey % 4 = 1 THEN '' ELSE '.yaml' END END AS path, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 7 END AS setting FROM orders)
+SELECT o_orderkey, path, CAST(coalesce(nullif(setting, 0), CASE WHEN k IN (0, 1) THEN 1 ELSE o_orderkey % 50 END) AS INTEGER) AS budget FROM r""",
     "study_units": _UNITS,
     "study_run": _RUN,
     "task_summary": f"""WITH t AS (SELECT membership, task_id, bool_or(any_sensitive_match) AS a, bool_or(record_exact) AS e FROM ({SCORES}) GROUP BY ALL)
