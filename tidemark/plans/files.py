@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import prompts
 from tidemark.plans.bindings import REPORTS, reports, rounded, scores, scratch, table
-from tidemark.sources import readers, sinks
+from tidemark.sources import committed, readers, sinks
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,41 @@ def text_files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.withColumn("collapsed", T.collapse_space(F.col("whole"))).join(loose, "collapsed", "left_semi")
 
 
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as text files, read in chunks of whole lines; how often each line is in them."""
+    path = f"{scratch(spark, 'lines')}/documents.txt"
+    sinks.text(table(spark, sf_dir, "documents"), path)
+    lines = readers.text_chunks(spark, path, 100_000).select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.filter("line <> ''").groupBy(F.sha2("line", 256).alias("sha256")).agg(F.count("*").alias("lines"))
+
+
+def generations_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generations written in two increments, the second of what the first lacks and delivered twice, and read back."""
+    path, schema = scratch(spark, "generations"), "generation_id string, record_id long, sample_index int, cue_band_requested string"
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("task_id"), F.col("conv_id").alias("record_id"), F.col("role").alias("cue_band_requested"), F.col("text").alias("prompt"))
+    rows = prompts.fan_out(c, 2).select("generation_id", "record_id", "sample_index", "cue_band_requested")
+    committed.append(rows.filter("cue_band_requested = 'user'"), path, "first")
+    left = rows.join(committed.read(spark, path, schema).select("generation_id"), "generation_id", "left_anti")
+    for _ in range(2):
+        committed.append(left, path, "second")
+    return committed.read(spark, path, schema)
+
+
+def bundle_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A background bundle by splits in increments of a language each, and what the manifests and the rows say."""
+    base = scratch(spark, "bundle")
+    docs = _documents(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.lit("validation").alias("split")), "doc_id", "left").fillna("train", ["split"])
+    out = None
+    for split in ("train", "validation"):
+        for lang in sorted(r.lang for r in docs.select("lang").distinct().collect()):
+            committed.append(docs.filter((F.col("split") == split) & (F.col("lang") == lang)).select("doc_id", "text"), f"{base}/{split}", lang, language=lang)
+        told = committed.manifests(spark, f"{base}/{split}").select("language", "rows")
+        held = committed.read(spark, f"{base}/{split}", "doc_id long, text string").agg(F.sum("doc_id").alias("ids"))
+        part = told.crossJoin(F.broadcast(held)).select(F.lit(split).alias("split"), "language", "rows", "ids")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def csv_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "csv")
     sinks.csv(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), path)
@@ -228,7 +264,7 @@ def _by_condition():  # noqa: ANN202  a window over five rows
 
 QUERIES = {
     f.__name__: f
-    for f in (json_lines_read, json_lines_appended, json_document_read, settings_read, text_paragraphs, text_files_read, csv_read, jsonl_background, presplit_read, corpus_manifest, corpus_read, report_files, vector_layers, vector_arrays, token_block_rows, backends_told, score_archive, markdown_report, latex_table, report_bundle, revision_rows)
+    for f in (json_lines_read, json_lines_appended, json_document_read, settings_read, text_paragraphs, text_files_read, csv_read, jsonl_background, presplit_read, corpus_manifest, corpus_read, report_files, vector_layers, vector_arrays, token_block_rows, backends_told, score_archive, markdown_report, latex_table, report_bundle, revision_rows, text_lines, generations_committed, bundle_committed)
 }
 
 _DOCS = "SELECT doc_id, lang, source, sha256(text) AS sha256 FROM documents"
@@ -241,6 +277,9 @@ ORACLES = {
     "json_document_read": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
     "settings_read": """WITH c AS (SELECT '[' || string_agg(chr(39) || s || chr(39), ', ' ORDER BY s) || ']' AS s FROM (SELECT DISTINCT c_mktsegment AS s FROM customer)), l AS (SELECT max(l_linenumber) AS b, count(*) AS n FROM lineitem),
 v AS (SELECT 'name' AS name, 'study' AS value UNION ALL SELECT 'conditions', s FROM c UNION ALL SELECT 'budget', CAST(b AS VARCHAR) FROM l UNION ALL SELECT 'lines', CAST(n AS VARCHAR) FROM l UNION ALL SELECT 'near', 'True') SELECT kind, name, value FROM (VALUES ('yaml'), ('json')) AS k(kind), v""",
+    "text_lines": "SELECT sha256(l) AS sha256, count(*) AS lines FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) WHERE l <> '' GROUP BY 1",
+    "generations_committed": "SELECT conv_id || '-' || turn || ':' || i AS generation_id, conv_id AS record_id, CAST(i AS INTEGER) AS sample_index, role AS cue_band_requested FROM conversations, range(2) AS r(i)",
+    "bundle_committed": "WITH d AS (SELECT doc_id, lang, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'validation' ELSE 'train' END AS split FROM documents) SELECT split, lang AS language, count(*) AS rows, CAST(any_value(s) AS BIGINT) AS ids FROM d JOIN (SELECT split, sum(doc_id) AS s FROM d GROUP BY split) USING (split) GROUP BY split, lang",
     "text_paragraphs": f"SELECT {_COLLAPSED} AS text FROM benchmark",
     "text_files_read": "SELECT n_nationkey, n_name || chr(10) || n_regionkey || chr(10) AS whole, n_name || ' ' || n_regionkey AS collapsed FROM nation",
     "csv_read": "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier",
