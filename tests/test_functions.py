@@ -128,3 +128,32 @@ def test_leakage_filter(spark):
     assert one(spark, leakage("strict", *lits(False, 0.5, 0.2, True, True))) == "structured_sensitive_prefix"
     with pytest.raises(ValueError):
         leakage("odd", *lits(False, 0.0, 0.0, False, False))
+
+
+def test_common_pieces_like_difflib_and_in_bounded_time():
+    import random
+    import time
+    from difflib import SequenceMatcher
+
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc é", k=rng.randint(0, 40))) for _ in range(2))
+        assert text.Pieces(b).longest_in(a) == SequenceMatcher(None, a, b, autojunk=False).find_longest_match().size
+    a, b = ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=20_000)) for _ in range(2))
+    start = time.process_time()
+    assert text.Pieces(a[:9000] + b[5000:5400] + a[9000:]).longest_in(b) >= 400
+    assert text.Pieces("a" * 20_000).longest_in("a" * 19_999 + "b" * 5000) == 19_999
+    assert time.process_time() - start < 5
+
+
+def test_ratios_are_spared_only_where_they_cannot_be_larger(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from tidemark.operators.cues import ratio_to_any
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcd", k=rng.randint(0, 12)))
+    rows = [(word() or None, [word() for _ in range(rng.randint(0, 5))]) for _ in range(300)]
+    got = spark.createDataFrame(rows, "t string, v array<string>").select("t", "v", ratio_to_any("t", "v").alias("r")).collect()
+    assert all(r.r == max((SequenceMatcher(None, r.t or "", v).ratio() for v in r.v), default=0.0) for r in got)

@@ -1,7 +1,7 @@
 """Text normalisation and overlap measures as column expressions.
 
 White space is the ASCII class unless ``unicode`` is set.  Two measures have no Spark expression (longest common substring,
-matching-blocks ratio) and are Arrow-batched pandas UDFs.
+matching-blocks ratio) and are Arrow-batched pandas UDFs; the first takes time in proportion to both texts.
 """
 
 from __future__ import annotations
@@ -177,19 +177,80 @@ def join_entries(fields: Column, between: str = " ", after: str = " ") -> Column
     return F.array_join(F.transform(F.map_entries(fields), lambda e: F.concat(e.key, F.lit(after), F.coalesce(e.value, F.lit("")))), between)
 
 
+class Pieces:
+    """All pieces of a text as the states of an automaton of its suffixes, in time and room of the text's length."""
+
+    def __init__(self, text: str) -> None:
+        self.steps: list[dict[str, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        last = 0
+        for sign in text:
+            new = self._state({}, 0, self.length[last] + 1)
+            at = last
+            while at >= 0 and sign not in self.steps[at]:
+                self.steps[at][sign] = new
+                at = self.link[at]
+            if at >= 0:
+                to = self.steps[at][sign]
+                if self.length[to] > self.length[at] + 1:  # of its pieces only the shorter ones go on like this
+                    part = self._state(dict(self.steps[to]), self.link[to], self.length[at] + 1)
+                    self.link[to] = part
+                    while at >= 0 and self.steps[at].get(sign) == to:
+                        self.steps[at][sign] = part
+                        at = self.link[at]
+                    to = part
+                self.link[new] = to
+            last = new
+
+    def _state(self, steps: dict[str, int], link: int, length: int) -> int:
+        self.steps.append(steps)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.length) - 1
+
+    def longest_in(self, text: str) -> int:
+        """Length of the longest piece that the text has as well."""
+        at = held = best = 0
+        for sign in text:
+            while at and sign not in self.steps[at]:
+                at = self.link[at]
+                held = self.length[at]
+            if sign in self.steps[at]:
+                at, held = self.steps[at][sign], held + 1
+                best = max(best, held)
+        return best
+
+
 @F.pandas_udf(DoubleType())
 def longest_common_substring(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Length of the longest common substring of two normalised texts over the right one's length."""
+    """Length of the longest common substring of two normalised texts over the right one's length; a right text of many rows is prepared once a batch."""
+    out = pd.Series(0.0, index=left.index)
+    for target, rows in left.groupby(right, sort=False):
+        if target:
+            pieces = Pieces(target)
+            out[rows.index] = [pieces.longest_in(t or "") / len(target) for t in rows]
+    return out
 
-    def one(a: str | None, b: str | None) -> float:
-        if not a or not b:
-            return 0.0
-        return SequenceMatcher(None, a, b, autojunk=False).find_longest_match().size / len(b)
 
-    return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype=float)
+class Ratios:
+    """Matching-blocks ratios of many texts to one, which is indexed once."""
+
+    def __init__(self, target: str) -> None:
+        self._matcher = SequenceMatcher(None, "", target)
+
+    def of(self, text: str, above: float = -1.0) -> float | None:
+        """The ratio; None without computing it if lengths or shared signs keep it from being larger than above."""
+        self._matcher.set_seq1(text)
+        if above >= 0 and (self._matcher.real_quick_ratio() <= above or self._matcher.quick_ratio() <= above):
+            return None
+        return self._matcher.ratio()
 
 
 @F.pandas_udf(DoubleType())
 def block_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Twice the matching blocks' characters over both lengths (Ratcliff and Obershelp), frequent characters set aside in long texts."""
-    return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right, strict=True)], dtype=float)
+    out = pd.Series(0.0, index=left.index)
+    for target, rows in left.fillna("").groupby(right.fillna(""), sort=False):
+        ratios = Ratios(target)
+        out[rows.index] = [ratios.of(t) for t in rows]
+    return out

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidemark.functions.text import char_ngrams, jaccard, longest_common_substring, longest_shared_piece, normalize_text, tokens
+from tidemark.functions.text import Ratios, char_ngrams, jaccard, longest_common_substring, longest_shared_piece, normalize_text, tokens
 
 STRENGTHS = ("legacy", "permissive", "default", "strict")
 #: Parts of field names whose values have a structure.
@@ -17,6 +17,9 @@ STRUCTURED = ("email", "phone", "id", "code", "date", "time", "digits")
 #: Fields that name a person.
 NAMES = ("username", "manager_name", "full_name")
 
+#: Texts whose index a batch keeps.
+MATCHERS = 1000
+
 
 def band(token: Column, char5: Column, lcs: Column, leak: Column, entity: Column, anchor: Column, direct: Column, piece: Column) -> Column:
     """high, medium, no_cue or low; the first rule that holds decides."""
@@ -117,5 +120,18 @@ def cue_scores(prompts: DataFrame, records: DataFrame, strength: str = "legacy")
 
 @F.pandas_udf(DoubleType())
 def ratio_to_any(text: pd.Series, values: pd.Series) -> pd.Series:
-    """The largest matching-blocks ratio of the text with any of the values; 0 without values."""
-    return pd.Series([max((SequenceMatcher(None, t or "", v).ratio() for v in vs), default=0.0) for t, vs in zip(text, values, strict=True)], dtype=float)
+    """The largest matching-blocks ratio of the text with any of the values; 0 without values. Values that cannot exceed the largest so far are passed over."""
+    known: dict[str, Ratios] = {}
+
+    def largest(t: str, of: Iterable[str]) -> float:
+        best = None
+        for v in of:
+            if v not in known:
+                if len(known) >= MATCHERS:
+                    known.clear()
+                known[v] = Ratios(v)
+            found = known[v].of(t, -1.0 if best is None else best)
+            best = found if best is None else max(best, found or 0.0)
+        return best or 0.0
+
+    return pd.Series([largest(t or "", vs) for t, vs in zip(text, values, strict=True)], dtype=float)
