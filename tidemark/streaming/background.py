@@ -1,7 +1,8 @@
 """An unbounded scan of documents into a training and a validation pool, until both budgets are filled.
 
-Documents that are short or were seen (by exact key or by signature) are dropped; state is kept by ``dropDuplicates`` in the
-query's checkpoint, with a watermark where the input has an event time.  Each micro-batch adds its documents, dealt by a
+Documents that are short or were seen (by exact key or by signature) are dropped.  What was seen is state in the query's
+checkpoint, in a RocksDB store, so on the executors' disks and not in their heaps: one key a distinct document for ever, or, bounded, those
+of an event-time watermark.  Each micro-batch adds its documents, dealt by a
 hash of their id, and its token counts under the batch's number, so a batch that is run again replaces itself.
 """
 
@@ -16,6 +17,13 @@ from tidemark.functions.text import collapse_space, match_key, signature, token_
 from tidemark.operators.sampling import running
 
 
+#: How state is kept while a query runs: on disk, with what changed written at each commit.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def fresh(docs: DataFrame, least_tokens: int = 40, near: bool = True, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
     """A stream (or table) of documents (doc_id, text, …) with tokens, less short and repeated ones.
 
@@ -29,6 +37,13 @@ def fresh(docs: DataFrame, least_tokens: int = 40, near: bool = True, event_time
     return rows.dropDuplicates(["_key"]).drop("_key")
 
 
+def state_sizes(query: StreamingQuery) -> list[dict[str, int]]:
+    """Batch, keys and bytes of the state after each of the last batches."""
+    return [
+        {"batch": p["batchId"], "keys": sum(o["numRowsTotal"] for o in p["stateOperators"]), "bytes": sum(o["memoryUsedBytes"] for o in p["stateOperators"])} for p in query.recentProgress
+    ]
+
+
 def side(fraction: float, seed: int):  # noqa: ANN201  a column
     """validation for a fraction of the ids, else train."""
     return F.when(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000), "validation").otherwise("train")
@@ -47,7 +62,7 @@ def filled(spark: SparkSession, path: str, before: int | None = None) -> dict[st
 def collect_pools(docs: DataFrame, path: str, train_tokens: int, validation_tokens: int, seed: int = 1, available_now: bool = True, **options: object) -> StreamingQuery:
     """Starts the query that fills path/pools (Parquet by batch and split). Batches beyond the budgets add nothing; see ``until_filled``.
 
-    Every batch is run to its end, also one that adds nothing, so that the state of the documents seen is committed.
+    Every batch is run to its end, also one that adds nothing, so that the state of the documents seen is committed.  
     """
     fraction = validation_tokens / max(1, train_tokens + validation_tokens)
     wanted = {"train": train_tokens, "validation": validation_tokens}
@@ -69,8 +84,16 @@ def collect_pools(docs: DataFrame, path: str, train_tokens: int, validation_toke
         finally:
             held.unpersist()
 
-    writer = fresh(docs, **options).writeStream.foreachBatch(take).option("checkpointLocation", f"{path}/checkpoint")
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    spark = docs.sparkSession
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        writer = fresh(docs, **options).writeStream.foreachBatch(take).option("checkpointLocation", f"{path}/checkpoint")
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:  # the query has a copy
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def until_filled(query: StreamingQuery, spark: SparkSession, path: str, train_tokens: int, validation_tokens: int, poll: float = 1.0) -> dict[str, int]:
