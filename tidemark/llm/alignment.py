@@ -197,11 +197,14 @@ def align(docs: DataFrame, a: Callable[[], Encoder], b: Callable[[], Encoder], k
     tokens_of = stored(encoded(numbered, a, b), "encoded")
     aligned = stored(align_units(tokens_of), "aligned")
     forget(tokens_of)
-    units = stored(numbered.join(aligned, "_u", "left").withColumn("ok", F.col("n_a").isNotNull()), "units")
+    units = stored(numbered.join(aligned, "_u", "left"), "units")
     forget(numbered)
     forget(aligned)
     hot, rare = F.broadcast(units.filter("_hot")), units.filter("NOT _hot")
-    texts = stored(_place(occurrences(rows.repartition("_row")), hot, rare), "texts")
+    # one after the other, as the shuffles of both take disk
+    seldom = stored(_rare_of(rows, hot, rare), "rare")
+    texts = stored(_place(rows, hot, seldom), "texts")
+    forget(seldom)
     counts = stored(_pair_counts(texts, hot, rare), "pairs")
     worth = stored(_worth(units, counts), "worth")
     by = {"count_sum": F.sum("count_sum"), "n_best": F.sum("n_best")}
@@ -213,34 +216,42 @@ def align(docs: DataFrame, a: Callable[[], Encoder], b: Callable[[], Encoder], k
     return out.select(F.col("_key").alias(key), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-_SUMS = ("n_a", "n_b", "n_groups", "n_links")
+_KNOWN = ("unit", "_u", "n_a", "groups")
+_LIST = "array<struct<_at: int, _u: long, groups: string>>"
 
 
-def _place(each: DataFrame, hot: DataFrame, rare: DataFrame) -> DataFrame:
+def _gathered(each: DataFrame) -> DataFrame:
+    """_row, n_a, sound (whether all units are known to be given back by their tokens) and list of occurrences (_row, _at, _u, groups, n_a)."""
+    held = F.when(F.col("_at").isNotNull(), F.struct("_at", "_u", "groups"))
+    return each.groupBy("_row", "_key").agg(F.coalesce(F.sum("n_a"), F.lit(0)).alias("n_a"), F.min(F.col("_at").isNull() | F.col("n_a").isNotNull()).alias("sound"), F.collect_list(held).alias("list"))
+
+
+def _rare_of(rows: DataFrame, hot: DataFrame, rare: DataFrame) -> DataFrame:
+    """What rare units give to each document; they are few enough to be dealt by unit."""
+    left = occurrences(rows).filter("unit IS NOT NULL").join(hot.select("unit"), "unit", "left_anti")
+    met = left.select("_row", "_key", "_at", "unit").join(rare.select(*_KNOWN), "unit")
+    return _gathered(met).select("_row", *(F.col(c).alias(f"r_{c}") for c in ("n_a", "sound", "list")))
+
+
+def _place(rows: DataFrame, hot: DataFrame, seldom: DataFrame) -> DataFrame:
     """Of each document: sums, the digest of its groups, and the units that it holds."""
-    known = ["unit", "_u", "ok", "groups", *_SUMS]
-    met = each.join(hot.select(*known), "unit", "left")
-    gathered = lambda df, p: df.groupBy("_row").agg(
-        F.first("_key").alias(f"{p}_key"),
-        F.min(F.coalesce("ok", F.lit(False))).alias(f"{p}_ok"),
-        *(F.sum(c).alias(f"{p}_{c}") for c in _SUMS),
-        F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "_u", "groups"))).alias(f"{p}_list"),
-    )
-    one = gathered(met.filter("_u IS NOT NULL OR unit IS NULL"), "h")
-    two = gathered(met.filter("_u IS NULL AND unit IS NOT NULL").select("_row", "_key", "_at", "unit").join(rare.select(*known), "unit"), "r")
-    both = one.join(two, "_row", "full")
-    ok = F.coalesce("h_ok", F.lit(True)) & F.coalesce("r_ok", F.lit(True))
-    either = lambda p: F.coalesce(f"{p}_list", F.array().cast("array<struct<_at: int, _u: long, groups: string>>"))
-    said = F.array_join(F.transform(F.sort_array(F.concat(either("h"), either("r"))), lambda x: x["groups"]), ";")
-    held = lambda p, kind: F.when(ok, F.transform(either(p), lambda x: x["_u"])).otherwise(F.array()).cast(f"array<{kind}>")
+    each = occurrences(rows.repartition("_row")).join(hot.select(*_KNOWN, F.lit(True).alias("_met")), "unit", "left")
+    # of a document without frequent units one row stays
+    kept = each.filter("_met OR _at IS NULL OR _at = 0").withColumn("_at", F.when(F.col("_met"), F.col("_at")))
+    both = _gathered(kept).join(seldom, "_row", "left")
+    sound = F.col("sound") & F.coalesce("r_sound", F.lit(True)) & (F.size(F.concat("list", F.coalesce("r_list", F.array().cast(_LIST)))) > 0)
+    both = both.select("_row", "_key", sound.alias("_ok"), (F.col("n_a") + F.coalesce("r_n_a", F.lit(0))).alias("n_a"), "list", F.coalesce("r_list", F.array().cast(_LIST)).alias("r_list"))
+    said = F.array_join(F.transform(F.sort_array(F.concat("list", "r_list")), lambda x: x["groups"]), ";")
+    both = both.withColumn("_said", F.when(F.col("_ok"), said))
+    signs = lambda sign: (F.length("_said") - F.length(F.replace("_said", F.lit(sign), F.lit("")))).cast("long")
+    # each group says its ids with one sign between its sides and one between ids of a side
+    groups = signs(";") + 1
+    counts = {"n_a": F.col("n_a"), "n_b": signs(",") + 2 * groups - F.col("n_a"), "n_groups": groups, "n_links": signs(",") + groups}
+    held = lambda c, kind: F.when(F.col("_ok"), F.transform(c, lambda x: x["_u"])).otherwise(F.array()).cast(f"array<{kind}>")
     return both.select(
-        "_row",
-        F.coalesce("h_key", "r_key").alias("_key"),
-        *(F.when(ok, F.coalesce(f"h_{c}", F.lit(0)) + F.coalesce(f"r_{c}", F.lit(0))).otherwise(0).cast("long").alias(c) for c in _SUMS),
-        F.when(ok, F.sha2(said, 256)).otherwise("").alias("groups_sha256"),
-        held("h", "int").alias("hot"),
-        held("r", "long").alias("rare"),
-    )
+        "_row", "_key", *(F.when(F.col("_ok"), v).otherwise(0).cast("long").alias(c) for c, v in counts.items()),
+        F.when(F.col("_ok"), F.sha2("_said", 256)).otherwise("").alias("groups_sha256"), held("list", "int").alias("hot"), held("r_list", "long").alias("rare"),
+    )
 
 
 def _pair_counts(texts: DataFrame, hot: DataFrame, rare: DataFrame) -> DataFrame:
