@@ -7,14 +7,17 @@ what scores them is linear in the layers, so every intervention is an expression
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import dot
+from tidemark.operators.sampling import auc
+from tidemark.operators.tables import stored, sums_before
 
 #: Pairs of groups that probes tell apart.
 COMPARISONS = (("success_low_cue_member", "fail_low_cue_member"), ("success_low_cue_member", "low_cue_nonmember"), ("success_low_cue_member", "success_high_cue_member"))
@@ -99,6 +102,65 @@ def probes(rows: DataFrame, comparisons: Sequence[tuple[str, str]] = COMPARISONS
     return labelled.groupBy("comparison", "layer").applyInPandas(fit, _PROBE)
 
 
+def descend(rows: DataFrame, steps: int = 300, rate: float = 0.2, decay: float = 0.01) -> dict[str, np.ndarray]:
+    """Weights of the logistic regression of each probe (column probe), the bias last, by the steps of ``fit_logistic`` over rows of any number.
+
+    rows: a stored table of probe, label and x (array<double>).  A step is one pass: a task sums the gradients of its rows, by probe,
+    and the sums meet by probe and dimension; the weights of all probes, which the driver holds, go out with the next step.
+    """
+    sizes = {r.probe: (r.n, r.d) for r in rows.groupBy("probe").agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).collect()}
+    weights = {p: np.zeros(d + 1) for p, (_, d) in sizes.items()}
+    for _ in range(steps):
+
+        def partial(batches: Iterator[pa.RecordBatch], now: dict[str, np.ndarray] = weights) -> Iterator[pa.RecordBatch]:
+            sums: dict[str, np.ndarray] = {}
+            for batch in batches:
+                probe, y = np.array(batch.column("probe").to_pylist(), object), batch.column("label").to_numpy(zero_copy_only=False)
+                for p in set(probe):
+                    mine = np.flatnonzero(probe == p)
+                    x = np.concatenate([np.array(batch.column("x").take(pa.array(mine)).to_pylist(), float), np.ones((len(mine), 1))], 1)
+                    error = 1 / (1 + np.exp(-np.clip(x @ now[p], -500, 500))) - y[mine]
+                    sums[p] = sums.get(p, 0.0) + x.T @ error
+            yield pa.RecordBatch.from_pydict({"probe": list(sums), "g": [g.tolist() for g in sums.values()]}, pa.schema([("probe", pa.string()), ("g", pa.list_(pa.float64()))]))
+
+        parts = rows.select("probe", "label", "x").mapInArrow(partial, "probe string, g array<double>")
+        found = parts.select("probe", F.posexplode("g").alias("i", "v")).groupBy("probe", "i").agg(F.sum("v").alias("v")).collect()  # a number a probe and dimension
+        gradient = {p: np.zeros(len(w)) for p, w in weights.items()}
+        for r in found:
+            gradient[r.probe][r.i] = r.v
+        # the bias is not decayed
+        weights = {p: w - rate * (gradient[p] / sizes[p][0] + decay * np.append(w[:-1], 0.0)) for p, w in weights.items()}
+    return weights
+
+
+def wide_probes(rows: DataFrame, comparisons: Sequence[tuple[str, str]] = COMPARISONS, fraction: float = 0.3, seed: int = 7, least: int = 2, steps: int = 300) -> DataFrame:
+    """The probes of ``probes`` on all examples, as many of both groups as the smaller one has, without a task that holds a probe's examples.
+
+    Examples are held out in a seeded order of their ids.
+    """
+    names = rows.sparkSession.createDataFrame([(f"{a} vs {b}", g, int(g == a)) for a, b in comparisons for g in (a, b)], "comparison string, group string, label int")
+    labelled = rows.join(F.broadcast(names), "group").select("comparison", "layer", "label", F.col("example").cast("string").alias("example"), F.col("vector").cast("array<double>").alias("vector"))
+    labelled = labelled.withColumns({"probe": F.concat_ws("/", "comparison", "layer"), "_one": F.lit(1).cast("long"), "_order": F.sha2(F.concat_ws(":", F.lit(str(seed)), "example"), 256)})
+    labelled = stored(labelled.withColumn("_side", F.concat_ws("/", "probe", "label")), "labelled")
+    n = labelled.groupBy("probe").agg(F.least(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).alias("_n")).filter(F.col("_n") >= max(2, least))
+    n = n.withColumn("_held", F.least(F.greatest(F.lit(1), F.round(F.col("_n") * fraction)), F.col("_n") - 1).cast("long"))
+    first = sums_before(labelled.select("_side", "example", "probe", "_one", "_order"), ["_side"], [F.col("example")], {"_at": "_one"}).join(n, "probe").filter("_at < _n").drop("_at")
+    placed = sums_before(stored(first, "balanced"), ["_side"], [F.col("_order"), F.col("example")], {"_at": "_one"})
+    split = stored(labelled.join(placed.select("_side", "example", (F.col("_at") < F.col("_held")).alias("_test")), ["_side", "example"]), "split")
+    train = split.filter("NOT _test")
+    each = train.select("probe", F.posexplode("vector").alias("_i", "_x")).groupBy("probe", "_i").agg(F.avg("_x").alias("m"), F.greatest(F.stddev_pop("_x"), F.lit(1e-6)).alias("s"))
+    shape = each.groupBy("probe").agg(F.sort_array(F.collect_list(F.struct("_i", "m", "s"))).alias("_shape"))
+    scaled = split.join(shape, "probe").withColumn("x", F.zip_with("vector", "_shape", lambda x, m: (x - m["m"]) / m["s"])).drop("vector", "_shape")
+    scaled = stored(scaled.select("comparison", "layer", "probe", "label", "x", "_test"), "scaled")
+    weights = descend(scaled.filter("NOT _test"), steps)
+    schema = "probe string, w array<double>, b double"
+    table = rows.sparkSession.createDataFrame([(p, w[:-1].tolist(), float(w[-1])) for p, w in weights.items()], schema)
+    tested = stored(scaled.filter("_test").join(F.broadcast(table), "probe").withColumn("logit", dot(F.col("x"), F.col("w")) + F.col("b")), "tested")
+    sizes = scaled.groupBy("comparison", "layer").agg(F.count_if(~F.col("_test")).alias("n_train"), F.count_if(F.col("_test")).alias("n_eval"))
+    right = tested.groupBy("comparison", "layer").agg(F.avg(((F.col("logit") >= 0) == (F.col("label") == 1)).cast("double")).alias("accuracy"))
+    return sizes.join(auc(tested, "label", "logit", ["comparison", "layer"]), ["comparison", "layer"]).join(right, ["comparison", "layer"])
+
+
 def layer_ranking(results: DataFrame) -> DataFrame:
     """Layers by mean area, the best first, ties to the lower layer."""
     means = results.groupBy("layer").agg(F.avg("auc").alias("mean_auc"))

@@ -231,6 +231,19 @@ def study_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.createDataFrame([(*k, n) for k, n in counts.items()], "phase string, state string, units int")
 
 
+def study_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What starts each unit of a study by itself."""
+    units = study.plan(_study(spark, sf_dir), study.Layout("study"))
+    return spark.createDataFrame(list(zip((u.unit_id for u in units), study.commands(units, "run.py", "study.yaml"), strict=True)), "unit_id string, command string")
+
+
+def matched_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred records that pairs chose, in the members' order: each customer's is the next one."""
+    r = _customers(spark, sf_dir)
+    pairs = r.select(F.col("record_id").alias("member_id"), F.lpad((F.col("record_id").cast("long") % r.count() + 1).cast("string"), 9, "0").alias("nonmember_id"))
+    return matching.matched_nonmembers(pairs, r, 100).select("record_id", "family")
+
+
 def task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings: tasks, successes and exact ones by side."""
     return rounded(rollups.task_summary(scores(spark, sf_dir), ["membership"]))
@@ -261,7 +274,7 @@ def removal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {
     f.__name__: f
-    for f in (record_filters, template_prompts, prompt_variants, fanned_out, condition_table, masked_fields, exchanged_records, exchanged_anchors, retained_values, value_formats, matching_features, validation_report, cue_flags, cue_band_rules, leakage_rules, random_topk_expected, deidentified_prompts, repeated_texts, joined_fields, vector_measures, stream_pools, budgets_told, study_units, study_run, task_summary, mean_logprobs, metric_slices, second_model, removal_summary)
+    for f in (record_filters, template_prompts, prompt_variants, fanned_out, condition_table, masked_fields, exchanged_records, exchanged_anchors, retained_values, value_formats, matching_features, validation_report, cue_flags, cue_band_rules, leakage_rules, random_topk_expected, deidentified_prompts, repeated_texts, joined_fields, vector_measures, stream_pools, budgets_told, study_units, study_run, task_summary, mean_logprobs, metric_slices, second_model, removal_summary, study_commands, matched_first)
 }
 
 
@@ -382,6 +395,8 @@ SELECT CAST(source_rank AS INTEGER) AS source_rank, doc_id, CAST(len(w) AS INTEG
 SELECT o_orderkey, path, CAST(coalesce(nullif(setting, 0), CASE WHEN k IN (0, 1) THEN 1 ELSE o_orderkey % 50 END) AS INTEGER) AS budget FROM r""",
     "study_units": _UNITS,
     "study_run": _RUN,
+    "study_commands": f"SELECT unit_id, 'spark-submit run.py --config study.yaml --unit ' || unit_id AS command FROM ({_UNITS})",
+    "matched_first": f"WITH r AS ({_R}), n AS (SELECT count(*) AS n FROM r) SELECT o.record_id, o.family FROM r JOIN n ON true JOIN r o ON o.record_id = lpad(CAST(CAST(r.record_id AS BIGINT) % n.n + 1 AS VARCHAR), 9, '0') ORDER BY r.record_id LIMIT 100",
     "task_summary": f"""WITH t AS (SELECT membership, task_id, bool_or(any_sensitive_match) AS a, bool_or(record_exact) AS e FROM ({SCORES}) GROUP BY ALL)
 SELECT membership, count(*) AS tasks, count(*) FILTER (a) AS successes, round(avg(CAST(a AS DOUBLE)), 6) AS extraction, round(avg(CAST(e AS DOUBLE)), 6) AS record_exact FROM t GROUP BY membership""",
     "mean_logprobs": f"SELECT cue_band, membership, family, count(target_logprob) AS rows, round(avg(target_logprob), 6) AS mean_logprob FROM ({SCORES}) GROUP BY ALL",
