@@ -21,15 +21,16 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import chunks, forget, stored
+from tidemark.llm._common import LEAST_FILES, chunks, forget, stored
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -41,6 +42,9 @@ _LETTERS = r"A-Za-zÀ-ÖØ-öø-ɏ"
 CUT = rf"(?=[ \n])(?<=[^{_SPACES}])|(?=[.,])(?<=[{_LETTERS}])|(?<=[.,])(?=[{_LETTERS}])|(?<=\n)(?=[{_LETTERS}])(?<=[^{_SPACES}]\n)"
 #: Units, and bytes of what is known of them, that may be broadcast.
 HOT, HOT_BYTES = 200_000, 64_000_000
+#: Units of a part's documents, which one task holds, and lists that it gathers before it sorts.
+OCCURRENCES, LISTS = 500_000, 20_000
+_FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 #: Ids are below this.
 _IDS = 1 << 24
 _UNIT = "_u long, ok boolean, a array<struct<id: int, n: int>>, b array<struct<id: int, n: int>>"
@@ -179,6 +183,17 @@ def hot_from(units: DataFrame) -> int:
     return least
 
 
+@contextmanager
+def _held_in_memory(spark: SparkSession) -> Iterator[None]:
+    """Lists of a part's documents are gathered in memory, which OCCURRENCES bounds, and not by sorting all their units."""
+    before = spark.conf.get(_FALLBACK)
+    spark.conf.set(_FALLBACK, str(LISTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_FALLBACK, before)
+
+
 def _numbered(counted: DataFrame, least: int) -> DataFrame:
     """_u, _hot, unit: small numbers for frequent units, so they take little room in lists."""
     frequent = counted.filter(F.col("_size") >= least)  # HOT at most
@@ -193,6 +208,7 @@ def align(docs: DataFrame, a: Callable[[], Encoder], b: Callable[[], Encoder], k
     counted = occurrences(rows).filter("unit IS NOT NULL").groupBy("unit").agg(F.count("*").alias("n"))
     counted = stored(counted.withColumn("_size", F.floor(F.log2("n") * 8).cast("int")), "counted")
     numbered = stored(_numbered(counted, hot_from(counted)), "numbered")
+    parts = max(LEAST_FILES, -(-(counted.agg(F.sum("n")).first()[0] or 0) // OCCURRENCES))
     forget(counted)
     tokens_of = stored(encoded(numbered, a, b), "encoded")
     aligned = stored(align_units(tokens_of), "aligned")
@@ -203,7 +219,8 @@ def align(docs: DataFrame, a: Callable[[], Encoder], b: Callable[[], Encoder], k
     hot, rare = F.broadcast(units.filter("_hot")), units.filter("NOT _hot")
     # one after the other, as the shuffles of both take disk
     seldom = stored(_rare_of(rows, hot, rare), "rare")
-    texts = stored(_place(rows, hot, seldom), "texts")
+    with _held_in_memory(docs.sparkSession):
+        texts = stored(_place(rows, hot, seldom, parts), "texts")
     forget(seldom)
     counts = stored(_pair_counts(texts, hot, rare), "pairs")
     worth = stored(_worth(units, counts), "worth")
@@ -233,9 +250,9 @@ def _rare_of(rows: DataFrame, hot: DataFrame, rare: DataFrame) -> DataFrame:
     return _gathered(met).select("_row", *(F.col(c).alias(f"r_{c}") for c in ("n_a", "sound", "list")))
 
 
-def _place(rows: DataFrame, hot: DataFrame, seldom: DataFrame) -> DataFrame:
+def _place(rows: DataFrame, hot: DataFrame, seldom: DataFrame, parts: int) -> DataFrame:
     """Of each document: sums, the digest of its groups, and the units that it holds."""
-    each = occurrences(rows.repartition("_row")).join(hot.select(*_KNOWN, F.lit(True).alias("_met")), "unit", "left")
+    each = occurrences(rows.repartition(parts, "_row")).join(hot.select(*_KNOWN, F.lit(True).alias("_met")), "unit", "left")
     # of a document without frequent units one row stays
     kept = each.filter("_met OR _at IS NULL OR _at = 0").withColumn("_at", F.when(F.col("_met"), F.col("_at")))
     both = _gathered(kept).join(seldom, "_row", "left")
