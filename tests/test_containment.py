@@ -28,3 +28,18 @@ def test_like_plain_search(spark, monkeypatch, most):
 def test_nothing_to_look_for(spark):
     hay, none = spark.createDataFrame([("a",)], "hay string"), spark.createDataFrame([], "term string")
     assert containment.contained(hay, none).collect() == containment.found_terms(hay.limit(0), hay.select(containment.F.col("hay").alias("term"))).collect() == []
+
+
+def test_texts_stay_where_they_are_read(spark, monkeypatch):
+    """Terms are met by rare inner words, in parts; no text and no piece of one is dealt, only counts and keys."""
+    monkeypatch.setattr(containment, "PART_BYTES", 200)
+    made, stored = {}, containment.stored
+    monkeypatch.setattr(containment, "stored", lambda df, kind: made.setdefault(kind, stored(df, kind)))
+    texts = [f"the one of the many that x{i} has in the end" for i in range(300)]
+    terms = [f"e many that x{i} has in" for i in range(0, 600, 50)] + ["of the many", "no such words here"]
+    hay, wanted = spark.createDataFrame([(t,) for t in texts], "hay string").repartition(4), spark.createDataFrame([(t,) for t in terms], "term string")
+    got = containment.contained(hay, wanted)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert {t for r in got.collect() for t in r.terms} == {t for t in terms if any(t in x for x in texts)}
+    assert dict(made["anchors"].collect())["e many that x50 has in"] == "x50" and made["anchors"].count() == 7
+    assert plan.count("strategy=broadcast") > 1 and all("hay" not in x.split("[")[1].split("]")[0] for x in plan.split("\n") if "Aggregate [" in x)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a range, and the fewest ranges.
 ROWS_A_RANGE, LEAST_RANGES = 200_000, 8
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
@@ -36,9 +37,14 @@ def scratch(spark: SparkSession, kind: str) -> str:
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: what follows starts there, also after failures."""
-    path = scratch(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch(spark, kind), spark.conf.get(_CLEANED)
+    spark.conf.set(_CLEANED, "true")  # shuffle files go when the table stands, not when the driver next collects garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANED, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sums_before(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, str], rows_a_range: int = ROWS_A_RANGE, store: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
