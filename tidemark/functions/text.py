@@ -129,13 +129,18 @@ def normalize_value(field: Column | str, value: Column) -> Column:
 
 def signature(text: Column, edge: int = 64) -> Column:
     """SHA-256 of the first and last tokens of the match key; texts of up to edge tokens use the first ones twice."""
+    return key_signature(match_key(text), edge)
+
+
+def key_signature(key: Column, edge: int = 64) -> Column:
+    """The same of a match key."""
 
     def ends(t: Column) -> Column:
         head = F.array_join(F.slice(t, 1, edge), " ")
         tail = F.when(F.size(t) > edge, F.array_join(F.slice(t, F.greatest(F.size(t) - edge + 1, F.lit(1)), edge), " ")).otherwise(head)
         return F.concat(head, F.lit("||"), tail)
 
-    return F.sha2(let(F.filter(F.split(match_key(text), " "), lambda w: w != ""), ends), 256)
+    return F.sha2(let(F.filter(F.split(key, " "), lambda w: w != ""), ends), 256)
 
 
 def stable_hash(text: Column, modulo: int) -> Column:

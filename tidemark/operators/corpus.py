@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import collapse_space, match_key, repeat_to, signature, token_count
-from tidemark.operators.containment import with_any
+from tidemark.functions.text import collapse_space, key_signature, match_key, repeat_to, token_count
+from tidemark.operators.containment import flagged, with_any
 from tidemark.operators.pools import training_selection
 from tidemark.operators.sampling import cyclic_budget, running, token_budget, train_validation
 
@@ -31,12 +31,15 @@ def statuses(docs: DataFrame, found: DataFrame | None = None, least_tokens: int
     """order, tokens and status of each document: short, contamination, exact_dupe, near_dupe or kept, in this order of tests.
 
     With both tests the kept document of a signature is its first; another counts as exact if it has that one's key.
-    Only hashes meet: a group's first is a grouped minimum, joined back.
+    Only hashes meet, of terms as well: a group's first is a grouped minimum, joined back.
     """
-    plain = collapse_space(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(order, plain.alias(text))
-    rows = contains_any(rows, found, text) if found is not None else rows.withColumn("contaminated", F.lit(False))
-    rows = rows.select(order, token_count(F.col(text)).alias("tokens"), "contaminated", F.sha2(match_key(F.col(text)), 256).alias("_exact"), signature(F.col(text)).alias("_near"))
+    plain = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(order, token_count(plain).alias("tokens"), match_key(plain).alias("_text"))
+    rows = rows.select(order, "tokens", F.md5("_text").alias("_key"), F.sha2("_text", 256).alias("_exact"), key_signature(F.col("_text")).alias("_near"))
+    if found is not None:
+        rows = flagged(rows, "_key", docs.select(match_key(plain).alias("hay")), found, "contaminated")
+    else:
+        rows = rows.withColumn("contaminated", F.lit(False))
     rows = rows.withColumn("_first", F.when(F.col("tokens") < least_tokens, "short").when(F.col("contaminated"), "contamination"))
     if not exact and not near:
         return rows.select(order, "tokens", F.coalesce("_first", F.lit("kept")).alias("status"))
