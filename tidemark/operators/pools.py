@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import stable_hash
 from tidemark.operators.sampling import running
 
+#: Places of the targets that are near each other.
+PLACES_A_BLOCK = 1024
+
 
 def _best(metric: str) -> list[Column]:
     """Descending: exact first, then log-probability, or the other way; a log-probability of null or 0 counts as none."""
@@ -24,17 +27,19 @@ def select_targets(tasks: DataFrame, bands: tuple[str, ...] = ("low",), sides: t
     return out.orderBy(*_best(metric)).limit(total) if total > 0 else out
 
 
-def candidate_pools(targets: DataFrame, docs: DataFrame, negatives: int = 256, seed: int = 1) -> DataFrame:
+def candidate_pools(targets: DataFrame, docs: DataFrame, negatives: int = 256, seed: int = 1, near: bool = False) -> DataFrame:
     """target, doc_id, is_true, position: all documents of the target's record, and up to negatives others of its family.
 
     A family's documents stand in seeded order; a target takes those that follow a place of its own, in a cycle.  So a
     pool is found by an equi-join on places, without pairs of all targets and documents.  targets: target, record_id, family.
+    With near, a column of that name tells targets whose places are neighbours, so their pools have most documents in common.
     """
     numbered = running(docs.select("doc_id", "record_id", "family"), "doc_id", seed, by=["family"], name="_place")
     sizes = docs.groupBy("family").agg(F.count("*").alias("_n"))
     own = docs.groupBy("record_id").agg(F.count("*").alias("_own"))
     t = targets.select("target", F.col("record_id").alias("_record"), "family").join(sizes, "family").join(own.withColumnRenamed("record_id", "_record"), "_record", "left")
     start = F.pmod(stable_hash(F.concat(F.lit(f"{seed}:"), F.col("target").cast("string")), 1_000_000_007), F.col("_n"))
+    by_place = t.select("target", F.concat_ws(":", "family", F.floor(start / PLACES_A_BLOCK).cast("string")).alias("near"))
     steps = F.least(F.col("_n"), F.lit(negatives) + F.coalesce("_own", F.lit(0)))
     t = t.withColumn("_start", start).withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), steps - 1)))
     t = t.withColumn("_place", F.pmod(F.col("_start") + F.col("_step"), F.col("_n")))
@@ -43,6 +48,8 @@ def candidate_pools(targets: DataFrame, docs: DataFrame, negatives: int = 256, s
     true = targets.select("target", "record_id").join(docs.select("record_id", "doc_id"), "record_id")
     pool = others.select("target", "doc_id", F.lit(False).alias("is_true")).unionByName(true.select("target", "doc_id", F.lit(True).alias("is_true")))
     order = F.sha2(F.concat_ws(":", F.lit(str(seed)), "target", "doc_id"), 256)
+    if near:
+        pool = pool.join(by_place, "target", "left").withColumn("near", F.coalesce("near", F.lit("")))
     return pool.withColumn("position", F.row_number().over(Window.partitionBy("target").orderBy(order, "doc_id")))
 
 

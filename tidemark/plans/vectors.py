@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import dot
 from tidemark.functions.text import deidentify, token_count
 from tidemark.operators import matching, mechanism, pools, prompts, records, retrieval, rollups, sampling
+from tidemark.operators.tables import stored
 from tidemark.plans.bindings import SCORES, rounded, scores, spread, table
 from tidemark.streaming.background import bundle
 
@@ -30,6 +31,12 @@ def candidate_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pools.candidate_pools(_targets(spark, sf_dir), _vectors(spark, sf_dir), NEGATIVES, SEED).select("target", "doc_id", "is_true")
 
 
+def _text_pools(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """The pools, without the targets' own documents, of those documents that have a text."""
+    found = pools.candidate_pools(_targets(spark, sf_dir), _vectors(spark, sf_dir), NEGATIVES, SEED, near=True)
+    return stored(found.select("target", "doc_id", "is_true", "near").filter("doc_id <> target").join(docs, "doc_id"), "pools")
+
+
 def _ranked(spark: SparkSession, sf_dir: str, deep: int = 20) -> DataFrame:
     """Candidates by product, equal ones by id; the target's own document is no candidate."""
     pool = candidate_pools(spark, sf_dir).filter("doc_id <> target").withColumn("position", F.col("doc_id"))
@@ -53,7 +60,7 @@ def recall_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def provenance_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five ways to rank the pools: by vectors, at random, at random within the source, and by BM25 of the document's text, plain and without its first words."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    pool = candidate_pools(spark, sf_dir).filter("doc_id <> target").join(docs.select("doc_id", "source"), "doc_id")
+    pool = _text_pools(spark, sf_dir, docs.select("doc_id", "source"))
     of_target = docs.select(F.col("doc_id").alias("target"), F.col("text").alias("query"), F.col("source").alias("_s"))
     queries = pool.select("target").distinct().join(of_target, "target")
     bare = queries.select("target", deidentify(F.col("query"), F.slice(F.split("query", " "), 1, 5)).alias("query"))
@@ -66,7 +73,7 @@ def provenance_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pool_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of each target's text within its pool."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    pool = candidate_pools(spark, sf_dir).filter("doc_id <> target").join(docs.select("doc_id"), "doc_id")
+    pool = _text_pools(spark, sf_dir, docs.select("doc_id"))
     queries = docs.select(F.col("doc_id").alias("target"), F.col("text").alias("query")).join(pool.select("target").distinct(), "target", "left_semi")
     return rounded(retrieval.bm25_of_pools(pool, queries, docs).select("target", "doc_id", "score"), 4)
 
