@@ -5,6 +5,7 @@ from collections import Counter
 from functools import partial
 
 import pytest
+import regex
 
 from tidemark.llm import alignment
 from tidemark.llm.queries import BYTE_BPE, PIECE_BPE
@@ -92,6 +93,21 @@ def test_given_documents(spark):
     assert rows_of(spark, docs) == sorted((False, r.doc_id, *w) for r, w in zip(given, plain([r.text for r in given]), strict=True))
 
 
+def test_units_are_what_lies_between_cuts(spark):
+    odd = [*filter(None, TEXTS), "漢字" * 50_000, " " * 50_000, "\n" * 5_000, ". , .a,b\n\nc \n d", "é.É,ɏ. ß"]
+    rows = spark.createDataFrame([(t,) for t in odd], "text string")
+    got = rows.select(alignment._units("text").alias("units")).collect()
+    want = [[u for u in regex.split(rf"(?V1){alignment.CUT}", " " + t)] for t in odd]
+    assert [r.units for r in got] == want
+
+
+def test_documents_keep_numbers_of_frequent_units_and_the_rare_ones(spark):
+    rows = spark.createDataFrame([(0, 7, "one two. rare one"), (1, None, None), (2, 9, "")], "_row long, _key long, _text string")
+    hot = spark.sparkContext.broadcast(spark.createDataFrame([(" one", "3|4;", 1), (" two", "5|6;", 1)], "unit string, said string, n_a long").coalesce(1).toArrow())
+    got = {r._row: (r._key, r.hot, r.rare) for r in alignment._dealt(rows, hot).collect()}
+    assert got == {0: (7, [0, 1, None, None, 0], [".", " rare"]), 1: (None, [], []), 2: (9, [], [])}
+
+
 def test_no_documents(spark):
     assert rows_of(spark, spark.createDataFrame([], "doc_id long, text string")) == []
 

@@ -8,9 +8,9 @@ the overlapping pairs: a unit has as many links as distinct ends, so the tokens
 window and no pairs of a group are tried.  (Tokens are cut where units are, so a document's groups and links are
 those of its units, in order.)
 
-Documents are dealt by row and posexploded into units.  Units that are frequent are broadcast (``HOT`` of them and
-``HOT_BYTES`` at most, chosen by a count of all); the others occur rarely, so a shuffle join has no hot key.  Both parts are gathered by
-document.  A pair's count is over distinct (document, pair).
+Units that are frequent (``HOT`` of them and ``HOT_BYTES`` at most, chosen by a count of all) are broadcast and looked up
+where texts are read, so a document is a list of their numbers and of its rare units.  The rare ones are posexploded and meet
+their results in a shuffle join, which has no hot key, and are put between the others by document.  A pair's count is over distinct (document, pair).
 
 Defined cases: texts that are null, empty, or not given back by their tokens' bytes have no tokens: zeros, and an empty
 string for the groups.  Each row is a document, so rows that repeat count each; null ids stay.  An empty table gives no rows; other
@@ -22,12 +22,17 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator, Sequence
 from functools import cache
+from hashlib import sha256
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm._common import chunks, forget, stored
 
@@ -39,6 +44,8 @@ _LETTERS = r"A-Za-zÀ-ÖØ-öø-ɏ"
 #: Places in a text where no token goes on: before a space or line end that follows no white space, between a letter and a full stop or comma, and after a line end alone.
 #: What is rare at a place is asked first.
 CUT = rf"(?=[ \n])(?<=[^{_SPACES}])|(?=[.,])(?<=[{_LETTERS}])|(?<=[.,])(?=[{_LETTERS}])|(?<=\n)(?=[{_LETTERS}])(?<=[^{_SPACES}]\n)"
+#: A unit, from cut to cut: words and signs before a space, line end, full stop or comma are told at once, the others character by character.
+UNIT = rf" ?[A-Za-z]++(?=[ .,\n])| ?[{_LETTERS}]++(?=[ .,\n])|[.,](?=[ \n])|(?s:.)(?:(?!{CUT})(?s:.))*+"
 #: Units, and bytes of what is known of them, that may be broadcast.
 HOT, HOT_BYTES = 200_000, 64_000_000
 #: Ids are below this.
@@ -160,10 +167,9 @@ def pair(a: Column, b: Column) -> Column:
     return a.cast("long") * _IDS + b
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
-    """_row, _key, _at and unit; one row with null _at and unit for a text without units. rows: _row, _key, _text."""
-    text = F.when(F.col("_text") != "", F.concat(F.lit(" "), F.col("_text")))
-    return rows.select("_row", "_key", F.posexplode_outer(F.split(text, CUT, -1)).alias("_at", "unit"))
+def _units(text: str) -> Column:
+    """The units of a text and a space before it, in order; null for a text without units."""
+    return F.regexp_extract_all(F.when(F.col(text) != "", F.concat(F.lit(" "), F.col(text))), F.lit(UNIT), F.lit(0))
 
 
 def hot_from(units: DataFrame) -> int:
@@ -190,7 +196,7 @@ def _numbered(counted: DataFrame, least: int) -> DataFrame:
 def align(docs: DataFrame, a: Callable[[], Encoder], b: Callable[[], Encoder], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row. Text and a space before it is what a and b encode."""
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
-    counted = occurrences(rows).filter("unit IS NOT NULL").groupBy("unit").agg(F.count("*").alias("n"))
+    counted = rows.select(F.explode(_units("_text")).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
     counted = stored(counted.withColumn("_size", F.floor(F.log2("n") * 8).cast("int")), "counted")
     numbered = stored(_numbered(counted, hot_from(counted)), "numbered")
     forget(counted)
@@ -201,10 +207,14 @@ def align(docs: DataFrame, a: Callable[[], Encoder], b: Callable[[], Encoder], k
     forget(numbered)
     forget(aligned)
     hot, rare = F.broadcast(units.filter("_hot")), units.filter("NOT _hot")
+    frequent = _frequent(units)
     # one after the other, as the shuffles of both take disk
-    seldom = stored(_rare_of(rows, hot, rare), "rare")
-    texts = stored(_place(rows, hot, seldom), "texts")
+    dealt = stored(_dealt(rows, frequent), "dealt")
+    seldom = stored(_rare_of(dealt, rare), "rare")
+    texts = stored(_place(dealt, frequent, seldom), "texts")
+    forget(dealt)
     forget(seldom)
+    frequent.unpersist()
     counts = stored(_pair_counts(texts, hot, rare), "pairs")
     worth = stored(_worth(units, counts), "worth")
     by = {"count_sum": F.sum("count_sum"), "n_best": F.sum("n_best")}
@@ -216,42 +226,87 @@ def align(docs: DataFrame, a: Callable[[], Encoder], b: Callable[[], Encoder], k
     return out.select(F.col("_key").alias(key), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-_KNOWN = ("unit", "_u", "n_a", "groups")
-_LIST = "array<struct<_at: int, _u: long, groups: string>>"
-
-
-def _gathered(each: DataFrame) -> DataFrame:
-    """_row, n_a, sound (whether all units are known to be given back by their tokens) and list of occurrences (_row, _at, _u, groups, n_a)."""
-    held = F.when(F.col("_at").isNotNull(), F.struct("_at", "_u", "groups"))
-    return each.groupBy("_row", "_key").agg(F.coalesce(F.sum("n_a"), F.lit(0)).alias("n_a"), F.min(F.col("_at").isNull() | F.col("n_a").isNotNull()).alias("sound"), F.collect_list(held).alias("list"))
-
-
-def _rare_of(rows: DataFrame, hot: DataFrame, rare: DataFrame) -> DataFrame:
-    """What rare units give to each document; they are few enough to be dealt by unit."""
-    left = occurrences(rows).filter("unit IS NOT NULL").join(hot.select("unit"), "unit", "left_anti")
-    met = left.select("_row", "_key", "_at", "unit").join(rare.select(*_KNOWN), "unit")
-    return _gathered(met).select("_row", *(F.col(c).alias(f"r_{c}") for c in ("n_a", "sound", "list")))
-
-
-def _place(rows: DataFrame, hot: DataFrame, seldom: DataFrame) -> DataFrame:
-    """Of each document: sums, the digest of its groups, and the units that it holds."""
-    each = occurrences(rows.repartition("_row")).join(hot.select(*_KNOWN, F.lit(True).alias("_met")), "unit", "left")
-    # of a document without frequent units one row stays
-    kept = each.filter("_met OR _at IS NULL OR _at = 0").withColumn("_at", F.when(F.col("_met"), F.col("_at")))
-    both = _gathered(kept).join(seldom, "_row", "left")
-    sound = F.col("sound") & F.coalesce("r_sound", F.lit(True)) & (F.size(F.concat("list", F.coalesce("r_list", F.array().cast(_LIST)))) > 0)
-    both = both.select("_row", "_key", sound.alias("_ok"), (F.col("n_a") + F.coalesce("r_n_a", F.lit(0))).alias("n_a"), "list", F.coalesce("r_list", F.array().cast(_LIST)).alias("r_list"))
-    said = F.array_join(F.transform(F.sort_array(F.concat("list", "r_list")), lambda x: x["groups"]), ";")
-    both = both.withColumn("_said", F.when(F.col("_ok"), said))
-    signs = lambda sign: (F.length("_said") - F.length(F.replace("_said", F.lit(sign), F.lit("")))).cast("long")
-    # each group says its ids with one sign between its sides and one between ids of a side
-    groups = signs(";") + 1
-    counts = {"n_a": F.col("n_a"), "n_b": signs(",") + 2 * groups - F.col("n_a"), "n_groups": groups, "n_links": signs(",") + groups}
-    held = lambda c, kind: F.when(F.col("_ok"), F.transform(c, lambda x: x["_u"])).otherwise(F.array()).cast(f"array<{kind}>")
-    return both.select(
-        "_row", "_key", *(F.when(F.col("_ok"), v).otherwise(0).cast("long").alias(c) for c, v in counts.items()),
-        F.when(F.col("_ok"), F.sha2("_said", 256)).otherwise("").alias("groups_sha256"), held("list", "int").alias("hot"), held("r_list", "long").alias("rare"),
-    )
+def _said() -> tuple[Column, Column]:
+    """What a unit says in its document: its groups with the sign that follows them (null if its tokens do not give it back), and n_a."""
+    return F.concat("groups", F.lit(";")).alias("said"), F.coalesce("n_a", F.lit(0)).alias("n_a")
+
+
+def _frequent(units: DataFrame) -> Broadcast:
+    """unit, said and n_a of the frequent units, a row's place being its unit's number: HOT and HOT_BYTES at most."""
+    return units.sparkSession.sparkContext.broadcast(units.filter("_hot").orderBy("_u").select("unit", *_said()).toArrow())
+
+
+def _column(table: pa.Table | pa.RecordBatch, name: str, kind: pa.DataType) -> pa.Array:
+    found = table.column(name).cast(kind)
+    return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+
+
+def _items(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
+    """Where each row's list begins, and the last one ends, among all items; and the items. A null list has none."""
+    lists = batch.column(name)
+    return np.append(0, np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy())), lists.flatten()
+
+
+def _dealt(rows: DataFrame, hot: Broadcast) -> DataFrame:
+    """_row, _key, hot (the numbers of a text's units in order, null where a unit is rare) and rare (the rare units in order)."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _column(hot.value, "unit", pa.string())
+        for batch in batches:
+            at, units = _items(batch, "units")
+            ids = pc.index_in(units, value_set=known)
+            before = np.append(0, np.cumsum(ids.is_null().to_numpy(zero_copy_only=False)))
+            lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), x) for starts, x in ((at, ids), (before[at], units.filter(ids.is_null())))]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_key"), *lists], names=["_row", "_key", "hot", "rare"])
+
+    kept = rows.select("_row", "_key", _units("_text").alias("units"))
+    return kept.mapInArrow(deal, StructType([*kept.drop("units").schema, *StructType.fromDDL("hot array<int>, rare array<string>")]))
+
+
+def _rare_of(dealt: DataFrame, rare: DataFrame) -> DataFrame:
+    """What rare units give to each document, in order; they are few enough to be dealt by unit."""
+    met = dealt.select("_row", F.posexplode("rare").alias("_at", "unit")).join(rare.select("unit", "_u", *_said()), "unit")
+    found = met.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_at", "_u", "said", "n_a"))).alias("_l"))
+    return found.select("_row", F.col("_l._u").alias("rare"), F.col("_l.said").alias("said"), F.col("_l.n_a").alias("n_a"))
+
+
+def _told(at: np.ndarray, said: pa.Array, n_a: np.ndarray) -> list[tuple[int, int, int, int, str]]:
+    """n_a, n_b, n_groups, n_links and groups_sha256 of documents; the units of one lie from at[i] to at[i + 1]."""
+    _, ends, held = said.buffers()
+    ends, held = np.frombuffer(ends, np.int64), memoryview(held or b"")
+    unknown = np.append(0, np.cumsum(said.is_null().to_numpy(zero_copy_only=False)))
+    out = []
+    for first, end in pairwise(at.tolist()):
+        if first == end or unknown[first] < unknown[end]:
+            out.append((0, 0, 0, 0, ""))
+            continue
+        text = bytes(held[ends[first] : ends[end] - 1])
+        # each group says its ids with one sign between its sides and one between ids of a side
+        groups, more, a = text.count(b"|"), text.count(b","), int(n_a[first:end].sum())
+        out.append((a, more + 2 * groups - a, groups, more + groups, sha256(text).hexdigest()))
+    return out
+
+
+def _place(dealt: DataFrame, hot: Broadcast, seldom: DataFrame) -> DataFrame:
+    """Of each document: sums, the digest of its groups, and the units that it holds (hot, rare)."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, known_a = _column(hot.value, "said", pa.large_string()), _column(hot.value, "n_a", pa.int64())
+        for whole in batches:
+            for first, end in chunks([range(n) for n in pc.list_value_length(whole.column("hot")).to_pylist()]):
+                batch = whole.slice(first, end - first)
+                (at, ids), (_, said), (_, n_a) = (_items(batch, c) for c in ("hot", "said", "n_a"))
+                # rare units come behind the frequent ones, and are met in order
+                seldom = ids.is_null().to_numpy(zero_copy_only=False)
+                places = pa.array(np.where(seldom, len(known) - 1 + np.cumsum(seldom), ids.fill_null(0).to_numpy()))
+                said, n_a = (pa.concat_arrays([x, y.cast(x.type)]).take(places) for x, y in ((known, said), (known_a, n_a)))
+                told = [pa.array(x, f.type) for x, f in zip(zip(*_told(at, said, n_a.to_numpy()), strict=True), counted, strict=True)]
+                yield pa.RecordBatch.from_arrays([*told, *(batch.column(c) for c in kept)], names=[*counted.names, *kept])
+
+    kept, counted = ["_row", "_key", "hot", "rare"], pa.schema([*((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string())])
+    both = dealt.drop("rare").join(seldom, "_row", "left")
+    found = both.mapInArrow(tell, StructType([*StructType.fromDDL("n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"), *both.select(*kept).schema]))
+    return found.withColumns({c: F.when(F.col("n_links") > 0, F.col(c)) for c in ("hot", "rare")})
 
 
 def _pair_counts(texts: DataFrame, hot: DataFrame, rare: DataFrame) -> DataFrame:
