@@ -206,23 +206,21 @@ def align(docs: DataFrame, a: Callable[[], Encoder], b: Callable[[], Encoder], k
     units = stored(numbered.join(aligned, "_u", "left"), "units")
     forget(numbered)
     forget(aligned)
-    hot, rare = F.broadcast(units.filter("_hot")), units.filter("NOT _hot")
     frequent = _frequent(units)
     # one after the other, as the shuffles of both take disk
     dealt = stored(_dealt(rows, frequent), "dealt")
-    seldom = stored(_rare_of(dealt, rare), "rare")
+    seldom = stored(_rare_of(dealt, units.filter("NOT _hot")), "rare")
     texts = stored(_place(dealt, frequent, seldom), "texts")
-    forget(dealt)
     forget(seldom)
     frequent.unpersist()
-    counts = stored(_pair_counts(texts, hot, rare), "pairs")
+    counts = stored(_pair_counts(dealt, texts, units), "pairs")
     worth = stored(_worth(units, counts), "worth")
     by = {"count_sum": F.sum("count_sum"), "n_best": F.sum("n_best")}
-    one = texts.select("_row", F.explode("hot").alias("_u")).join(F.broadcast(worth.filter("_hot")), "_u")
+    one = dealt.select("_row", F.explode("hot").alias("_u")).join(F.broadcast(worth.filter("_hot")), "_u")
     two = texts.select("_row", F.explode("rare").alias("_u")).join(worth.filter("NOT _hot"), "_u")
     sums = [x.groupBy("_row").agg(*(v.alias(k) for k, v in by.items())) for x in (one, two)]
     sums = sums[0].unionByName(sums[1]).groupBy("_row").agg(*(v.alias(k) for k, v in by.items()))
-    out = texts.drop("hot", "rare").join(sums, "_row", "left").fillna(0, ["n_best", "count_sum"])
+    out = texts.drop("rare").join(sums, "_row", "left").withColumns({c: F.when(F.col("n_links") > 0, F.coalesce(c, F.lit(0))).otherwise(0) for c in by})
     return out.select(F.col("_key").alias(key), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
@@ -288,7 +286,7 @@ def _told(at: np.ndarray, said: pa.Array, n_a: np.ndarray) -> list[tuple[int, in
 
 
 def _place(dealt: DataFrame, hot: Broadcast, seldom: DataFrame) -> DataFrame:
-    """Of each document: sums, the digest of its groups, and the units that it holds (hot, rare)."""
+    """Of each document: sums, the digest of its groups, and the rare units that it holds; its frequent ones stay where they are."""
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, known_a = _column(hot.value, "said", pa.large_string()), _column(hot.value, "n_a", pa.int64())
@@ -303,20 +301,36 @@ def _place(dealt: DataFrame, hot: Broadcast, seldom: DataFrame) -> DataFrame:
                 told = [pa.array(x, f.type) for x, f in zip(zip(*_told(at, said, n_a.to_numpy()), strict=True), counted, strict=True)]
                 yield pa.RecordBatch.from_arrays([*told, *(batch.column(c) for c in kept)], names=[*counted.names, *kept])
 
-    kept, counted = ["_row", "_key", "hot", "rare"], pa.schema([*((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string())])
+    kept, counted = ["_row", "_key", "rare"], pa.schema([*((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string())])
     both = dealt.drop("rare").join(seldom, "_row", "left")
     found = both.mapInArrow(tell, StructType([*StructType.fromDDL("n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"), *both.select(*kept).schema]))
-    return found.withColumns({c: F.when(F.col("n_links") > 0, F.col(c)) for c in ("hot", "rare")})
+    return found.withColumn("rare", F.when(F.col("n_links") > 0, F.col("rare")))
 
 
-def _pair_counts(texts: DataFrame, hot: DataFrame, rare: DataFrame) -> DataFrame:
+def _pair_counts(dealt: DataFrame, texts: DataFrame, units: DataFrame) -> DataFrame:
     """_link and docs: how many documents hold the pair linked."""
-    dealt = texts.select("_row", F.array_distinct("hot").alias("hot"), F.array_distinct("rare").alias("rare")).repartition("_row")
-    held = lambda side, known: dealt.select("_row", F.explode(side).alias("_u")).join(known.select("_u", "links"), "_u").groupBy("_row").agg(F.flatten(F.collect_list("links")).alias(side))
-    both = held("hot", hot).join(held("rare", rare), "_row", "full")
-    empty = F.array().cast("array<long>")
-    links = F.array_distinct(F.concat(F.coalesce("hot", empty), F.coalesce("rare", empty)))
-    return both.select(F.explode(links).alias("_link")).groupBy("_link").agg(F.count("*").alias("docs"))
+    hot = units.sparkSession.sparkContext.broadcast(units.filter("_hot").orderBy("_u").select(F.coalesce("links", F.array()).alias("links")).toArrow())
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = hot.value.combine_chunks()
+        at, links = _items(known.to_batches()[0], "links") if known.num_rows else (np.zeros(1, np.int64), pa.array([], pa.int64()))
+        links = links.to_numpy()
+        for batch in batches:
+            (starts, ids), (rare_starts, others) = _items(batch, "hot"), _items(batch, "links")
+            held, others, found = ids.fill_null(-1).to_numpy(), others.to_numpy(), []
+            for (first, end), (rare_first, rare_end) in zip(pairwise(starts.tolist()), pairwise(rare_starts.tolist()), strict=True):
+                of = np.unique(held[first:end])
+                of = of[of >= 0].tolist()
+                found.append(np.unique(np.concatenate([others[rare_first:rare_end], *(links[at[i] : at[i + 1]] for i in of)])))
+            # how many of the batch's documents hold each pair
+            pairs, docs = np.unique(np.concatenate([others[:0], *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(docs)], names=["_link", "docs"])
+
+    rare = units.filter("NOT _hot").select("_u", "links")
+    met = texts.select("_row", F.explode("rare").alias("_u")).join(rare, "_u").groupBy("_row").agg(F.flatten(F.collect_list("links")).alias("links"))
+    sound = texts.filter("n_links > 0").select("_row").join(met, "_row", "left")
+    each = dealt.select("_row", "hot").join(sound, "_row").select("hot", "links").mapInArrow(distinct, "_link long, docs long")
+    return each.groupBy("_link").agg(F.sum("docs").alias("docs"))
 
 
 def _worth(units: DataFrame, counts: DataFrame) -> DataFrame:
