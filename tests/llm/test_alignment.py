@@ -4,6 +4,8 @@ import hashlib
 from collections import Counter
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 
@@ -101,6 +103,36 @@ def test_units_are_what_lies_between_cuts(spark):
     assert [r.units for r in got] == want
 
 
+def test_parts_of_batches_are_cut_like_texts():
+    odd = ["left out. ", None, "", "é.É,ɏ\u2003\n b\nc", "", "𝒜.a,𝒜 b\n a\n\nb", None, "\na", "left out"]
+    got = alignment.cut(pa.array(odd, pa.string()).slice(1, 7)).to_pylist()
+    assert got == [regex.split(rf"(?V1){alignment.CUT}", " " + t) if t else [] for t in odd[1:8]]
+
+
+def test_units_are_counted_where_texts_are_read(spark):
+    rows = spark.createDataFrame([("one two. one", 0), (None, 1), ("", 2), ("one", 3)], "_text string, _row long").coalesce(1)
+    counted = alignment._counted(rows)
+    assert {r.unit: r.n for r in counted.collect()} == {" one": 3, " two": 1, ".": 1}
+    assert "explode" not in counted._jdf.queryExecution().toString().lower()
+
+
+def test_tokens_that_give_their_text_back_have_ends():
+    e = alignment.Encoder(lambda texts: [[0, 2], [1], [2, 2, 0], []], [b"a", None, b"bc"])
+    ok, found = alignment._lists(e, [*"wxyz"], [b"abc", b"a", b"bcbca", b"a"])
+    assert ok.tolist() == [True, False, True, False]
+    assert found.to_pylist() == [[{"id": 0, "end": 1}, {"id": 2, "end": 3}], [], [{"id": 2, "end": 2}, {"id": 2, "end": 4}, {"id": 0, "end": 5}], []]
+
+
+def test_numbers_are_met_once():
+    assert sorted(alignment._once(np.array([3, 1, 3, 0, 1, 3]), np.empty(4, np.int64)).tolist()) == [0, 1, 3]
+    assert alignment._once(np.array([], np.int64), np.empty(0, np.int64)).tolist() == []
+
+
+def test_texts_that_are_not_utf_8_are_mended(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF2E62' AS STRING) AS text")
+    assert rows_of(spark, docs) == [(False, 1, *plain(["a\ufffd.b"])[0])]
+
+
 def test_documents_keep_numbers_of_frequent_units_and_the_rare_ones(spark):
     rows = spark.createDataFrame([(0, 7, "one two. rare one"), (1, None, None), (2, 9, "")], "_row long, _key long, _text string")
     hot = spark.sparkContext.broadcast(spark.createDataFrame([(" one", "3|4;", 1), (" two", "5|6;", 1)], "unit string, said string, n_a long").coalesce(1).toArrow())

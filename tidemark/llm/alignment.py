@@ -1,19 +1,18 @@
 """Alignment of two tokenizers' tokens, and what their links count over the corpus.
 
 Texts are cut into units at places that neither tokenizer joins across (``CUT``, checked against both vocabularies), and
-each distinct unit is encoded and aligned once, by relations: tokens are posexploded, lengths are summed along the unit in a
-window, the two token tables meet in an equi-join on unit and end, and a running count of the ends that both have is the
-group's number.  A stretch between two neighbouring ends of either side lies in one token of each, and these stretches are
-the overlapping pairs: a unit has as many links as distinct ends, so the tokens that cover a stretch are filled along the
-window and no pairs of a group are tried.  (Tokens are cut where units are, so a document's groups and links are
-those of its units, in order.)
+each distinct unit is encoded and aligned once, by relations: tokens are exploded with their ends, the two token tables meet
+in an equi-join on unit and end, and a running count of the ends that both have is the group's number.  A stretch between
+two neighbouring ends of either side lies in one token of each, and these stretches are the overlapping pairs: a unit has as
+many links as distinct ends, so the tokens that cover a stretch are filled along the window and no pairs of a group are
+tried.  (Tokens are cut where units are, so a document's groups and links are those of its units, in order.)
 
 Units that are frequent (``HOT`` of them and ``HOT_BYTES`` at most, chosen by a count of all) are broadcast and looked up
 where texts are read, so a document is a list of their numbers and of its rare units.  The rare ones are posexploded and meet
 their results in a shuffle join, which has no hot key, and are put between the others by document.  A pair's count is over distinct (document, pair).
 
 Defined cases: texts that are null, empty, or not given back by their tokens' bytes have no tokens: zeros, and an empty
-string for the groups.  Each row is a document, so rows that repeat count each; null ids stay.  An empty table gives no rows; other
+string for the groups.  Bytes that are not UTF-8 count as U+FFFD.  Each row is a document, so rows that repeat count each; null ids stay.  An empty table gives no rows; other
 input columns are ignored.  A text without cuts is one unit, however long.
 """
 
@@ -23,7 +22,7 @@ import os
 from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 from hashlib import sha256
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +41,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _SPACES = r"\s\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿"
 _LETTERS = r"A-Za-zÀ-ÖØ-öø-ɏ"
 #: Places in a text where no token goes on: before a space or line end that follows no white space, between a letter and a full stop or comma, and after a line end alone.
-#: What is rare at a place is asked first.
 CUT = rf"(?=[ \n])(?<=[^{_SPACES}])|(?=[.,])(?<=[{_LETTERS}])|(?<=[.,])(?=[{_LETTERS}])|(?<=\n)(?=[{_LETTERS}])(?<=[^{_SPACES}]\n)"
-#: A unit, from cut to cut: words and signs before a space, line end, full stop or comma are told at once, the others character by character.
-UNIT = rf" ?[A-Za-z]++(?=[ .,\n])| ?[{_LETTERS}]++(?=[ .,\n])|[.,](?=[ \n])|(?s:.)(?:(?!{CUT})(?s:.))*+"
 #: Units, and bytes of what is known of them, that may be broadcast.
 HOT, HOT_BYTES = 200_000, 64_000_000
 #: Ids are below this.
 _IDS = 1 << 24
-_UNIT = "_u long, ok boolean, a array<struct<id: int, n: int>>, b array<struct<id: int, n: int>>"
+#: Kinds of characters that ``CUT`` tells apart; those from _BREAK on are white space.
+_OTHER, _LETTER, _STOP, _BREAK, _SPACE, _WHITE = range(6)
+_UNIT = "_u long, ok boolean, a array<struct<id: int, end: int>>, b array<struct<id: int, end: int>>"
 
 
 class Encoder:
@@ -58,6 +56,8 @@ class Encoder:
 
     def __init__(self, ids: Callable[[Sequence[str]], list[list[int]]], pieces: list[bytes | None]):
         self.ids, self.pieces = ids, pieces
+        self.held = [b"\xff" if p is None else p for p in pieces]  # no text has this byte
+        self.sizes = np.array([*map(len, self.held)], np.int64)
         crossed = [p for p in pieces if p and regex.search(CUT, p.decode(errors="ignore"))]
         if crossed:
             raise ValueError(f"tokens go across the cuts of texts: {crossed[:5]}")
@@ -76,7 +76,7 @@ def byte_level(path: str) -> Encoder:
     special = {i for i, token in t.get_added_tokens_decoder().items() if token.special}
     for piece, i in t.get_vocab().items():
         pieces[i] = None if i in special else bytes(signs[c] for c in piece)
-    return Encoder(lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)], pieces)
+    return Encoder(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)], pieces)
 
 
 @cache
@@ -102,20 +102,16 @@ def piece_model(path: str) -> Encoder:
     return Encoder(ids, pieces)
 
 
-def _lists(encoder: Encoder, texts: Sequence[str], raw: Sequence[bytes]) -> tuple[list[bool], pa.Array]:
-    """Whether each text's tokens give it back, and the tokens as (id, bytes)."""
-    ids, of = encoder.ids(texts), encoder.pieces
-    ok, at, flat, sizes = [], [0], [], []
-    for found, want in zip(ids, raw, strict=True):
-        pieces = [of[i] for i in found]
-        good = None not in pieces and b"".join(pieces) == want
-        ok.append(good)
-        if good:
-            flat += found
-            sizes += map(len, pieces)
-        at.append(len(flat))
-    values = pa.StructArray.from_arrays([pa.array(flat, pa.int32()), pa.array(sizes, pa.int32())], ["id", "n"])
-    return ok, pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+def _lists(encoder: Encoder, texts: Sequence[str], raw: Sequence[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """Whether each text's tokens give it back, and those that do so as (id, end): bytes of the text up to the token's end."""
+    ids = encoder.ids(texts)
+    flat, n = np.array([*chain.from_iterable(ids)], np.int64), np.array([*map(len, ids)])
+    told, ends, at = b"".join([encoder.held[i] for i in flat.tolist()]), np.append(0, np.cumsum(encoder.sizes[flat])), np.append(0, np.cumsum(n))
+    bounds = ends[at]
+    ok = np.array([told[first:end] == want for (first, end), want in zip(pairwise(bounds.tolist()), raw, strict=True)])
+    good = np.repeat(ok, n)
+    values = [pa.array(x[good], pa.int32()) for x in (flat, ends[1:] - np.repeat(bounds[:-1], n))]
+    return ok, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n * ok)), pa.int32()), pa.StructArray.from_arrays(values, ["id", "end"]))
 
 
 def encoded(units: DataFrame, a: Callable[[], Encoder], b: Callable[[], Encoder]) -> DataFrame:
@@ -135,11 +131,9 @@ def encoded(units: DataFrame, a: Callable[[], Encoder], b: Callable[[], Encoder]
 
 def tokens(found: DataFrame) -> DataFrame:
     """_u, _end and the id, as a or b, of each token of both sides; _end: bytes of the unit up to the token's end."""
-    side = lambda name: F.transform(name, lambda t: F.struct(F.lit(name == "a").alias("a"), t["id"].alias("id"), t["n"].alias("n")))
-    each = found.select("_u", F.posexplode(F.concat(side("a"), side("b"))).alias("_at", "_t")).select("_u", "_at", "_t.*")
-    along = Window.partitionBy("_u", "a").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    of = lambda mine: F.when(F.col("a") if mine else ~F.col("a"), F.col("id"))
-    return each.select("_u", F.sum("n").over(along).alias("_end"), of(True).alias("a"), of(False).alias("b"))
+    side = lambda name: F.transform(name, lambda t: F.struct(F.lit(name == "a").alias("a"), t["id"].alias("id"), t["end"].alias("_end")))
+    each = found.select("_u", F.explode(F.concat(side("a"), side("b"))).alias("_t")).select("_u", "_t.*")
+    return each.select("_u", "_end", F.when(F.col("a"), F.col("id")).alias("a"), F.when(~F.col("a"), F.col("id")).alias("b"))
 
 
 def align_units(found: DataFrame) -> DataFrame:
@@ -167,9 +161,78 @@ def pair(a: Column, b: Column) -> Column:
     return a.cast("long") * _IDS + b
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """The kind of each character below 0x10000; those above are others."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    kinds = np.zeros(0x10000, np.uint8)
+    for signs, kind in ((_LETTERS, _LETTER), (_SPACES, _WHITE), (".,", _STOP), ("\n", _BREAK), (" ", _SPACE)):
+        kinds[[ord(c) for c in regex.findall(f"[{signs}]", every)]] = kind
+    return kinds
+
+
+@cache
+def _pairs() -> bytes:
+    """For two neighbouring characters of kinds x and y, at 8 * x + y: 1 if a text is cut between them, 2 if it is unless white space is before both."""
+    cuts = np.zeros(256, np.uint8)
+    for x in range(_WHITE + 1):
+        for y in (_BREAK, _SPACE) if x < _BREAK else ():
+            cuts[8 * x + y] = 1
+    cuts[[8 * _LETTER + _STOP, 8 * _STOP + _LETTER]] = 1
+    cuts[8 * _BREAK + _LETTER] = 2
+    return cuts.tobytes()
+
+
+def cut(texts: pa.Array) -> pa.Array:
+    """The units of each text and a space before it, in order, as places in their bytes; none for a text that is null or empty."""
+    some = pc.greater(pc.binary_length(texts), 0).fill_null(False)
+    spaced = pc.binary_join_element_wise(" ", texts.filter(some), "")
+    _, starts, held = spaced.buffers()
+    starts = np.frombuffer(starts, np.int32)[: len(spaced) + 1]
+    data = np.frombuffer(held or b"", np.uint8)[: starts[-1]]
+    # a character's kind stands at each of its bytes
+    kinds = np.frombuffer(bytearray(data.tobytes().translate(np.append(_kinds()[:128], np.zeros(128, np.uint8)).tobytes())), np.uint8)
+    wide = np.flatnonzero(data >= 0xC0)
+    two, three = wide[data[wide] < 0xE0], wide[(data[wide] >= 0xE0) & (data[wide] < 0xF0)]
+    for at, lead, more in ((two, 0x1F, 1), (three, 0x0F, 2)):
+        code = (data[at] & lead).astype(np.int32)
+        for i in range(1, more + 1):
+            code = code << 6 | data[at + i] & 0x3F
+        for i in range(more + 1):
+            kinds[at + i] = _kinds()[code]
+    found = np.frombuffer(bytearray((kinds[:-1] << 3 | kinds[1:]).tobytes().translate(_pairs())), np.uint8)
+    after = np.flatnonzero(found == 2)
+    found[after] = kinds[after - 1] < _BREAK  # a text begins with a space, so there is one before
+    begins = np.append(np.zeros(min(1, len(data)), np.uint8), found)
+    begins[starts[:-1]] = 1
+    begins = np.flatnonzero(begins)
+    units = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(data)).astype(np.int32)), held)
+    sizes = np.zeros(len(texts), np.int32)
+    sizes[some.to_numpy(zero_copy_only=False)] = np.diff(np.searchsorted(begins, starts))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), units)
+
+
 def _units(text: str) -> Column:
-    """The units of a text and a space before it, in order; null for a text without units."""
-    return F.regexp_extract_all(F.when(F.col(text) != "", F.concat(F.lit(" "), F.col(text))), F.lit(UNIT), F.lit(0))
+    """``cut`` as a column."""
+    return F.arrow_udf(cut, "array<string>")(text)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of bounded size."""
+    for batch in batches:
+        for first, end in chunks([range(n) for n in pc.binary_length(batch.column(column)).fill_null(0).to_pylist()]):
+            yield batch.slice(first, end - first)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """unit and n, how often texts hold it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches, "_text"):
+            found = pc.value_counts(cut(batch.column("_text")).flatten())
+            yield pa.RecordBatch.from_arrays(found.flatten(), names=["unit", "n"])
+
+    return rows.select("_text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def hot_from(units: DataFrame) -> int:
@@ -195,8 +258,8 @@ def _numbered(counted: DataFrame, least: int) -> DataFrame:
 
 def align(docs: DataFrame, a: Callable[[], Encoder], b: Callable[[], Encoder], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row. Text and a space before it is what a and b encode."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
-    counted = rows.select(F.explode(_units("_text")).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{key}`").alias("_key"), F.make_valid_utf8(F.col(f"`{text}`").cast("string")).alias("_text"))
+    counted = _counted(rows)
     counted = stored(counted.withColumn("_size", F.floor(F.log2("n") * 8).cast("int")), "counted")
     numbered = stored(_numbered(counted, hot_from(counted)), "numbered")
     forget(counted)
@@ -239,9 +302,8 @@ def _column(table: pa.Table | pa.RecordBatch, name: str, kind: pa.DataType) -> p
     return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
 
 
-def _items(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
+def _items(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Where each row's list begins, and the last one ends, among all items; and the items. A null list has none."""
-    lists = batch.column(name)
     return np.append(0, np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy())), lists.flatten()
 
 
@@ -250,15 +312,15 @@ def _dealt(rows: DataFrame, hot: Broadcast) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _column(hot.value, "unit", pa.string())
-        for batch in batches:
-            at, units = _items(batch, "units")
+        for batch in _parts(batches, "_text"):
+            at, units = _items(cut(batch.column("_text")))
             ids = pc.index_in(units, value_set=known)
             before = np.append(0, np.cumsum(ids.is_null().to_numpy(zero_copy_only=False)))
             lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), x) for starts, x in ((at, ids), (before[at], units.filter(ids.is_null())))]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_key"), *lists], names=["_row", "_key", "hot", "rare"])
 
-    kept = rows.select("_row", "_key", _units("_text").alias("units"))
-    return kept.mapInArrow(deal, StructType([*kept.drop("units").schema, *StructType.fromDDL("hot array<int>, rare array<string>")]))
+    kept = rows.select("_row", "_key", "_text")
+    return kept.mapInArrow(deal, StructType([*kept.drop("_text").schema, *StructType.fromDDL("hot array<int>, rare array<string>")]))
 
 
 def _rare_of(dealt: DataFrame, rare: DataFrame) -> DataFrame:
@@ -293,7 +355,7 @@ def _place(dealt: DataFrame, hot: Broadcast, seldom: DataFrame) -> DataFrame:
         for whole in batches:
             for first, end in chunks([range(n) for n in pc.list_value_length(whole.column("hot")).to_pylist()]):
                 batch = whole.slice(first, end - first)
-                (at, ids), (_, said), (_, n_a) = (_items(batch, c) for c in ("hot", "said", "n_a"))
+                (at, ids), (_, said), (_, n_a) = (_items(batch.column(c)) for c in ("hot", "said", "n_a"))
                 # rare units come behind the frequent ones, and are met in order
                 seldom = ids.is_null().to_numpy(zero_copy_only=False)
                 places = pa.array(np.where(seldom, len(known) - 1 + np.cumsum(seldom), ids.fill_null(0).to_numpy()))
@@ -307,24 +369,41 @@ def _place(dealt: DataFrame, hot: Broadcast, seldom: DataFrame) -> DataFrame:
     return found.withColumn("rare", F.when(F.col("n_links") > 0, F.col("rare")))
 
 
+def _once(numbers: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Each number once, without sorting. seen: room for as many as there are numbers, whatever it holds."""
+    places = np.arange(len(numbers))
+    seen[numbers] = places
+    return numbers[seen[numbers] == places]
+
+
 def _pair_counts(dealt: DataFrame, texts: DataFrame, units: DataFrame) -> DataFrame:
     """_link and docs: how many documents hold the pair linked."""
     hot = units.sparkSession.sparkContext.broadcast(units.filter("_hot").orderBy("_u").select(F.coalesce("links", F.array()).alias("links")).toArrow())
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value.combine_chunks()
-        at, links = _items(known.to_batches()[0], "links") if known.num_rows else (np.zeros(1, np.int64), pa.array([], pa.int64()))
-        links = links.to_numpy()
+        # pairs are numbered, those of frequent units once for all documents
+        at, links = _items(_column(hot.value, "links", pa.list_(pa.int64())))
+        known, links = np.unique(links.to_numpy(), return_inverse=True)
+        n, docs = np.diff(at), np.zeros(len(known), np.int64)
+        seen = np.empty(len(n), np.int64)
         for batch in batches:
-            (starts, ids), (rare_starts, others) = _items(batch, "hot"), _items(batch, "links")
-            held, others, found = ids.fill_null(-1).to_numpy(), others.to_numpy(), []
+            (starts, ids), (rare_starts, others) = _items(batch.column("hot")), _items(batch.column("links"))
+            held, others = ids.fill_null(-1).to_numpy(), others.to_numpy()
+            numbers = np.searchsorted(known, others)
+            fresh = np.append(known, -1)[numbers] != others
+            new, numbers_of = np.unique(others[fresh], return_inverse=True)
+            numbers[fresh] = len(known) + numbers_of
+            docs_of = np.append(docs, np.zeros(len(new), np.int64))
+            met = np.empty(len(docs_of), np.int64)
             for (first, end), (rare_first, rare_end) in zip(pairwise(starts.tolist()), pairwise(rare_starts.tolist()), strict=True):
-                of = np.unique(held[first:end])
-                of = of[of >= 0].tolist()
-                found.append(np.unique(np.concatenate([others[rare_first:rare_end], *(links[at[i] : at[i + 1]] for i in of)])))
-            # how many of the batch's documents hold each pair
-            pairs, docs = np.unique(np.concatenate([others[:0], *found]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(docs)], names=["_link", "docs"])
+                of = held[first:end]
+                of = _once(of[of >= 0], seen)
+                size = n[of]
+                places = np.repeat(at[of] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                docs_of[_once(np.append(links[places], numbers[rare_first:rare_end]), met)] += 1
+            docs = docs_of[: len(known)]
+            yield pa.RecordBatch.from_arrays([pa.array(new), pa.array(docs_of[len(known) :])], names=["_link", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array(known[docs > 0]), pa.array(docs[docs > 0])], names=["_link", "docs"])
 
     rare = units.filter("NOT _hot").select("_u", "links")
     met = texts.select("_row", F.explode("rare").alias("_u")).join(rare, "_u").groupBy("_row").agg(F.flatten(F.collect_list("links")).alias("links"))
